@@ -182,6 +182,79 @@ class Evaluator:
         return f, g, q
 
 
+class GramEvaluator:
+    """Squared loss from ONE pass: the moments ``A = avg(x x^T)``, ``b = avg(x y)``, ``c = avg(y^2)``.
+
+    The mean squared loss is the quadratic ``f(w) = (w.A.w - 2 b.w + c) / 2`` with
+    gradient ``A w - b``, so after the single aggregate every evaluation the fit
+    loops ask for is O(d^2) driver arithmetic and no further pass is run (the
+    same one-pass aggregate as Spark's normal-equation solver).  Used for small
+    d: the pass has d(d+1)/2 + d + 1 sums.
+    """
+
+    def __init__(self, base: Evaluator):
+        if base.loss.name != "squared":
+            raise ValueError("the Gram form needs the squared loss")
+        self.design, self.loss, self.reg_param, self.passes = base.design, base.loss, base.reg_param, base.passes
+        dim = self.design.dim
+        pairs = [(i, j) for i in range(dim) for j in range(i, dim)]
+        aggs = [f"sum(_x{i} * _x{j})" for i, j in pairs] + [f"sum(_x{i} * _y)" for i in range(dim)] + ["sum(_y * _y)"]
+        proj = [f"{self.design.dot_sql([0.0] * dim)} AS _z", f"{self.design.y_sql()} AS _y"]
+        proj += [f"{self.design.x_sql(j)} AS _x{j}" for j in range(dim)]
+        out = base._run(proj, aggs, "gram")
+        self.n = base.n
+        a = np.zeros((dim, dim))
+        for (i, j), v in zip(pairs, out):
+            a[i, j] = a[j, i] = v
+        self.A = a
+        self.b = np.array(out[len(pairs) : len(pairs) + dim])
+        self.c = out[-1]
+
+    @staticmethod
+    def worthwhile(dim: int, max_terms: int) -> bool:
+        return dim * (dim + 1) // 2 + dim + 2 <= max_terms
+
+    def _f(self, w: np.ndarray) -> float:
+        f = 0.5 * (float(w @ self.A @ w) - 2.0 * float(self.b @ w) + self.c)
+        return f + (0.5 * self.reg_param * float(w @ w) if self.reg_param else 0.0)
+
+    def _g(self, w: np.ndarray) -> np.ndarray:
+        return self.A @ w - self.b + self.reg_param * w
+
+    def value_and_gradient(self, w, kind: str = "gradient"):
+        w = np.asarray(w, dtype=float)
+        return self._f(w), self._g(w)
+
+    def probe(self, w, d, alphas, grad_for: int = 0, kind: str = "bracket") -> list[Trial]:
+        w, d = np.asarray(w, dtype=float), np.asarray(d, dtype=float)
+        out = []
+        for a in alphas:
+            wa = w + a * d
+            g = self._g(wa)
+            out.append(Trial(float(a), self._f(wa), float(d @ g), g))
+        return out
+
+    def curvature(self, w, d, kind: str = "exact"):
+        w, d = np.asarray(w, dtype=float), np.asarray(d, dtype=float)
+        return self._f(w), self._g(w), self.A @ d + self.reg_param * d
+
+
+def evaluator(design: Design, loss="squared", reg_param: float = 0.0, solver: str = "auto", max_terms: int = 96):
+    """The evaluator a fit uses: ``"passes"`` (one aggregate per evaluation) or ``"gram"``.
+
+    ``"auto"`` picks the Gram form for the squared loss when its moment pass
+    stays within ``max_terms`` sums (d <= 12 with the default), else passes.
+    """
+    ev = Evaluator(design, loss, reg_param)
+    if solver == "auto":
+        solver = "gram" if ev.loss.name == "squared" and GramEvaluator.worthwhile(design.dim, max_terms) else "passes"
+    if solver == "gram":
+        return GramEvaluator(ev)
+    if solver != "passes":
+        raise ValueError(f"unknown solver {solver!r}")
+    return ev
+
+
 # ---------------------------------------------------------------- tables
 def _named_rows(one_row: DataFrame, structs: list[Column]) -> DataFrame:
     return one_row.select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")

@@ -34,7 +34,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from ridgeline.operators.passes import EmptyDesign, Evaluator, Trial, pass_settings
+from ridgeline.operators.passes import EmptyDesign, Evaluator, Trial, evaluator, pass_settings
 from ridgeline.plans.result import FitResult
 from ridgeline.sources.design import Design, materialized
 
@@ -160,13 +160,14 @@ def fit_cg(
     max_bracket: int = MAX_BRACKET,
     max_zoom: int = MAX_ZOOM,
     max_terms: int = MAX_TERMS,
+    solver: str = "auto",
     storage: str = "memory_and_disk",
     method: str = "cg",
 ) -> FitResult:
     t0 = time.perf_counter()
     w = np.zeros(design.dim) if init is None else np.array(init, dtype=float)  # copy: input untouched
     with materialized(design, storage) as ds, pass_settings(ds.df.sparkSession):
-        ev = Evaluator(ds, loss, reg_param)
+        ev = evaluator(ds, loss, reg_param, solver, max_terms)
         mode = line_search
         if mode == "auto":
             mode = "exact" if ev.loss.name == "squared" else "wolfe"

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from ridgeline.operators.passes import EmptyDesign, Evaluator, pass_settings
+from ridgeline.operators.passes import EmptyDesign, evaluator, pass_settings
 from ridgeline.plans.result import FitResult
 from ridgeline.sources.design import Design, materialized
 
@@ -28,13 +28,14 @@ def fit_gd(
     init: Sequence[float] | None = None,
     reg_param: float = 0.0,
     check_from: int = 1,
+    solver: str = "auto",
     storage: str = "memory_and_disk",
     method: str = "gd",
 ) -> FitResult:
     t0 = time.perf_counter()
     w = np.zeros(design.dim) if init is None else np.array(init, dtype=float)  # copy: input untouched
     with materialized(design, storage) as ds, pass_settings(ds.df.sparkSession):
-        ev = Evaluator(ds, loss, reg_param)
+        ev = evaluator(ds, loss, reg_param, solver)
         res = FitResult(method, ev.loss.name, ds.features, w, reg_param=reg_param, passes=ev.passes)
         try:
             for i in range(1, max_iter + 1):

@@ -48,6 +48,7 @@ REPORT_SCHEMA = T.StructType(
         T.StructField("bracket_passes", T.IntegerType(), False),
         T.StructField("zoom_passes", T.IntegerType(), False),
         T.StructField("exact_passes", T.IntegerType(), False),
+        T.StructField("gram_passes", T.IntegerType(), False),
         T.StructField("restarts", T.IntegerType(), False),
         T.StructField("elapsed_ms", T.LongType(), False),
     ]
@@ -123,6 +124,7 @@ class FitResult:
             int(p["bracket"]),
             int(p["zoom"]),
             int(p["exact"]),
+            int(p["gram"]),
             int(self.restarts),
             int(self.elapsed_ms),
         )
