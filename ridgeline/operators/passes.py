@@ -239,13 +239,16 @@ class GramEvaluator:
         return self._f(w), self._g(w), self.A @ d + self.reg_param * d
 
 
-def evaluator(design: Design, loss="squared", reg_param: float = 0.0, solver: str = "auto", max_terms: int = 96):
+def evaluator(
+    design: Design, loss="squared", reg_param: float = 0.0, solver: str = "auto", max_terms: int = 96,
+    passes: Counter | None = None,
+):
     """The evaluator a fit uses: ``"passes"`` (one aggregate per evaluation) or ``"gram"``.
 
     ``"auto"`` picks the Gram form for the squared loss when its moment pass
     stays within ``max_terms`` sums (d <= 12 with the default), else passes.
     """
-    ev = Evaluator(design, loss, reg_param)
+    ev = Evaluator(design, loss, reg_param, passes if passes is not None else Counter())
     if solver == "auto":
         solver = "gram" if ev.loss.name == "squared" and GramEvaluator.worthwhile(design.dim, max_terms) else "passes"
     if solver == "gram":

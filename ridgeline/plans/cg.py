@@ -30,10 +30,12 @@ from __future__ import annotations
 
 import math
 import time
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
 
+from ridgeline.functions.losses import get_loss
 from ridgeline.operators.passes import EmptyDesign, Evaluator, Trial, evaluator, pass_settings
 from ridgeline.plans.result import FitResult
 from ridgeline.sources.design import Design, materialized
@@ -166,24 +168,27 @@ def fit_cg(
 ) -> FitResult:
     t0 = time.perf_counter()
     w = np.zeros(design.dim) if init is None else np.array(init, dtype=float)  # copy: input untouched
+    lossf = get_loss(loss)
+    mode = line_search
+    if mode == "auto":
+        mode = "exact" if lossf.name == "squared" else "wolfe"
+    if mode not in ("exact", "wolfe"):
+        raise ValueError(f"unknown line search {line_search!r}")
+    if mode == "exact" and lossf.name != "squared":
+        raise ValueError("the exact line search needs the squared loss")
+    passes: Counter = Counter()
+    res = FitResult(method, lossf.name, design.features, w, reg_param=reg_param, passes=passes)
+    ev = None
     with materialized(design, storage) as ds, pass_settings(ds.df.sparkSession):
-        ev = evaluator(ds, loss, reg_param, solver, max_terms)
-        mode = line_search
-        if mode == "auto":
-            mode = "exact" if ev.loss.name == "squared" else "wolfe"
-        if mode == "exact" and ev.loss.name != "squared":
-            raise ValueError("the exact line search needs the squared loss")
-        res = FitResult(method, ev.loss.name, ds.features, w, reg_param=reg_param, passes=ev.passes)
         try:
+            ev = evaluator(ds, lossf, reg_param, solver, max_terms, passes)
             if mode == "exact":
                 _run_exact(ev, res, w, max_iter, step_tol, grad_tol)
-            elif mode == "wolfe":
-                _run_wolfe(ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, max_terms)
             else:
-                raise ValueError(f"unknown line search {line_search!r}")
+                _run_wolfe(ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, max_terms)
         except EmptyDesign:
             res.stop_reason = "empty"
-        res.n_rows = ev.n
+        res.n_rows = (ev.n if ev is not None else None) or 0
     res.elapsed_ms = int((time.perf_counter() - t0) * 1000)
     return res
 

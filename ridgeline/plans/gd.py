@@ -10,10 +10,12 @@ optimizer); ``check_from=2`` skips the first test, as the stock MLlib
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
 
+from ridgeline.functions.losses import get_loss
 from ridgeline.operators.passes import EmptyDesign, evaluator, pass_settings
 from ridgeline.plans.result import FitResult
 from ridgeline.sources.design import Design, materialized
@@ -34,10 +36,12 @@ def fit_gd(
 ) -> FitResult:
     t0 = time.perf_counter()
     w = np.zeros(design.dim) if init is None else np.array(init, dtype=float)  # copy: input untouched
+    passes: Counter = Counter()
+    res = FitResult(method, get_loss(loss).name, design.features, w, reg_param=reg_param, passes=passes)
+    ev = None
     with materialized(design, storage) as ds, pass_settings(ds.df.sparkSession):
-        ev = evaluator(ds, loss, reg_param, solver)
-        res = FitResult(method, ev.loss.name, ds.features, w, reg_param=reg_param, passes=ev.passes)
         try:
+            ev = evaluator(ds, loss, reg_param, solver, passes=passes)
             for i in range(1, max_iter + 1):
                 f, g = ev.value_and_gradient(w)
                 step = step_size / np.sqrt(i)
@@ -54,7 +58,7 @@ def fit_gd(
                     break
         except EmptyDesign:
             res.stop_reason = "empty"
-        res.n_rows = ev.n
+        res.n_rows = (ev.n if ev is not None else None) or 0
     res.weights = w
     res.elapsed_ms = int((time.perf_counter() - t0) * 1000)
     return res

@@ -55,7 +55,7 @@ W_LIN = (0.5, -0.25, 0.1)  # lin3: qty, disc, bias
 D_LIN = (-1.0, 0.5, 0.25)
 ALPHAS_LIN = (0.0, 0.5, 1.0, 2.0)
 W_LOG = (0.3, -0.7)  # log2: qty, bias
-D_LOG = (-0.2, 0.4)
+D_LOG = (-0.2, -0.3)  # a descent direction at W_LOG (about -10 x the gradient)
 ALPHAS_LOG = (0.25, 0.5, 1.0, 2.0, 4.0)
 W_NET = (0.9, -0.05, 0.03)  # lin_net: price, disc, bias
 W_SIG = (4.9, -2.3)  # log_sig: qty, bias
