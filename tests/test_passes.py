@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import ridgeline as rl
-from ridgeline.operators.passes import GramEvaluator
+from ridgeline.operators.passes import GramEvaluator, pass_settings
 from ridgeline.workload.fixtures import LIN3, LOG2, embedding_design
 
 from conftest import SF01
@@ -125,7 +125,8 @@ def test_pass_plan_is_one_pruned_scan_and_a_keyless_aggregate(spark, lineitem01)
     ev = rl.Evaluator(ds, "squared")
     proj = ev._proj(np.array(W_LIN), with_x=True)
     df = ds.df.selectExpr(*proj).selectExpr("count(_z)", "sum(_z * _x0)")
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    with pass_settings(spark):  # the settings the fits run their passes under
+        plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange SinglePartition" in plan
     assert "hashpartitioning" not in plan.lower()
     assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_discount:double>" in plan

@@ -11,7 +11,7 @@ from conftest import SF001
 def test_score_stream_matches_batch(spark, tmp_path):
     batch = spark.read.parquet(f"{SF001}/lineitem.parquet")
     model = LinearModel("logistic", ("qty", "bias"), (4.9, -2.3))
-    stream = spark.readStream.schema(batch.schema).parquet(SF001 + "/lineitem.parquet")
+    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "lineitem.parquet").parquet(SF001)
     scored = score_stream(stream, lambda df: LOG_SIG.design(df, keep=("l_orderkey",)), model, keep=("l_orderkey",))
     q = (
         scored.writeStream.format("memory").queryName("scored_lineitem").outputMode("append")
