@@ -6,7 +6,9 @@ the driver.
 
 Direction update (Hestenes-Stiefel): ``y = g' - g``, ``beta = g'.y / d.y``,
 ``d <- beta*d - g'``; restart with ``d = -g`` when beta is not finite or ``d`` is
-not a descent direction.
+not a descent direction, or is nearly orthogonal to the gradient (such a
+direction makes the line search return a vanishing step and the step test
+would stop the fit far from the optimum).
 
 Stops: gradient norm ``<= grad_tol * max(1, ||g0||)`` (tested before each line
 search), step ``||w - w'|| < step_tol * max(||w'||, 1)``, ``max_iter``, or a
@@ -49,6 +51,7 @@ INITIAL_STEP_FACTOR = 2.02  # first trial from the second iteration: 2.02 * (f -
 ZOOM_TRIM = 0.1
 LOSS_NOISE = 1e-12  # relative size of rounding noise in a summed mean loss
 MAX_TERMS = 96  # aggregate terms per pass that still fit one whole-stage-codegen span
+RESTART_COS = 1e-3  # restart with -g when cos(angle(-g, d)) falls below this
 
 
 def _finite(*xs: float) -> bool:
@@ -209,7 +212,8 @@ def _run_wolfe(ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, ma
             res.stop_reason = "gradient"
             break
         s0 = float(g @ d)
-        if not s0 < 0:
+        if not s0 < -RESTART_COS * gn * float(np.linalg.norm(d)):
+            # not a descent direction, or nearly orthogonal to the gradient: restart
             d, s0 = -g, -(gn * gn)
             res.restarts += 1
         t = strong_wolfe(ev, w, d, f, s0, f_prev, c1, c2, max_bracket, max_zoom, max_terms)
