@@ -130,25 +130,27 @@ class Evaluator:
         w: Sequence[float],
         d: Sequence[float],
         alphas: Sequence[float],
-        grad_for: int = 0,
+        grad_for: int | Sequence[bool] = 0,
         kind: str = "bracket",
     ) -> list[Trial]:
         """Objective and slope at every ``w + alpha*d`` in ONE pass.
 
-        The first ``grad_for`` trials also get the full gradient, so an accepted
-        step needs no separate gradient pass.
+        Trials selected by ``grad_for`` (the first ``grad_for`` ones, or a mask)
+        also get the full gradient, so an accepted step needs no separate
+        gradient pass.
         """
         w = np.asarray(w, dtype=float)
         d = np.asarray(d, dtype=float)
         dim = self.design.dim
+        mask = [k < grad_for for k in range(len(alphas))] if isinstance(grad_for, int) else list(grad_for)
         aggs: list[str] = []
         for k, a in enumerate(alphas):
             m = f"(_z + {sql_double(a)} * _p)"
             s = self.loss.slope_sql(m, "_y")
             aggs += [f"sum({self.loss.term_sql(m, '_y')})", f"sum({s} * _p)"]
-            if k < grad_for:
+            if mask[k]:
                 aggs += [f"sum({s} * _x{j})" for j in range(dim)]
-        out = self._run(self._proj(w, d, with_x=grad_for > 0), aggs, kind)
+        out = self._run(self._proj(w, d, with_x=any(mask)), aggs, kind)
         trials, pos = [], 0
         for k, a in enumerate(alphas):
             wa = w + a * d
@@ -156,7 +158,7 @@ class Evaluator:
             s = out[pos + 1] + (self.reg_param * float(d @ wa) if self.reg_param else 0.0)
             pos += 2
             g = None
-            if k < grad_for:
+            if mask[k]:
                 g = np.array(out[pos : pos + dim]) + self.reg_param * wa
                 pos += dim
             trials.append(Trial(float(a), f, s, g))
@@ -225,7 +227,7 @@ class GramEvaluator:
         w = np.asarray(w, dtype=float)
         return self._f(w), self._g(w)
 
-    def probe(self, w, d, alphas, grad_for: int = 0, kind: str = "bracket") -> list[Trial]:
+    def probe(self, w, d, alphas, grad_for=0, kind: str = "bracket") -> list[Trial]:
         w, d = np.asarray(w, dtype=float), np.asarray(d, dtype=float)
         out = []
         for a in alphas:
