@@ -261,6 +261,12 @@ def evaluator(
 
 
 # ---------------------------------------------------------------- tables
+# Tables aggregate ``count`` and ``sum`` (one buffer field each, so wide passes keep
+# whole-stage codegen) and divide in the projection over the single result row.
+def _mean(total: str) -> Column:
+    return F.try_divide(F.col(total), F.col("_n"))
+
+
 def _named_rows(one_row: DataFrame, structs: list[Column]) -> DataFrame:
     return one_row.select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")
 
@@ -276,26 +282,30 @@ def loss_table(design: Design, w: Sequence[float], loss="squared", reg_param: fl
     m, y = design.dot(w), design.y()
     term = loss.term(m, y)
     rv, _ = _ridge_lits(reg_param, w)
-    return design.df.agg(F.count(term).alias("n"), (F.avg(term) + F.lit(rv)).alias("loss"))
+    one = design.df.agg(F.count(term).alias("_n"), F.sum(term).alias("_s"))
+    return one.select(F.col("_n").alias("n"), (_mean("_s") + F.lit(rv)).alias("loss"))
 
 
 def gradient_table(design: Design, w: Sequence[float], loss="squared", reg_param: float = 0.0) -> DataFrame:
-    """Rows ``(feature_index, feature, gradient)`` ordered by index: the mean gradient at ``w`` (A2).
+    """Rows ``(feature_index, feature, gradient)``: the mean gradient at ``w`` (A2).
 
-    Every gradient entry is its own aggregate over the same pass, so entries are
-    placed by index, never by arrival order.
+    One pass: the margin is projected once per row, each gradient entry is its
+    own ``sum`` (placed by index, never by arrival order), and ``stack`` turns
+    the single result row into one row per feature.
     """
     loss = get_loss(loss)
     w = np.asarray(w, dtype=float)
-    m, y = design.dot(w), design.y()
-    s = loss.slope(m, y)
     _, rg = _ridge_lits(reg_param, w)
-    one = design.df.agg(*[(F.avg(s * design.x(j)) + F.lit(float(rg[j]))).alias(f"g{j}") for j in range(design.dim)])
-    structs = [
-        F.struct(F.lit(j).alias("feature_index"), F.lit(name).alias("feature"), F.col(f"g{j}").alias("gradient"))
+    proj = [f"{design.dot_sql(w)} AS _z", f"{design.y_sql()} AS _y"]
+    proj += [f"{design.x_sql(j)} AS _x{j}" for j in range(design.dim)]
+    s = loss.slope_sql("_z", "_y")
+    aggs = [f"count({s}) AS _n"] + [f"sum({s} * _x{j}) AS g{j}" for j in range(design.dim)]
+    one = design.df.selectExpr(*proj).selectExpr(*aggs)
+    cells = ", ".join(
+        f"{j}, '{name.replace(chr(39), chr(39) * 2)}', try_divide(g{j}, _n) + {sql_double(rg[j])}"
         for j, name in enumerate(design.features)
-    ]
-    return _named_rows(one, structs)
+    )
+    return one.selectExpr(f"stack({design.dim}, {cells}) AS (feature_index, feature, gradient)")
 
 
 def directional_derivative_table(
@@ -328,17 +338,21 @@ def line_search_profile(
     z, p, y = design.dot(w), design.dot(d), design.y()
     base = design.df.select(z.alias("_z"), p.alias("_p"), y.alias("_y"))
     zc, pc, yc = F.col("_z"), F.col("_p"), F.col("_y")
-    exprs = []
+    exprs, means = [], []
     for k, a in enumerate(grid):
         m = zc + F.lit(a) * pc
         wa = w + a * d
         rv = 0.5 * reg_param * float(wa @ wa)
         rs = reg_param * float(d @ wa)
         exprs += [
-            (F.avg(loss.term(m, yc)) + F.lit(rv)).alias(f"f{k}"),
-            (F.avg(loss.slope(m, yc) * pc) + F.lit(rs)).alias(f"s{k}"),
+            F.sum(loss.term(m, yc)).alias(f"sf{k}"),
+            F.sum(loss.slope(m, yc) * pc).alias(f"ss{k}"),
+        ]
+        means += [
+            (_mean(f"sf{k}") + F.lit(rv)).alias(f"f{k}"),
+            (_mean(f"ss{k}") + F.lit(rs)).alias(f"s{k}"),
         ]
-    one = base.agg(*exprs)
+    one = base.agg(F.count(zc).alias("_n"), *exprs).select(*means)
     structs = [
         F.struct(F.lit(a).alias("alpha"), F.col(f"f{k + 1}").alias("loss"), F.col(f"s{k + 1}").alias("slope"))
         for k, a in enumerate(alphas)

@@ -14,8 +14,6 @@ feature order, so it costs no storage and folds away in ``w_bias * 1.0``.
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
@@ -97,11 +95,12 @@ class Design:
         return "(" + " + ".join(f"{sql_double(vj)} * {self.x_sql(j)}" for j, vj in enumerate(v)) + ")"
 
     def dot(self, v: Sequence[float]) -> Column:
-        """``sum_j v_j * x_j`` as one arithmetic expression (JVM side, codegen'd)."""
-        if len(v) != self.dim:
-            raise ValueError(f"vector of length {len(v)} for a design of dimension {self.dim}")
-        terms = [F.lit(float(vj)) * self.x(j) for j, vj in enumerate(v)]
-        return functools.reduce(operator.add, terms) if terms else F.lit(0.0)
+        """``sum_j v_j * x_j`` as one arithmetic expression (JVM side, codegen'd).
+
+        Parsed from its SQL text in one call: building it term by term costs a
+        driver-to-JVM round trip per term.
+        """
+        return F.expr(self.dot_sql(v))
 
     # -------------------------------------------------------------- storage
     def spread(self, min_partitions: int | None = None) -> Design:

@@ -22,14 +22,20 @@ def append_bias(features: Column | str) -> Column:
     return F.concat(arr.cast("array<double>"), F.array(F.lit(1.0)))
 
 
+def key_part(key: Column, parts: int = 5, test_part: int = 0) -> Column:
+    """P5 as a column: ``'test'`` when ``pmod(key, parts) == test_part``, else ``'train'``."""
+    return F.when(F.pmod(key, F.lit(parts)) == F.lit(test_part), F.lit("test")).otherwise(F.lit("train"))
+
+
 def key_split(df: DataFrame, key: Column, parts: int = 5, test_part: int = 0) -> tuple[DataFrame, DataFrame]:
     """P5: reproducible split on an integer key: ``pmod(key, parts) == test_part`` is the test set.
 
     A pure row function, so the split does not depend on partitioning, order or
-    retries, and any engine computes the same split.
+    retries, and any engine computes the same split.  Both sides are filters
+    over the same scan (pushed into the Parquet reader's row filter).
     """
-    bucket = F.pmod(key, F.lit(parts))
-    return df.where(bucket != F.lit(test_part)), df.where(bucket == F.lit(test_part))
+    part = key_part(key, parts, test_part)
+    return df.where(part == F.lit("train")), df.where(part == F.lit("test"))
 
 
 def random_split(df: DataFrame, weights=(0.8, 0.2), seed: int = 11) -> list[DataFrame]:

@@ -34,7 +34,7 @@ from ridgeline.plans.presets import (
 from ridgeline.plans.result import FitResult, LinearModel
 from ridgeline.session import scratch_path
 from ridgeline.sources.libsvm import libsvm_design, write_libsvm
-from ridgeline.sources.prepare import append_bias, binarize_label, key_split, random_split
+from ridgeline.sources.prepare import append_bias, binarize_label, key_part, random_split
 from ridgeline.workload.fixtures import (
     EMB_NEGATIVE,
     LIN3,
@@ -146,12 +146,10 @@ def q_random_split(spark, sf_dir):
 
 
 def q_key_split(spark, sf_dir):
-    src = read_table(spark, sf_dir, "lineitem")
-    train, test = key_split(src, F.expr(SPLIT_KEY), SPLIT_PARTS, 0)
-    parts = LIN3.design(train).df.select(F.lit("train").alias("part"), "label").unionByName(
-        LIN3.design(test).df.select(F.lit("test").alias("part"), "label")
-    )
-    return parts.groupBy("part").agg(F.count("*").alias("n"), rnd(F.sum("label"), 6).alias("label_sum"))
+    """Sizes and label totals of the two sides: one scan, partial aggregate on two keys."""
+    src = read_table(spark, sf_dir, "lineitem").withColumn("part", key_part(F.expr(SPLIT_KEY), SPLIT_PARTS, 0))
+    ds = LIN3.design(src, keep=("part",))
+    return ds.df.groupBy("part").agg(F.count("*").alias("n"), rnd(F.sum("label"), 6).alias("label_sum"))
 
 
 # --- E: per-row expressions -------------------------------------------------------
