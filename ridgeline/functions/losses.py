@@ -34,6 +34,10 @@ class SquaredLoss:
     def slope_sql(self, m: str, y: str) -> str:
         return f"({m} - {y})"
 
+    def curvature_sql(self, m: str, y: str) -> str:
+        """Second derivative of the term in ``m``."""
+        return "1.0D"
+
 
 @dataclass(frozen=True)
 class LogisticLoss:
@@ -56,6 +60,10 @@ class LogisticLoss:
     def slope_sql(self, m: str, y: str) -> str:
         return f"(1.0D / (1.0D + exp(-{m})) - {y})"
 
+    def curvature_sql(self, m: str, y: str) -> str:
+        """``sigmoid(m) * (1 - sigmoid(m))``."""
+        return f"(1.0D / (1.0D + exp(-{m})) * (1.0D - 1.0D / (1.0D + exp(-{m}))))"
+
 
 def sigmoid(m: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-m))

@@ -48,6 +48,7 @@ class Trial:
     loss: float
     slope: float
     grad: np.ndarray | None = None
+    hess: np.ndarray | None = None
 
 
 @contextmanager
@@ -125,6 +126,31 @@ class Evaluator:
         g = np.array(out[1:]) + self.reg_param * w
         return f, g
 
+    def _hess_terms(self, c: str) -> list[str]:
+        dim = self.design.dim
+        return [f"sum({c} * _x{i} * _x{j})" for i in range(dim) for j in range(i, dim)]
+
+    def _hess(self, vals: Sequence[float]) -> np.ndarray:
+        dim = self.design.dim
+        h = np.zeros((dim, dim))
+        it = iter(vals)
+        for i in range(dim):
+            for j in range(i, dim):
+                h[i, j] = h[j, i] = next(it)
+        return h + self.reg_param * np.eye(dim)
+
+    def value_gradient_hessian(self, w: Sequence[float], kind: str = "gradient"):
+        """Loss, gradient and Hessian ``avg(l''(z) x x^T)`` at ``w`` in one pass (small d)."""
+        w = np.asarray(w, dtype=float)
+        dim = self.design.dim
+        term, slope = self.loss.term_sql("_z", "_y"), self.loss.slope_sql("_z", "_y")
+        aggs = [f"sum({term})"] + [f"sum({slope} * _x{j})" for j in range(dim)]
+        aggs += self._hess_terms(self.loss.curvature_sql("_z", "_y"))
+        out = self._run(self._proj(w, with_x=True), aggs, kind)
+        f = out[0] + self.ridge_value(w)
+        g = np.array(out[1 : 1 + dim]) + self.reg_param * w
+        return f, g, self._hess(out[1 + dim :])
+
     def probe(
         self,
         w: Sequence[float],
@@ -132,6 +158,7 @@ class Evaluator:
         alphas: Sequence[float],
         grad_for: int | Sequence[bool] = 0,
         kind: str = "bracket",
+        hess_for: Sequence[bool] | None = None,
     ) -> list[Trial]:
         """Objective and slope at every ``w + alpha*d`` in ONE pass.
 
@@ -143,6 +170,8 @@ class Evaluator:
         d = np.asarray(d, dtype=float)
         dim = self.design.dim
         mask = [k < grad_for for k in range(len(alphas))] if isinstance(grad_for, int) else list(grad_for)
+        hmask = list(hess_for) if hess_for is not None else [False] * len(alphas)
+        nh = dim * (dim + 1) // 2
         aggs: list[str] = []
         for k, a in enumerate(alphas):
             m = f"(_z + {sql_double(a)} * _p)"
@@ -150,18 +179,23 @@ class Evaluator:
             aggs += [f"sum({self.loss.term_sql(m, '_y')})", f"sum({s} * _p)"]
             if mask[k]:
                 aggs += [f"sum({s} * _x{j})" for j in range(dim)]
-        out = self._run(self._proj(w, d, with_x=any(mask)), aggs, kind)
+            if hmask[k]:
+                aggs += self._hess_terms(self.loss.curvature_sql(m, "_y"))
+        out = self._run(self._proj(w, d, with_x=any(mask) or any(hmask)), aggs, kind)
         trials, pos = [], 0
         for k, a in enumerate(alphas):
             wa = w + a * d
             f = out[pos] + self.ridge_value(wa)
             s = out[pos + 1] + (self.reg_param * float(d @ wa) if self.reg_param else 0.0)
             pos += 2
-            g = None
+            g = h = None
             if mask[k]:
                 g = np.array(out[pos : pos + dim]) + self.reg_param * wa
                 pos += dim
-            trials.append(Trial(float(a), f, s, g))
+            if hmask[k]:
+                h = self._hess(out[pos : pos + nh])
+                pos += nh
+            trials.append(Trial(float(a), f, s, g, h))
         return trials
 
     def curvature(self, w: Sequence[float], d: Sequence[float], kind: str = "exact") -> tuple[float, np.ndarray, np.ndarray]:
@@ -227,13 +261,18 @@ class GramEvaluator:
         w = np.asarray(w, dtype=float)
         return self._f(w), self._g(w)
 
-    def probe(self, w, d, alphas, grad_for=0, kind: str = "bracket") -> list[Trial]:
+    def value_gradient_hessian(self, w, kind: str = "gradient"):
+        f, g = self.value_and_gradient(w)
+        return f, g, self.A + self.reg_param * np.eye(len(self.b))
+
+    def probe(self, w, d, alphas, grad_for=0, kind: str = "bracket", hess_for=None) -> list[Trial]:
         w, d = np.asarray(w, dtype=float), np.asarray(d, dtype=float)
+        h = self.A + self.reg_param * np.eye(len(self.b))
         out = []
         for a in alphas:
             wa = w + a * d
             g = self._g(wa)
-            out.append(Trial(float(a), self._f(wa), float(d @ g), g))
+            out.append(Trial(float(a), self._f(wa), float(d @ g), g, h))
         return out
 
     def curvature(self, w, d, kind: str = "exact"):

@@ -52,6 +52,8 @@ ZOOM_TRIM = 0.1
 LOSS_NOISE = 1e-12  # relative size of rounding noise in a summed mean loss
 MAX_TERMS = 96  # aggregate terms per pass that still fit one whole-stage-codegen span
 RESTART_COS = 1e-3  # restart with -g when cos(angle(-g, d)) falls below this
+NEWTON_RATIOS = (0.8, 1.0, 1.25)  # extra trial steps around the Newton step along d
+MAX_HESS_DIM = 6  # carry the Hessian (d(d+1)/2 sums per trial) only for small d
 
 
 def _finite(*xs: float) -> bool:
@@ -81,7 +83,10 @@ def loss_noise(f0: float) -> float:
     return LOSS_NOISE * max(1.0, abs(f0))
 
 
-def _zoom(ev: Evaluator, w, d, f0: float, s0: float, lo: Trial, hi: Trial, c1: float, c2: float, max_zoom: int) -> Trial:
+def _zoom(
+    ev: Evaluator, w, d, f0: float, s0: float, lo: Trial, hi: Trial, c1: float, c2: float, max_zoom: int,
+    with_hess: bool = False,
+) -> Trial:
     noise = loss_noise(f0)
     for _ in range(max_zoom):
         left, right = min(lo.alpha, hi.alpha), max(lo.alpha, hi.alpha)
@@ -94,7 +99,7 @@ def _zoom(ev: Evaluator, w, d, f0: float, s0: float, lo: Trial, hi: Trial, c1: f
             a = _quad_min(lo.alpha, hi.alpha, lo.loss, hi.loss, lo.slope)
         if not _finite(a) or a < left + ZOOM_TRIM * width or a > right - ZOOM_TRIM * width:
             a = 0.5 * (lo.alpha + hi.alpha)
-        t = ev.probe(w, d, [a], grad_for=1, kind="zoom")[0]
+        t = ev.probe(w, d, [a], grad_for=1, kind="zoom", hess_for=[with_hess])[0]
         if not _finite(t.loss, t.slope) or t.loss > f0 + c1 * a * s0 + noise or t.loss > lo.loss + noise:
             hi = t
         else:
@@ -118,9 +123,21 @@ def strong_wolfe(
     max_bracket: int = MAX_BRACKET,
     max_zoom: int = MAX_ZOOM,
     max_terms: int = MAX_TERMS,
+    newton: float | None = None,
+    with_hess: bool = False,
 ) -> Trial:
     """Step length along descent direction ``d`` (``s0 = phi'(0) < 0``) meeting strong Wolfe.
 
+    ONE pass evaluates the bracketing sequence ``a1 * 2^k`` and, when the Newton
+    step along ``d`` is known (``newton = -phi'(0) / d.H.d``), a few extra steps
+    around it.  With a Newton step, the sequence is evaluated only up to twice
+    the largest extra step (the rest follows in one more pass if the decisions
+    need it), which keeps the per-row work of the pass small.  The bracketing
+    decisions are the usual sequential ones, taken on the driver from the
+    evaluated values.  When they call for a zoom and an extra step inside that
+    bracket already meets the strong Wolfe conditions, that step is taken and
+    the zoom passes are skipped.
+
     Loss comparisons allow :func:`loss_noise`; when losses are indistinguishable
     the slope alone decides (approximate Wolfe), so a search started next to the
     optimum ends in a few passes instead of bisecting on rounding noise.
@@ -131,24 +148,64 @@ def strong_wolfe(
         if not (_finite(a1) and a1 > 0):
             a1 = 1.0
     noise = loss_noise(f0)
-    alphas = [a1 * 2.0**k for k in range(max_bracket)]
+    sequence = [a1 * 2.0**k for k in range(max_bracket)]
+    extra_alphas: list[float] = []
+    first = max_bracket
+    if newton is not None and _finite(newton) and newton > 0:
+        extra_alphas = [newton * r for r in NEWTON_RATIOS]
+        # bracket points up to twice the largest candidate settle the bracketing when the guess holds
+        reach = 2.0 * extra_alphas[-1]
+        first = next((k + 1 for k, a in enumerate(sequence) if a >= reach), max_bracket)
     dim = max(ev.design.dim, 1)
-    grad_for = max(1, min(max_bracket, (max_terms - 1 - 2 * max_bracket) // dim))
-    trials = ev.probe(w, d, alphas, grad_for=grad_for, kind="bracket")
+    per = dim + (dim * (dim + 1) // 2 if with_hess else 0)
+
+    def evaluate(bracket_part: list[float], extra: list[float]) -> list[Trial]:
+        """One pass over some bracket points (+ candidates); gradients / Hessians as the budget allows."""
+        alphas = bracket_part + extra
+        room = max(1, (max_terms - 1 - 2 * len(alphas)) // per)
+        order = list(range(len(bracket_part), len(alphas))) + list(range(len(bracket_part)))
+        mask = [False] * len(alphas)
+        for k in order[:room]:
+            mask[k] = True
+        return ev.probe(w, d, alphas, grad_for=mask, kind="bracket", hess_for=mask if with_hess else None)
+
+    trials = evaluate(sequence[:first], extra_alphas)
+    bracket, extra = trials[:first], trials[first:]
+
+    def wolfe_ok(t: Trial) -> bool:
+        return (
+            t.grad is not None
+            and _finite(t.loss, t.slope)
+            and t.loss <= f0 + c1 * t.alpha * s0 + noise
+            and abs(t.slope) <= -c2 * s0
+        )
+
+    def zoom(lo: Trial, hi: Trial) -> Trial:
+        left, right = min(lo.alpha, hi.alpha), max(lo.alpha, hi.alpha)
+        ok = [t for t in extra if left < t.alpha < right and wolfe_ok(t)]
+        if ok:
+            return min(ok, key=lambda t: t.loss)
+        return _zoom(ev, w, d, f0, s0, lo, hi, c1, c2, max_zoom, with_hess)
+
     prev = Trial(0.0, f0, s0, None)
-    for i, t in enumerate(trials, 1):
+    i = 0
+    while i < max_bracket:
+        if i == len(bracket):  # the guess fell short: the rest of the sequence in one more pass
+            bracket += evaluate(sequence[i:], [])
+        t = bracket[i]
+        i += 1
         if (
             not _finite(t.loss, t.slope)
             or t.loss > f0 + c1 * t.alpha * s0 + noise
             or (i > 1 and t.loss > prev.loss + noise)
         ):
-            return _zoom(ev, w, d, f0, s0, prev, t, c1, c2, max_zoom)
+            return zoom(prev, t)
         if abs(t.slope) <= -c2 * s0:
             return t
         if t.slope >= 0:
-            return _zoom(ev, w, d, f0, s0, t, prev, c1, c2, max_zoom)
+            return zoom(t, prev)
         prev = t
-    return trials[-1]
+    return bracket[-1]
 
 
 def fit_cg(
@@ -197,7 +254,11 @@ def fit_cg(
 
 
 def _run_wolfe(ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, max_terms) -> None:
-    f, g = ev.value_and_gradient(w)
+    with_hess = ev.design.dim <= MAX_HESS_DIM
+    if with_hess:
+        f, g, hess = ev.value_gradient_hessian(w)
+    else:
+        (f, g), hess = ev.value_and_gradient(w), None
     g0 = float(np.linalg.norm(g))
     d = -g
     f_prev = None
@@ -216,7 +277,11 @@ def _run_wolfe(ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, ma
             # not a descent direction, or nearly orthogonal to the gradient: restart
             d, s0 = -g, -(gn * gn)
             res.restarts += 1
-        t = strong_wolfe(ev, w, d, f, s0, f_prev, c1, c2, max_bracket, max_zoom, max_terms)
+        newton = None
+        if hess is not None:
+            dhd = float(d @ hess @ d)
+            newton = -s0 / dhd if dhd > 0 else None
+        t = strong_wolfe(ev, w, d, f, s0, f_prev, c1, c2, max_bracket, max_zoom, max_terms, newton, with_hess)
         if not (_finite(t.alpha, t.loss) and t.alpha > 0):
             res.stop_reason = "line_search"
             break
@@ -230,9 +295,12 @@ def _run_wolfe(ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, ma
             res.stop_reason = "step"
             res.grad_norm = None if t.grad is None else float(np.linalg.norm(t.grad))
             break
-        g_new = t.grad
+        g_new, hess = t.grad, t.hess
         if g_new is None:
-            _, g_new = ev.value_and_gradient(w)
+            if with_hess:
+                _, g_new, hess = ev.value_gradient_hessian(w)
+            else:
+                _, g_new = ev.value_and_gradient(w)
         yv = g_new - g
         denom = float(d @ yv)
         beta = float(g_new @ yv) / denom if denom != 0 else float("nan")
