@@ -128,15 +128,13 @@ def strong_wolfe(
 ) -> Trial:
     """Step length along descent direction ``d`` (``s0 = phi'(0) < 0``) meeting strong Wolfe.
 
-    ONE pass evaluates the bracketing sequence ``a1 * 2^k`` and, when the Newton
-    step along ``d`` is known (``newton = -phi'(0) / d.H.d``), a few extra steps
-    around it.  With a Newton step, the sequence is evaluated only up to twice
-    the largest extra step (the rest follows in one more pass if the decisions
-    need it), which keeps the per-row work of the pass small.  The bracketing
-    decisions are the usual sequential ones, taken on the driver from the
-    evaluated values.  When they call for a zoom and an extra step inside that
-    bracket already meets the strong Wolfe conditions, that step is taken and
-    the zoom passes are skipped.
+    When the Newton step along ``d`` is known (``newton = -phi'(0) / d.H.d``,
+    from the Hessian carried by the previous accepted trial), one light pass
+    first tries it and two neighbours; a step meeting the strong Wolfe
+    conditions ends the search there.  Otherwise ONE pass evaluates the whole
+    bracketing sequence ``a1 * 2^k``, the usual sequential bracketing decisions
+    are taken on the driver, and a zoom is skipped when an already evaluated
+    Newton candidate inside its bracket meets the conditions.
 
     Loss comparisons allow :func:`loss_noise`; when losses are indistinguishable
     the slope alone decides (approximate Wolfe), so a search started next to the
@@ -148,29 +146,14 @@ def strong_wolfe(
         if not (_finite(a1) and a1 > 0):
             a1 = 1.0
     noise = loss_noise(f0)
-    sequence = [a1 * 2.0**k for k in range(max_bracket)]
-    extra_alphas: list[float] = []
-    first = max_bracket
-    if newton is not None and _finite(newton) and newton > 0:
-        extra_alphas = [newton * r for r in NEWTON_RATIOS]
-        # bracket points up to twice the largest candidate settle the bracketing when the guess holds
-        reach = 2.0 * extra_alphas[-1]
-        first = next((k + 1 for k, a in enumerate(sequence) if a >= reach), max_bracket)
     dim = max(ev.design.dim, 1)
     per = dim + (dim * (dim + 1) // 2 if with_hess else 0)
 
-    def evaluate(bracket_part: list[float], extra: list[float]) -> list[Trial]:
-        """One pass over some bracket points (+ candidates); gradients / Hessians as the budget allows."""
-        alphas = bracket_part + extra
+    def evaluate(alphas: list[float], kind: str) -> list[Trial]:
+        """One pass over trial steps; gradients (and Hessians) for as many as the budget allows."""
         room = max(1, (max_terms - 1 - 2 * len(alphas)) // per)
-        order = list(range(len(bracket_part), len(alphas))) + list(range(len(bracket_part)))
-        mask = [False] * len(alphas)
-        for k in order[:room]:
-            mask[k] = True
-        return ev.probe(w, d, alphas, grad_for=mask, kind="bracket", hess_for=mask if with_hess else None)
-
-    trials = evaluate(sequence[:first], extra_alphas)
-    bracket, extra = trials[:first], trials[first:]
+        mask = [k < room for k in range(len(alphas))]
+        return ev.probe(w, d, alphas, grad_for=mask, kind=kind, hess_for=mask if with_hess else None)
 
     def wolfe_ok(t: Trial) -> bool:
         return (
@@ -180,20 +163,24 @@ def strong_wolfe(
             and abs(t.slope) <= -c2 * s0
         )
 
+    extra: list[Trial] = []
+    if newton is not None and _finite(newton) and newton > 0:
+        extra = evaluate([newton * r for r in NEWTON_RATIOS], "newton")
+        ok = [t for t in extra if wolfe_ok(t)]
+        if ok:
+            return min(ok, key=lambda t: t.loss)
+
     def zoom(lo: Trial, hi: Trial) -> Trial:
         left, right = min(lo.alpha, hi.alpha), max(lo.alpha, hi.alpha)
-        ok = [t for t in extra if left < t.alpha < right and wolfe_ok(t)]
+        inside = [t for t in extra if left < t.alpha < right]
+        ok = [t for t in inside if wolfe_ok(t)]
         if ok:
             return min(ok, key=lambda t: t.loss)
         return _zoom(ev, w, d, f0, s0, lo, hi, c1, c2, max_zoom, with_hess)
 
+    bracket = evaluate([a1 * 2.0**k for k in range(max_bracket)], "bracket")
     prev = Trial(0.0, f0, s0, None)
-    i = 0
-    while i < max_bracket:
-        if i == len(bracket):  # the guess fell short: the rest of the sequence in one more pass
-            bracket += evaluate(sequence[i:], [])
-        t = bracket[i]
-        i += 1
+    for i, t in enumerate(bracket, 1):
         if (
             not _finite(t.loss, t.slope)
             or t.loss > f0 + c1 * t.alpha * s0 + noise
@@ -222,10 +209,12 @@ def fit_cg(
     max_bracket: int = MAX_BRACKET,
     max_zoom: int = MAX_ZOOM,
     max_terms: int = MAX_TERMS,
+    newton_steps: bool = True,
     solver: str = "auto",
     storage: str = "memory_and_disk",
     method: str = "cg",
 ) -> FitResult:
+    """Fit by nonlinear CG.  ``newton_steps=False`` keeps the plain bracketing + zoom search."""
     t0 = time.perf_counter()
     w = np.zeros(design.dim) if init is None else np.array(init, dtype=float)  # copy: input untouched
     lossf = get_loss(loss)
@@ -245,7 +234,9 @@ def fit_cg(
             if mode == "exact":
                 _run_exact(ev, res, w, max_iter, step_tol, grad_tol)
             else:
-                _run_wolfe(ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, max_terms)
+                _run_wolfe(
+                    ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, max_terms, newton_steps
+                )
         except EmptyDesign:
             res.stop_reason = "empty"
         res.n_rows = (ev.n if ev is not None else None) or 0
@@ -253,8 +244,8 @@ def fit_cg(
     return res
 
 
-def _run_wolfe(ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, max_terms) -> None:
-    with_hess = ev.design.dim <= MAX_HESS_DIM
+def _run_wolfe(ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, max_terms, newton_steps) -> None:
+    with_hess = newton_steps and ev.design.dim <= MAX_HESS_DIM
     if with_hess:
         f, g, hess = ev.value_gradient_hessian(w)
     else:

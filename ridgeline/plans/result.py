@@ -47,6 +47,7 @@ REPORT_SCHEMA = T.StructType(
         T.StructField("gradient_passes", T.IntegerType(), False),
         T.StructField("bracket_passes", T.IntegerType(), False),
         T.StructField("zoom_passes", T.IntegerType(), False),
+        T.StructField("newton_passes", T.IntegerType(), False),
         T.StructField("exact_passes", T.IntegerType(), False),
         T.StructField("gram_passes", T.IntegerType(), False),
         T.StructField("restarts", T.IntegerType(), False),
@@ -123,6 +124,7 @@ class FitResult:
             int(p["gradient"]),
             int(p["bracket"]),
             int(p["zoom"]),
+            int(p["newton"]),
             int(p["exact"]),
             int(p["gram"]),
             int(self.restarts),

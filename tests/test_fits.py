@@ -68,6 +68,21 @@ def test_cg_logistic_known_answer(log_sig):
     assert r.total_passes < 40
 
 
+@pytest.mark.parametrize("reg,want", [(0.0, [4.9322744573, -2.2899554046]), (0.1, [0.6164299455, -0.1175961781])])
+def test_plain_bracket_and_zoom_search(log_sig, reg, want):
+    r = rl.fit_logistic(log_sig, reg_param=reg, newton_steps=False)
+    np.testing.assert_allclose(r.weights, want, atol=1e-6)
+    assert r.passes["bracket"] > 0 and r.passes["newton"] == 0
+
+
+def test_newton_candidates_save_passes(log_sig):
+    fast = rl.fit_logistic(log_sig)
+    plain = rl.fit_logistic(log_sig, newton_steps=False)
+    assert fast.passes["newton"] > 0
+    assert fast.total_passes < plain.total_passes
+    np.testing.assert_allclose(fast.weights, plain.weights, atol=1e-6)
+
+
 def test_cg_logistic_ridge(log_sig):
     r = rl.fit_logistic(log_sig, reg_param=0.1)
     np.testing.assert_allclose(r.weights, [0.6164299455, -0.1175961781], atol=1e-6)
@@ -168,7 +183,10 @@ def test_report_and_weights_frames(spark, log_sig):
     r = rl.fit_logistic(log_sig)
     rep = r.report_df(spark).first()
     assert rep.method == "cg_logistic" and rep.iterations == r.iterations and rep.passes == r.total_passes
-    assert rep.passes == rep.gradient_passes + rep.bracket_passes + rep.zoom_passes + rep.exact_passes + rep.gram_passes
+    assert rep.passes == (
+        rep.gradient_passes + rep.bracket_passes + rep.zoom_passes + rep.newton_passes + rep.exact_passes
+        + rep.gram_passes
+    )
     w = r.weights_df(spark).orderBy("feature_index").collect()
     assert [x.feature for x in w] == ["qty", "bias"]
 
