@@ -29,7 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.losses import get_loss
-from ridgeline.sources.design import Design, sql_double
+from ridgeline.sources.design import Design, sql_double, sql_name
+
+VECTOR_MIN_DIM = 94  # wider array designs use the vector form (one d-length aggregate buffer)
 
 
 class EmptyDesign(ValueError):
@@ -87,30 +89,80 @@ class Evaluator:
     reg_param: float = 0.0
     passes: Counter = field(default_factory=Counter)
     n: int | None = None
+    form: str = "auto"
 
     def __post_init__(self):
         self.loss = get_loss(self.loss)
+        if self.form == "auto":
+            wide = self.design.array_col is not None and self.design.stored_dim > VECTOR_MIN_DIM
+            self.form = "vector" if wide else "elements"
+        if self.form == "vector" and self.design.array_col is None:
+            raise ValueError("the vector form needs an array design")
+
+    @property
+    def vector(self) -> bool:
+        return self.form == "vector"
 
     # ---------------------------------------------------------------- utils
-    def _run(self, proj: list[str], aggs: list[str], kind: str) -> list[float]:
-        """Run ``SELECT count(*), sum(...)... FROM (SELECT proj FROM design)``; return the means."""
-        row = self.design.df.selectExpr(*proj).selectExpr("count(_z)", *aggs).collect()[0]
+    def _run(self, proj: list[str], aggs: list[str], kind: str, vec_aggs: Sequence[str] = ()):
+        """``SELECT count(z), sum(...)... FROM (SELECT proj FROM design)``; return the means.
+
+        Scalar aggregates are SQL sums; with ``vec_aggs`` (vector form) each entry is
+        an array expression summed element-wise by ``Summarizer`` (one d-length
+        buffer per partition).  Returns the scalar means, or ``(scalars, vectors)``.
+        """
+        base = self.design.df.selectExpr(*proj)
+        if vec_aggs:
+            from pyspark.ml.functions import array_to_vector
+            from pyspark.ml.stat import Summarizer
+
+            cols = [F.expr("count(_z)")] + [F.expr(a) for a in aggs]
+            cols += [Summarizer.sum(array_to_vector(F.expr(v))) for v in vec_aggs]
+            row = base.agg(*cols).collect()[0]
+        else:
+            row = base.selectExpr("count(_z)", *aggs).collect()[0]
         self.passes[kind] += 1
         n = row[0]
         if not n:
             raise EmptyDesign("the design has no rows")
         self.n = int(n)
-        return [_f(v) / n for v in row[1:]]
+        scalars = [_f(v) / n for v in row[1 : 1 + len(aggs)]]
+        if not vec_aggs:
+            return scalars
+        return scalars, [np.asarray(v.toArray(), dtype=float) / n for v in row[1 + len(aggs) :]]
 
     def _proj(self, w, d=None, with_x: bool = False) -> list[str]:
         ds = self.design
-        out = [f"{ds.dot_sql(w)} AS _z", f"{ds.y_sql()} AS _y"]
+        dot = ds.dot_vector_sql if self.vector else ds.dot_sql
+        out = [f"{dot(w)} AS _z", f"{ds.y_sql()} AS _y"]
         if d is not None:
-            out.append(f"{ds.dot_sql(d)} AS _p")
+            out.append(f"{dot(d)} AS _p")
         if with_x:
-            out += [f"{ds.x_sql(j)} AS _x{j}" for j in range(ds.dim)]
+            if self.vector:
+                out.append(f"{sql_name(ds.array_col)} AS _f")
+            else:
+                out += [f"{ds.x_sql(j)} AS _x{j}" for j in range(ds.dim)]
         return out
 
+    def _grad_aggs(self, s: str, aggs: list[str], vecs: list[str]):
+        """Register the gradient terms of slope expression ``s``; return a reader for the result."""
+        ds = self.design
+        if not self.vector:
+            first = len(aggs)
+            aggs += [f"sum({s} * _x{j})" for j in range(ds.dim)]
+            return lambda sc, vc: np.array(sc[first : first + ds.dim])
+        vecs.append(f"transform(_f, v -> v * ({s}))")
+        vi = len(vecs) - 1
+        bi = None
+        if ds.bias:
+            aggs.append(f"sum({s})")
+            bi = len(aggs) - 1
+        return lambda sc, vc: np.concatenate([vc[vi], [sc[bi]]]) if bi is not None else vc[vi]
+
+    def _collect(self, proj, aggs, vecs, kind):
+        out = self._run(proj, aggs, kind, vecs)
+        return out if vecs else (out, [])
+
     def ridge_value(self, w: np.ndarray) -> float:
         return 0.5 * self.reg_param * float(w @ w) if self.reg_param else 0.0
 
@@ -118,12 +170,12 @@ class Evaluator:
     def value_and_gradient(self, w: Sequence[float], kind: str = "gradient") -> tuple[float, np.ndarray]:
         """Fused A1+A2+A3: row count, mean loss and mean gradient at ``w`` in one pass."""
         w = np.asarray(w, dtype=float)
-        dim = self.design.dim
         term, slope = self.loss.term_sql("_z", "_y"), self.loss.slope_sql("_z", "_y")
-        aggs = [f"sum({term})"] + [f"sum({slope} * _x{j})" for j in range(dim)]
-        out = self._run(self._proj(w, with_x=True), aggs, kind)
-        f = out[0] + self.ridge_value(w)
-        g = np.array(out[1:]) + self.reg_param * w
+        aggs, vecs = [f"sum({term})"], []
+        grad = self._grad_aggs(slope, aggs, vecs)
+        sc, vc = self._collect(self._proj(w, with_x=True), aggs, vecs, kind)
+        f = sc[0] + self.ridge_value(w)
+        g = grad(sc, vc) + self.reg_param * w
         return f, g
 
     def _hess_terms(self, c: str) -> list[str]:
@@ -141,6 +193,8 @@ class Evaluator:
 
     def value_gradient_hessian(self, w: Sequence[float], kind: str = "gradient"):
         """Loss, gradient and Hessian ``avg(l''(z) x x^T)`` at ``w`` in one pass (small d)."""
+        if self.vector:
+            raise ValueError("the Hessian is only formed for small, element-wise designs")
         w = np.asarray(w, dtype=float)
         dim = self.design.dim
         term, slope = self.loss.term_sql("_z", "_y"), self.loss.slope_sql("_z", "_y")
@@ -171,30 +225,31 @@ class Evaluator:
         dim = self.design.dim
         mask = [k < grad_for for k in range(len(alphas))] if isinstance(grad_for, int) else list(grad_for)
         hmask = list(hess_for) if hess_for is not None else [False] * len(alphas)
+        if self.vector:
+            hmask = [False] * len(alphas)
         nh = dim * (dim + 1) // 2
         aggs: list[str] = []
+        vecs: list[str] = []
+        slots = []
         for k, a in enumerate(alphas):
             m = f"(_z + {sql_double(a)} * _p)"
             s = self.loss.slope_sql(m, "_y")
+            fi = len(aggs)
             aggs += [f"sum({self.loss.term_sql(m, '_y')})", f"sum({s} * _p)"]
-            if mask[k]:
-                aggs += [f"sum({s} * _x{j})" for j in range(dim)]
+            grad = self._grad_aggs(s, aggs, vecs) if mask[k] else None
+            hi = None
             if hmask[k]:
+                hi = len(aggs)
                 aggs += self._hess_terms(self.loss.curvature_sql(m, "_y"))
-        out = self._run(self._proj(w, d, with_x=any(mask) or any(hmask)), aggs, kind)
-        trials, pos = [], 0
-        for k, a in enumerate(alphas):
+            slots.append((fi, grad, hi))
+        sc, vc = self._collect(self._proj(w, d, with_x=any(mask) or any(hmask)), aggs, vecs, kind)
+        trials = []
+        for a, (fi, grad, hi) in zip(alphas, slots):
             wa = w + a * d
-            f = out[pos] + self.ridge_value(wa)
-            s = out[pos + 1] + (self.reg_param * float(d @ wa) if self.reg_param else 0.0)
-            pos += 2
-            g = h = None
-            if mask[k]:
-                g = np.array(out[pos : pos + dim]) + self.reg_param * wa
-                pos += dim
-            if hmask[k]:
-                h = self._hess(out[pos : pos + nh])
-                pos += nh
+            f = sc[fi] + self.ridge_value(wa)
+            s = sc[fi + 1] + (self.reg_param * float(d @ wa) if self.reg_param else 0.0)
+            g = grad(sc, vc) + self.reg_param * wa if grad is not None else None
+            h = self._hess(sc[hi : hi + nh]) if hi is not None else None
             trials.append(Trial(float(a), f, s, g, h))
         return trials
 
@@ -206,16 +261,13 @@ class Evaluator:
         """
         w = np.asarray(w, dtype=float)
         d = np.asarray(d, dtype=float)
-        dim = self.design.dim
         term, slope = self.loss.term_sql("_z", "_y"), self.loss.slope_sql("_z", "_y")
-        aggs = [f"sum({term})"]
-        aggs += [f"sum({slope} * _x{j})" for j in range(dim)]
-        aggs += [f"sum(_p * _x{j})" for j in range(dim)]
-        out = self._run(self._proj(w, d, with_x=True), aggs, kind)
-        f = out[0] + self.ridge_value(w)
-        g = np.array(out[1 : 1 + dim]) + self.reg_param * w
-        q = np.array(out[1 + dim :]) + self.reg_param * d
-        return f, g, q
+        aggs, vecs = [f"sum({term})"], []
+        grad = self._grad_aggs(slope, aggs, vecs)
+        qv = self._grad_aggs("_p", aggs, vecs)
+        sc, vc = self._collect(self._proj(w, d, with_x=True), aggs, vecs, kind)
+        f = sc[0] + self.ridge_value(w)
+        return f, grad(sc, vc) + self.reg_param * w, qv(sc, vc) + self.reg_param * d
 
 
 class GramEvaluator:

@@ -151,7 +151,10 @@ def strong_wolfe(
 
     def evaluate(alphas: list[float], kind: str) -> list[Trial]:
         """One pass over trial steps; gradients (and Hessians) for as many as the budget allows."""
-        room = max(1, (max_terms - 1 - 2 * len(alphas)) // per)
+        if getattr(ev, "vector", False):
+            room = min(3, len(alphas))  # each gradient is one d-length Summarizer buffer per partition
+        else:
+            room = max(1, (max_terms - 1 - 2 * len(alphas)) // per)
         mask = [k < room for k in range(len(alphas))]
         return ev.probe(w, d, alphas, grad_for=mask, kind=kind, hess_for=mask if with_hess else None)
 

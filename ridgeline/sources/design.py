@@ -94,6 +94,22 @@ class Design:
             return "0.0D"
         return "(" + " + ".join(f"{sql_double(vj)} * {self.x_sql(j)}" for j, vj in enumerate(v)) + ")"
 
+    def dot_vector_sql(self, v: Sequence[float]) -> str:
+        """Wide array form: the same dot product as ONE higher-order expression (text O(d), plan O(1)).
+
+        ``aggregate(zip_with(features, array(w...), *), 0, +)`` plus the bias term.
+        """
+        if len(v) != self.dim or self.array_col is None:
+            raise ValueError("dot_vector_sql needs an array design and a full-length vector")
+        ws = ", ".join(sql_double(x) for x in v[: self.stored_dim])
+        out = (
+            f"aggregate(zip_with({sql_name(self.array_col)}, array({ws}), (a, b) -> a * b), 0.0D, "
+            f"(acc, t) -> acc + t)"
+        )
+        if self.bias:
+            out = f"({out} + {sql_double(v[-1])})"
+        return out
+
     def dot(self, v: Sequence[float]) -> Column:
         """``sum_j v_j * x_j`` as one arithmetic expression (JVM side, codegen'd).
 

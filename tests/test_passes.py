@@ -131,3 +131,30 @@ def test_pass_plan_is_one_pruned_scan_and_a_keyless_aggregate(spark, lineitem01)
     assert "hashpartitioning" not in plan.lower()
     assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_discount:double>" in plan
     assert "*(1) HashAggregate" in plan  # partial aggregate inside whole-stage codegen
+
+
+def test_vector_form_equals_element_form(spark):
+    ds = embedding_design(spark, SF01)
+    w, d = np.linspace(-0.1, 0.1, 65), np.linspace(0.05, -0.05, 65)
+    e = rl.Evaluator(ds, "logistic", 0.1, form="elements")
+    v = rl.Evaluator(ds, "logistic", 0.1, form="vector")
+    (fe, ge), (fv, gv) = e.value_and_gradient(w), v.value_and_gradient(w)
+    assert fv == pytest.approx(fe, rel=1e-13)
+    np.testing.assert_allclose(gv, ge, rtol=1e-11, atol=1e-15)
+    for a, b in zip(e.probe(w, d, [0.5, 2.0], grad_for=2), v.probe(w, d, [0.5, 2.0], grad_for=2)):
+        assert b.loss == pytest.approx(a.loss, rel=1e-13) and b.slope == pytest.approx(a.slope, rel=1e-11)
+        np.testing.assert_allclose(b.grad, a.grad, rtol=1e-11, atol=1e-15)
+    for a, b in zip(e.curvature(w, d), v.curvature(w, d)):
+        np.testing.assert_allclose(np.atleast_1d(b), np.atleast_1d(a), rtol=1e-11, atol=1e-15)
+
+
+def test_wide_array_design_uses_vector_form_and_fits(spark):
+    emb = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    wide = rl.array_points(emb, rl.binarize_label("label"), F.concat(*["embedding"] * 3), 192, bias=True)
+    assert rl.Evaluator(wide, "logistic").form == "vector"
+    r = rl.fit_logistic(wide, reg_param=0.1)
+    assert r.stop_reason in ("gradient", "step") and np.all(np.isfinite(r.weights))
+    copies = r.weights[:-1].reshape(3, 64)
+    np.testing.assert_allclose(copies, np.broadcast_to(copies[0], copies.shape), atol=1e-9)  # symmetric copies
+    with pytest.raises(ValueError):
+        rl.Evaluator(LIN3.design(emb.sparkSession.read.parquet(f"{SF01}/lineitem.parquet")), form="vector")
