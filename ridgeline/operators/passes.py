@@ -377,16 +377,22 @@ def loss_table(design: Design, w: Sequence[float], loss="squared", reg_param: fl
     return one.select(F.col("_n").alias("n"), (_mean("_s") + F.lit(rv)).alias("loss"))
 
 
-def gradient_table(design: Design, w: Sequence[float], loss="squared", reg_param: float = 0.0) -> DataFrame:
+def gradient_table(
+    design: Design, w: Sequence[float], loss="squared", reg_param: float = 0.0, form: str = "auto"
+) -> DataFrame:
     """Rows ``(feature_index, feature, gradient)``: the mean gradient at ``w`` (A2).
 
     One pass: the margin is projected once per row, each gradient entry is its
     own ``sum`` (placed by index, never by arrival order), and ``stack`` turns
-    the single result row into one row per feature.
+    the single result row into one row per feature.  Wide array designs (or
+    ``form="vector"``) sum ``slope * features`` as one vector with ``Summarizer``
+    and explode it by position.
     """
     loss = get_loss(loss)
     w = np.asarray(w, dtype=float)
     _, rg = _ridge_lits(reg_param, w)
+    if Evaluator(design, loss, form=form).vector:
+        return _gradient_table_vector(design, w, loss, rg)
     proj = [f"{design.dot_sql(w)} AS _z", f"{design.y_sql()} AS _y"]
     proj += [f"{design.x_sql(j)} AS _x{j}" for j in range(design.dim)]
     s = loss.slope_sql("_z", "_y")
@@ -399,6 +405,29 @@ def gradient_table(design: Design, w: Sequence[float], loss="squared", reg_param
     return one.selectExpr(f"stack({design.dim}, {cells}) AS (feature_index, feature, gradient)")
 
 
+def _gradient_table_vector(design: Design, w: np.ndarray, loss, rg: np.ndarray) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    base = design.df.selectExpr(
+        f"{design.dot_vector_sql(w)} AS _z", f"{design.y_sql()} AS _y", f"{sql_name(design.array_col)} AS _f"
+    )
+    s = loss.slope_sql("_z", "_y")
+    one = base.agg(
+        F.expr(f"count({s})").alias("_n"),
+        Summarizer.sum(array_to_vector(F.expr(f"transform(_f, v -> v * ({s}))"))).alias("_g"),
+        F.expr(f"sum({s})").alias("_b"),
+    )
+    parts = [vector_to_array(F.col("_g"))] + ([F.array(F.col("_b"))] if design.bias else [])
+    names = F.array(*[F.lit(n) for n in design.features]) if design.dim <= 256 else None
+    rows = one.select("_n", F.posexplode(F.concat(*parts)).alias("feature_index", "_sum"))
+    ridge = F.expr(f"element_at(array({', '.join(sql_double(v) for v in rg)}), feature_index + 1)")
+    feature = names[F.col("feature_index")] if names is not None else F.concat(F.lit("x"), F.col("feature_index"))
+    return rows.select(
+        "feature_index", feature.alias("feature"), (_mean("_sum") + ridge).alias("gradient")
+    )
+
+
 def directional_derivative_table(
     design: Design, w: Sequence[float], d: Sequence[float], alphas: Sequence[float], loss="squared", reg_param: float = 0.0
 ) -> DataFrame:

@@ -183,6 +183,10 @@ def o_gradient_array_form() -> str:
     return f"{per} UNION ALL {bias}"
 
 
+def o_gradient_vector_form() -> str:
+    return o_gradient_array_form()
+
+
 def _alphas(values) -> str:
     return "(VALUES " + ", ".join(f"({lit(a)})" for a in values) + ") a(alpha)"
 

@@ -218,6 +218,12 @@ def q_gradient_array_form(spark, sf_dir):
     return _grad_rows(gradient_table(ds, emb_weights(), "logistic"))
 
 
+def q_gradient_vector_form(spark, sf_dir):
+    """The same gradient as ``gradient_array_form`` through the wide-design path (one vector sum)."""
+    ds = embedding_design(spark, sf_dir)
+    return _grad_rows(gradient_table(ds, emb_weights(), "logistic", form="vector"))
+
+
 def q_directional_derivative(spark, sf_dir):
     t = directional_derivative_table(lineitem_design(spark, sf_dir, LIN3), W_LIN, D_LIN, ALPHAS_LIN, "squared")
     return t.select("alpha", rnd("slope", 9).alias("slope"))
@@ -318,6 +324,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gradient_ls": q_gradient_ls,
     "gradient_logistic": q_gradient_logistic,
     "gradient_array_form": q_gradient_array_form,
+    "gradient_vector_form": q_gradient_vector_form,
     "directional_derivative": q_directional_derivative,
     "line_search_profile": q_line_search_profile,
     "mse": q_mse,
