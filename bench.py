@@ -27,6 +27,8 @@ def main() -> None:
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="ridgeline-bench")
     spark.sparkContext.setLogLevel("ERROR")
 
+    from pyspark.sql import functions as F
+
     import ridgeline as rl
     from ridgeline.workload import queries as Q
     from ridgeline.workload.fixtures import (
@@ -41,6 +43,12 @@ def main() -> None:
     def lin(fx):
         return lineitem_design(spark, sf_dir, fx)
 
+    def emb4_columns():
+        arr = embedding_design(spark, sf_dir, width=4, keep=("embedding",))
+        return rl.labeled_points(
+            arr.df, "label", {f"e{j}": F.col("embedding")[j] for j in range(4)}, bias=True
+        )
+
     fits = {
         # default paths: least squares by Gram moments (1 pass), logistic CG with Newton-step trials
         "cg_linear": lambda: rl.fit_linear(lin(LIN_NET)),
@@ -59,6 +67,10 @@ def main() -> None:
         "cg_linear_wolfe": lambda: rl.fit_linear(lin(LIN_NET), solver="passes", line_search="wolfe"),
         "gd_passes": lambda: rl.fit_gd(lin(LIN3), step_size=Q.GD_STEP, max_iter=Q.GD_MAX, tol=Q.GD_TOL, solver="passes"),
         "cg_logistic_plain_search": lambda: rl.fit_logistic(lin(LOG_SIG), newton_steps=False),
+        "cg_logistic_sequential_search": lambda: rl.fit_logistic(lin(LOG_SIG), newton_steps=False, batched=False),
+        # form A (columns) vs form B (array) on the same 4 embedding entries + bias
+        "cg_emb4_columns": lambda: rl.fit_logistic(emb4_columns(), reg_param=Q.RIDGE),
+        "cg_emb4_array": lambda: rl.fit_logistic(embedding_design(spark, sf_dir, width=4), reg_param=Q.RIDGE),
     }
     pipelines = {
         "linear_pipeline_mse": Q.q_linear_pipeline_mse,

@@ -125,6 +125,7 @@ def strong_wolfe(
     max_terms: int = MAX_TERMS,
     newton: float | None = None,
     with_hess: bool = False,
+    batched: bool = True,
 ) -> Trial:
     """Step length along descent direction ``d`` (``s0 = phi'(0) < 0``) meeting strong Wolfe.
 
@@ -181,8 +182,13 @@ def strong_wolfe(
             return min(ok, key=lambda t: t.loss)
         return _zoom(ev, w, d, f0, s0, lo, hi, c1, c2, max_zoom, with_hess)
 
-    bracket = evaluate([a1 * 2.0**k for k in range(max_bracket)], "bracket")
+    sequence = [a1 * 2.0**k for k in range(max_bracket)]
+    if batched:
+        bracket = evaluate(sequence, "bracket")
+    else:  # one trial step per pass, as a sequential search does (for comparison)
+        bracket = (evaluate([a], "bracket")[0] for a in sequence)
     prev = Trial(0.0, f0, s0, None)
+    t = prev
     for i, t in enumerate(bracket, 1):
         if (
             not _finite(t.loss, t.slope)
@@ -195,7 +201,7 @@ def strong_wolfe(
         if t.slope >= 0:
             return zoom(t, prev)
         prev = t
-    return bracket[-1]
+    return t
 
 
 def fit_cg(
@@ -213,11 +219,16 @@ def fit_cg(
     max_zoom: int = MAX_ZOOM,
     max_terms: int = MAX_TERMS,
     newton_steps: bool = True,
+    batched: bool = True,
     solver: str = "auto",
     storage: str = "memory_and_disk",
     method: str = "cg",
 ) -> FitResult:
-    """Fit by nonlinear CG.  ``newton_steps=False`` keeps the plain bracketing + zoom search."""
+    """Fit by nonlinear CG.
+
+    ``newton_steps=False`` keeps the plain bracketing + zoom search; ``batched=False``
+    also evaluates the bracketing steps one pass each (a sequential search, for comparison).
+    """
     t0 = time.perf_counter()
     w = np.zeros(design.dim) if init is None else np.array(init, dtype=float)  # copy: input untouched
     lossf = get_loss(loss)
@@ -238,7 +249,8 @@ def fit_cg(
                 _run_exact(ev, res, w, max_iter, step_tol, grad_tol)
             else:
                 _run_wolfe(
-                    ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, max_terms, newton_steps
+                    ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, max_terms, newton_steps,
+                    batched,
                 )
         except EmptyDesign:
             res.stop_reason = "empty"
@@ -247,7 +259,9 @@ def fit_cg(
     return res
 
 
-def _run_wolfe(ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, max_terms, newton_steps) -> None:
+def _run_wolfe(
+    ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, max_terms, newton_steps, batched
+) -> None:
     with_hess = newton_steps and ev.design.dim <= MAX_HESS_DIM
     if with_hess:
         f, g, hess = ev.value_gradient_hessian(w)
@@ -275,7 +289,9 @@ def _run_wolfe(ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, ma
         if hess is not None:
             dhd = float(d @ hess @ d)
             newton = -s0 / dhd if dhd > 0 else None
-        t = strong_wolfe(ev, w, d, f, s0, f_prev, c1, c2, max_bracket, max_zoom, max_terms, newton, with_hess)
+        t = strong_wolfe(
+            ev, w, d, f, s0, f_prev, c1, c2, max_bracket, max_zoom, max_terms, newton, with_hess, batched
+        )
         if not (_finite(t.alpha, t.loss) and t.alpha > 0):
             res.stop_reason = "line_search"
             break

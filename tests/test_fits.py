@@ -75,6 +75,13 @@ def test_plain_bracket_and_zoom_search(log_sig, reg, want):
     assert r.passes["bracket"] > 0 and r.passes["newton"] == 0
 
 
+def test_sequential_search_same_optimum_more_passes(log_sig):
+    seq = rl.fit_logistic(log_sig, newton_steps=False, batched=False)
+    bat = rl.fit_logistic(log_sig, newton_steps=False)
+    np.testing.assert_allclose(seq.weights, bat.weights, atol=1e-9)  # same decisions, same iterates
+    assert seq.iterations == bat.iterations and seq.total_passes > bat.total_passes
+
+
 def test_newton_candidates_save_passes(log_sig):
     fast = rl.fit_logistic(log_sig)
     plain = rl.fit_logistic(log_sig, newton_steps=False)
