@@ -158,3 +158,16 @@ def test_wide_array_design_uses_vector_form_and_fits(spark):
     np.testing.assert_allclose(copies, np.broadcast_to(copies[0], copies.shape), atol=1e-9)  # symmetric copies
     with pytest.raises(ValueError):
         rl.Evaluator(LIN3.design(emb.sparkSession.read.parquet(f"{SF01}/lineitem.parquet")), form="vector")
+
+
+def test_table_operators_include_ridge_like_the_evaluator(lineitem01):
+    ds = LOG2.design(lineitem01)
+    w, d, reg = np.array([0.3, -0.7]), np.array([-0.2, -0.3]), 0.25
+    ev = rl.Evaluator(ds, "logistic", reg_param=reg)
+    f, g = ev.value_and_gradient(w)
+    assert rl.loss_table(ds, w, "logistic", reg).first().loss == pytest.approx(f, rel=1e-12)
+    rows = rl.gradient_table(ds, w, "logistic", reg).orderBy("feature_index").collect()
+    np.testing.assert_allclose([r.gradient for r in rows], g, rtol=1e-11)
+    prof = rl.line_search_profile(ds, w, d, [0.5, 2.0], "logistic", reg).orderBy("alpha").collect()
+    for r, t in zip(prof, ev.probe(w, d, [0.5, 2.0])):
+        assert r.loss == pytest.approx(t.loss, rel=1e-12) and r.slope == pytest.approx(t.slope, rel=1e-10)

@@ -1,6 +1,7 @@
 """Sources and preparation: LibSVM round trip, label remap, bias, splits."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import ridgeline as rl
@@ -47,3 +48,18 @@ def test_design_filters_nulls_at_scan(lineitem01):
     ds = LIN3.design(lineitem01)
     plan = ds.df._jdf.queryExecution().executedPlan().toString()
     assert "isnotnull" in plan.lower() or "atleastnnonnulls" in plan.lower()
+
+
+def test_wide_libsvm_round_trip_uses_vector_form(spark):
+    emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    wide = rl.array_points(emb, rl.binarize_label("label"), F.concat("embedding", "embedding"), 128, bias=True)
+    path = scratch_path(spark, "libsvm-wide")
+    rl.write_libsvm(wide, path)
+    back = rl.libsvm_design(spark, path, num_features=128, bias=True)
+    ev = rl.Evaluator(back, "logistic")
+    assert ev.form == "vector"
+    w = np.linspace(-0.05, 0.05, 129)
+    f1, g1 = ev.value_and_gradient(w)
+    f2, g2 = rl.Evaluator(wide, "logistic", form="elements").value_and_gradient(w)
+    assert f1 == pytest.approx(f2, rel=1e-6)  # the float embedding is written and re-read as text
+    np.testing.assert_allclose(g1, g2, rtol=1e-5, atol=1e-9)
