@@ -208,3 +208,10 @@ def test_fit_restores_adaptive_setting(spark, log_sig):
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     rl.fit_logistic(log_sig, max_iter=2)
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_gd_takes_any_loss(log_sig):
+    r = rl.fit_gd(log_sig, loss="logistic", step_size=20.0, max_iter=15, tol=1e-6)
+    losses = [h[1] for h in r.history]
+    assert r.loss == "logistic" and r.passes["gradient"] == r.iterations == 15  # no Gram form for logistic
+    assert losses[-1] < losses[0] and np.all(np.isfinite(r.weights))
