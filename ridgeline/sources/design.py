@@ -150,8 +150,8 @@ def labeled_points(
 
     ``features`` is either a list of existing column names or an ordered mapping
     ``name -> expression``.  Rows with a NULL (or NaN) label or feature are
-    filtered out (the filter reaches the Parquet scan); otherwise a NULL would
-    silently drop the row from some averages and not from others.
+    filtered out right after the scan (in the same codegen span); otherwise a
+    NULL would silently drop the row from some averages and not from others.
     """
     if isinstance(features, Mapping):
         items = [(name, _col(e)) for name, e in features.items()]
