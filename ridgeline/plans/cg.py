@@ -52,8 +52,8 @@ ZOOM_TRIM = 0.1
 LOSS_NOISE = 1e-12  # relative size of rounding noise in a summed mean loss
 MAX_TERMS = 96  # aggregate terms per pass that still fit one whole-stage-codegen span
 RESTART_COS = 1e-3  # restart with -g when cos(angle(-g, d)) falls below this
-NEWTON_RATIOS = (0.8, 1.0, 1.25)  # extra trial steps around the Newton step along d
-MAX_HESS_DIM = 6  # carry the Hessian (d(d+1)/2 sums per trial) only for small d
+NEWTON_RATIOS = (1.0, 0.8, 1.25)  # trial steps around the Newton step along d (likeliest first)
+MAX_HESS_DIM = 12  # carry the Hessian (d(d+1)/2 sums per trial) while one trial's terms fit the codegen budget
 
 
 def _finite(*xs: float) -> bool:
