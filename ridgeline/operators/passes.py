@@ -81,7 +81,9 @@ class Evaluator:
     projection computing ``z = w.x`` (and ``p = d.x``) once per row, then a
     global aggregate of ``count`` and ``sum`` terms; means are taken on the
     driver.  Sums keep one buffer field per term, so up to ~100 terms stay
-    inside one whole-stage-codegen span.
+    inside one whole-stage-codegen span.  Arrays wider than ``VECTOR_MIN_DIM``
+    use the vector form: one higher-order dot product per row and one
+    ``Summarizer`` vector sum per gradient, so the plan does not grow with d.
     """
 
     design: Design
