@@ -215,3 +215,21 @@ def test_gd_takes_any_loss(log_sig):
     losses = [h[1] for h in r.history]
     assert r.loss == "logistic" and r.passes["gradient"] == r.iterations == 15  # no Gram form for logistic
     assert losses[-1] < losses[0] and np.all(np.isfinite(r.weights))
+
+
+def test_fit_survives_losing_the_cached_table(log_sig, monkeypatch):
+    """Cached blocks vanish mid-fit (as when executors are lost): passes recompute from lineage."""
+    ref = rl.fit_logistic(log_sig).weights
+    original = rl.Evaluator._run
+    calls = {"n": 0}
+
+    def run(self, *args, **kwargs):
+        calls["n"] += 1
+        if calls["n"] == 3:
+            self.design.df.unpersist(blocking=True)
+        return original(self, *args, **kwargs)
+
+    monkeypatch.setattr(rl.Evaluator, "_run", run)
+    got = rl.fit_logistic(log_sig).weights
+    assert calls["n"] > 3
+    np.testing.assert_allclose(got, ref, atol=1e-9)
