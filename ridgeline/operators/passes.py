@@ -360,10 +360,6 @@ def _mean(total: str) -> Column:
     return F.try_divide(F.col(total), F.col("_n"))
 
 
-def _named_rows(one_row: DataFrame, structs: list[Column]) -> DataFrame:
-    return one_row.select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")
-
-
 def _ridge_lits(reg_param: float, w: np.ndarray) -> tuple[float, np.ndarray]:
     return 0.5 * reg_param * float(w @ w), reg_param * w
 

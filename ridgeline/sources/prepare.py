@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.sources.design import Design
-
 
 def binarize_label(label: Column | str, negative: float = 2.0) -> Column:
     """``label == negative -> 0.0``, any other value -> ``1.0``; NULL stays NULL."""
@@ -41,7 +37,3 @@ def key_split(df: DataFrame, key: Column, parts: int = 5, test_part: int = 0) ->
 def random_split(df: DataFrame, weights=(0.8, 0.2), seed: int = 11) -> list[DataFrame]:
     """Spark's seeded random split (Bernoulli per row after a per-partition sort)."""
     return df.randomSplit(list(weights), seed=seed)
-
-
-def split_design(design: Design, train: DataFrame, test: DataFrame) -> tuple[Design, Design]:
-    return replace(design, df=train), replace(design, df=test)
