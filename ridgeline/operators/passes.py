@@ -334,22 +334,35 @@ class GramEvaluator:
         return self._f(w), self._g(w), self.A @ d + self.reg_param * d
 
 
+def resolve_solver(design: Design, loss="squared", solver: str = "auto", max_terms: int = 96) -> str:
+    """``"gram"`` or ``"passes"``: ``"auto"`` picks the Gram form for the squared loss when
+    its moment pass stays within ``max_terms`` sums (d <= 12 with the default)."""
+    if solver == "auto":
+        squared = get_loss(loss).name == "squared"
+        return "gram" if squared and GramEvaluator.worthwhile(design.dim, max_terms) else "passes"
+    if solver not in ("gram", "passes"):
+        raise ValueError(f"unknown solver {solver!r}")
+    return solver
+
+
+def default_storage(solver: str, storage: str | None) -> str:
+    """A Gram fit reads the data exactly once: nothing to keep, so scan the pruned source.
+
+    Iterative fits keep the prepared table (``memory_and_disk``).  An explicit choice wins.
+    """
+    if storage is not None:
+        return storage
+    return "none" if solver == "gram" else "memory_and_disk"
+
+
 def evaluator(
     design: Design, loss="squared", reg_param: float = 0.0, solver: str = "auto", max_terms: int = 96,
     passes: Counter | None = None,
 ):
-    """The evaluator a fit uses: ``"passes"`` (one aggregate per evaluation) or ``"gram"``.
-
-    ``"auto"`` picks the Gram form for the squared loss when its moment pass
-    stays within ``max_terms`` sums (d <= 12 with the default), else passes.
-    """
+    """The evaluator a fit uses: ``"passes"`` (one aggregate per evaluation) or ``"gram"``."""
     ev = Evaluator(design, loss, reg_param, passes if passes is not None else Counter())
-    if solver == "auto":
-        solver = "gram" if ev.loss.name == "squared" and GramEvaluator.worthwhile(design.dim, max_terms) else "passes"
-    if solver == "gram":
+    if resolve_solver(design, ev.loss, solver, max_terms) == "gram":
         return GramEvaluator(ev)
-    if solver != "passes":
-        raise ValueError(f"unknown solver {solver!r}")
     return ev
 
 

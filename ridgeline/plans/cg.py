@@ -38,7 +38,15 @@ from collections.abc import Sequence
 import numpy as np
 
 from ridgeline.functions.losses import get_loss
-from ridgeline.operators.passes import EmptyDesign, Evaluator, Trial, evaluator, pass_settings
+from ridgeline.operators.passes import (
+    EmptyDesign,
+    Evaluator,
+    Trial,
+    default_storage,
+    evaluator,
+    pass_settings,
+    resolve_solver,
+)
 from ridgeline.plans.result import FitResult
 from ridgeline.sources.design import Design, materialized
 
@@ -221,7 +229,7 @@ def fit_cg(
     newton_steps: bool = True,
     batched: bool = True,
     solver: str = "auto",
-    storage: str = "memory_and_disk",
+    storage: str | None = None,
     method: str = "cg",
 ) -> FitResult:
     """Fit by nonlinear CG.
@@ -242,7 +250,8 @@ def fit_cg(
     passes: Counter = Counter()
     res = FitResult(method, lossf.name, design.features, w, reg_param=reg_param, passes=passes)
     ev = None
-    with materialized(design, storage) as ds, pass_settings(ds.df.sparkSession):
+    solver = resolve_solver(design, lossf, solver, max_terms)
+    with materialized(design, default_storage(solver, storage)) as ds, pass_settings(ds.df.sparkSession):
         try:
             ev = evaluator(ds, lossf, reg_param, solver, max_terms, passes)
             if mode == "exact":

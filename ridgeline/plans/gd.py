@@ -16,7 +16,7 @@ from collections.abc import Sequence
 import numpy as np
 
 from ridgeline.functions.losses import get_loss
-from ridgeline.operators.passes import EmptyDesign, evaluator, pass_settings
+from ridgeline.operators.passes import EmptyDesign, default_storage, evaluator, pass_settings, resolve_solver
 from ridgeline.plans.result import FitResult
 from ridgeline.sources.design import Design, materialized
 
@@ -31,7 +31,7 @@ def fit_gd(
     reg_param: float = 0.0,
     check_from: int = 1,
     solver: str = "auto",
-    storage: str = "memory_and_disk",
+    storage: str | None = None,
     method: str = "gd",
 ) -> FitResult:
     t0 = time.perf_counter()
@@ -39,7 +39,8 @@ def fit_gd(
     passes: Counter = Counter()
     res = FitResult(method, get_loss(loss).name, design.features, w, reg_param=reg_param, passes=passes)
     ev = None
-    with materialized(design, storage) as ds, pass_settings(ds.df.sparkSession):
+    solver = resolve_solver(design, loss, solver)
+    with materialized(design, default_storage(solver, storage)) as ds, pass_settings(ds.df.sparkSession):
         try:
             ev = evaluator(ds, loss, reg_param, solver, passes=passes)
             for i in range(1, max_iter + 1):

@@ -233,3 +233,18 @@ def test_fit_survives_losing_the_cached_table(log_sig, monkeypatch):
     got = rl.fit_logistic(log_sig).weights
     assert calls["n"] > 3
     np.testing.assert_allclose(got, ref, atol=1e-9)
+
+
+def test_single_pass_gram_fit_keeps_nothing(lin3, monkeypatch):
+    """A Gram fit reads the data once: it scans the pruned source and never persists."""
+    from pyspark.sql import DataFrame
+
+    def no_persist(self, *args, **kwargs):
+        raise AssertionError("a single-pass fit should not cache the table")
+
+    monkeypatch.setattr(DataFrame, "persist", no_persist)
+    r = rl.fit_linear(lin3)
+    assert r.passes["gram"] == 1 and r.total_passes == 1
+    np.testing.assert_allclose(r.weights, LS_LIN3, atol=5e-8)
+    g = rl.fit_gd(lin3, step_size=1.0, max_iter=1000, tol=1e-3)
+    assert g.iterations == 61 and g.total_passes == 1
