@@ -1,13 +1,14 @@
 """Session helpers: a local session for tests/bench and the shared scratch folder.
 
 On a cluster the session is created by the caller; the library only reads
-``spark.checkpoint.dir`` from it.  A folder is invented (under the system temp
-directory) only when that setting is missing, which is the case in local tests.
+``spark.checkpoint.dir`` from it and refuses to invent a folder there.  A single
+``local[...]`` JVM (tests, bench) may run without the setting.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -34,17 +35,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) is a fresh temp folder set.
+    Without one, a single-JVM ``local[...]`` session gets a folder of its own; any
+    other master raises, since a machine-local folder would lose files there.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    path = sc.getConf().get("spark.checkpoint.dir", None)
+    path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="ridgeline-ckpt-")
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = os.path.join(tempfile.gettempdir(), f"ridgeline-{sc.applicationId}")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
