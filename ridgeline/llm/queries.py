@@ -9,8 +9,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ridgeline.llm import ann, bpe, fingerprint, mixing, sharding, token_counts
-from ridgeline.llm.common import table
+from ridgeline.llm import ann, bpe, fingerprint, jaccard, language_model, mixing, quality, sharding, token_counts, toxicity
+from ridgeline.llm.common import learns, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,10 +33,30 @@ def op2_shuffle_shards(spark, sf_dir):
     )
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_fingerprints(spark, sf_dir):
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    rows = toxicity.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    score = F.col("toxicity")
+    return rows.select("doc_id", (~learns("doc_id", 0)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_quality(spark, sf_dir):
+    """Score (0 to 1, higher: better) and decision of every document."""
+    rows = quality.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.col("quality").alias("score"), (F.col("quality") >= 0.5).alias("keep"))
+
+
+def op7_language_model(spark, sf_dir):
+    return language_model.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_nearest(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -50,7 +70,13 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode, op2_shuffle_shards, op4_fingerprints, op8_nearest, op9_token_counts, op10_mix_sources)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe_encode, op2_shuffle_shards, op3_jaccard_join, op4_fingerprints, op5_toxicity,
+        op6_quality, op7_language_model, op8_nearest, op9_token_counts, op10_mix_sources,
+    )
+}
 
 ORACLE_SQL = {
     "op10_mix_sources": r"""
