@@ -17,7 +17,7 @@ from ridgeline.plans.cg import fit_cg, strong_wolfe
 from ridgeline.plans.gd import fit_gd
 from ridgeline.plans.presets import fit_gd_stock, fit_linear, fit_linear_gd, fit_logistic
 from ridgeline.plans.result import FitResult, LinearModel
-from ridgeline.sources.design import Design, array_points, labeled_points, materialized
+from ridgeline.sources.design import Design, array_points, labeled_points, materialized, sparse_points
 from ridgeline.sources.libsvm import libsvm_design, read_libsvm, write_libsvm
 from ridgeline.sources.prepare import append_bias, binarize_label, key_split, random_split
 
@@ -50,6 +50,7 @@ __all__ = [
     "predict",
     "random_split",
     "read_libsvm",
+    "sparse_points",
     "strong_wolfe",
     "write_libsvm",
 ]

@@ -38,6 +38,10 @@ class SquaredLoss:
         """Second derivative of the term in ``m``."""
         return "1.0D"
 
+    def of_batch(self, m, y):
+        """(terms, slopes) of numpy arrays."""
+        return 0.5 * (m - y) ** 2, m - y
+
 
 @dataclass(frozen=True)
 class LogisticLoss:
@@ -64,6 +68,13 @@ class LogisticLoss:
         """``sigmoid(m) * (1 - sigmoid(m))``."""
         return f"(1.0D / (1.0D + exp(-{m})) * (1.0D - 1.0D / (1.0D + exp(-{m}))))"
 
+    def of_batch(self, m, y):
+        """(terms, slopes) of numpy arrays."""
+        import numpy as np
+
+        e = np.exp(-np.abs(m))
+        return np.maximum(m, 0) + np.log1p(e) - y * m, np.where(m >= 0, 1 / (1 + e), e / (1 + e)) - y
+
 
 def sigmoid(m: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-m))

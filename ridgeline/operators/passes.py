@@ -1,10 +1,16 @@
 """Single passes over the design: every function here is exactly one Spark aggregate.
 
-Plan of every pass (checked with ``explain``): column-pruned scan (or in-memory
-table scan) -> Project(margin z, direction projection p, label, x_j) ->
-partial HashAggregate (one row per partition, map side) -> single-partition
-exchange of those rows -> final HashAggregate.  Nothing is shuffled per row and
-there is no key, so there is nothing to skew.
+Two forms, chosen by the kind of design and never by its width:
+
+* ``elements`` (column designs): column-pruned scan (or in-memory table scan) ->
+  Project(margin z, direction projection p, label, x_j) -> partial HashAggregate
+  (one row per partition, map side).  The rows meet in two steps, first by
+  ``partition id mod BUCKETS`` and then in one row, so no task merges a row per
+  input partition.  All JVM side, inside whole-stage codegen.
+* ``arrow`` (array and sparse designs; wide column designs on request): each Arrow
+  batch is one matrix product; a partition returns its partial sums as rows
+  (position, value), which Spark adds up by position.  The plan does not grow with
+  the width, and a sparse design only ever touches its non-zeros.
 
 Two families:
 
@@ -21,17 +27,16 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
-from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.losses import get_loss
-from ridgeline.sources.design import Design, sql_double, sql_name
+from ridgeline.sources.design import Design, sql_double
 
-VECTOR_MIN_DIM = 94  # wider array designs use the vector form (one d-length aggregate buffer)
+BUCKETS = 64  # groups that partial sums meet in before the last row
 
 
 class EmptyDesign(ValueError):
@@ -53,132 +58,157 @@ class Trial:
     hess: np.ndarray | None = None
 
 
-@contextmanager
-def pass_settings(spark):
-    """Session settings while a fit runs its passes; restored afterwards.
+def two_level(base: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """One row with the named aggregates (``sum(..)`` or ``count(..)`` SQL), added up in two steps."""
+    part = base.selectExpr("*", f"pmod(spark_partition_id(), {BUCKETS}) AS _bucket").groupBy("_bucket")
+    return part.agg(*[F.expr(e).alias(n) for n, e in sums.items()]).agg(*[F.sum(n).alias(n) for n in sums])
 
-    Adaptive execution is switched off: a keyless global aggregate has nothing
-    to re-plan (no join, a single final partition), and AQE would split each
-    pass into separately submitted query stages.
-    """
-    key = "spark.sql.adaptive.enabled"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        if old is None:
-            spark.conf.unset(key)
+
+class Block:
+    """Feature rows of one Arrow batch, dense (a matrix) or sparse (row, index, value)."""
+
+    def __init__(self, design: Design, batch):
+        self.dim, self.bias, self.n = design.dim, design.bias, batch.num_rows
+        self.sparse = design.sparse
+        if design.sparse:
+            column = batch.column(1)
+            indices, values = column.field(0), column.field(1)
+            lengths = np.diff(indices.offsets.to_numpy())
+            self.row = np.repeat(np.arange(self.n), lengths)
+            self.index, self.value = indices.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy()
+        elif design.array_col is not None:
+            self.x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(self.n, design.stored_dim)
         else:
-            spark.conf.set(key, old)
+            self.x = np.column_stack([batch.column(1 + j).to_numpy() for j in range(design.stored_dim)]) if design.stored_dim else np.zeros((self.n, 0))
+
+    def dot(self, v):
+        if self.sparse:
+            out = np.bincount(self.row, v[self.index] * self.value, self.n)
+        else:
+            out = self.x @ v[: self.x.shape[1]]
+        return out + v[-1] if self.bias else out
+
+    def gradient(self, s):
+        """``sum(s * x)`` by feature."""
+        if self.sparse:
+            out = np.bincount(self.index, s[self.row] * self.value, self.dim - self.bias)
+        else:
+            out = s @ self.x
+        return np.append(out, s.sum()) if self.bias else out
 
 
 @dataclass
 class Evaluator:
     """Objective evaluations for the fit loops: each call is ONE aggregate over the design.
 
-    The pass is written as SQL expression text (two ``selectExpr`` calls): a
-    projection computing ``z = w.x`` (and ``p = d.x``) once per row, then a
-    global aggregate of ``count`` and ``sum`` terms; means are taken on the
-    driver.  Sums keep one buffer field per term, so up to ~100 terms stay
-    inside one whole-stage-codegen span.  Arrays wider than ``VECTOR_MIN_DIM``
-    use the vector form: one higher-order dot product per row and one
-    ``Summarizer`` vector sum per gradient, so the plan does not grow with d.
+    In the ``elements`` form the pass is SQL expression text: a projection
+    computing ``z = w.x`` (and ``p = d.x``) once per row, then ``count`` and ``sum``
+    terms; in the ``arrow`` form it is a matrix product per batch.  Means are taken on
+    the driver, over the rows whose loss term is not NULL.
     """
 
     design: Design
     loss: object = "squared"
     reg_param: float = 0.0
     passes: Counter = field(default_factory=Counter)
+    evaluations: Counter = field(default_factory=Counter)  # losses and gradients by kind of pass
     n: int | None = None
-    form: str = "auto"
+    form: str | None = None  # None: by the kind of design
 
     def __post_init__(self):
         self.loss = get_loss(self.loss)
-        if self.form == "auto":
-            wide = self.design.array_col is not None and self.design.stored_dim > VECTOR_MIN_DIM
-            self.form = "vector" if wide else "elements"
-        if self.form == "vector" and self.design.array_col is None:
-            raise ValueError("the vector form needs an array design")
-
-    @property
-    def vector(self) -> bool:
-        return self.form == "vector"
+        if self.form is None:
+            self.form = "elements" if self.design.array_col is None else "arrow"
+        if self.form not in ("elements", "arrow"):
+            raise ValueError(f"unknown form {self.form!r}")
+        if self.form == "elements" and self.design.sparse:
+            raise ValueError("a sparse design needs the arrow form")
 
     # ---------------------------------------------------------------- utils
-    def _run(self, proj: list[str], aggs: list[str], kind: str, vec_aggs: Sequence[str] = ()):
-        """``SELECT count(z), sum(...)... FROM (SELECT proj FROM design)``; return the means.
+    def _run(self, proj: list[str], aggs: list[str], kind: str, counted: str):
+        """Means of the ``sum(..)`` terms over the rows where ``counted`` is not NULL."""
+        names = {"_n": f"count({counted})"} | {f"_s{k}": a for k, a in enumerate(aggs)}
+        row = two_level(self.design.df.selectExpr(*proj), names).collect()[0]
+        return self._means(row[0], [_f(v) for v in row[1:]], kind)
 
-        Scalar aggregates are SQL sums; with ``vec_aggs`` (vector form) each entry is
-        an array expression summed element-wise by ``Summarizer`` (one d-length
-        buffer per partition).  Returns the scalar means, or ``(scalars, vectors)``.
-        """
-        base = self.design.df.selectExpr(*proj)
-        if vec_aggs:
-            from pyspark.ml.functions import array_to_vector
-            from pyspark.ml.stat import Summarizer
-
-            cols = [F.expr("count(_z)")] + [F.expr(a) for a in aggs]
-            cols += [Summarizer.sum(array_to_vector(F.expr(v))) for v in vec_aggs]
-            row = base.agg(*cols).collect()[0]
-        else:
-            row = base.selectExpr("count(_z)", *aggs).collect()[0]
+    def _means(self, n, sums, kind: str):
         self.passes[kind] += 1
-        n = row[0]
         if not n:
             raise EmptyDesign("the design has no rows")
         self.n = int(n)
-        scalars = [_f(v) / n for v in row[1 : 1 + len(aggs)]]
-        if not vec_aggs:
-            return scalars
-        return scalars, [np.asarray(v.toArray(), dtype=float) / n for v in row[1 + len(aggs) :]]
+        return [v / n for v in sums]
+
+    def _arrow(self, work, width: int, kind: str):
+        """Means of the ``width`` sums that ``work(block, y)`` gives for each batch."""
+        design = self.design
+        shape = replace(design, df=None, source=None)  # what the tasks need to know
+
+        def run(batches):
+            import pyarrow as pa
+
+            total, n = np.zeros(width), 0
+            for batch in batches:
+                if batch.num_rows:
+                    total += work(Block(shape, batch), batch.column(0).to_numpy())
+                    n += batch.num_rows
+            at = np.append(np.flatnonzero(total), -1)  # -1: the rows
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.append(total[at[:-1]], float(n)))], names=["i", "v"])
+
+        stored = [design.array_col] if design.array_col else list(design.features[: design.stored_dim])
+        rows = design.df.select(design.label, *stored).mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        i, v = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        out = np.zeros(width)
+        out[i[i >= 0]] = v[i >= 0]
+        return np.array(self._means(float(v[i == -1].sum()), out, kind))
 
     def _proj(self, w, d=None, with_x: bool = False) -> list[str]:
         ds = self.design
-        dot = ds.dot_vector_sql if self.vector else ds.dot_sql
-        out = [f"{dot(w)} AS _z", f"{ds.y_sql()} AS _y"]
+        out = [f"{ds.dot_sql(w)} AS _z", f"{ds.y_sql()} AS _y"]
         if d is not None:
-            out.append(f"{dot(d)} AS _p")
+            out.append(f"{ds.dot_sql(d)} AS _p")
         if with_x:
-            if self.vector:
-                out.append(f"{sql_name(ds.array_col)} AS _f")
-            else:
-                out += [f"{ds.x_sql(j)} AS _x{j}" for j in range(ds.dim)]
+            out += [f"{ds.x_sql(j)} AS _x{j}" for j in range(ds.dim)]
         return out
 
-    def _grad_aggs(self, s: str, aggs: list[str], vecs: list[str]):
-        """Register the gradient terms of slope expression ``s``; return a reader for the result."""
-        ds = self.design
-        if not self.vector:
-            first = len(aggs)
-            aggs += [f"sum({s} * _x{j})" for j in range(ds.dim)]
-            return lambda sc, vc: np.array(sc[first : first + ds.dim])
-        vecs.append(f"transform(_f, v -> v * ({s}))")
-        vi = len(vecs) - 1
-        bi = None
-        if ds.bias:
-            aggs.append(f"sum({s})")
-            bi = len(aggs) - 1
-        return lambda sc, vc: np.concatenate([vc[vi], [sc[bi]]]) if bi is not None else vc[vi]
-
-    def _collect(self, proj, aggs, vecs, kind):
-        out = self._run(proj, aggs, kind, vecs)
-        return out if vecs else (out, [])
+    def _grad_aggs(self, s: str) -> list[str]:
+        return [f"sum({s} * _x{j})" for j in range(self.design.dim)]
 
     def ridge_value(self, w: np.ndarray) -> float:
         return 0.5 * self.reg_param * float(w @ w) if self.reg_param else 0.0
 
+    def _note(self, kind: str, losses: int, gradients: int) -> None:
+        self.evaluations[f"{kind}_loss"] += losses
+        self.evaluations[f"{kind}_gradient"] += gradients
+
     # ------------------------------------------------------------- passes
     def value_and_gradient(self, w: Sequence[float], kind: str = "gradient") -> tuple[float, np.ndarray]:
         """Fused A1+A2+A3: row count, mean loss and mean gradient at ``w`` in one pass."""
         w = np.asarray(w, dtype=float)
+        self._note(kind, 1, 1)
+        if self.form == "arrow":
+            loss = self.loss
+
+            def work(block, y):
+                term, slope = loss.of_batch(block.dot(w), y)
+                return np.append(block.gradient(slope), term.sum())
+
+            out = self._arrow(work, len(w) + 1, kind)
+            return out[-1] + self.ridge_value(w), out[:-1] + self.reg_param * w
         term, slope = self.loss.term_sql("_z", "_y"), self.loss.slope_sql("_z", "_y")
-        aggs, vecs = [f"sum({term})"], []
-        grad = self._grad_aggs(slope, aggs, vecs)
-        sc, vc = self._collect(self._proj(w, with_x=True), aggs, vecs, kind)
-        f = sc[0] + self.ridge_value(w)
-        g = grad(sc, vc) + self.reg_param * w
-        return f, g
+        out = self._run(self._proj(w, with_x=True), [f"sum({term})", *self._grad_aggs(slope)], kind, term)
+        return out[0] + self.ridge_value(w), np.array(out[1:]) + self.reg_param * w
+
+    def value(self, w: Sequence[float], kind: str = "final") -> float:
+        """Mean loss (plus ridge) at ``w``."""
+        w = np.asarray(w, dtype=float)
+        self._note(kind, 1, 0)
+        if self.form == "arrow":
+            loss = self.loss
+            out = self._arrow(lambda block, y: np.array([loss.of_batch(block.dot(w), y)[0].sum()]), 1, kind)
+        else:
+            term = self.loss.term_sql("_z", "_y")
+            out = self._run(self._proj(w), [f"sum({term})"], kind, term)
+        return float(out[0]) + self.ridge_value(w)
 
     def _hess_terms(self, c: str) -> list[str]:
         dim = self.design.dim
@@ -195,17 +225,15 @@ class Evaluator:
 
     def value_gradient_hessian(self, w: Sequence[float], kind: str = "gradient"):
         """Loss, gradient and Hessian ``avg(l''(z) x x^T)`` at ``w`` in one pass (small d)."""
-        if self.vector:
+        if self.form == "arrow":
             raise ValueError("the Hessian is only formed for small, element-wise designs")
         w = np.asarray(w, dtype=float)
         dim = self.design.dim
+        self._note(kind, 1, 1)
         term, slope = self.loss.term_sql("_z", "_y"), self.loss.slope_sql("_z", "_y")
-        aggs = [f"sum({term})"] + [f"sum({slope} * _x{j})" for j in range(dim)]
-        aggs += self._hess_terms(self.loss.curvature_sql("_z", "_y"))
-        out = self._run(self._proj(w, with_x=True), aggs, kind)
-        f = out[0] + self.ridge_value(w)
-        g = np.array(out[1 : 1 + dim]) + self.reg_param * w
-        return f, g, self._hess(out[1 + dim :])
+        aggs = [f"sum({term})", *self._grad_aggs(slope), *self._hess_terms(self.loss.curvature_sql("_z", "_y"))]
+        out = self._run(self._proj(w, with_x=True), aggs, kind, term)
+        return out[0] + self.ridge_value(w), np.array(out[1 : 1 + dim]) + self.reg_param * w, self._hess(out[1 + dim :])
 
     def probe(
         self,
@@ -227,32 +255,43 @@ class Evaluator:
         dim = self.design.dim
         mask = [k < grad_for for k in range(len(alphas))] if isinstance(grad_for, int) else list(grad_for)
         hmask = list(hess_for) if hess_for is not None else [False] * len(alphas)
-        if self.vector:
-            hmask = [False] * len(alphas)
-        nh = dim * (dim + 1) // 2
-        aggs: list[str] = []
-        vecs: list[str] = []
-        slots = []
-        for k, a in enumerate(alphas):
-            m = f"(_z + {sql_double(a)} * _p)"
-            s = self.loss.slope_sql(m, "_y")
-            fi = len(aggs)
-            aggs += [f"sum({self.loss.term_sql(m, '_y')})", f"sum({s} * _p)"]
-            grad = self._grad_aggs(s, aggs, vecs) if mask[k] else None
-            hi = None
-            if hmask[k]:
-                hi = len(aggs)
-                aggs += self._hess_terms(self.loss.curvature_sql(m, "_y"))
-            slots.append((fi, grad, hi))
-        sc, vc = self._collect(self._proj(w, d, with_x=any(mask) or any(hmask)), aggs, vecs, kind)
-        trials = []
-        for a, (fi, grad, hi) in zip(alphas, slots):
+        self._note(kind, len(alphas), sum(mask))
+        if self.form == "arrow":
+            if any(hmask):
+                raise ValueError("the Hessian is only formed for small, element-wise designs")
+            loss = self.loss
+
+            def work(block, y):
+                z, p, sums = block.dot(w), block.dot(d), []
+                for a, full in zip(alphas, mask, strict=True):
+                    term, slope = loss.of_batch(z + a * p, y)
+                    sums += [np.array([term.sum(), slope @ p])] + [block.gradient(slope)] * full
+                return np.concatenate(sums)
+
+            out = self._arrow(work, 2 * len(alphas) + dim * sum(mask), kind)
+        else:
+            aggs: list[str] = []
+            for a, full, square in zip(alphas, mask, hmask, strict=True):
+                m = f"(_z + {sql_double(a)} * _p)"
+                s = self.loss.slope_sql(m, "_y")
+                aggs += [f"sum({self.loss.term_sql(m, '_y')})", f"sum({s} * _p)"]
+                aggs += self._grad_aggs(s) if full else []
+                aggs += self._hess_terms(self.loss.curvature_sql(m, "_y")) if square else []
+            out = self._run(self._proj(w, d, with_x=any(mask) or any(hmask)), aggs, kind, "_z + _p + _y")
+        trials, at = [], 0
+        for a, full, square in zip(alphas, mask, hmask, strict=True):
             wa = w + a * d
-            f = sc[fi] + self.ridge_value(wa)
-            s = sc[fi + 1] + (self.reg_param * float(d @ wa) if self.reg_param else 0.0)
-            g = grad(sc, vc) + self.reg_param * wa if grad is not None else None
-            h = self._hess(sc[hi : hi + nh]) if hi is not None else None
-            trials.append(Trial(float(a), f, s, g, h))
+            f = out[at] + self.ridge_value(wa)
+            s = out[at + 1] + (self.reg_param * float(d @ wa) if self.reg_param else 0.0)
+            at += 2
+            g = h = None
+            if full:
+                g = np.array(out[at : at + dim]) + self.reg_param * wa
+                at += dim
+            if square:
+                h = self._hess(out[at : at + dim * (dim + 1) // 2])
+                at += dim * (dim + 1) // 2
+            trials.append(Trial(float(a), float(f), float(s), g, h))
         return trials
 
     def curvature(self, w: Sequence[float], d: Sequence[float], kind: str = "exact") -> tuple[float, np.ndarray, np.ndarray]:
@@ -263,36 +302,52 @@ class Evaluator:
         """
         w = np.asarray(w, dtype=float)
         d = np.asarray(d, dtype=float)
-        term, slope = self.loss.term_sql("_z", "_y"), self.loss.slope_sql("_z", "_y")
-        aggs, vecs = [f"sum({term})"], []
-        grad = self._grad_aggs(slope, aggs, vecs)
-        qv = self._grad_aggs("_p", aggs, vecs)
-        sc, vc = self._collect(self._proj(w, d, with_x=True), aggs, vecs, kind)
-        f = sc[0] + self.ridge_value(w)
-        return f, grad(sc, vc) + self.reg_param * w, qv(sc, vc) + self.reg_param * d
+        dim = len(w)
+        self._note(kind, 1, 2)
+        if self.form == "arrow":
+            loss = self.loss
 
+            def work(block, y):
+                term, slope = loss.of_batch(block.dot(w), y)
+                return np.concatenate([[term.sum()], block.gradient(slope), block.gradient(block.dot(d))])
+
+            out = self._arrow(work, 2 * dim + 1, kind)
+        else:
+            term, slope = self.loss.term_sql("_z", "_y"), self.loss.slope_sql("_z", "_y")
+            out = self._run(self._proj(w, d, with_x=True), [f"sum({term})", *self._grad_aggs(slope), *self._grad_aggs("_p")], kind, term)
+        g, q = np.array(out[1 : 1 + dim]), np.array(out[1 + dim :])
+        return out[0] + self.ridge_value(w), g + self.reg_param * w, q + self.reg_param * d
 
-class GramEvaluator:
-    """Squared loss from ONE pass: the moments ``A = avg(x x^T)``, ``b = avg(x y)``, ``c = avg(y^2)``.
 
-    The mean squared loss is the quadratic ``f(w) = (w.A.w - 2 b.w + c) / 2`` with
-    gradient ``A w - b``, so after the single aggregate every evaluation the fit
-    loops ask for is O(d^2) driver arithmetic and no further pass is run (the
-    same one-pass aggregate as Spark's normal-equation solver).  Used for small
-    d: the pass has d(d+1)/2 + d + 1 sums.
+class GramEvaluator:
+    """Squared loss from two passes: the means, then the moments around them.
+
+    With ``m`` the feature means and ``k`` the label's, ``A = cov(x)``, ``b = cov(x, y)``
+    and ``c = var(y)``, the mean squared loss is
+    ``(w.A.w - 2 b.w + c + (k - w.m)^2) / 2`` with gradient ``A w - b + m (w.m - k)``;
+    after these passes every evaluation is O(d^2) driver arithmetic.  Taking the
+    moments around the means keeps a large label level from drowning the residuals; the
+    reported ``final_loss`` of a fit is a pass of its own.  d(d+1)/2 + d + 1 sums.
     """
 
     def __init__(self, base: Evaluator):
         if base.loss.name != "squared":
             raise ValueError("the Gram form needs the squared loss")
-        self.design, self.loss, self.reg_param, self.passes = base.design, base.loss, base.reg_param, base.passes
+        if base.design.sparse:
+            raise ValueError("the Gram form needs a dense design")
+        self.design, self.loss, self.reg_param, self.passes, self.base = base.design, base.loss, base.reg_param, base.passes, base
+        self.evaluations = base.evaluations
         dim = self.design.dim
+        base = Evaluator(base.design, base.loss, base.reg_param, base.passes, base.evaluations, form="elements")
+        xs = [f"{self.design.x_sql(j)} AS _x{j}" for j in range(dim)]
+        proj = [f"{self.design.dot_sql([0.0] * dim)} AS _z", f"{self.design.y_sql()} AS _y", *xs]
+        mean = np.array(base._run(proj, [f"sum(_x{j})" for j in range(dim)] + ["sum(_y)"], "gram", "_z + _y"))
+        self.n, self.m, self.k = base.n, mean[:-1], mean[-1]
+        x = [f"(_x{j} - {sql_double(self.m[j])})" for j in range(dim)]
+        y = f"(_y - {sql_double(self.k)})"
         pairs = [(i, j) for i in range(dim) for j in range(i, dim)]
-        aggs = [f"sum(_x{i} * _x{j})" for i, j in pairs] + [f"sum(_x{i} * _y)" for i in range(dim)] + ["sum(_y * _y)"]
-        proj = [f"{self.design.dot_sql([0.0] * dim)} AS _z", f"{self.design.y_sql()} AS _y"]
-        proj += [f"{self.design.x_sql(j)} AS _x{j}" for j in range(dim)]
-        out = base._run(proj, aggs, "gram")
-        self.n = base.n
+        aggs = [f"sum({x[i]} * {x[j]})" for i, j in pairs] + [f"sum({x[i]} * {y})" for i in range(dim)] + [f"sum({y} * {y})"]
+        out = base._run(proj, aggs, "gram", "_z + _y")
         a = np.zeros((dim, dim))
         for (i, j), v in zip(pairs, out):
             a[i, j] = a[j, i] = v
@@ -300,16 +355,19 @@ class GramEvaluator:
         self.b = np.array(out[len(pairs) : len(pairs) + dim])
         self.c = out[-1]
 
-    @staticmethod
-    def worthwhile(dim: int, max_terms: int) -> bool:
-        return dim * (dim + 1) // 2 + dim + 2 <= max_terms
+    def value(self, w, kind: str = "final") -> float:
+        return self.base.value(w, kind)
 
     def _f(self, w: np.ndarray) -> float:
-        f = 0.5 * (float(w @ self.A @ w) - 2.0 * float(self.b @ w) + self.c)
+        level = self.k - float(w @ self.m)
+        f = 0.5 * (float(w @ self.A @ w) - 2.0 * float(self.b @ w) + self.c + level * level)
         return f + (0.5 * self.reg_param * float(w @ w) if self.reg_param else 0.0)
 
     def _g(self, w: np.ndarray) -> np.ndarray:
-        return self.A @ w - self.b + self.reg_param * w
+        return self.A @ w - self.b + self.m * (float(w @ self.m) - self.k) + self.reg_param * w
+
+    def _second(self) -> np.ndarray:
+        return self.A + np.outer(self.m, self.m) + self.reg_param * np.eye(len(self.b))
 
     def value_and_gradient(self, w, kind: str = "gradient"):
         w = np.asarray(w, dtype=float)
@@ -317,11 +375,11 @@ class GramEvaluator:
 
     def value_gradient_hessian(self, w, kind: str = "gradient"):
         f, g = self.value_and_gradient(w)
-        return f, g, self.A + self.reg_param * np.eye(len(self.b))
+        return f, g, self._second()
 
     def probe(self, w, d, alphas, grad_for=0, kind: str = "bracket", hess_for=None) -> list[Trial]:
         w, d = np.asarray(w, dtype=float), np.asarray(d, dtype=float)
-        h = self.A + self.reg_param * np.eye(len(self.b))
+        h = self._second()
         out = []
         for a in alphas:
             wa = w + a * d
@@ -331,39 +389,18 @@ class GramEvaluator:
 
     def curvature(self, w, d, kind: str = "exact"):
         w, d = np.asarray(w, dtype=float), np.asarray(d, dtype=float)
-        return self._f(w), self._g(w), self.A @ d + self.reg_param * d
-
-
-def resolve_solver(design: Design, loss="squared", solver: str = "auto", max_terms: int = 96) -> str:
-    """``"gram"`` or ``"passes"``: ``"auto"`` picks the Gram form for the squared loss when
-    its moment pass stays within ``max_terms`` sums (d <= 12 with the default)."""
-    if solver == "auto":
-        squared = get_loss(loss).name == "squared"
-        return "gram" if squared and GramEvaluator.worthwhile(design.dim, max_terms) else "passes"
-    if solver not in ("gram", "passes"):
-        raise ValueError(f"unknown solver {solver!r}")
-    return solver
-
-
-def default_storage(solver: str, storage: str | None) -> str:
-    """A Gram fit reads the data exactly once: nothing to keep, so scan the pruned source.
-
-    Iterative fits keep the prepared table (``memory_and_disk``).  An explicit choice wins.
-    """
-    if storage is not None:
-        return storage
-    return "none" if solver == "gram" else "memory_and_disk"
+        return self._f(w), self._g(w), self._second() @ d
 
 
 def evaluator(
-    design: Design, loss="squared", reg_param: float = 0.0, solver: str = "auto", max_terms: int = 96,
-    passes: Counter | None = None,
+    design: Design, loss="squared", reg_param: float = 0.0, solver: str = "passes", passes: Counter | None = None,
+    evaluations: Counter | None = None, form: str | None = None,
 ):
-    """The evaluator a fit uses: ``"passes"`` (one aggregate per evaluation) or ``"gram"``."""
-    ev = Evaluator(design, loss, reg_param, passes if passes is not None else Counter())
-    if resolve_solver(design, ev.loss, solver, max_terms) == "gram":
-        return GramEvaluator(ev)
-    return ev
+    """The evaluator a fit uses: ``"passes"`` (one aggregate per evaluation) or ``"gram"`` (squared loss, small d)."""
+    if solver not in ("gram", "passes"):
+        raise ValueError(f"unknown solver {solver!r}")
+    ev = Evaluator(design, loss, reg_param, passes if passes is not None else Counter(), evaluations if evaluations is not None else Counter(), form=form)
+    return GramEvaluator(ev) if solver == "gram" else ev
 
 
 # ---------------------------------------------------------------- tables
@@ -384,31 +421,35 @@ def loss_table(design: Design, w: Sequence[float], loss="squared", reg_param: fl
     m, y = design.dot(w), design.y()
     term = loss.term(m, y)
     rv, _ = _ridge_lits(reg_param, w)
-    one = design.df.agg(F.count(term).alias("_n"), F.sum(term).alias("_s"))
+    base = design.df.select(term.alias("_t"))
+    one = two_level(base, {"_n": "count(_t)", "_s": "sum(_t)"})
     return one.select(F.col("_n").alias("n"), (_mean("_s") + F.lit(rv)).alias("loss"))
 
 
 def gradient_table(
-    design: Design, w: Sequence[float], loss="squared", reg_param: float = 0.0, form: str = "auto"
+    design: Design, w: Sequence[float], loss="squared", reg_param: float = 0.0, form: str | None = None
 ) -> DataFrame:
     """Rows ``(feature_index, feature, gradient)``: the mean gradient at ``w`` (A2).
 
-    One pass: the margin is projected once per row, each gradient entry is its
-    own ``sum`` (placed by index, never by arrival order), and ``stack`` turns
-    the single result row into one row per feature.  Wide array designs (or
-    ``form="vector"``) sum ``slope * features`` as one vector with ``Summarizer``
-    and explode it by position.
+    One pass.  In the ``elements`` form each gradient entry is its own ``sum`` (placed by
+    index, never by arrival order), and ``stack`` turns the single result row into one
+    row per feature.  The ``arrow`` form (array and sparse designs, or on request) runs
+    its pass at once; like any fit it brings one number per feature to the driver.
     """
     loss = get_loss(loss)
     w = np.asarray(w, dtype=float)
     _, rg = _ridge_lits(reg_param, w)
-    if Evaluator(design, loss, form=form).vector:
-        return _gradient_table_vector(design, w, loss, rg)
+    ev = Evaluator(design, loss, reg_param, form=form)
+    if ev.form == "arrow":
+        import pyarrow as pa
+
+        _, g = ev.value_and_gradient(w)
+        names = pa.array(list(design.features))
+        return design.df.sparkSession.createDataFrame(pa.table({"feature_index": pa.array(range(design.dim), pa.int32()), "feature": names, "gradient": g}))
     proj = [f"{design.dot_sql(w)} AS _z", f"{design.y_sql()} AS _y"]
     proj += [f"{design.x_sql(j)} AS _x{j}" for j in range(design.dim)]
     s = loss.slope_sql("_z", "_y")
-    aggs = [f"count({s}) AS _n"] + [f"sum({s} * _x{j}) AS g{j}" for j in range(design.dim)]
-    one = design.df.selectExpr(*proj).selectExpr(*aggs)
+    one = two_level(design.df.selectExpr(*proj), {"_n": f"count({s})"} | {f"g{j}": f"sum({s} * _x{j})" for j in range(design.dim)})
     cells = ", ".join(
         f"{j}, '{name.replace(chr(39), chr(39) * 2)}', try_divide(g{j}, _n) + {sql_double(rg[j])}"
         for j, name in enumerate(design.features)
@@ -416,29 +457,6 @@ def gradient_table(
     return one.selectExpr(f"stack({design.dim}, {cells}) AS (feature_index, feature, gradient)")
 
 
-def _gradient_table_vector(design: Design, w: np.ndarray, loss, rg: np.ndarray) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    base = design.df.selectExpr(
-        f"{design.dot_vector_sql(w)} AS _z", f"{design.y_sql()} AS _y", f"{sql_name(design.array_col)} AS _f"
-    )
-    s = loss.slope_sql("_z", "_y")
-    one = base.agg(
-        F.expr(f"count({s})").alias("_n"),
-        Summarizer.sum(array_to_vector(F.expr(f"transform(_f, v -> v * ({s}))"))).alias("_g"),
-        F.expr(f"sum({s})").alias("_b"),
-    )
-    parts = [vector_to_array(F.col("_g"))] + ([F.array(F.col("_b"))] if design.bias else [])
-    names = F.array(*[F.lit(n) for n in design.features]) if design.dim <= 256 else None
-    rows = one.select("_n", F.posexplode(F.concat(*parts)).alias("feature_index", "_sum"))
-    ridge = F.expr(f"element_at(array({', '.join(sql_double(v) for v in rg)}), feature_index + 1)")
-    feature = names[F.col("feature_index")] if names is not None else F.concat(F.lit("x"), F.col("feature_index"))
-    return rows.select(
-        "feature_index", feature.alias("feature"), (_mean("_sum") + ridge).alias("gradient")
-    )
-
-
 def directional_derivative_table(
     design: Design, w: Sequence[float], d: Sequence[float], alphas: Sequence[float], loss="squared", reg_param: float = 0.0
 ) -> DataFrame:
@@ -466,24 +484,17 @@ def line_search_profile(
     d = np.asarray(d, dtype=float)
     alphas = [float(a) for a in alphas]
     grid = [0.0] + alphas
-    z, p, y = design.dot(w), design.dot(d), design.y()
-    base = design.df.select(z.alias("_z"), p.alias("_p"), y.alias("_y"))
-    zc, pc, yc = F.col("_z"), F.col("_p"), F.col("_y")
-    exprs, means = [], []
+    base = design.df.select(design.dot(w).alias("_z"), design.dot(d).alias("_p"), design.y().alias("_y"))
+    sums, means = {"_n": "count(_z + _p + _y)"}, []
     for k, a in enumerate(grid):
-        m = zc + F.lit(a) * pc
+        m = f"(_z + {sql_double(a)} * _p)"
         wa = w + a * d
-        rv = 0.5 * reg_param * float(wa @ wa)
-        rs = reg_param * float(d @ wa)
-        exprs += [
-            F.sum(loss.term(m, yc)).alias(f"sf{k}"),
-            F.sum(loss.slope(m, yc) * pc).alias(f"ss{k}"),
-        ]
+        sums |= {f"sf{k}": f"sum({loss.term_sql(m, '_y')})", f"ss{k}": f"sum({loss.slope_sql(m, '_y')} * _p)"}
         means += [
-            (_mean(f"sf{k}") + F.lit(rv)).alias(f"f{k}"),
-            (_mean(f"ss{k}") + F.lit(rs)).alias(f"s{k}"),
+            (_mean(f"sf{k}") + F.lit(0.5 * reg_param * float(wa @ wa))).alias(f"f{k}"),
+            (_mean(f"ss{k}") + F.lit(reg_param * float(d @ wa))).alias(f"s{k}"),
         ]
-    one = base.agg(F.count(zc).alias("_n"), *exprs).select(*means)
+    one = two_level(base, sums).select(*means)
     structs = [
         F.struct(F.lit(a).alias("alpha"), F.col(f"f{k + 1}").alias("loss"), F.col(f"s{k + 1}").alias("slope"))
         for k, a in enumerate(alphas)

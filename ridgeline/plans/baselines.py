@@ -3,7 +3,10 @@
 ``pyspark.ml`` fits the intercept itself, so the virtual bias column is left
 out of the assembled vector and the fitted intercept is reported as the bias
 weight (a constant 1.0 column with ``fitIntercept=False`` is not fitted
-correctly by the stock solver).
+correctly by the stock solver).  The solvers block and cache their input themselves, so
+the design is not cached before them.  ``reg_param`` is the plain ridge on the weights
+(no standardization); the stock solvers never penalize the intercept, unlike the bias
+weight of :func:`ridgeline.plans.presets.fit_logistic`.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ def _result(method: str, loss: str, design: Design, coef, intercept, iterations:
 
 
 def fit_lbfgs_logistic(
-    design: Design, reg_param: float = 0.0, max_iter: int = 100, tol: float = 1e-10, storage: str = "memory_and_disk"
+    design: Design, reg_param: float = 0.0, max_iter: int = 100, tol: float = 1e-10, storage: str = "none"
 ) -> FitResult:
     """Two-class logistic regression by the stock L-BFGS solver (``pyspark.ml``)."""
     t0 = time.perf_counter()
@@ -47,6 +50,7 @@ def fit_lbfgs_logistic(
             fitIntercept=ds.bias,
             regParam=reg_param,
             elasticNetParam=0.0,
+            standardization=False,
             maxIter=max_iter,
             tol=tol,
         )
@@ -57,7 +61,7 @@ def fit_lbfgs_logistic(
 
 def fit_ml_linear(
     design: Design, solver: str = "normal", reg_param: float = 0.0, max_iter: int = 100, tol: float = 1e-10,
-    storage: str = "memory_and_disk",
+    storage: str = "none",
 ) -> FitResult:
     """Least squares by the stock ``pyspark.ml`` solver (``normal`` or ``l-bfgs``)."""
     t0 = time.perf_counter()

@@ -38,15 +38,7 @@ from collections.abc import Sequence
 import numpy as np
 
 from ridgeline.functions.losses import get_loss
-from ridgeline.operators.passes import (
-    EmptyDesign,
-    Evaluator,
-    Trial,
-    default_storage,
-    evaluator,
-    pass_settings,
-    resolve_solver,
-)
+from ridgeline.operators.passes import EmptyDesign, Evaluator, Trial, evaluator
 from ridgeline.plans.result import FitResult
 from ridgeline.sources.design import Design, materialized
 
@@ -57,11 +49,9 @@ MAX_BRACKET = 10
 MAX_ZOOM = 50
 INITIAL_STEP_FACTOR = 2.02  # first trial from the second iteration: 2.02 * (f - f_prev) / phi'(0)
 ZOOM_TRIM = 0.1
-LOSS_NOISE = 1e-12  # relative size of rounding noise in a summed mean loss
-MAX_TERMS = 96  # aggregate terms per pass that still fit one whole-stage-codegen span
+GRADIENT_TRIALS = 2  # bracketing trials of one pass that also carry the gradient
 RESTART_COS = 1e-3  # restart with -g when cos(angle(-g, d)) falls below this
 NEWTON_RATIOS = (1.0, 0.8, 1.25)  # trial steps around the Newton step along d (likeliest first)
-MAX_HESS_DIM = 12  # carry the Hessian (d(d+1)/2 sums per trial) while one trial's terms fit the codegen budget
 
 
 def _finite(*xs: float) -> bool:
@@ -86,16 +76,20 @@ def _secant(a: float, b: float, ga: float, gb: float) -> float:
     return a - ga * (b - a) / (gb - ga)
 
 
-def loss_noise(f0: float) -> float:
-    """Loss differences below this are rounding noise of a large sum, not signal."""
-    return LOSS_NOISE * max(1.0, abs(f0))
+def loss_noise(f0: float, n: int | None) -> float:
+    """Loss differences below this are rounding noise of a mean over ``n`` rows, not signal.
+
+    Rounding errors of a sum of n terms grow like sqrt(n); the floor of 4,000 roundings
+    covers the arithmetic of a term itself.
+    """
+    return 2.2e-16 * max(4000.0, math.sqrt(n or 1)) * abs(f0)
 
 
 def _zoom(
     ev: Evaluator, w, d, f0: float, s0: float, lo: Trial, hi: Trial, c1: float, c2: float, max_zoom: int,
     with_hess: bool = False,
 ) -> Trial:
-    noise = loss_noise(f0)
+    noise = loss_noise(f0, ev.n)
     for _ in range(max_zoom):
         left, right = min(lo.alpha, hi.alpha), max(lo.alpha, hi.alpha)
         width = right - left
@@ -130,7 +124,6 @@ def strong_wolfe(
     c2: float = C2,
     max_bracket: int = MAX_BRACKET,
     max_zoom: int = MAX_ZOOM,
-    max_terms: int = MAX_TERMS,
     newton: float | None = None,
     with_hess: bool = False,
     batched: bool = True,
@@ -154,17 +147,11 @@ def strong_wolfe(
         a1 = min(1.0, INITIAL_STEP_FACTOR * (f0 - f_prev) / s0)
         if not (_finite(a1) and a1 > 0):
             a1 = 1.0
-    noise = loss_noise(f0)
-    dim = max(ev.design.dim, 1)
-    per = dim + (dim * (dim + 1) // 2 if with_hess else 0)
+    noise = loss_noise(f0, ev.n)
 
     def evaluate(alphas: list[float], kind: str) -> list[Trial]:
-        """One pass over trial steps; gradients (and Hessians) for as many as the budget allows."""
-        if getattr(ev, "vector", False):
-            room = min(3, len(alphas))  # each gradient is one d-length Summarizer buffer per partition
-        else:
-            room = max(1, (max_terms - 1 - 2 * len(alphas)) // per)
-        mask = [k < room for k in range(len(alphas))]
+        """One pass over trial steps; the first ones carry gradients (and Hessians)."""
+        mask = [k < GRADIENT_TRIALS for k in range(len(alphas))]
         return ev.probe(w, d, alphas, grad_for=mask, kind=kind, hess_for=mask if with_hess else None)
 
     def wolfe_ok(t: Trial) -> bool:
@@ -225,17 +212,20 @@ def fit_cg(
     c2: float = C2,
     max_bracket: int = MAX_BRACKET,
     max_zoom: int = MAX_ZOOM,
-    max_terms: int = MAX_TERMS,
-    newton_steps: bool = True,
+    newton_steps: bool = False,
     batched: bool = True,
-    solver: str = "auto",
-    storage: str | None = None,
+    solver: str = "passes",
+    storage: str = "memory_and_disk",
     method: str = "cg",
+    form: str | None = None,
 ) -> FitResult:
     """Fit by nonlinear CG.
 
-    ``newton_steps=False`` keeps the plain bracketing + zoom search; ``batched=False``
-    also evaluates the bracketing steps one pass each (a sequential search, for comparison).
+    No default depends on the number of features.  ``newton_steps=True`` carries Hessians
+    (d(d+1)/2 sums per trial, for column designs of few features) and tries the Newton step
+    along the direction first; ``batched=False`` evaluates the bracketing steps one pass
+    each.  ``solver="gram"`` (squared loss) reads the table three times, once for the means,
+    once for the moments and once for the final loss, and iterates on the driver.
     """
     t0 = time.perf_counter()
     w = np.zeros(design.dim) if init is None else np.array(init, dtype=float)  # copy: input untouched
@@ -250,17 +240,16 @@ def fit_cg(
     passes: Counter = Counter()
     res = FitResult(method, lossf.name, design.features, w, reg_param=reg_param, passes=passes)
     ev = None
-    solver = resolve_solver(design, lossf, solver, max_terms)
-    with materialized(design, default_storage(solver, storage)) as ds, pass_settings(ds.df.sparkSession):
+    res.design = design
+    with materialized(design, storage) as ds:
         try:
-            ev = evaluator(ds, lossf, reg_param, solver, max_terms, passes)
+            ev = evaluator(ds, lossf, reg_param, solver, passes, res.evaluations, form)
             if mode == "exact":
                 _run_exact(ev, res, w, max_iter, step_tol, grad_tol)
             else:
-                _run_wolfe(
-                    ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, max_terms, newton_steps,
-                    batched,
-                )
+                _run_wolfe(ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, newton_steps, batched)
+            if mode == "exact" or solver == "gram":
+                res.final_loss = ev.value(res.weights)  # of the fitted weights, not by the quadratic
         except EmptyDesign:
             res.stop_reason = "empty"
         res.n_rows = (ev.n if ev is not None else None) or 0
@@ -269,9 +258,8 @@ def fit_cg(
 
 
 def _run_wolfe(
-    ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, max_terms, newton_steps, batched
+    ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, with_hess, batched
 ) -> None:
-    with_hess = newton_steps and ev.design.dim <= MAX_HESS_DIM
     if with_hess:
         f, g, hess = ev.value_gradient_hessian(w)
     else:
@@ -299,7 +287,7 @@ def _run_wolfe(
             dhd = float(d @ hess @ d)
             newton = -s0 / dhd if dhd > 0 else None
         t = strong_wolfe(
-            ev, w, d, f, s0, f_prev, c1, c2, max_bracket, max_zoom, max_terms, newton, with_hess, batched
+            ev, w, d, f, s0, f_prev, c1, c2, max_bracket, max_zoom, newton, with_hess, batched
         )
         if not (_finite(t.alpha, t.loss) and t.alpha > 0):
             res.stop_reason = "line_search"

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 import numpy as np
 
 from ridgeline.functions.losses import get_loss
-from ridgeline.operators.passes import EmptyDesign, default_storage, evaluator, pass_settings, resolve_solver
+from ridgeline.operators.passes import EmptyDesign, evaluator
 from ridgeline.plans.result import FitResult
 from ridgeline.sources.design import Design, materialized
 
@@ -30,19 +30,20 @@ def fit_gd(
     init: Sequence[float] | None = None,
     reg_param: float = 0.0,
     check_from: int = 1,
-    solver: str = "auto",
-    storage: str | None = None,
+    solver: str = "passes",
+    storage: str = "memory_and_disk",
     method: str = "gd",
+    form: str | None = None,
 ) -> FitResult:
     t0 = time.perf_counter()
     w = np.zeros(design.dim) if init is None else np.array(init, dtype=float)  # copy: input untouched
     passes: Counter = Counter()
     res = FitResult(method, get_loss(loss).name, design.features, w, reg_param=reg_param, passes=passes)
     ev = None
-    solver = resolve_solver(design, loss, solver)
-    with materialized(design, default_storage(solver, storage)) as ds, pass_settings(ds.df.sparkSession):
+    res.design = design
+    with materialized(design, storage) as ds:
         try:
-            ev = evaluator(ds, loss, reg_param, solver, passes=passes)
+            ev = evaluator(ds, loss, reg_param, solver, passes, res.evaluations, form)
             for i in range(1, max_iter + 1):
                 f, g = ev.value_and_gradient(w)
                 step = step_size / np.sqrt(i)
@@ -57,6 +58,8 @@ def fit_gd(
                 if i >= check_from and diff < tol * max(float(np.linalg.norm(w)), 1.0):
                     res.stop_reason = "step"
                     break
+            if res.stop_reason != "non_finite":
+                res.final_loss = ev.value(w)
         except EmptyDesign:
             res.stop_reason = "empty"
         res.n_rows = (ev.n if ev is not None else None) or 0

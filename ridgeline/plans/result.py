@@ -50,6 +50,14 @@ REPORT_SCHEMA = T.StructType(
         T.StructField("newton_passes", T.IntegerType(), False),
         T.StructField("exact_passes", T.IntegerType(), False),
         T.StructField("gram_passes", T.IntegerType(), False),
+        T.StructField("final_passes", T.IntegerType(), False),
+        T.StructField("bracket_losses", T.IntegerType(), False),
+        T.StructField("bracket_gradients", T.IntegerType(), False),
+        T.StructField("zoom_losses", T.IntegerType(), False),
+        T.StructField("zoom_gradients", T.IntegerType(), False),
+        T.StructField("newton_losses", T.IntegerType(), False),
+        T.StructField("newton_gradients", T.IntegerType(), False),
+        T.StructField("dropped_rows", T.LongType(), True),
         T.StructField("restarts", T.IntegerType(), False),
         T.StructField("elapsed_ms", T.LongType(), False),
     ]
@@ -83,6 +91,8 @@ class FitResult:
     n_rows: int | None = None
     reg_param: float = 0.0
     passes: Counter = field(default_factory=Counter)
+    evaluations: Counter = field(default_factory=Counter)  # losses and gradients by kind of pass
+    design: object = None  # to count the rows that the row rule left out
     restarts: int = 0
     elapsed_ms: int = 0
     history: list = field(default_factory=list)  # (iteration, loss at start, alpha, weights after)
@@ -127,9 +137,13 @@ class FitResult:
             int(p["newton"]),
             int(p["exact"]),
             int(p["gram"]),
+            int(p["final"]),
+            *[int(self.evaluations[f"{kind}_{what}"]) for kind in ("bracket", "zoom", "newton") for what in ("loss", "gradient")],
+            None if self.design is None else int(self.design.dropped_rows()),
             int(self.restarts),
             int(self.elapsed_ms),
         )
 
+    # dropped_rows is counted when the report is asked for
     def report_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([self.report_row()], REPORT_SCHEMA)

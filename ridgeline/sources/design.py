@@ -5,8 +5,11 @@ Two physical forms hold the same thing:
 * form A (``array_col is None``): one double column per feature.  Every pass is
   one ``agg`` whose expressions are ordinary arithmetic, so the whole pass sits
   in one whole-stage-codegen span next to a column-pruned Parquet scan.
-* form B (``array_col`` set): ``features array<double>`` of fixed length, read
-  element-wise (``features[j]``) so it still codegens.
+* form B (``array_col`` set): ``features array<double>`` of fixed length, or, with
+  ``sparse``, ``features struct<indices array<int>, values array<double>>``.
+
+One row rule for all of them: a row with a NULL or NaN label, feature or array element
+is left out (``dropped_rows`` counts these), and an array of another length is an error.
 
 A constant bias feature is *virtual*: it is the literal ``1.0`` placed last in the
 feature order, so it costs no storage and folds away in ``w_bias * 1.0``.
@@ -54,6 +57,12 @@ class Design:
     array_col: str | None = None
     bias: bool = False
     keep: tuple[str, ...] = ()  # pass-through columns (keys), never features
+    sparse: bool = False
+    source: DataFrame | None = None  # the rows before the row rule
+
+    def dropped_rows(self) -> int:
+        """Rows that the row rule left out; runs two counts."""
+        return 0 if self.source is None else self.source.count() - self.df.count()
 
     # ----------------------------------------------------------------- shape
     @property
@@ -94,22 +103,6 @@ class Design:
             return "0.0D"
         return "(" + " + ".join(f"{sql_double(vj)} * {self.x_sql(j)}" for j, vj in enumerate(v)) + ")"
 
-    def dot_vector_sql(self, v: Sequence[float]) -> str:
-        """Wide array form: the same dot product as ONE higher-order expression (text O(d), plan O(1)).
-
-        ``aggregate(zip_with(features, array(w...), *), 0, +)`` plus the bias term.
-        """
-        if len(v) != self.dim or self.array_col is None:
-            raise ValueError("dot_vector_sql needs an array design and a full-length vector")
-        ws = ", ".join(sql_double(x) for x in v[: self.stored_dim])
-        out = (
-            f"aggregate(zip_with({sql_name(self.array_col)}, array({ws}), (a, b) -> a * b), 0.0D, "
-            f"(acc, t) -> acc + t)"
-        )
-        if self.bias:
-            out = f"({out} + {sql_double(v[-1])})"
-        return out
-
     def dot(self, v: Sequence[float]) -> Column:
         """``sum_j v_j * x_j`` as one arithmetic expression (JVM side, codegen'd).
 
@@ -119,18 +112,6 @@ class Design:
         return F.expr(self.dot_sql(v))
 
     # -------------------------------------------------------------- storage
-    def spread(self, min_partitions: int | None = None) -> Design:
-        """Give the table at least ``min_partitions`` partitions (default: cluster cores).
-
-        Only small inputs (a single file or row group) fall below this; a large
-        scan already has many splits, so no shuffle is added there.
-        """
-        spark = self.df.sparkSession
-        target = min_partitions or spark.sparkContext.defaultParallelism
-        if self.df.rdd.getNumPartitions() >= target:
-            return self
-        return replace(self, df=self.df.repartition(target))
-
     def select_only(self) -> Design:
         """Drop every column the fit does not read (so caching keeps only those)."""
         cols = [self.label] + ([self.array_col] if self.array_col else list(self.features[: self.stored_dim]))
@@ -165,9 +146,10 @@ def labeled_points(
         _col(label).cast("double").alias(LABEL),
         *[e.cast("double").alias(n) for n, e in items],
     )
+    source = out
     if drop_nulls:
         out = out.dropna(subset=[LABEL, *names])
-    return Design(df=out, features=names + ((BIAS,) if bias else ()), bias=bias, keep=tuple(keep))
+    return Design(df=out, features=names + ((BIAS,) if bias else ()), bias=bias, keep=tuple(keep), source=source)
 
 
 def array_points(
@@ -180,16 +162,39 @@ def array_points(
     drop_nulls: bool = True,
     keep: Sequence[str] = (),
 ) -> Design:
-    """Form B design: ``label double`` and ``features array<double>`` of length ``dim``."""
+    """Form B design: ``label double`` and ``features array<double>`` of length ``dim``.
+
+    An array of another length raises when the row is read.
+    """
     arr = _col(features).cast("array<double>")
-    out = df.select(*keep, _col(label).cast("double").alias(LABEL), arr.alias(FEATURES))
+    fits = F.when(F.size(arr) == dim, arr).when(arr.isNotNull(), F.raise_error(F.concat(F.lit(f"an array of {dim} features is expected, one has "), F.size(arr))))
+    source = df.select(*keep, _col(label).cast("double").alias(LABEL), fits.alias(FEATURES))
+    return _array_design(source, FEATURES, dim, bias, names, drop_nulls, keep, sparse=False)
+
+
+def sparse_points(
+    df: DataFrame, label: Column | str, indices: Column | str, values: Column | str, dim: int, bias: bool = False,
+    names: Sequence[str] | None = None, drop_nulls: bool = True, keep: Sequence[str] = (),
+) -> Design:
+    """Sparse design: ``features struct<indices, values>``, zero-based, of width ``dim``; zeros are not stored."""
+    both = F.struct(_col(indices).cast("array<int>").alias("indices"), _col(values).cast("array<double>").alias("values"))
+    i = F.col(f"{FEATURES}.indices")
+    source = df.select(*keep, _col(label).cast("double").alias(LABEL), both.alias(FEATURES))
+    ok = (F.size(i) == F.size(F.col(f"{FEATURES}.values"))) & F.forall(i, lambda x: (x >= 0) & (x < dim))
+    source = source.withColumn(FEATURES, F.when(F.coalesce(ok, F.lit(True)), F.col(FEATURES)).otherwise(F.raise_error(F.lit(f"a sparse row does not fit {dim} features"))))
+    return _array_design(source, f"{FEATURES}.values", dim, bias, names, drop_nulls, keep, sparse=True)
+
+
+def _array_design(source: DataFrame, values: str, dim: int, bias: bool, names, drop_nulls: bool, keep, sparse: bool) -> Design:
+    out = source
     if drop_nulls:
-        out = out.dropna(subset=[LABEL, FEATURES])
+        whole = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x))
+        out = source.filter(F.col(LABEL).isNotNull() & ~F.isnan(LABEL) & F.coalesce(whole, F.lit(False)))
     names = tuple(names) if names is not None else tuple(f"x{j}" for j in range(dim))
     if len(names) != dim:
         raise ValueError("names must have one entry per array element")
     return Design(
-        df=out, features=names + ((BIAS,) if bias else ()), array_col=FEATURES, bias=bias, keep=tuple(keep)
+        df=out, features=names + ((BIAS,) if bias else ()), array_col=FEATURES, bias=bias, keep=tuple(keep), sparse=sparse, source=source
     )
 
 
@@ -202,7 +207,7 @@ _LEVELS = {
 
 
 @contextmanager
-def materialized(design: Design, storage: str = "memory_and_disk", spread: bool = True) -> Iterator[Design]:
+def materialized(design: Design, storage: str = "memory_and_disk") -> Iterator[Design]:
     """Keep the prepared table for the many passes of a fit.
 
     * ``memory_and_disk`` / ``memory`` / ``disk``: ``persist`` before the first
@@ -221,8 +226,6 @@ def materialized(design: Design, storage: str = "memory_and_disk", spread: bool
         yield design.select_only()
         return
     d = design.select_only()
-    if spread:
-        d = d.spread()
     if storage == "checkpoint":
         from ridgeline.session import shared_dir
 

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.sources.design import Design, array_points
+from ridgeline.sources.design import Design, array_points, sparse_points
 
 
 def read_libsvm(spark: SparkSession, path: str, num_features: int) -> DataFrame:
@@ -27,9 +27,14 @@ def libsvm_design(
     num_features: int,
     bias: bool = False,
     names: Sequence[str] | None = None,
+    sparse: bool = True,
 ) -> Design:
-    """LibSVM file(s) as a form-B design (``features array<double>``, optional virtual bias)."""
+    """LibSVM file(s) as a sparse design (default) or with dense arrays; optional virtual bias."""
     raw = read_libsvm(spark, path, num_features)
+    if sparse:
+        v = F.unwrap_udt("features")
+        pairs = raw.select("label", v.alias("v")).select("label", "v.indices", "v.values")
+        return sparse_points(pairs, "label", "indices", "values", num_features, bias=bias, names=names)
     arr = raw.select(F.col("label"), vector_to_array(F.col("features"), "float64").alias("features"))
     return array_points(arr, "label", "features", num_features, bias=bias, names=names)
 

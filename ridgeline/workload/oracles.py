@@ -96,7 +96,7 @@ def o_append_bias() -> str:
 
 
 def o_random_split() -> str:
-    return f"SELECT count(*) AS n_total, count(*) AS n_parts, true AS rows_match FROM ({points(LIN3)})"
+    return f"SELECT count(*) AS n_total, CAST(0 AS BIGINT) AS n_overlap, true AS share_ok FROM ({points(LIN3)})"
 
 
 def o_key_split() -> str:
@@ -183,10 +183,55 @@ def o_gradient_array_form() -> str:
     return f"{per} UNION ALL {bias}"
 
 
-def o_gradient_vector_form() -> str:
+def o_gradient_wide_columns() -> str:
     return o_gradient_array_form()
 
 
+def o_gradient_wide_named() -> str:
+    pts = (
+        "SELECT vec_id, [pow(CAST(embedding[(j % 64) + 1] AS DOUBLE), (j // 64) + 1) for j in range(320)] AS x, "
+        "CASE WHEN label = 2 THEN 0.0 ELSE 1.0 END AS y FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL"
+    )
+    w = "[((j % 7) - 3) / 100.0 for j in range(320)]"
+    m = f"(list_dot_product(x, CAST({w} AS DOUBLE[])) + 0.05)"
+    return (
+        f"WITH s AS (SELECT x, {logistic_slope(m)} AS s FROM ({pts})) "
+        f"SELECT CAST(i AS BIGINT) AS feature_index, 'e' || (i % 64) || '_p' || (i // 64) AS feature, {R('avg(s * x[i + 1])', 9)} AS gradient "
+        f"FROM s, range(320) r(i) GROUP BY i UNION ALL SELECT CAST(320 AS BIGINT), 'bias', {R('avg(s)', 9)} FROM s"
+    )
+
+
+def o_dirty_rows_array() -> str:
+    cells = [
+        "CAST(embedding[1] AS DOUBLE)",
+        "CASE WHEN vec_id % 5 <> 1 THEN CAST(embedding[2] AS DOUBLE) END",
+        "CASE WHEN vec_id % 7 <> 2 THEN CAST(embedding[3] AS DOUBLE) END",
+    ]
+    x = ", ".join(f"CASE WHEN vec_id % 11 <> 3 THEN {c} END AS x{j + 1}" for j, c in enumerate(cells))
+    pts = f"SELECT {x}, CASE WHEN vec_id % 13 <> 4 AND label IS NOT NULL THEN CASE WHEN label = 2 THEN 0.0 ELSE 1.0 END END AS y FROM embeddings"
+    good = "x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AND y IS NOT NULL"
+    m = "(0.5 * x1 - 0.25 * x2 + 0.125 * x3 + 0.05)"
+    terms = " UNION ALL ".join(
+        f"SELECT CAST({j} AS BIGINT) AS feature_index, '{n}' AS feature, {R(f'avg(s * {x})', 9)} AS gradient FROM s"
+        for j, (n, x) in enumerate((("x0", "x1"), ("x1", "x2"), ("x2", "x3"), ("bias", "1.0")))
+    )
+    return (
+        f"WITH p AS ({pts}), s AS (SELECT *, {logistic_slope(m)} AS s FROM p WHERE {good}), "
+        f"k AS (SELECT CAST(count(*) FILTER (NOT coalesce({good}, false)) AS BIGINT) AS dropped_rows FROM p) "
+        f"SELECT kind, g.*, dropped_rows FROM ({terms}) g, k, (VALUES ('array'), ('columns')) v(kind)"
+    )
+
+
+def o_gradient_sparse() -> str:
+    m = "z"
+    return (
+        "WITH w AS (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS w FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL), "
+        "c AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END AS y, CAST('0x' || substr(md5(w), 1, 5) AS BIGINT) AS i, count(*) AS v FROM w GROUP BY ALL), "
+        f"s AS (SELECT doc_id, {logistic_slope(m)} AS s FROM (SELECT doc_id, y, sum(v * ((i % 7) - 3) / 1000.0) AS z FROM c GROUP BY doc_id, y)) "
+        f"SELECT i AS feature_index, {R('sum(s * v) / (SELECT count(*) FROM s)', 9)} AS gradient FROM c JOIN s USING (doc_id) GROUP BY i HAVING sum(s * v) <> 0"
+    )
+
+
 def _alphas(values) -> str:
     return "(VALUES " + ", ".join(f"({lit(a)})" for a in values) + ") a(alpha)"
 
@@ -271,6 +316,10 @@ def o_gd_fit() -> str:
     return _gd_weights(LIN3, Q.GD_STEP, Q.GD_TOL, Q.GD_MAX, 1)
 
 
+def o_gd_passes_fit() -> str:
+    return o_gd_fit()
+
+
 def o_gd_history() -> str:
     cte = _gd_cte(LIN3, Q.GD_STEP, Q.GD_TOL, Q.GD_MAX, 1)
     parts = " UNION ALL ".join(
@@ -314,6 +363,29 @@ def o_cg_linear_fit() -> str:
     return rows([(j, n, R(f"w{j + 1}", 6)) for j, n in enumerate(LIN_NET.names)], w, "weight")
 
 
+def o_cg_linear_passes_fit() -> str:
+    return o_cg_linear_fit()
+
+
+def o_ml_linear_fit() -> str:
+    return o_cg_linear_fit()
+
+
+def o_cg_linear_wolfe_fit() -> str:
+    w = f"({_normal_equations(LIN_NET)})"
+    return rows([(j, n, R(f"w{j + 1}", 5)) for j, n in enumerate(LIN_NET.names)], w, "weight")
+
+
+def o_linear_final_loss() -> str:
+    """Around the means, so that the level of the labels does not drown the residuals."""
+    return (
+        "WITH p AS (SELECT l_quantity / 50 AS x, l_quantity * 0.5 + 0.001 * (l_linenumber % 3) AS y FROM lineitem), "
+        "m AS (SELECT avg(x) AS mx, avg(y) AS my FROM p), "
+        "c AS (SELECT avg((x - mx) * (x - mx)) AS xx, avg((x - mx) * (y - my)) AS xy FROM p, m) "
+        "SELECT count(*) AS n, round(avg(0.5 * power((y - my) - xy / xx * (x - mx), 2)) * 1e7, 1) AS loss_e7 FROM p, m, c"
+    )
+
+
 def _newton(fx: Fixture, lam: float, where: str | None = None) -> str:
     """Logistic weights (one feature + bias) by Newton steps: ``SELECT w1, w2``."""
     assert len(fx.names) == 2
@@ -347,6 +419,40 @@ def o_cg_logistic_l2_fit() -> str:
     return _newton_rows(LOG_SIG, Q.RIDGE)
 
 
+def o_cg_logistic_search_fit() -> str:
+    return _newton_rows(LOG_SIG, 0.0)
+
+
+def o_cg_logistic_sequential_fit() -> str:
+    return _newton_rows(LOG_SIG, 0.0)
+
+
+def o_cg_fit_report() -> str:
+    m = "((w.w1 * t.x1) + (w.w2 * t.x2))"
+    return (
+        f"SELECT 'cg_logistic' AS method, count(*) AS n_rows, CAST(2 AS BIGINT) AS dim, true AS converged, true AS passes_add_up, "
+        f"true AS losses_add_up, {R(f'avg({logistic_term(m, "t.y")})', 6)} AS final_loss, CAST(0 AS BIGINT) AS dropped_rows "
+        f"FROM ({points(LOG_SIG)}) t, ({_newton(LOG_SIG, 0.0)}) w"
+    )
+
+
+def o_cg_array_fit() -> str:
+    """Ridge logistic weights of the 64 embedding entries and the bias, by gradient descent over lists."""
+    pts = (
+        "SELECT list_append(CAST(embedding AS DOUBLE[]), 1.0::DOUBLE) AS x, CASE WHEN label = 2 THEN 0.0 ELSE 1.0 END AS y "
+        "FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL"
+    )
+    slope = logistic_slope("list_dot_product(p.x, g.w)", "p.y")
+    return (
+        f"WITH RECURSIVE pts AS ({pts}), gd(it, w) AS (SELECT 0, CAST([0.0 for j in range(65)] AS DOUBLE[]) UNION ALL "
+        f"SELECT it + 1, list(v ORDER BY i) FROM ("
+        f"SELECT it, i, any_value(wi) - 2.0 * (avg(s * xi) + {lit(Q.RIDGE)} * any_value(wi)) AS v FROM ("
+        f"SELECT g.it AS it, {slope} AS s, unnest(p.x) AS xi, unnest(g.w) AS wi, unnest(range(65)) AS i FROM gd g, pts p WHERE g.it < 150) GROUP BY it, i) GROUP BY it) "
+        f"SELECT CAST(i AS BIGINT) AS feature_index, CASE WHEN i = 64 THEN 'bias' ELSE 'x' || i END AS feature, {R('wi', 3)} AS weight "
+        f"FROM (SELECT unnest(w) AS wi, unnest(range(65)) AS i FROM gd WHERE it = 150)"
+    )
+
+
 def o_lbfgs_logistic_fit() -> str:
     return _newton_rows(LOG_SIG, 0.0)
 

@@ -20,8 +20,9 @@ from ridgeline.operators.passes import (
     gradient_table,
     line_search_profile,
     loss_table,
+    two_level,
 )
-from ridgeline.plans.baselines import fit_lbfgs_logistic
+from ridgeline.plans.baselines import fit_lbfgs_logistic, fit_ml_linear
 from ridgeline.plans.gd import fit_gd
 from ridgeline.plans.presets import (
     fit_gd_stock,
@@ -34,7 +35,8 @@ from ridgeline.plans.presets import (
 from ridgeline.plans.result import FitResult, LinearModel
 from ridgeline.session import scratch_path
 from ridgeline.sources.libsvm import libsvm_design, write_libsvm
-from ridgeline.sources.prepare import append_bias, binarize_label, key_part, random_split
+from ridgeline.sources.design import array_points, labeled_points, sparse_points
+from ridgeline.sources.prepare import append_bias, binarize_label, key_part, random_part
 from ridgeline.workload.fixtures import (
     EMB_NEGATIVE,
     LIN3,
@@ -98,14 +100,13 @@ def q_libsvm_scan(spark, sf_dir):
     """Write lin3 as LibSVM text to the shared folder, read it back, total per index."""
     path = scratch_path(spark, "libsvm")
     write_libsvm(lineitem_design(spark, sf_dir, LIN3), path)
-    ds = libsvm_design(spark, path, num_features=2)
-    parts = [F.struct(F.lit(-1).alias("i"), F.col("label").alias("v"))] + [
-        F.struct(F.lit(j).alias("i"), ds.x(j).alias("v")) for j in range(2)
-    ]
-    cells = ds.df.select(F.explode(F.array(*parts)).alias("c")).select("c.i", "c.v")
-    return cells.groupBy("i").agg(F.count("v").alias("n"), rnd(F.sum("v"), 6).alias("total")).select(
-        F.col("i").cast("bigint").alias("feature_index"), "n", "total"
-    )
+    ds = libsvm_design(spark, path, num_features=2, sparse=False)
+    cols = {-1: "label"} | {j: ds.x_sql(j) for j in range(2)}
+    one = ds.df.selectExpr(*[f"{c} AS c{k + 1}" for k, c in cols.items()])
+    one = two_level(one, {f"{f}{k + 1}": f"{f}(c{k + 1})" for k in cols for f in ("count", "sum")})
+    cells = ", ".join(f"{k}L, count{k + 1}, sum{k + 1}" for k in cols)
+    out = one.selectExpr(f"stack({len(cols)}, {cells}) AS (feature_index, n, total)")
+    return out.select("feature_index", "n", rnd("total", 6).alias("total"))
 
 
 # --- P: preparation -----------------------------------------------------------
@@ -127,22 +128,12 @@ def q_append_bias(spark, sf_dir):
 
 
 def q_random_split(spark, sf_dir):
-    """Invariants of the seeded 80/20 split: parts add up to the table, row for row."""
+    """The seeded 80/20 split: every row in one part, no key in both, shares within a percent."""
     src = lineitem_design(spark, sf_dir, LIN3, keep=KEYS).df
-    h = F.xxhash64(*src.columns).cast("decimal(38,0)")
-    train, test = random_split(src, (0.8, 0.2), seed=11)
-    tagged = (
-        src.select(F.lit(0).alias("side"), h.alias("h"))
-        .unionByName(train.select(F.lit(1).alias("side"), h.alias("h")))
-        .unionByName(test.select(F.lit(1).alias("side"), h.alias("h")))
-    )
-    agg = tagged.agg(
-        F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).cast("bigint").alias("n_total"),
-        F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).cast("bigint").alias("n_parts"),
-        F.sum(F.when(F.col("side") == 0, F.col("h"))).alias("h_total"),
-        F.sum(F.when(F.col("side") == 1, F.col("h"))).alias("h_parts"),
-    )
-    return agg.select("n_total", "n_parts", (F.col("h_total") == F.col("h_parts")).alias("rows_match"))
+    tagged = src.select(*KEYS, random_part([F.col(k) for k in KEYS], (0.8, 0.2), seed=11).alias("part"))
+    by_key = tagged.groupBy(*KEYS).agg(F.count("part").alias("n"), F.count_if(F.col("part") == 0).alias("train"))
+    agg = by_key.agg(F.sum("n").alias("n_total"), F.sum("train").alias("n_train"), F.count_if((F.col("train") > 0) & (F.col("train") < F.col("n"))).alias("n_overlap"))
+    return agg.select("n_total", "n_overlap", (F.abs(F.col("n_train") / F.col("n_total") - 0.8) < 0.01).alias("share_ok"))
 
 
 def q_key_split(spark, sf_dir):
@@ -218,10 +209,56 @@ def q_gradient_array_form(spark, sf_dir):
     return _grad_rows(gradient_table(ds, emb_weights(), "logistic"))
 
 
-def q_gradient_vector_form(spark, sf_dir):
-    """The same gradient as ``gradient_array_form`` through the wide-design path (one vector sum)."""
-    ds = embedding_design(spark, sf_dir)
-    return _grad_rows(gradient_table(ds, emb_weights(), "logistic", form="vector"))
+def q_gradient_wide_columns(spark, sf_dir):
+    """The same gradient from 64 columns, in the form of wide designs."""
+    emb = embedding_design(spark, sf_dir)
+    wide = labeled_points(emb.df, "label", {f"x{j}": F.col("features")[j] for j in range(64)}, bias=True)
+    return _grad_rows(gradient_table(wide, emb_weights(), "logistic", form="arrow"))
+
+
+def wide_names(dim: int = 320) -> list[str]:
+    return [f"e{j % 64}_p{j // 64}" for j in range(dim)]
+
+
+def q_gradient_wide_named(spark, sf_dir):
+    """320 named features: the first five powers of each embedding entry."""
+    emb = embedding_design(spark, sf_dir)
+    powers = F.concat(*[F.expr(f"transform(features, x -> pow(x, {k}D))") for k in range(1, 6)])
+    ds = array_points(emb.df.select("label", powers.alias("p")), "label", "p", 320, bias=True, names=wide_names())
+    return _grad_rows(gradient_table(ds, [((j % 7) - 3) / 100.0 for j in range(320)] + [0.05], "logistic"))
+
+
+def q_dirty_rows_array(spark, sf_dir):
+    """NULL and NaN elements, labels and arrays: columns and arrays leave out the same rows."""
+    emb = read_table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 3).cast("array<double>").alias("x"), "label")
+    hole = F.pmod("vec_id", F.lit(5)) == 1
+    x = F.when(F.pmod("vec_id", F.lit(11)) == 3, F.lit(None)).otherwise(
+        F.transform("x", lambda v, i: F.when(hole & (i == 1), F.lit(None)).when((F.pmod("vec_id", F.lit(7)) == 2) & (i == 2), F.lit(float("nan"))).otherwise(v))
+    )
+    y = F.when(F.pmod("vec_id", F.lit(13)) != 4, (F.col("label") != EMB_NEGATIVE).cast("double"))
+    dirty = emb.select(x.alias("x"), y.alias("y"))
+    array = array_points(dirty, "y", "x", 3, bias=True)
+    columns = labeled_points(dirty, "y", {f"x{j}": F.col("x")[j] for j in range(3)}, bias=True)
+    w = (0.5, -0.25, 0.125, 0.05)
+    parts = [gradient_table(ds, w, "logistic").select(F.lit(kind).alias("kind"), "*", F.lit(ds.dropped_rows()).cast("bigint").alias("dropped_rows")) for kind, ds in (("array", array), ("columns", columns))]
+    return parts[0].unionByName(parts[1]).select(
+        "kind", F.col("feature_index").cast("bigint").alias("feature_index"), "feature", rnd("gradient", 9).alias("gradient"), "dropped_rows"
+    )
+
+
+SPARSE_DIM = 1 << 20
+
+
+def q_gradient_sparse(spark, sf_dir):
+    """Sparse design 2**20 wide: counts of each document's hashed words; the gradient of its non-zero features."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", (F.col("lang") == "en").cast("double").alias("label"), F.explode(F.split("text", " ")).alias("w"))
+    index = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 5), 16, 10).cast("int")
+    cells = docs.groupBy("doc_id", "label", index.alias("i")).agg(F.count("*").cast("double").alias("v"))
+    cells = cells.groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x"))
+    ds = sparse_points(cells, "label", F.col("x.i"), F.col("x.v"), SPARSE_DIM)
+    w = [((j % 7) - 3) / 1000.0 for j in range(SPARSE_DIM)]
+    rows = gradient_table(ds, w, "logistic").filter("gradient <> 0")
+    return rows.select(F.col("feature_index").cast("bigint").alias("feature_index"), rnd("gradient", 9).alias("gradient"))
 
 
 def q_directional_derivative(spark, sf_dir):
@@ -248,12 +285,18 @@ def q_accuracy(spark, sf_dir):
 
 # --- F: iterative fits --------------------------------------------------------------
 def q_gd_fit(spark, sf_dir):
-    res = fit_gd(lineitem_design(spark, sf_dir, LIN3), step_size=GD_STEP, max_iter=GD_MAX, tol=GD_TOL)
+    res = fit_gd(lineitem_design(spark, sf_dir, LIN3), step_size=GD_STEP, max_iter=GD_MAX, tol=GD_TOL, solver="gram")
+    return _weights(spark, res, 6, iterations=True)
+
+
+def q_gd_passes_fit(spark, sf_dir):
+    """The per-iteration job: one pass over the rows for every step."""
+    res = fit_gd(lineitem_design(spark, sf_dir, LIN3), step_size=GD_STEP, max_iter=GD_MAX, tol=GD_TOL, solver="passes")
     return _weights(spark, res, 6, iterations=True)
 
 
 def q_gd_history(spark, sf_dir):
-    res = fit_gd(lineitem_design(spark, sf_dir, LIN3), step_size=GD_STEP, max_iter=GD_MAX, tol=GD_TOL)
+    res = fit_gd(lineitem_design(spark, sf_dir, LIN3), step_size=GD_STEP, max_iter=GD_MAX, tol=GD_TOL, solver="gram")
     return res.history_df(spark).select(
         F.col("iteration").cast("bigint").alias("iteration"),
         F.col("feature_index").cast("bigint").alias("feature_index"),
@@ -262,25 +305,49 @@ def q_gd_history(spark, sf_dir):
 
 
 def q_gd_baseline_fit(spark, sf_dir):
-    res = fit_gd_stock(lineitem_design(spark, sf_dir, LIN_RAW), step_size=STOCK_STEP, max_iter=STOCK_MAX, tol=STOCK_TOL)
+    res = fit_gd_stock(lineitem_design(spark, sf_dir, LIN_RAW), step_size=STOCK_STEP, max_iter=STOCK_MAX, tol=STOCK_TOL, solver="gram")
     return _weights(spark, res, 6, iterations=True)
 
 
 def q_linear_baseline_fit(spark, sf_dir):
-    res = fit_linear_gd(lineitem_design(spark, sf_dir, LIN_NET), max_iter=SGD_MAX, step_size=SGD_STEP)
+    res = fit_linear_gd(lineitem_design(spark, sf_dir, LIN_NET), max_iter=SGD_MAX, step_size=SGD_STEP, solver="gram")
     return _weights(spark, res, 6, iterations=True)
 
 
 def q_cg_linear_fit(spark, sf_dir):
-    return _weights(spark, fit_linear(lineitem_design(spark, sf_dir, LIN_NET)), 6)
+    return _weights(spark, fit_linear(lineitem_design(spark, sf_dir, LIN_NET), solver="gram"), 6)
+
+
+def q_cg_linear_passes_fit(spark, sf_dir):
+    """Least squares by CG, one pass per iteration with the exact step."""
+    return _weights(spark, fit_linear(lineitem_design(spark, sf_dir, LIN_NET), solver="passes"), 6)
+
+
+def q_cg_linear_wolfe_fit(spark, sf_dir):
+    """Least squares by CG with the bracket + zoom search."""
+    return _weights(spark, fit_linear(lineitem_design(spark, sf_dir, LIN_NET), solver="passes", line_search="wolfe", max_iter=30), 5)
+
+
+def q_ml_linear_fit(spark, sf_dir):
+    return _weights(spark, fit_ml_linear(lineitem_design(spark, sf_dir, LIN_NET)), 6)
 
 
 def q_cg_logistic_fit(spark, sf_dir):
+    return _weights(spark, fit_logistic(lineitem_design(spark, sf_dir, LOG_SIG), newton_steps=True), 3)
+
+
+def q_cg_logistic_search_fit(spark, sf_dir):
+    """The bracket + zoom search, bracketing steps in one pass."""
     return _weights(spark, fit_logistic(lineitem_design(spark, sf_dir, LOG_SIG)), 3)
 
 
+def q_cg_logistic_sequential_fit(spark, sf_dir):
+    """The bracket + zoom search, a pass for every trial step."""
+    return _weights(spark, fit_logistic(lineitem_design(spark, sf_dir, LOG_SIG), batched=False), 3)
+
+
 def q_cg_logistic_l2_fit(spark, sf_dir):
-    return _weights(spark, fit_logistic(lineitem_design(spark, sf_dir, LOG_SIG), reg_param=RIDGE), 3)
+    return _weights(spark, fit_logistic(lineitem_design(spark, sf_dir, LOG_SIG), reg_param=RIDGE, newton_steps=True), 3)
 
 
 def q_lbfgs_logistic_fit(spark, sf_dir):
@@ -288,57 +355,39 @@ def q_lbfgs_logistic_fit(spark, sf_dir):
 
 
 def q_linear_pipeline_mse(spark, sf_dir):
-    _, t = linear_train_mse(lineitem_design(spark, sf_dir, LIN_NET))
+    _, t = linear_train_mse(lineitem_design(spark, sf_dir, LIN_NET), solver="gram")
     return t.select("n", rnd("mse", 9).alias("mse"))
 
 
 def q_logistic_pipeline_accuracy(spark, sf_dir):
     train, test = split_designs(spark, sf_dir, LOG_SIG)
-    _, t = logistic_train_accuracy(train, test)
+    _, t = logistic_train_accuracy(train, test, newton_steps=True)
     return t.select("n", rnd("accuracy", 9).alias("accuracy"))
 
 
 def q_cg_fit_report(spark, sf_dir):
-    return fit_logistic(lineitem_design(spark, sf_dir, LOG_SIG)).report_df(spark)
+    """The parts of a fit's report that do not depend on timing."""
+    report = fit_logistic(lineitem_design(spark, sf_dir, LOG_SIG)).report_df(spark)
+    kinds = sum((F.col(f"{k}_passes") for k in ("gradient", "bracket", "zoom", "newton", "exact", "gram", "final")), F.lit(0))
+    return report.select(
+        "method", "n_rows", F.col("dim").cast("bigint").alias("dim"), F.col("stop_reason").isin("step", "gradient").alias("converged"),
+        (F.col("passes") == kinds).alias("passes_add_up"),
+        ((F.col("bracket_losses") == 10 * F.col("bracket_passes")) & (F.col("zoom_losses") == F.col("zoom_passes"))).alias("losses_add_up"),
+        rnd("final_loss", 6).alias("final_loss"), "dropped_rows",
+    )
+
+
+def q_linear_final_loss(spark, sf_dir):
+    """Reported loss of a least-squares fit on labels with a level of 1e8."""
+    src = read_table(spark, sf_dir, "lineitem")
+    ds = labeled_points(src, F.expr("1e8D + l_quantity * 0.5D + 0.001D * (l_linenumber % 3)"), {"qty": F.expr("l_quantity / 50")}, bias=True)
+    res = fit_linear(ds, solver="gram")
+    return spark.createDataFrame([(res.n_rows, float(res.final_loss))], "n long, loss double").select("n", F.round(F.col("loss") * 1e7, 1).alias("loss_e7"))
 
 
 def q_cg_array_fit(spark, sf_dir):
-    """Form B fit: ridge logistic CG on all 64 embedding entries plus bias (rows-only check)."""
+    """Form B fit: ridge logistic CG on all 64 embedding entries plus bias."""
     return _weights(spark, fit_logistic(embedding_design(spark, sf_dir), reg_param=RIDGE), 3)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "labeled_points": q_labeled_points,
-    "libsvm_scan": q_libsvm_scan,
-    "binarize_label": q_binarize_label,
-    "append_bias": q_append_bias,
-    "random_split": q_random_split,
-    "key_split": q_key_split,
-    "linear_margin": q_linear_margin,
-    "squared_loss_terms": q_squared_loss_terms,
-    "logistic_loss_terms": q_logistic_loss_terms,
-    "predict_linear": q_predict_linear,
-    "predict_logistic": q_predict_logistic,
-    "loss_ls": q_loss_ls,
-    "loss_logistic": q_loss_logistic,
-    "gradient_ls": q_gradient_ls,
-    "gradient_logistic": q_gradient_logistic,
-    "gradient_array_form": q_gradient_array_form,
-    "gradient_vector_form": q_gradient_vector_form,
-    "directional_derivative": q_directional_derivative,
-    "line_search_profile": q_line_search_profile,
-    "mse": q_mse,
-    "accuracy": q_accuracy,
-    "gd_fit": q_gd_fit,
-    "gd_history": q_gd_history,
-    "gd_baseline_fit": q_gd_baseline_fit,
-    "linear_baseline_fit": q_linear_baseline_fit,
-    "cg_linear_fit": q_cg_linear_fit,
-    "cg_logistic_fit": q_cg_logistic_fit,
-    "cg_logistic_l2_fit": q_cg_logistic_l2_fit,
-    "lbfgs_logistic_fit": q_lbfgs_logistic_fit,
-    "linear_pipeline_mse": q_linear_pipeline_mse,
-    "logistic_pipeline_accuracy": q_logistic_pipeline_accuracy,
-    "cg_fit_report": q_cg_fit_report,
-    "cg_array_fit": q_cg_array_fit,
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import ridgeline as rl
-from ridgeline.operators.passes import GramEvaluator, pass_settings
+from ridgeline.operators.passes import GramEvaluator
 from ridgeline.workload.fixtures import LIN3, LOG2, embedding_design
 
 from conftest import SF01
@@ -120,44 +120,80 @@ def test_line_search_profile_flags(lineitem01):
         assert r.curvature_ok == (abs(r.slope) <= -0.1 * s0)
 
 
-def test_pass_plan_is_one_pruned_scan_and_a_keyless_aggregate(spark, lineitem01):
-    ds = LIN3.design(lineitem01)
-    ev = rl.Evaluator(ds, "squared")
-    proj = ev._proj(np.array(W_LIN), with_x=True)
-    df = ds.df.selectExpr(*proj).selectExpr("count(_z)", "sum(_z * _x0)")
-    with pass_settings(spark):  # the settings the fits run their passes under
-        plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange SinglePartition" in plan
-    assert "hashpartitioning" not in plan.lower()
+def test_pass_plan_is_one_pruned_scan_and_an_aggregate(lineitem01):
+    plan = rl.gradient_table(LIN3.design(lineitem01), W_LIN)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_discount:double>" in plan
-    assert "*(1) HashAggregate" in plan  # partial aggregate inside whole-stage codegen
-
-
-def test_vector_form_equals_element_form(spark):
-    ds = embedding_design(spark, SF01)
-    w, d = np.linspace(-0.1, 0.1, 65), np.linspace(0.05, -0.05, 65)
-    e = rl.Evaluator(ds, "logistic", 0.1, form="elements")
-    v = rl.Evaluator(ds, "logistic", 0.1, form="vector")
-    (fe, ge), (fv, gv) = e.value_and_gradient(w), v.value_and_gradient(w)
-    assert fv == pytest.approx(fe, rel=1e-13)
-    np.testing.assert_allclose(gv, ge, rtol=1e-11, atol=1e-15)
-    for a, b in zip(e.probe(w, d, [0.5, 2.0], grad_for=2), v.probe(w, d, [0.5, 2.0], grad_for=2)):
-        assert b.loss == pytest.approx(a.loss, rel=1e-13) and b.slope == pytest.approx(a.slope, rel=1e-11)
-        np.testing.assert_allclose(b.grad, a.grad, rtol=1e-11, atol=1e-15)
-    for a, b in zip(e.curvature(w, d), v.curvature(w, d)):
-        np.testing.assert_allclose(np.atleast_1d(b), np.atleast_1d(a), rtol=1e-11, atol=1e-15)
-
-
-def test_wide_array_design_uses_vector_form_and_fits(spark):
-    emb = spark.read.parquet(f"{SF01}/embeddings.parquet")
-    wide = rl.array_points(emb, rl.binarize_label("label"), F.concat(*["embedding"] * 3), 192, bias=True)
-    assert rl.Evaluator(wide, "logistic").form == "vector"
-    r = rl.fit_logistic(wide, reg_param=0.1)
-    assert r.stop_reason in ("gradient", "step") and np.all(np.isfinite(r.weights))
-    copies = r.weights[:-1].reshape(3, 64)
-    np.testing.assert_allclose(copies, np.broadcast_to(copies[0], copies.shape), atol=1e-9)  # symmetric copies
-    with pytest.raises(ValueError):
-        rl.Evaluator(LIN3.design(emb.sparkSession.read.parquet(f"{SF01}/lineitem.parquet")), form="vector")
+    assert plan.count("FileScan") == 1 and "Python" not in plan
+
+
+@pytest.mark.parametrize("dim", [12, 13, 94, 95, 300])
+def test_forms_agree_at_any_width(spark, dim):
+    """Columns, arrays and sparse rows: same loss, gradient, trials, names and weights."""
+    rng = np.random.default_rng(dim)
+    x = np.round(rng.normal(size=(40, dim)), 3) * (rng.random((40, dim)) < 0.5)
+    y = (x[:, 0] + rng.normal(size=40) > 0).astype(float)
+    names = [f"name_{j}" for j in range(dim)]
+    df = spark.createDataFrame([(float(t), row.tolist()) for row, t in zip(x, y)], "y double, f array<double>")
+    array = rl.array_points(df, "y", "f", dim, bias=True, names=names)
+    columns = rl.labeled_points(df, "y", {n: F.col("f")[j] for j, n in enumerate(names)}, bias=True)
+    pairs = F.filter(F.transform("f", lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda p: p["v"] != 0)
+    sparse = rl.sparse_points(df.withColumn("p", pairs), "y", F.col("p.i"), F.col("p.v"), dim, bias=True, names=names)
+    evs = [rl.Evaluator(array, "logistic", 0.1), rl.Evaluator(sparse, "logistic", 0.1), rl.Evaluator(columns, "logistic", 0.1, form="arrow")]
+    assert [e.form for e in evs] == ["arrow"] * 3
+    if dim <= 95:
+        evs.append(rl.Evaluator(columns, "logistic", 0.1))
+        assert evs[-1].form == "elements"
+    w, d = np.linspace(-0.1, 0.1, dim + 1), np.linspace(0.05, -0.05, dim + 1)
+    f, g = evs[0].value_and_gradient(w)
+    t = evs[0].probe(w, d, [0.5, 2.0], grad_for=2)
+    for e in evs[1:]:
+        f2, g2 = e.value_and_gradient(w)
+        assert f2 == pytest.approx(f, rel=1e-12) and e.value(w) == pytest.approx(f, rel=1e-12)
+        np.testing.assert_allclose(g2, g, rtol=1e-9, atol=1e-14)
+        for a, b in zip(t, e.probe(w, d, [0.5, 2.0], grad_for=2)):
+            assert b.loss == pytest.approx(a.loss, rel=1e-12) and b.slope == pytest.approx(a.slope, rel=1e-9, abs=1e-14)
+            np.testing.assert_allclose(b.grad, a.grad, rtol=1e-9, atol=1e-14)
+    rows = rl.gradient_table(array, w, "logistic", 0.1).orderBy("feature_index").collect()
+    assert [r.feature for r in rows] == [*names, "bias"]
+    np.testing.assert_allclose([r.gradient for r in rows], g, rtol=1e-12)
+    if dim in (13, 300):
+        a, b = (rl.fit_logistic(ds, reg_param=0.1, max_iter=8) for ds in (array, sparse))
+        np.testing.assert_allclose(a.weights, b.weights, atol=1e-9)
+        assert a.iterations == b.iterations and a.final_loss == pytest.approx(b.final_loss, rel=1e-9)
+
+
+def test_one_row_rule_for_columns_and_arrays(spark):
+    nan = float("nan")
+    rows = [(0.0, [1.0, 2.0]), (1.0, [nan, 2.0]), (1.0, [None, 2.0]), (None, [1.0, 1.0]), (nan, [1.0, 1.0]), (1.0, None), (1.0, [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "y double, f array<double>")
+    array = rl.array_points(df, "y", "f", 2)
+    columns = rl.labeled_points(df, "y", {"x0": F.col("f")[0], "x1": F.col("f")[1]})
+    assert array.dropped_rows() == columns.dropped_rows() == 5
+    a, b = rl.Evaluator(array), rl.Evaluator(columns)
+    np.testing.assert_allclose(a.value_and_gradient([0.5, 0.1])[1], b.value_and_gradient([0.5, 0.1])[1])
+    assert a.n == b.n == 2
+    assert rl.fit_linear(array).report_df(spark).first().dropped_rows == 5
+    for bad in ([1.0], [1.0, 2.0, 3.0]):
+        wrong = rl.array_points(spark.createDataFrame([(1.0, bad)], "y double, f array<double>"), "y", "f", 2)
+        with pytest.raises(Exception, match="an array of 2 features is expected"):
+            rl.Evaluator(wrong).value_and_gradient([0.0, 0.0])
+
+
+def test_rows_without_a_loss_are_not_counted(spark):
+    df = spark.createDataFrame([(0.0, 1.0), (1.0, 2.0), (None, 3.0), (None, 4.0)], "y double, a double")
+    ds = rl.labeled_points(df, "y", ["a"], drop_nulls=False)
+    ev = rl.Evaluator(ds, "logistic")
+    f, _ = ev.value_and_gradient([0.3])
+    assert ev.n == 2 and f == pytest.approx(rl.loss_table(ds, [0.3], "logistic").first().loss)
+
+
+@pytest.mark.parametrize("solver", ["gram", "passes"])
+def test_final_loss_under_a_large_label_level(spark, solver):
+    x = np.arange(1000) / 1000
+    r = 5e-4 * (-1) ** np.arange(1000)
+    df = spark.createDataFrame([(float(1e8 + 3 * a + e), float(a)) for a, e in zip(x, r)], "y double, a double")
+    res = rl.fit_linear(rl.labeled_points(df, "y", ["a"], bias=True), solver=solver)
+    assert res.final_loss == pytest.approx(1.25e-7, rel=0.05)
 
 
 def test_table_operators_include_ridge_like_the_evaluator(lineitem01):
