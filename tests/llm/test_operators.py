@@ -79,11 +79,11 @@ def test_shards_shuffle_and_repeat(documents, clashing, empty):
 
 
 # --- 3: Jaccard join ------------------------------------------------------------
-def brute_components(rows, percent=85):
+def brute_components(rows, percent=85, width=4):
     sets = []
     for _, text in rows:
         w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
     root = list(range(len(rows)))
 
     def find(i):
