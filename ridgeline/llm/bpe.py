@@ -27,10 +27,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ridgeline.llm.common import claim
+
 LONG = 64
 BATCH_BYTES = 4_000_000
 WORDS_A_QUERY = 30_000
@@ -50,8 +53,7 @@ WITH RECURSIVE bpe(n, w, i, tok) AS (
             CASE WHEN s.i = x % 16777216 THEN x // 16777216 ELSE s.tok END
      FROM bpe s JOIN best USING (w) WHERE s.i <> x % 16777216 + 1)
 )
-SELECT w, list(tok ORDER BY i) AS ids
-FROM bpe JOIN (SELECT w, max(n) AS n FROM bpe GROUP BY w) USING (w, n) GROUP BY w
+SELECT w * 16777216 + i AS place, tok FROM bpe JOIN (SELECT w, max(n) AS n FROM bpe GROUP BY w) USING (w, n)
 """
 
 ENCODE_LONG = """
@@ -81,7 +83,7 @@ WITH RECURSIVE bpe(w, i, tok, live) AS (
      LEFT JOIN taken g ON g.w = s.w AND g.k = s.k - 1
      WHERE g.k IS NULL)
 )
-SELECT w, list(tok ORDER BY i) AS ids FROM bpe WHERE NOT live GROUP BY w
+SELECT w * 16777216 + i AS place, tok FROM bpe WHERE NOT live
 """
 
 DECODE = """
@@ -125,8 +127,8 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM rows")
         self.db.unregister("rows")
 
-    def _ask(self, sql: str, sequences: list) -> dict:
-        """The query's second column by sequence number; sequences: int arrays of tokens."""
+    def _ask(self, sql: str, sequences: list) -> list:
+        """The query's two columns over the token-position rows of the sequences."""
         import numpy as np
 
         lengths = np.array([len(s) for s in sequences], np.int64)
@@ -137,10 +139,9 @@ class Codec:
             "tok": np.concatenate(sequences).astype(np.int64),
         }
         self.db.register("start", pa.table(rows))
-        out = self.db.execute(sql).fetchnumpy()
+        out = list(self.db.execute(sql).fetchnumpy().values())
         self.db.unregister("start")
-        w, value = out.values()
-        return dict(zip(w.tolist(), value, strict=True))
+        return out
 
     def _learn(self, words: list[str]) -> None:
         import numpy as np
@@ -160,9 +161,11 @@ class Codec:
                 size += len(rest[end][1])
                 end += 1
             part = rest[at:end]
-            got = self._ask(ENCODE_LONG if long else ENCODE, [self.single[np.frombuffer(raw, np.uint8)] for _, raw in part])
-            for k, (word, _) in enumerate(part):
-                self.words[word] = np.asarray(got[k], "<u4").tobytes()
+            place, tok = self._ask(ENCODE_LONG if long else ENCODE, [self.single[np.frombuffer(raw, np.uint8)] for _, raw in part])
+            order = np.argsort(place)
+            cuts = (4 * np.searchsorted(place[order] >> 24, np.arange(len(part) + 1))).tolist()
+            ids = tok[order].astype("<u4").tobytes()
+            self.words.update((word, ids[a:b]) for (word, _), a, b in zip(part, cuts, cuts[1:], strict=False))
             at = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -192,8 +195,8 @@ class Codec:
         new = list(new)
         for at in range(0, len(new), WORDS_A_QUERY):
             part = new[at : at + WORDS_A_QUERY]
-            got = self._ask(DECODE, [np.frombuffer(raw, "<u4") for raw in part])
-            self.pieces.update((raw, got[k].encode("latin-1")) for k, raw in enumerate(part))
+            for k, text in zip(*self._ask(DECODE, [np.frombuffer(raw, "<u4") for raw in part]), strict=True):
+                self.pieces[part[k]] = text.encode("latin-1")
         get = self.pieces.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
@@ -222,10 +225,11 @@ def _mapped(df: DataFrame, source: str, added: dict[str, T.DataType], work) -> D
     arrow = {T.BinaryType(): pa.binary(), T.LongType(): pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", codec.cache_clear)
         do = work()
         for batch in batches:
             column = batch.column(batch.schema.names.index("__source"))
-            for rows in _blocks([len(v) if v is not None else 0 for v in column.to_pylist()] if len(batch) else []):
+            for rows in _blocks(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 new = do(column.slice(rows.start, rows.stop - rows.start).to_pylist())
                 yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable
 from hashlib import blake2b
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from ridgeline.session import scratch_path
 
 #: Distinct words that a worker remembers the hash of.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: White space of the word contracts, as a Java and RE2 class.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,12 +29,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def texts_of(column):
+    """Values of an Arrow column, a few hundred at a time."""
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).to_pylist()
+
+
 def learns(doc_id: Column | str, fold: int) -> Column:
     """True unless crc32(doc_id as text) mod 5 is the fold (a null id counts as the empty text)."""
     name = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
     return F.crc32(F.coalesce(name, F.lit("")).cast("binary")) % 5 != fold
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Say at the start of a task whose caches its worker may hold; those of other operators are let go.
+
+    Spark keeps Python workers between tasks, and so their module-level caches.
+    """
+    import ctypes
+    import gc
+
+    others = [k for k in _HELD if k != name]
+    for k in others:
+        _HELD.pop(k)()
+    _HELD[name] = clear
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class WordHashes(dict):
     """Signed 64-bit hash of a word's bytes; remembers a bounded number of words."""
 
@@ -47,6 +76,15 @@ class WordHashes(dict):
 WORD_HASHES = WordHashes()
 
 
+# Functions travel to the tasks by name, objects by value: tasks reach the worker's own table through these.
+def hash_of(word: bytes) -> int:
+    return WORD_HASHES[word]
+
+
+def forget_words() -> None:
+    WORD_HASHES.clear()
+
+
 def word_hashes(text: bytes | None):
     """Hashes of the text's words in order, A-Z lower-cased; split at ASCII white space."""
     import numpy as np

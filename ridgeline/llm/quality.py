@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm.common import claim, texts_of
+
 FEATURES = 1 << 14
 SAMPLE_ROWS = 8_000
 #: Fixed feature numbers: the bias, and a word that repeats the one before.
@@ -46,7 +48,7 @@ class Shapes(dict):
     def __missing__(self, word: bytes) -> int:
         shape = _COLLAPSE.sub(rb"\1", word.translate(_CLASSES))[:12]
         value = 2 + zlib.crc32(shape) % (FEATURES - 2)
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = value
         return value
@@ -55,6 +57,10 @@ class Shapes(dict):
 SHAPES = Shapes()
 
 
+def forget_shapes() -> None:
+    SHAPES.clear()
+
+
 def votes(text: bytes, words: list[bytes]) -> str:
     """One vote per labeller."""
     import numpy as np
@@ -145,9 +151,10 @@ def _texts(df: DataFrame) -> DataFrame:
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from collections import Counter
 
+    claim("quality", forget_shapes)
     seen: Counter = Counter()
     for batch in batches:
-        seen.update(votes(t, t.split()) for t in batch.column(0).to_pylist())
+        seen.update(votes(t, t.split()) for t in texts_of(batch.column(0)))
     if seen:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
@@ -155,9 +162,10 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
+    claim("quality", forget_shapes)
     for batch in batches:
         out = []
-        for text in batch.column(0).to_pylist():
+        for text in texts_of(batch.column(0)):
             words = text.split()
             number, n = np.unique(features(words), return_counts=True)
             out.append((votes(text, words), number.tolist(), (n / max(1, len(words))).tolist()))
@@ -198,10 +206,11 @@ def scored(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, weights=None) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        claim("quality", forget_shapes)
         at = own.index("text")
         for batch in batches:
             out = []
-            for text in batch.column(at).to_pylist():
+            for text in texts_of(batch.column(at)):
                 words = text.encode().split() if text else []
                 z = weights[BIAS] + weights[features(words)].sum() / len(words) if words else -np.inf
                 out.append(1 / (1 + np.exp(-float(z))))

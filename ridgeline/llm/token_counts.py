@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import materialize
+from ridgeline.llm.common import claim, materialize
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -102,6 +102,7 @@ def counter(path: str, pattern: str | None):
 
 def _counted(path: str, pattern: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_counts", counter.cache_clear)
         count = counter(path, pattern)
         for batch in batches:
             texts = batch.column(batch.schema.names.index("text")).to_pylist()
@@ -148,6 +149,7 @@ def _encoded(path: str, chunk: int, overlap: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_counts", counter.cache_clear)
         own = tokenizer(path)
         margin = max((len(t.content) for t in own.get_added_tokens_decoder().values()), default=0) + 1
         for batch in batches:

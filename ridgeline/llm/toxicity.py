@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import WORD_HASHES, learns
+from ridgeline.llm.common import claim, forget_words, hash_of, learns, texts_of
 
 SAMPLE_ROWS, ORDINARY = 6_000, 4
 DISCOUNT, TOP, WINDOW = 2, 3, 12
@@ -45,7 +45,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def _hash(word: bytes) -> int:
-    return WORD_HASHES[word.strip(_STRIP) or word]
+    return hash_of(word.strip(_STRIP) or word)
 
 
 class Evidence(dict):
@@ -57,7 +57,7 @@ class Evidence(dict):
 
     def __missing__(self, word: bytes) -> float:
         value = self.known.get(_hash(word), self.neutral)
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = value
         return value
@@ -80,6 +80,7 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct (toxic, u, w) of a batch: word w after u."""
     import numpy as np
 
+    claim("words", forget_words)
     for batch in batches:
         kinds = np.array(batch.column(1).to_pylist(), np.int64)
         words = [np.fromiter(map(_hash, w), np.int64, len(w)) for w in map(words_of, batch.column(0).to_pylist())]
@@ -141,9 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     shared = docs.sparkSession.sparkContext.broadcast((table, neutral))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words", forget_words)
         evidence = Evidence(*shared.value)
         for batch in batches:
-            found = [evidence.of(t) for t in batch.column(0).to_pylist()]
+            found = [evidence.of(t) for t in texts_of(batch.column(0))]
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(a, pa.float64()), pa.array(b, pa.float64())], names=["toxic", "top", "best"])
 
@@ -164,12 +166,13 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        claim("words", forget_words)
         table, neutral, (w, mean, scale, b) = shared.value
         evidence = Evidence(table, neutral)
         at = own.index("text")
         for batch in batches:
             out = []
-            for text in batch.column(at).to_pylist():
+            for text in texts_of(batch.column(at)):
                 found = np.array(evidence.of(text.encode() if text else None))
                 p = 1 / (1 + np.exp(-float(((found - mean) / scale) @ w + b)))
                 out.append(p if found.any() else min(p, 0.49))
