@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import materialize, word_hashes
+from ridgeline.llm.common import claim, forget_words, materialize, texts_of, word_hashes
 
 WIDTH, PERCENT = 4, 85
 #: Largest size that may enumerate subsets.
@@ -49,7 +49,7 @@ LOCAL, OFTEN, MOST_FREQUENT, HOT = 3, 8, 1_000_000, 4_096
 SKETCH_BITS = 2_048
 #: Candidates are found again among the documents by a bitmap of this size.
 BITMAP_BITS = 1 << 23
-COUNTED_TOKENS = 4_000_000
+COUNTED_TOKENS = 2_000_000
 
 
 def text_key():
@@ -136,6 +136,7 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        claim("words", forget_words)
         held, size, seen = [], 0, set()
 
         def frequent():
@@ -146,7 +147,7 @@ def _sets(width: int):
 
         for batch in batches:
             nodes, counts = [], []
-            for text in batch.column(2).to_pylist():
+            for text in texts_of(batch.column(2)):
                 s = shingles(text, width)
                 nodes.append(node := node_of(s))
                 counts.append(len(s))
@@ -154,10 +155,10 @@ def _sets(width: int):
                     seen.add(node)
                     held.append(s)
                     size += len(s)
+                    if size >= COUNTED_TOKENS:
+                        yield frequent()
+                        held, size, seen = [], 0, set()
             yield _rows(SETS, [batch.column(0), batch.column(1), nodes, counts, len(nodes), len(nodes)])
-            if size >= COUNTED_TOKENS:
-                yield frequent()
-                held, size, seen = [], 0, set()
         if held:
             yield frequent()
 
@@ -174,11 +175,18 @@ def _entries(shared, boundary: int, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        claim("words", forget_words)
         often, counts = shared.value
         seen: set[int] = set()
+        out, size = [], 0
+
+        def flush():
+            lengths = [len(x[1]) for x in out]
+            kind, node, n = (np.repeat([x[k] for x in out], lengths) for k in (0, 2, 3))
+            return _rows(ENTRIES, [kind.astype(np.int32), np.concatenate([x[1] for x in out]), node, n.astype(np.int32), np.concatenate([x[4] for x in out]).astype(np.int32)])
+
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
+            for text in texts_of(batch.column(0)):
                 s = shingles(text, width)
                 n, node = len(s), node_of(s)
                 if not n or node in seen:
@@ -189,29 +197,37 @@ def _entries(shared, boundary: int, width: int, percent: int):
                 if n <= boundary:
                     for m, keys in subset_keys(s, boundary, percent):
                         out.append((SUBSET, keys, node, n, np.full(len(keys), m)))
-                if 100 * n < percent * (boundary + 1):
-                    continue
-                take = prefix_length(n, percent)
-                c = np.zeros(n, np.int64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    c = np.where(often[at] == s, counts[at], 0)
-                order = np.lexsort((s, c))[:take]
-                s, c = s[order], c[order]
-                hot = c >= HOT
-                if (~hot).any():
-                    out.append((LIST, s[~hot], node, n, np.zeros(int((~hot).sum()), np.int64)))
-                if hot.any():
-                    out.append((HOT_LIST, s[hot], node, n, (node & 0x7FFFFFFF) % -(-c[hot] // BLOCK)))
-            if out:
-                lengths = [len(x[1]) for x in out]
-                kind, node, n = (np.repeat([x[k] for x in out], lengths) for k in (0, 2, 3))
-                yield _rows(ENTRIES, [kind.astype(np.int32), np.concatenate([x[1] for x in out]), node, n.astype(np.int32), np.concatenate([x[4] for x in out]).astype(np.int32)])
+                        size += len(keys)
+                if 100 * n >= percent * (boundary + 1):
+                    take = prefix_length(n, percent)
+                    c = np.zeros(n, np.int64)
+                    if len(often):
+                        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                        c = np.where(often[at] == s, counts[at], 0)
+                    rare = c == 0
+                    if np.count_nonzero(rare) >= take:
+                        s, c = s[rare][:take], c[rare][:take]
+                    else:
+                        order = np.lexsort((s, c))[:take]
+                        s, c = s[order], c[order]
+                    hot = c >= HOT
+                    if (~hot).any():
+                        out.append((LIST, s[~hot], node, n, np.zeros(int((~hot).sum()), np.int64)))
+                    if hot.any():
+                        out.append((HOT_LIST, s[hot], node, n, (node & 0x7FFFFFFF) % -(-c[hot] // BLOCK)))
+                    size += take
+                if size >= 100_000:
+                    yield flush()
+                    out, size = [], 0
+        if out:
+            yield flush()
 
     return run
 
 
-MEETINGS = "a long, b long, key long, block int, blocks int"
+MEETINGS = "kind int, a long, b long, key long, block int, n int, m int"
+#: Pairs of short lists, and members of longer ones with their blocks.
+PAIR, MEMBER = 3, 4
 
 
 class _Lists:
@@ -233,15 +249,7 @@ class _Lists:
         place = self.placed + np.arange(len(node))
         self.placed += len(node)
         self.last = node[-1] if len(node) else self.last
-        k = len(node)
-        return _rows(MEETINGS, [node, k, np.full(k, key), (place // BLOCK).astype(np.int32), k])
-
-    def total(self) -> pa.RecordBatch:
-        import numpy as np
-
-        row = _rows(MEETINGS, [1, 1, np.array([self.going]), 1, np.array([-(-self.placed // BLOCK)], np.int32)])
-        self.going = None
-        return row
+        return _meeting(MEMBER, a=node, key=key, block=place // BLOCK)
 
     def whole(self, key, node, n) -> Iterator[pa.RecordBatch]:
         """Lists that end here; the first may be the one that is going."""
@@ -255,12 +263,12 @@ class _Lists:
             if key[0] == self.going:
                 yield self.members(self.going, node[: ends[0]])
                 starts, ends = starts[1:], ends[1:]
-            yield self.total()
+            self.going = None
         more = ends - starts > 1
         for a, b in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
             if b - a > SHORT_LIST:
                 yield self.members(key[a], node[a:b])
-                yield self.total()
+                self.going = None
                 continue
             i, j = np.triu_indices(b - a, 1)
             i, j = i + a, j + a
@@ -280,35 +288,79 @@ class _Lists:
             self.held, self.n_held, k = [], 0, both.shape[1]
             for a in range(0, k, 100_000):
                 part = both[:, a : a + 100_000]
-                yield _rows(MEETINGS, [part[0], part[1], part.shape[1], part.shape[1], part.shape[1]])
+                yield _meeting(PAIR, a=part[0], b=part[1])
+
+
+def _meeting(kind: int, **columns) -> pa.RecordBatch:
+    """A batch of MEETINGS; single values are repeated, columns not named are null."""
+    import numpy as np
+
+    k = len(columns["a"])
+    names = [c.split()[0] for c in MEETINGS.split(", ")]
+    full = {"kind": kind} | columns
+    return _rows(MEETINGS, [np.broadcast_to(np.asarray(full[c], np.int32 if c in ("kind", "block", "n", "m") else np.int64), k).copy() if c in full else k for c in names])
 
 
 def _meetings(boundary: int, percent: int):
-    """From entries in order of (key, n, node): pairs (a, b) of short lists; members (a, key, block) and totals (key, blocks) of longer ones."""
+    """From entries in order of (kind, key, n, node): subset keys that two sets share, pairs of short
+    lists, members of longer ones; entries of hot lists are members already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         lists = _Lists(boundary, percent)
-        left = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+        def subsets(key, node, n, m, more=False):
+            """Rows whose key has more than one set; more: the only key goes on."""
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            group = np.cumsum(first) - 1
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+            keep = (np.bincount(group, fresh)[group] > 1) | more
+            if keep.any():
+                yield _meeting(SUBSET, a=node[keep], key=key[keep], n=n[keep], m=m[keep])
+
+        none = np.zeros(0, np.int64)
+        left, long_subset = (none,) * 5, None
         for batch in batches:
-            key, node, n = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(left))
+            kind, key, node, n, m = (np.concatenate([x, batch.column(i).to_numpy().astype(np.int64)]) for i, x in enumerate(left))
+            hot = kind == HOT_LIST
+            if hot.any():
+                yield _meeting(MEMBER, a=node[hot], key=key[hot], block=m[hot])
+                kind, key, node, n, m = (x[~hot] for x in (kind, key, node, n, m))
             if not len(key):
+                left = (none,) * 5
                 continue
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield from lists.whole(key[:cut], node[:cut], n[:cut])
-            left = (key[cut:], node[cut:], n[cut:])
+            start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])]))
+            cut = int(start[-1])
+            for want in (SUBSET, LIST):
+                own = np.flatnonzero(kind[:cut] == want)
+                if not len(own):
+                    continue
+                part = slice(int(own[0]), int(own[-1]) + 1)
+                if want == SUBSET:
+                    goes_on = key[part] == long_subset if long_subset is not None else np.zeros(len(own), bool)
+                    if goes_on.any():
+                        yield from subsets(key[part][goes_on], node[part][goes_on], n[part][goes_on], m[part][goes_on], more=True)
+                    if not goes_on.all():
+                        yield from subsets(*(x[part][~goes_on] for x in (key, node, n, m)))
+                    long_subset = None
+                else:
+                    yield from lists.whole(key[part], node[part], n[part])
+            left = tuple(x[cut:] for x in (kind, key, node, n, m))
             if len(left[0]) > 4 * SHORT_LIST:
-                own = left[1][np.concatenate([[True], left[1][1:] != left[1][:-1]])]
-                if lists.going is not None and lists.going != key[-1]:
-                    yield lists.total()
-                yield lists.members(key[-1], own)
-                left = tuple(x[:0] for x in left)
-        if len(left[0]):
-            yield from lists.whole(*left)
-        if lists.going is not None:
-            yield lists.total()
+                if left[0][0] == SUBSET:
+                    yield from subsets(*left[1:], more=True)
+                    long_subset = left[1][0]
+                else:
+                    if lists.going != key[-1]:
+                        lists.going = None
+                    yield lists.members(key[-1], left[2][np.concatenate([[True], left[2][1:] != left[2][:-1]])])
+                left = (none,) * 5
+        kind, key, node, n, m = left
+        if len(key) and kind[0] == SUBSET:
+            yield from subsets(key, node, n, m, more=key[0] == long_subset)
+        elif len(key):
+            yield from lists.whole(key, node, n)
         yield from lists.pairs()
 
     return run
@@ -332,10 +384,10 @@ def most_difference(n, m, percent: int):
 
 def _candidates(shared, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, seen = shared.value, set()
+        claim("words", forget_words)
+        bitmap, seen, out = shared.value, set(), []
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
+            for text in texts_of(batch.column(0)):
                 s = shingles(text, width)
                 node = node_of(s)
                 cell = node & (BITMAP_BITS - 1)
@@ -345,8 +397,35 @@ def _candidates(shared, width: int):
                     seen.clear()
                 seen.add(node)
                 out.append((node, len(s), sketch_of(s).tobytes(), s.astype("<i8").tobytes()))
-            if out:
-                yield _rows(CANDIDATES, list(zip(*out, strict=True)))
+                if len(out) >= 500:
+                    yield _rows(CANDIDATES, list(zip(*out, strict=True)))
+                    out = []
+        if out:
+            yield _rows(CANDIDATES, list(zip(*out, strict=True)))
+
+    return run
+
+
+def _bitmap(nodes: DataFrame):
+    """Broadcast bitmap of the nodes' low bits: of fixed size, so it may let others through, but loses none."""
+    import numpy as np
+
+    cells = nodes.select(F.col("node").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("cell")).distinct().toArrow()
+    bits = np.zeros(BITMAP_BITS, np.uint8)
+    bits[cells.column(0).to_numpy()] = 1
+    return nodes.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
+
+
+def _marked(shared):
+    """Keeps the rows whose node is in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        bitmap = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            cell = batch.column(0).to_numpy() & (BITMAP_BITS - 1)
+            yield batch.filter(pa.array((bitmap[cell >> 3] >> (cell & 7) & 1).astype(bool)))
 
     return run
 
@@ -382,9 +461,11 @@ def _checked(percent: int):
         import numpy as np
 
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = pa.array([linked(np.frombuffer(s, "<i8"), np.frombuffer(t, "<i8"), percent) for s, t in zip(x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 1)], names=["a", "b"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x, y = part.column(2).to_pylist(), part.column(3).to_pylist()
+                ok = pa.array([linked(np.frombuffer(s, "<i8"), np.frombuffer(t, "<i8"), percent) for s, t in zip(x, y, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(ok) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -453,32 +534,33 @@ def _links(texts: DataFrame, sets: DataFrame, width: int, percent: int) -> DataF
     sizes = {r["n"]: r["k"] for r in nodes.filter(F.col("n") <= 2 * MOST_SMALL).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
     boundary = boundary_by_cost(sizes, percent)
 
-    entries = materialize(texts.mapInArrow(_entries(often, boundary, width, percent), ENTRIES), "shingle-entries")
+    entries = texts.mapInArrow(_entries(often, boundary, width, percent), ENTRIES)
+    # the lists of one key meet in a task; hot ones are dealt by their blocks, as they need not meet
+    deal = F.xxhash64("key", F.when(F.col("kind") == HOT_LIST, F.col("m")).otherwise(0))
+    dealt = entries.withColumn("deal", deal).repartition("deal").drop("deal").sortWithinPartitions("kind", "key", "n", "node")
+    met = materialize(dealt.select("kind", "key", "node", "n", "m").mapInArrow(_meetings(boundary, percent), MEETINGS), "shingle-meetings")
+
     # small sets: the sets of one size under a key all link to those of the other size
     lo, hi = F.least("n", "m"), F.greatest("n", "m")
-    keyed = entries.filter(F.col("kind") == SUBSET).select("key", lo.alias("lo"), hi.alias("hi"), "node", "n")
-    ends = keyed.groupBy("key", "lo", "hi").agg(F.min(F.expr("CASE WHEN n = lo THEN node END")).alias("first"), F.min(F.expr("CASE WHEN n = hi THEN node END")).alias("last"), F.min("node").alias("x"), F.max("node").alias("y"))
-    ends = ends.filter("x <> y AND first IS NOT NULL AND last IS NOT NULL").drop("x", "y")
+    keyed = met.filter(F.col("kind") == SUBSET).select("key", lo.alias("lo"), hi.alias("hi"), F.col("a").alias("node"), "n")
+    ends = keyed.groupBy("key", "lo", "hi").agg(F.min(F.expr("CASE WHEN n = lo THEN node END")).alias("first"), F.min(F.expr("CASE WHEN n = hi THEN node END")).alias("last"))
+    ends = ends.filter("first IS NOT NULL AND last IS NOT NULL")
     stars = keyed.join(ends, ["key", "lo", "hi"]).select(F.col("node").alias("a"), F.expr("CASE WHEN n = lo THEN last ELSE first END").alias("b")).filter("a <> b").distinct()
 
-    listed = entries.filter(F.col("kind") == LIST).select("key", "node", "n").repartition("key").sortWithinPartitions("key", "n", "node")
-    met = materialize(listed.mapInArrow(_meetings(boundary, percent), MEETINGS), "shingle-meetings")
-    pairs = met.filter("b IS NOT NULL").select("a", "b").distinct()
-    hot = entries.filter(F.col("kind") == HOT_LIST).select("key", "node", F.col("m").alias("block")).distinct()
-    members = met.filter("b IS NULL AND a IS NOT NULL").select("key", F.col("a").alias("node"), "block").unionByName(hot)
-    totals = met.filter("blocks IS NOT NULL").select("key", "blocks").unionByName(hot.groupBy("key").agg((F.max("block") + 1).alias("blocks")))
+    pairs = met.filter(F.col("kind") == PAIR).select("a", "b").distinct()
+    members = met.filter(F.col("kind") == MEMBER).select("key", F.col("a").alias("node"), "block").distinct()
+    totals = members.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
 
-    cells = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).select(F.col("node").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("cell")).distinct().toArrow()
-    bits = np.zeros(BITMAP_BITS, np.uint8)
-    bits[cells.column(0).to_numpy()] = 1
-    bitmap = context.broadcast(np.packbits(bits, bitorder="little").tobytes())
-    own = texts.mapInArrow(_candidates(bitmap, width), CANDIDATES).dropDuplicates(["node"])
-    own = materialize(own, "candidate-sets")
+    bitmap = _bitmap(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")))
+    own = materialize(texts.mapInArrow(_candidates(bitmap, width), CANDIDATES), "candidate-sets")
 
-    brief = own.select("node", "n", "sketch")
+    brief = own.select("node", "n", "sketch").dropDuplicates(["node"])
     left, right = (brief.toDF(x, f"{x}_n", f"{x}_sketch") for x in "ab")
     near = pairs.join(left, "a").join(right, "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(_near_sketches(percent), "a long, b long")
     near = materialize(near, "near-pairs")
+    # of the candidates' sets, only those still in question move; a set comes from several tasks if it has copies
+    bitmap = _bitmap(near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")))
+    own = own.mapInArrow(_marked(bitmap), CANDIDATES).dropDuplicates(["node"])
     left, right = (own.select(F.col("node").alias(x), F.col("elements").alias(f"{x}_set")) for x in "ab")
     exact = near.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(_checked(percent), "a long, b long")
 
