@@ -6,9 +6,15 @@ words that it follows in texts of the class, so repeated and copied passages cou
 classes share, which are themselves made of what was taken off (at most ``DISCOUNT`` per
 word and class).  An expression too rare to tell the classes apart therefore gets the
 same probability from both, up to a constant.  The difference of the two log-likelihoods
-is normalised by length in two ways: the mean over the ``TOP`` most toxic words, and over
-the most toxic window of ``WINDOW`` words.  A logistic curve, fitted on labelled documents
-left out of the counts, turns both into a score.
+is normalised by length in two ways: the mean over the most toxic words (one in ``SPREAD``,
+at least ``TOP``), and over the most toxic windows of ``WINDOW`` words (as many words of
+the text to each, at least one window).  So a longer text needs more evidence in
+proportion, and joining texts end to end does not raise a score.  A logistic curve, fitted
+on labelled documents left out of the counts, turns both into a score.
+
+The mean over all words was tried and left out: on held-out documents of sf0.1 its area
+under the curve is 0.771 (check_s 0.799, check_l 0.836), as a few words in a hundred carry
+the evidence and small differences of common words outweigh them.
 
 A bigram level above the words was tried and left out: on held-out documents of 0.1 GB it
 took the area under the curve from 0.9997 down to 0.82, by passages that copies repeat.
@@ -36,6 +42,8 @@ from ridgeline.llm.common import claim, forget_words, hash_of, learns, texts_of
 
 SAMPLE_ROWS, ORDINARY = 6_000, 4
 DISCOUNT, TOP, WINDOW = 2, 3, 12
+#: Words of a text for each one, and each window, that its evidence is the mean of.
+SPREAD = 400
 START = 0
 _STRIP = b".,;:!?\"'()[]{}*#$%&|"
 
@@ -63,7 +71,7 @@ class Evidence(dict):
         return value
 
     def of(self, text: bytes | None) -> tuple[float, float]:
-        """(mean of the TOP words, mean of the best window); a shorter text is filled up with neutral words."""
+        """(mean of the most toxic words, of the best windows); a shorter text is filled up with neutral words."""
         import numpy as np
 
         words = words_of(text)
@@ -71,9 +79,12 @@ class Evidence(dict):
             return 0.0, 0.0
         d = np.fromiter(map(self.__getitem__, words), np.float64, len(words)) - self.neutral
         total = np.concatenate([[0.0], np.cumsum(d)])
-        n = min(WINDOW, len(d))
-        top = np.sort(np.partition(d, -TOP)[-TOP:]) if len(d) > TOP else d
-        return float(top.sum() / TOP), float((total[n:] - total[:-n]).max() / WINDOW)
+        n, most = min(WINDOW, len(d)), max(TOP, len(d) // SPREAD)
+        top = np.sort(np.partition(d, -most)[-most:]) if len(d) > most else d
+        starts = np.arange(0, len(d) - n + 1, WINDOW)
+        windows = np.maximum.reduceat(total[n:] - total[:-n], starts)  # the best one of those that start in each run of WINDOW words
+        best = np.sort(windows)[-max(1, len(d) // SPREAD) :]
+        return float(top.sum() / most), float(best.mean() / WINDOW)
 
 
 def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

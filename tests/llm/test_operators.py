@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.llm import ann, bpe, fingerprint, jaccard, language_model, mixing, quality, queries, sharding, token_counts, toxicity
+from ridgeline.llm.common import learns
 
 SF = "/root/testdata/sf0.01"
 RANKS, JSON = P.path(queries.RANKS), P.path(queries.TOKENIZER)
@@ -228,6 +229,20 @@ def test_toxicity_held_out(spark):
     assert auc(s, y) > 0.93 and ((s >= 0.5) == y).mean() > 0.96 and (s[y == 0] >= 0.5).mean() < 0.02
 
 
+def test_toxicity_of_joined_texts(spark):
+    big = "/root/testdata/sf0.1"
+    docs, marks = spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{big}/labels.parquet")
+    held = docs.join(marks, "doc_id").filter(~learns("doc_id", 0)).orderBy("doc_id").collect()
+    rnd, joined = np.random.default_rng(5), []
+    for toxic, sizes in ((0, (20, 50, 100, 200)), (1, (5, 20, 50))):
+        own = [r["text"] for r in held if r["toxic"] == toxic and r["text"]]
+        joined += [(-1 - 10 * n - toxic, "\n".join(own[i] for i in rnd.integers(0, len(own), n))) for n in sizes for _ in range(20)]
+    rows = toxicity.scored(docs.unionByName(spark.createDataFrame(joined, docs.schema)), marks).filter("doc_id < 0").collect()
+    flagged = {toxic: [r["toxicity"] >= 0.5 for r in rows if -r["doc_id"] % 10 == 1 + toxic] for toxic in (0, 1)}
+    print("flagged joins of clean texts", np.mean(flagged[0]), "of toxic texts", np.mean(flagged[1]))
+    assert len(rows) == 140 and not any(flagged[0]) and np.mean(flagged[1]) > 0.9
+
+
 def test_toxicity_odd_rows(odd, clashing, empty, labels, spark):
     marks = spark.createDataFrame([(k, k % 2) for k in range(24)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     for df in (odd, clashing):
