@@ -1,7 +1,10 @@
 """Document fingerprints by a homomorphic multiset hash.
 
 A text is a multiset of paragraphs: its lines, a line of more than ``PARAGRAPH``
-characters cut behind sentence ends.  Each paragraph is hashed to a wide vector,
+characters cut behind sentence ends.  What is still long for its line is cut on behind
+words (characters, in scripts and runs without spaces) that a hash of the last ``NEAR``
+characters picks, so that an edit changes only the paragraphs around it; a shorter line
+is cut finer, to have several paragraphs.  Each paragraph is hashed to a wide vector,
 and the fingerprint is the sum of the vectors, modulo powers of two per lane:
 
 - 8 lanes modulo 2**64 that every paragraph fills (equality),
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import re
+import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -31,20 +35,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PARAGRAPH = 200
+#: Characters that pick a cut; about so many paragraphs of a short line; least and most characters of one, on average.
+NEAR, PARTS, FINEST, COARSEST = 8, 8, 16, 128
 DENSE, LEVELS, LANES = 8, 6, 64
 #: Ranges of doc_id: at most so many, so that the table of their first rows can be broadcast.
 MOST_RANGES = 50_000
 ROWS_A_RANGE = 4_000
 _SENTENCE = re.compile(r"(?<=[.!?;|]) ")
+_SOLID = r"[^\s\u2e80-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]"
+#: A word of up to 32 characters with the space behind it, or else one character.
+_UNIT = re.compile(rf"(?<!{_SOLID}){_SOLID}{{1,32}}(?!{_SOLID})\s*|.", re.DOTALL)
+
+
+def cut(piece: str, size: int) -> list[str]:
+    """piece in parts of about size characters (a power of two), at most about twice as many; picks of a larger size are picks of a smaller one."""
+    out, at = [], 0
+    for unit in _UNIT.finditer(piece):
+        end = unit.end()
+        if end - at < size // 4:
+            continue
+        every = size // 8 if end - unit.start() > 1 else size
+        if zlib.crc32(piece[max(0, end - NEAR) : end].encode()) % every == 0 or end - at >= 2 * size:
+            out.append(piece[at:end])
+            at = end
+    return [*out, piece[at:]]
 
 
 def paragraphs(text: str) -> list[str]:
     out = []
     for line in text.split("\n"):
-        if len(line) <= PARAGRAPH:
-            out.append(line)
-        else:
-            out += _SENTENCE.split(line)
+        size = min(COARSEST, max(FINEST, 1 << (len(line) // PARTS).bit_length() >> 1))
+        for piece in [line] if len(line) <= PARAGRAPH else _SENTENCE.split(line):
+            out += [piece] if len(piece) <= min(2 * size, PARAGRAPH) else cut(piece, size)
     return [p for p in out if p]
 
 

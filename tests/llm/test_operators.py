@@ -202,6 +202,26 @@ def test_fingerprint_is_homomorphic():
     assert 0.6 < some < 0.97
 
 
+def test_fingerprints_of_unpunctuated_lines(spark):
+    rnd = np.random.default_rng(3)
+    letters = lambda n: "".join(map(chr, rnd.integers(97, 123, n)))
+    words = lambda n: " ".join(letters(k) for k in rnd.integers(2, 9, n))
+    cjk = lambda n: "".join(map(chr, rnd.integers(0x4E00, 0x9FA5, n)))
+    texts = [make(n) for n in (300, 1000, 5000) for make in (words, cjk, letters) for _ in range(8)] + ["Lyly " * 210, words(3000)]
+    rows = {r["doc_id"]: r for r in fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    near = np.array([rows[k]["near_edited"] for k in range(len(texts))])
+    print("near_edited", near.min(), near.mean())
+    assert all(r["near_edited"] > r["near_next"] for r in rows.values()) and near.min() > 0.2 and near.mean() > 0.5
+    shifted = [fingerprint.likeness(fingerprint.vector(t), fingerprint.vector("zz " + t)) for t in texts[:-2] if len(t) > 2000]
+    assert min(shifted) > 0.5
+    short = [words(15) for _ in range(200)]
+    kept = [fingerprint.likeness(fingerprint.vector(a), fingerprint.vector(fingerprint.edited(a, b))) for a, b in zip(short, short[1:])]
+    assert np.mean(kept) > 0.4
+    for a, b in zip(texts, texts[1:]):
+        assert fingerprint.packed(fingerprint.add(fingerprint.vector(a), fingerprint.vector(b))) == fingerprint.packed(fingerprint.vector(a + "\n" + b))
+        assert "".join(fingerprint.paragraphs(a)) == a
+
+
 def test_fingerprints_odd_rows(odd, clashing, empty, spark):
     rows = fingerprint.fingerprints(odd).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in odd.collect())
