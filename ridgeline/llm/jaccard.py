@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import claim, forget_words, materialize, texts_of, word_hashes
+from ridgeline.llm.common import WORD, claim, forget_words, materialize, texts_of, word_hashes
 
 WIDTH, PERCENT = 4, 85
 #: Largest size that may enumerate subsets.
@@ -592,11 +592,12 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs with the first document (by id, then text) of each component; those without shingles stay."""
+    """docs with the first document (by id, then text) of each component; those without shingles all stay."""
     found = join(docs, width, percent)
     chosen = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("x")).select("x.doc_id", "x.text_key")
-    chosen = chosen.unionByName(found.filter("root IS NULL").select("doc_id", "text_key")).distinct().toDF("__id", "__key")
-    own = docs.columns
-    rows = docs.withColumn("__text_key", text_key())
+    chosen = chosen.toDF("__id", "__key")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    has_words = F.coalesce("text", F.lit("")).rlike(WORD)
+    rows = docs.filter(has_words).withColumn("__text_key", text_key())
     rows = rows.join(chosen, (F.col("__text_key") == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__text_key"]).select(*[F.col(f"`{c}`") for c in own])
+    return rows.dropDuplicates(["doc_id", "__text_key"]).select(*own).unionByName(docs.filter(~has_words).select(*own))

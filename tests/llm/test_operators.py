@@ -163,6 +163,13 @@ def test_one_of_each(odd, clashing, empty):
     assert jaccard.join(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_keeps_all_rows_without_words(spark):
+    blank = [(None, None), (None, ""), (None, None), (7, None), (7, ""), (7, ""), (8, " \t\n"), (8, " \t\n")]
+    df = spark.createDataFrame([*blank, (1, "one two three"), (1, "one two three"), (2, "one two three")], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(df).collect())
+    assert got == Counter([*blank, (1, "one two three")])
+
+
 # --- 4: fingerprints ------------------------------------------------------------
 def brute_fingerprints(rows):
     rows = [(i, t or "") for i, t in rows]
