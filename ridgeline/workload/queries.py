@@ -209,6 +209,12 @@ def q_gradient_array_form(spark, sf_dir):
     return _grad_rows(gradient_table(ds, emb_weights(), "logistic"))
 
 
+def q_gradient_vector_form(spark, sf_dir):
+    """The same gradient as ``gradient_array_form`` with the arrow form asked for by name."""
+    ds = embedding_design(spark, sf_dir)
+    return _grad_rows(gradient_table(ds, emb_weights(), "logistic", form="arrow"))
+
+
 def q_gradient_wide_columns(spark, sf_dir):
     """The same gradient from 64 columns, in the form of wide designs."""
     emb = embedding_design(spark, sf_dir)

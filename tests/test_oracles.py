@@ -40,6 +40,10 @@ def test_every_oracle_names_a_query():
     assert set(E.oracle_sql()) <= set(E.queries()) and set(QUERIES) <= set(E.queries())
 
 
+def test_earlier_queries_stay():
+    assert "gradient_vector_form" in set(E.queries()) & set(E.oracle_sql())
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF001)
