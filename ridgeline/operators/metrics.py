@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.losses import sigmoid
 from ridgeline.plans.result import LinearModel
-from ridgeline.sources.design import Design
+from ridgeline.sources.design import Design, sql_name
 
 
 def predict(design: Design, model: LinearModel, keep: Sequence[str] = ()) -> DataFrame:
@@ -22,13 +22,13 @@ def predict(design: Design, model: LinearModel, keep: Sequence[str] = ()) -> Dat
     """
     if tuple(model.features) != tuple(design.features):
         raise ValueError(f"model features {model.features} do not match design features {design.features}")
-    m = design.dot(model.weights)
-    cols = [F.col(c) for c in keep] + [design.y().alias("label")]
+    rows = design.margins([*map(sql_name, keep), f"{design.y_sql()} AS label"], _z=model.weights)
     if model.kind == "linear":
-        return design.df.select(*cols, m.alias("prediction"))
-    prob = sigmoid(m)
-    return design.df.select(
-        *cols,
+        return rows.withColumnRenamed("_z", "prediction")
+    prob = sigmoid(F.col("_z"))
+    return rows.select(
+        *keep,
+        "label",
         prob.alias("probability"),
         F.when(prob > F.lit(float(model.threshold)), F.lit(1.0)).otherwise(F.lit(0.0)).alias("prediction"),
     )

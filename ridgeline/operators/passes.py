@@ -4,13 +4,15 @@ Two forms, chosen by the kind of design and never by its width:
 
 * ``elements`` (column designs): column-pruned scan (or in-memory table scan) ->
   Project(margin z, direction projection p, label, x_j) -> partial HashAggregate
-  (one row per partition, map side).  The rows meet in two steps, first by
-  ``partition id mod BUCKETS`` and then in one row, so no task merges a row per
-  input partition.  All JVM side, inside whole-stage codegen.
+  (one row per partition, map side).  The rows meet by ``partition id mod BUCKETS``, so
+  no task merges a row per input partition; the fit loops add up the at most BUCKETS rows
+  that remain, the tables have Spark add them.  All JVM side, inside whole-stage codegen.
 * ``arrow`` (array and sparse designs; wide column designs on request): each Arrow
   batch is one matrix product; a partition returns its partial sums as rows
   (position, value), which Spark adds up by position.  The plan does not grow with
-  the width, and a sparse design only ever touches its non-zeros.
+  the width.  Of a sparse design tasks sum (feature, value) pairs of the non-zeros and
+  hold no array of all features but the weights; models too wide for that are
+  :mod:`ridgeline.plans.wide`'s.
 
 Two families:
 
@@ -34,7 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.losses import get_loss
-from ridgeline.sources.design import Design, sql_double
+from ridgeline.session import stored
+from ridgeline.sources.design import Design, sql_double, sql_name
 
 BUCKETS = 64  # groups that partial sums meet in before the last row
 
@@ -49,19 +52,29 @@ def _f(v) -> float:
 
 @dataclass
 class Trial:
-    """Objective along ``w + alpha*d``: value, slope phi'(alpha), optional full gradient."""
+    """Objective along ``w + alpha*d``: value, slope phi'(alpha), optional full gradient.
+
+    ``change`` is phi(alpha) - phi(0), summed up from the rows' own changes: unlike a difference
+    of two losses it keeps its digits when steps are tiny, so comparisons of trials go by it.
+    """
 
     alpha: float
     loss: float
     slope: float
     grad: np.ndarray | None = None
     hess: np.ndarray | None = None
+    change: float = 0.0
+
+
+def bucketed(base: DataFrame, aggregates: dict[str, str]) -> DataFrame:
+    """The named aggregates (SQL) of every bucket: at most BUCKETS rows, whatever the input."""
+    part = base.selectExpr("*", f"pmod(spark_partition_id(), {BUCKETS}) AS _bucket").groupBy("_bucket")
+    return part.agg(*[F.expr(e).alias(n) for n, e in aggregates.items()])
 
 
 def two_level(base: DataFrame, sums: dict[str, str]) -> DataFrame:
     """One row with the named aggregates (``sum(..)`` or ``count(..)`` SQL), added up in two steps."""
-    part = base.selectExpr("*", f"pmod(spark_partition_id(), {BUCKETS}) AS _bucket").groupBy("_bucket")
-    return part.agg(*[F.expr(e).alias(n) for n, e in sums.items()]).agg(*[F.sum(n).alias(n) for n in sums])
+    return bucketed(base, sums).agg(*[F.sum(n).alias(n) for n in sums])
 
 
 class Block:
@@ -88,13 +101,52 @@ class Block:
             out = self.x @ v[: self.x.shape[1]]
         return out + v[-1] if self.bias else out
 
-    def gradient(self, s):
-        """``sum(s * x)`` by feature."""
+    def add_gradient(self, s, sums: Sums, at: int) -> None:
+        """``sum(s * x)`` by feature, to the positions from ``at`` on."""
         if self.sparse:
-            out = np.bincount(self.index, s[self.row] * self.value, self.dim - self.bias)
+            sums.scatter(at + self.index, s[self.row] * self.value)
+        else:
+            sums.add(at, s @ self.x)
+        if self.bias:
+            sums.add(at + self.dim - 1, np.array([s.sum()]))
+
+
+class Sums:
+    """Partial sums of a task by position: a dense array, or for sparse designs the positions met."""
+
+    PENDING = 1 << 20
+
+    def __init__(self, n_scalars: int, width: int, sparse: bool):
+        self.dense = np.zeros(n_scalars if sparse else width)
+        self.at, self.value, self.pending = [], [], 0
+
+    def add(self, at: int, values) -> None:
+        if at + len(values) <= len(self.dense):
+            self.dense[at : at + len(values)] += values
         else:
-            out = s @ self.x
-        return np.append(out, s.sum()) if self.bias else out
+            self.scatter(np.arange(at, at + len(values)), np.asarray(values))
+
+    def scatter(self, at, values) -> None:
+        self.at.append(at)
+        self.value.append(values)
+        self.pending += len(at)
+        if self.pending > self.PENDING:
+            self.met()
+
+    def met(self):
+        """(positions, sums) scattered so far, each position once."""
+        if not self.at:
+            return np.zeros(0, np.int64), np.zeros(0)
+        at, inverse = np.unique(np.concatenate(self.at), return_inverse=True)
+        value = np.bincount(inverse, np.concatenate(self.value), len(at))
+        self.at, self.value, self.pending = [at], [value], 0
+        return at, value
+
+    def rows(self, n: int):
+        """(position, value), the number of rows at position -1."""
+        own = np.flatnonzero(self.dense)
+        at, value = self.met()
+        return np.concatenate([own, at, [-1]]).astype(np.int64), np.concatenate([self.dense[own], value, [float(n)]])
 
 
 @dataclass
@@ -128,8 +180,9 @@ class Evaluator:
     def _run(self, proj: list[str], aggs: list[str], kind: str, counted: str):
         """Means of the ``sum(..)`` terms over the rows where ``counted`` is not NULL."""
         names = {"_n": f"count({counted})"} | {f"_s{k}": a for k, a in enumerate(aggs)}
-        row = two_level(self.design.df.selectExpr(*proj), names).collect()[0]
-        return self._means(row[0], [_f(v) for v in row[1:]], kind)
+        rows = bucketed(self.design.df.selectExpr(*proj), names).collect()  # at most BUCKETS
+        rows = [r[1:] for r in sorted(rows) if r["_n"]]
+        return self._means(sum(r[0] for r in rows), [sum(_f(r[k]) for r in rows) for k in range(1, len(names))], kind)
 
     def _means(self, n, sums, kind: str):
         self.passes[kind] += 1
@@ -138,29 +191,49 @@ class Evaluator:
         self.n = int(n)
         return [v / n for v in sums]
 
-    def _arrow(self, work, width: int, kind: str):
-        """Means of the ``width`` sums that ``work(block, y)`` gives for each batch."""
+    def _arrow(self, work, n_scalars: int, n_gradients: int, kind: str, margins=None, terms=()):
+        """Means of the sums that ``work(block, y, terms)`` gives for each batch.
+
+        It returns scalars, and slopes whose sums over the features are taken.  ``terms`` are SQL
+        expressions in ``_z``, ``_p`` and ``_y`` for losses that only state SQL; margins: (w, d or None).
+        """
         design = self.design
         shape = replace(design, df=None, source=None)  # what the tasks need to know
+        dim, sparse = design.dim, design.sparse
+        width = n_scalars + n_gradients * dim
+        stored = [design.array_col] if design.array_col else list(design.features[: design.stored_dim])
+        first = 1 + len(stored)
 
         def run(batches):
             import pyarrow as pa
 
-            total, n = np.zeros(width), 0
+            sums, n = Sums(n_scalars, width, sparse), 0
             for batch in batches:
                 if batch.num_rows:
-                    total += work(Block(shape, batch), batch.column(0).to_numpy())
+                    block = Block(shape, batch)
+                    scalars, slopes = work(block, batch.column(0).to_numpy(), [batch.column(k).to_numpy() for k in range(first, batch.num_columns)])
+                    sums.add(0, np.asarray(scalars, dtype=float))
+                    for k, s in enumerate(slopes):
+                        block.add_gradient(s, sums, n_scalars + k * dim)
                     n += batch.num_rows
-            at = np.append(np.flatnonzero(total), -1)  # -1: the rows
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.append(total[at[:-1]], float(n)))], names=["i", "v"])
-
-        stored = [design.array_col] if design.array_col else list(design.features[: design.stored_dim])
-        rows = design.df.select(design.label, *stored).mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+            at, value = sums.rows(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(value)], names=["i", "v"])
+
+        rows = design.df.select(design.label, *stored)
+        if terms:
+            w, d = margins
+            names = [sql_name(c) for c in (design.label, *stored)]
+            vectors = {"_z": w} | ({"_p": d} if d is not None else {})
+            rows = design.margins([*names, f"{design.y_sql()} AS _y"], **vectors).selectExpr(*names, *[f"CAST({t} AS DOUBLE) AS _t{k}" for k, t in enumerate(terms)])
+        rows = rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
         i, v = rows.column(0).to_numpy(), rows.column(1).to_numpy()
         out = np.zeros(width)
         out[i[i >= 0]] = v[i >= 0]
         return np.array(self._means(float(v[i == -1].sum()), out, kind))
 
+    def _by_batch(self) -> bool:
+        return getattr(self.loss, "of_batch", None) is not None
+
     def _proj(self, w, d=None, with_x: bool = False) -> list[str]:
         ds = self.design
         out = [f"{ds.dot_sql(w)} AS _z", f"{ds.y_sql()} AS _y"]
@@ -187,13 +260,17 @@ class Evaluator:
         self._note(kind, 1, 1)
         if self.form == "arrow":
             loss = self.loss
+            if self._by_batch():
 
-            def work(block, y):
-                term, slope = loss.of_batch(block.dot(w), y)
-                return np.append(block.gradient(slope), term.sum())
+                def work(block, y, _):
+                    term, slope = loss.of_batch(block.dot(w), y)
+                    return [term.sum()], [slope]
 
-            out = self._arrow(work, len(w) + 1, kind)
-            return out[-1] + self.ridge_value(w), out[:-1] + self.reg_param * w
+                out = self._arrow(work, 1, 1, kind)
+            else:
+                terms = [loss.term_sql("_z", "_y"), loss.slope_sql("_z", "_y")]
+                out = self._arrow(lambda block, y, t: ([t[0].sum()], [t[1]]), 1, 1, kind, (w, None), terms)
+            return float(out[0]) + self.ridge_value(w), out[1:] + self.reg_param * w
         term, slope = self.loss.term_sql("_z", "_y"), self.loss.slope_sql("_z", "_y")
         out = self._run(self._proj(w, with_x=True), [f"sum({term})", *self._grad_aggs(slope)], kind, term)
         return out[0] + self.ridge_value(w), np.array(out[1:]) + self.reg_param * w
@@ -204,7 +281,10 @@ class Evaluator:
         self._note(kind, 1, 0)
         if self.form == "arrow":
             loss = self.loss
-            out = self._arrow(lambda block, y: np.array([loss.of_batch(block.dot(w), y)[0].sum()]), 1, kind)
+            if self._by_batch():
+                out = self._arrow(lambda block, y, _: ([loss.of_batch(block.dot(w), y)[0].sum()], []), 1, 0, kind)
+            else:
+                out = self._arrow(lambda block, y, t: ([t[0].sum()], []), 1, 0, kind, (w, None), [loss.term_sql("_z", "_y")])
         else:
             term = self.loss.term_sql("_z", "_y")
             out = self._run(self._proj(w), [f"sum({term})"], kind, term)
@@ -256,32 +336,57 @@ class Evaluator:
         mask = [k < grad_for for k in range(len(alphas))] if isinstance(grad_for, int) else list(grad_for)
         hmask = list(hess_for) if hess_for is not None else [False] * len(alphas)
         self._note(kind, len(alphas), sum(mask))
+        loss, k = self.loss, len(alphas)
         if self.form == "arrow":
             if any(hmask):
                 raise ValueError("the Hessian is only formed for small, element-wise designs")
-            loss = self.loss
-
-            def work(block, y):
-                z, p, sums = block.dot(w), block.dot(d), []
-                for a, full in zip(alphas, mask, strict=True):
-                    term, slope = loss.of_batch(z + a * p, y)
-                    sums += [np.array([term.sum(), slope @ p])] + [block.gradient(slope)] * full
-                return np.concatenate(sums)
-
-            out = self._arrow(work, 2 * len(alphas) + dim * sum(mask), kind)
+            if self._by_batch():
+
+                def work(block, y, _):
+                    z, p, scalars, slopes = block.dot(w), block.dot(d), [], []
+                    scalars.append(loss.of_batch(z, y)[0].sum())
+                    for a, full in zip(alphas, mask, strict=True):
+                        slope = loss.of_batch(z + a * p, y)[1]
+                        scalars += [loss.change_of_batch(z, a * p, y).sum(), slope @ p]
+                        slopes += [slope] * full
+                    return scalars, slopes
+
+                out = self._arrow(work, 1 + 2 * k, sum(mask), kind)
+            else:
+                steps = [f"({sql_double(a)} * _p)" for a in alphas]
+                terms = ["_p", loss.term_sql("_z", "_y")]
+                terms += [t for q in steps for t in (loss.change_sql("_z", q, "_y"), loss.slope_sql(f"(_z + {q})", "_y"))]
+
+                def work(block, y, t):
+                    scalars, slopes = [t[1].sum()], []
+                    for j, full in enumerate(mask):
+                        change, slope = t[2 + 2 * j], t[3 + 2 * j]
+                        scalars += [change.sum(), slope @ t[0]]
+                        slopes += [slope] * full
+                    return scalars, slopes
+
+                out = self._arrow(work, 1 + 2 * k, sum(mask), kind, (w, d), terms)
+            scalars, rest = out[: 1 + 2 * k], out[1 + 2 * k :]
+            out, at = [scalars[0]], 0
+            for j, full in enumerate(mask):
+                out += [scalars[1 + 2 * j], scalars[2 + 2 * j], *(rest[at : at + dim] if full else ())]
+                at += dim * full
         else:
-            aggs: list[str] = []
+            aggs = [f"sum({loss.term_sql('_z', '_y')})"]
             for a, full, square in zip(alphas, mask, hmask, strict=True):
-                m = f"(_z + {sql_double(a)} * _p)"
-                s = self.loss.slope_sql(m, "_y")
-                aggs += [f"sum({self.loss.term_sql(m, '_y')})", f"sum({s} * _p)"]
+                q = f"({sql_double(a)} * _p)"
+                m = f"(_z + {q})"
+                s = loss.slope_sql(m, "_y")
+                aggs += [f"sum({loss.change_sql('_z', q, '_y')})", f"sum({s} * _p)"]
                 aggs += self._grad_aggs(s) if full else []
-                aggs += self._hess_terms(self.loss.curvature_sql(m, "_y")) if square else []
+                aggs += self._hess_terms(loss.curvature_sql(m, "_y")) if square else []
             out = self._run(self._proj(w, d, with_x=any(mask) or any(hmask)), aggs, kind, "_z + _p + _y")
-        trials, at = [], 0
+        trials, at = [], 1
+        base = out[0] + self.ridge_value(w)
+        wd, dd = float(w @ d), float(d @ d)
         for a, full, square in zip(alphas, mask, hmask, strict=True):
             wa = w + a * d
-            f = out[at] + self.ridge_value(wa)
+            change = out[at] + (self.reg_param * (a * wd + 0.5 * a * a * dd) if self.reg_param else 0.0)
             s = out[at + 1] + (self.reg_param * float(d @ wa) if self.reg_param else 0.0)
             at += 2
             g = h = None
@@ -291,7 +396,41 @@ class Evaluator:
             if square:
                 h = self._hess(out[at : at + dim * (dim + 1) // 2])
                 at += dim * (dim + 1) // 2
-            trials.append(Trial(float(a), float(f), float(s), g, h))
+            trials.append(Trial(float(a), float(base + change), float(s), g, h, float(change)))
+        return trials
+
+    def at_points(self, w: Sequence[float], points: Sequence[Sequence[float]], grad_for: Sequence[bool], kind: str = "bracket") -> list[Trial]:
+        """Objective at each of a few points, as its change from ``w``, in ONE pass; gradients where asked (alpha and slope are not set)."""
+        w = np.asarray(w, dtype=float)
+        steps = [np.asarray(p, dtype=float) - w for p in points]
+        dim, mask, loss, k = self.design.dim, list(grad_for), self.loss, len(points)
+        self._note(kind, k, sum(mask))
+        if self.form == "arrow" and self._by_batch():
+
+            def work(block, y, _):
+                z, scalars, slopes = block.dot(w), [], []
+                scalars.append(loss.of_batch(z, y)[0].sum())
+                for step, full in zip(steps, mask, strict=True):
+                    q = block.dot(step)
+                    scalars.append(loss.change_of_batch(z, q, y).sum())
+                    slopes += [loss.of_batch(z + q, y)[1]] * full
+                return scalars, slopes
+
+            out = self._arrow(work, 1 + k, sum(mask), kind)
+        elif self.form == "arrow":
+            raise ValueError(f"the loss {loss.name!r} has no batch form, which bent steps on arrays need")
+        else:
+            proj = self._proj(w, with_x=any(mask)) + [f"{self.design.dot_sql(step)} AS _q{j}" for j, step in enumerate(steps)]
+            aggs = [f"sum({loss.term_sql('_z', '_y')})", *[f"sum({loss.change_sql('_z', f'_q{j}', '_y')})" for j in range(k)]]
+            for j, full in enumerate(mask):
+                aggs += self._grad_aggs(loss.slope_sql(f"(_z + _q{j})", "_y")) if full else []
+            out = self._run(proj, aggs, kind, "_z + _y" + "".join(f" + _q{j}" for j in range(k)))
+        base, at, trials = float(out[0]) + self.ridge_value(w), 1 + k, []
+        for j, (step, full) in enumerate(zip(steps, mask, strict=True)):
+            change = float(out[1 + j]) + self.reg_param * (float(w @ step) + 0.5 * float(step @ step))
+            g = np.array(out[at : at + dim]) + self.reg_param * (w + step) if full else None
+            at += dim * full
+            trials.append(Trial(0.0, base + change, 0.0, g, None, change))
         return trials
 
     def curvature(self, w: Sequence[float], d: Sequence[float], kind: str = "exact") -> tuple[float, np.ndarray, np.ndarray]:
@@ -307,11 +446,11 @@ class Evaluator:
         if self.form == "arrow":
             loss = self.loss
 
-            def work(block, y):
+            def work(block, y, _):
                 term, slope = loss.of_batch(block.dot(w), y)
-                return np.concatenate([[term.sum()], block.gradient(slope), block.gradient(block.dot(d))])
+                return [term.sum()], [slope, block.dot(d)]
 
-            out = self._arrow(work, 2 * dim + 1, kind)
+            out = self._arrow(work, 1, 2, kind)
         else:
             term, slope = self.loss.term_sql("_z", "_y"), self.loss.slope_sql("_z", "_y")
             out = self._run(self._proj(w, d, with_x=True), [f"sum({term})", *self._grad_aggs(slope), *self._grad_aggs("_p")], kind, term)
@@ -319,15 +458,28 @@ class Evaluator:
         return out[0] + self.ridge_value(w), g + self.reg_param * w, q + self.reg_param * d
 
 
+def merged_moments(rows, dim: int):
+    """(n, means, co-moments) of all rows from those of parts, added pairwise about each other's means."""
+    n, mean, about = 0, np.zeros(dim), np.zeros((dim, dim))
+    for count, part_mean, part_cov in rows:
+        both = n + count
+        gap = part_mean - mean
+        about = about + part_cov * count + np.outer(gap, gap) * (n * count / both)
+        mean = mean + gap * (count / both)
+        n = both
+    return n, mean, about / max(n, 1)
+
+
 class GramEvaluator:
-    """Squared loss from two passes: the means, then the moments around them.
+    """Squared loss from one pass: the moments around the means.
 
     With ``m`` the feature means and ``k`` the label's, ``A = cov(x)``, ``b = cov(x, y)``
     and ``c = var(y)``, the mean squared loss is
     ``(w.A.w - 2 b.w + c + (k - w.m)^2) / 2`` with gradient ``A w - b + m (w.m - k)``;
-    after these passes every evaluation is O(d^2) driver arithmetic.  Taking the
-    moments around the means keeps a large label level from drowning the residuals; the
-    reported ``final_loss`` of a fit is a pass of its own.  d(d+1)/2 + d + 1 sums.
+    after the pass every evaluation is O(d^2) driver arithmetic.  Spark's ``avg`` and
+    ``covar_pop`` keep moments about running means, and the buckets' moments are merged about
+    each other's means, so a large label level does not drown the residuals; the reported
+    ``final_loss`` of a fit is a pass of its own.  (d+1)(d+2)/2 + d + 1 aggregates.
     """
 
     def __init__(self, base: Evaluator):
@@ -339,21 +491,21 @@ class GramEvaluator:
         self.evaluations = base.evaluations
         dim = self.design.dim
         base = Evaluator(base.design, base.loss, base.reg_param, base.passes, base.evaluations, form="elements")
-        xs = [f"{self.design.x_sql(j)} AS _x{j}" for j in range(dim)]
-        proj = [f"{self.design.dot_sql([0.0] * dim)} AS _z", f"{self.design.y_sql()} AS _y", *xs]
-        mean = np.array(base._run(proj, [f"sum(_x{j})" for j in range(dim)] + ["sum(_y)"], "gram", "_z + _y"))
-        self.n, self.m, self.k = base.n, mean[:-1], mean[-1]
-        x = [f"(_x{j} - {sql_double(self.m[j])})" for j in range(dim)]
-        y = f"(_y - {sql_double(self.k)})"
-        pairs = [(i, j) for i in range(dim) for j in range(i, dim)]
-        aggs = [f"sum({x[i]} * {x[j]})" for i, j in pairs] + [f"sum({x[i]} * {y})" for i in range(dim)] + [f"sum({y} * {y})"]
-        out = base._run(proj, aggs, "gram", "_z + _y")
-        a = np.zeros((dim, dim))
-        for (i, j), v in zip(pairs, out):
-            a[i, j] = a[j, i] = v
-        self.A = a
-        self.b = np.array(out[len(pairs) : len(pairs) + dim])
-        self.c = out[-1]
+        # a row with a NULL anywhere has no loss and counts nowhere
+        whole = f"{self.design.dot_sql([0.0] * dim)} + {self.design.y_sql()} IS NOT NULL"
+        proj = [f"{self.design.x_sql(j)} AS _x{j}" for j in range(dim)] + [f"{self.design.y_sql()} AS _x{dim}"]
+        pairs = [(i, j) for i in range(dim + 1) for j in range(i, dim + 1)]
+        aggs = {"_n": "count(_x0)" if dim else f"count(_x{dim})"} | {f"_m{j}": f"avg(_x{j})" for j in range(dim + 1)} | {f"_c{i}_{j}": f"covar_pop(_x{i}, _x{j})" for i, j in pairs}
+        parts = []
+        for r in sorted(bucketed(base.design.df.where(whole).selectExpr(*proj), aggs).collect()):  # at most BUCKETS rows
+            cov = np.zeros((dim + 1, dim + 1))
+            for i, j in pairs:
+                cov[i, j] = cov[j, i] = _f(r[f"_c{i}_{j}"])
+            parts.append((r["_n"], np.array([_f(r[f"_m{j}"]) for j in range(dim + 1)]), cov))
+        n, mean, moments = merged_moments(parts, dim + 1)
+        base._means(n, [], "gram")
+        self.n, self.m, self.k = n, mean[:-1], float(mean[-1])
+        self.A, self.b, self.c = moments[:-1, :-1], moments[:-1, -1], float(moments[-1, -1])
 
     def value(self, w, kind: str = "final") -> float:
         return self.base.value(w, kind)
@@ -384,7 +536,8 @@ class GramEvaluator:
         for a in alphas:
             wa = w + a * d
             g = self._g(wa)
-            out.append(Trial(float(a), self._f(wa), float(d @ g), g, h))
+            change = a * float(d @ self._g(w)) + 0.5 * a * a * float(d @ h @ d)
+            out.append(Trial(float(a), self._f(wa), float(d @ g), g, h, change))
         return out
 
     def curvature(self, w, d, kind: str = "exact"):
@@ -418,10 +571,8 @@ def loss_table(design: Design, w: Sequence[float], loss="squared", reg_param: fl
     """One row ``(n, loss)``: row count and mean loss (+ ridge) at ``w`` (A1, A3)."""
     loss = get_loss(loss)
     w = np.asarray(w, dtype=float)
-    m, y = design.dot(w), design.y()
-    term = loss.term(m, y)
     rv, _ = _ridge_lits(reg_param, w)
-    base = design.df.select(term.alias("_t"))
+    base = design.margins([f"{design.y_sql()} AS _y"], _z=w).selectExpr(f"{loss.term_sql('_z', '_y')} AS _t")
     one = two_level(base, {"_n": "count(_t)", "_s": "sum(_t)"})
     return one.select(F.col("_n").alias("n"), (_mean("_s") + F.lit(rv)).alias("loss"))
 
@@ -435,9 +586,13 @@ def gradient_table(
     index, never by arrival order), and ``stack`` turns the single result row into one
     row per feature.  The ``arrow`` form (array and sparse designs, or on request) runs
     its pass at once; like any fit it brings one number per feature to the driver.
+    Of a sparse design the features that occur in a stored entry are returned, those whose sum
+    is zero among them, and with a ridge term those of non-zero weight; all others are zero.
     """
     loss = get_loss(loss)
     w = np.asarray(w, dtype=float)
+    if design.sparse and form is None:
+        return _sparse_gradient_table(design, w, loss, reg_param)
     _, rg = _ridge_lits(reg_param, w)
     ev = Evaluator(design, loss, reg_param, form=form)
     if ev.form == "arrow":
@@ -457,6 +612,28 @@ def gradient_table(
     return one.selectExpr(f"stack({design.dim}, {cells}) AS (feature_index, feature, gradient)")
 
 
+def _sparse_gradient_table(design: Design, w: np.ndarray, loss, reg_param: float) -> DataFrame:
+    """Sums over the stored entries by feature: gradients are rows, never an array of all features; the pass runs at once."""
+    spark, col = design.df.sparkSession, sql_name(design.array_col)
+    margin = design.margins([f"{design.y_sql()} AS _y", f"{col}.indices AS _i", f"{col}.values AS _v"], _z=w)
+    rows = margin.selectExpr(f"{loss.slope_sql('_z', '_y')} AS _s", "_i", "_v")
+    # the entries, and one at -1 for the row itself (its value is the bias feature's)
+    entries = rows.selectExpr("_s", "inline(concat(transform(arrays_zip(_i, _v), e -> struct(CAST(e._i AS BIGINT) AS i, e._v AS v)), array(struct(-1L AS i, 1.0D AS v))))")
+    sums = stored(entries.groupBy("i").agg(F.expr("sum(_s * v)").alias("g"), F.count("_s").alias("n")), "gradient-sums")
+    whole = sums.filter("i = -1").first()
+    n = whole["n"] if whole is not None else 0
+    out = sums if design.bias else sums.filter("i >= 0")
+    index = F.when(F.col("i") < 0, F.lit(design.dim - 1)).otherwise(F.col("i")).cast("int")
+    out = out.select(index.alias("feature_index"), F.try_divide("g", F.lit(n)).alias("gradient"))
+    if reg_param:
+        import pyarrow as pa
+
+        at = np.flatnonzero(w)
+        ridge = spark.createDataFrame(pa.table({"feature_index": pa.array(at, pa.int32()), "ridge": reg_param * w[at]}))
+        out = out.join(ridge, "feature_index", "full").select("feature_index", (F.coalesce("gradient", F.lit(0.0)) + F.coalesce("ridge", F.lit(0.0))).alias("gradient"))
+    return out.select("feature_index", design.name_sql("feature_index").alias("feature"), "gradient")
+
+
 def directional_derivative_table(
     design: Design, w: Sequence[float], d: Sequence[float], alphas: Sequence[float], loss="squared", reg_param: float = 0.0
 ) -> DataFrame:
@@ -484,7 +661,7 @@ def line_search_profile(
     d = np.asarray(d, dtype=float)
     alphas = [float(a) for a in alphas]
     grid = [0.0] + alphas
-    base = design.df.select(design.dot(w).alias("_z"), design.dot(d).alias("_p"), design.y().alias("_y"))
+    base = design.margins([f"{design.y_sql()} AS _y"], _z=w, _p=d)
     sums, means = {"_n": "count(_z + _p + _y)"}, []
     for k, a in enumerate(grid):
         m = f"(_z + {sql_double(a)} * _p)"

@@ -24,6 +24,8 @@ from ridgeline.sources.design import Design, materialized
 
 
 def _vector_frame(design: Design):
+    if design.sparse:
+        raise ValueError("the stock solvers take column and array designs; use ridgeline.fit_lbfgs for sparse rows")
     xs = [design.x(j) for j in range(design.stored_dim)]
     return design.df.select(design.y().alias("label"), array_to_vector(F.array(*xs)).alias("vec"))
 

@@ -16,13 +16,17 @@ failed line search.
 
 Line searches:
 
-* ``"wolfe"`` (any loss): bracketing then zoom (quadratic interpolation through
-  phi(lo), phi'(lo), phi(hi); bisection when the point leaves the bracket
-  trimmed by 10% of its width).  The bracketing trial steps are fixed in advance
-  (``a1, 2a1, 4a1, ...``), so all of them are evaluated in ONE pass, together
-  with the full gradient at the first few, and the usual sequential decisions
-  are then taken on the driver.  Each zoom trial is one fused pass (loss, slope
-  and gradient).
+* ``"wolfe"`` (any smooth loss): bracketing then zoom.  The bracketing trial steps are
+  fixed in advance (``a1, 2a1, 4a1, ...``), so all of them are evaluated in ONE pass,
+  together with the full gradient at the first few, and the usual sequential decisions
+  are then taken on the driver.  A zoom round likewise evaluates a list of points inside
+  the bracket in one pass (the minimizers of the cubic and the quadratic through its ends,
+  the zero of the secant of the slopes, and fixed fractions; points in the outer 10% of the
+  bracket are left out), takes the first that meets the conditions, and otherwise narrows
+  the bracket by all of them.  Trials are compared by their change of the objective, which
+  the passes sum up from the rows' changes: no rounding allowance enters a decision, and
+  a search next to the optimum ends like any other.  For the squared loss the bracketing
+  pass already determines the minimizer along d and the gradient there.
 * ``"exact"`` (squared loss only): phi is an exact quadratic, so one pass at
   ``(w, d)`` yields the exact minimizer along ``d`` (which satisfies the strong
   Wolfe conditions) and the next gradient: one pass per iteration.
@@ -38,6 +42,7 @@ from collections.abc import Sequence
 import numpy as np
 
 from ridgeline.functions.losses import get_loss
+from ridgeline.functions.updaters import Ridge
 from ridgeline.operators.passes import EmptyDesign, Evaluator, Trial, evaluator
 from ridgeline.plans.result import FitResult
 from ridgeline.sources.design import Design, materialized
@@ -49,6 +54,7 @@ MAX_BRACKET = 10
 MAX_ZOOM = 50
 INITIAL_STEP_FACTOR = 2.02  # first trial from the second iteration: 2.02 * (f - f_prev) / phi'(0)
 ZOOM_TRIM = 0.1
+ZOOM_FRACTIONS = (0.5, 0.25, 0.75, 0.11, 0.89)  # of the bracket, behind the interpolated points
 GRADIENT_TRIALS = 2  # bracketing trials of one pass that also carry the gradient
 RESTART_COS = 1e-3  # restart with -g when cos(angle(-g, d)) falls below this
 NEWTON_RATIOS = (1.0, 0.8, 1.25)  # trial steps around the Newton step along d (likeliest first)
@@ -76,43 +82,82 @@ def _secant(a: float, b: float, ga: float, gb: float) -> float:
     return a - ga * (b - a) / (gb - ga)
 
 
-def loss_noise(f0: float, n: int | None) -> float:
-    """Loss differences below this are rounding noise of a mean over ``n`` rows, not signal.
-
-    Rounding errors of a sum of n terms grow like sqrt(n); the floor of 4,000 roundings
-    covers the arithmetic of a term itself.
-    """
-    return 2.2e-16 * max(4000.0, math.sqrt(n or 1)) * abs(f0)
+def _cubic_min(a: float, b: float, fa: float, fb: float, ga: float, gb: float) -> float:
+    """Minimizer of the cubic with these values and slopes at a and b (NaN if it has none)."""
+    if a == b:
+        return float("nan")
+    d1 = ga + gb - 3.0 * (fa - fb) / (a - b)
+    inside = d1 * d1 - ga * gb
+    if not inside >= 0:
+        return float("nan")
+    d2 = math.copysign(math.sqrt(inside), b - a)
+    below = gb - ga + 2.0 * d2
+    return b - (b - a) * (gb + d2 - d1) / below if below != 0 else float("nan")
+
+
+def _inside(lo: Trial, hi: Trial) -> list[float]:
+    """Steps to try between two ends, likeliest first."""
+    left, right = min(lo.alpha, hi.alpha), max(lo.alpha, hi.alpha)
+    width = right - left
+    points = []
+    if _finite(hi.change, hi.slope):
+        points = [
+            _cubic_min(lo.alpha, hi.alpha, lo.change, hi.change, lo.slope, hi.slope),
+            _secant(lo.alpha, hi.alpha, lo.slope, hi.slope),
+            _quad_min(lo.alpha, hi.alpha, lo.change, hi.change, lo.slope),
+        ]
+    points = [a for a in points if _finite(a) and left + ZOOM_TRIM * width <= a <= right - ZOOM_TRIM * width]
+    return list(dict.fromkeys(points + [left + f * width for f in ZOOM_FRACTIONS]))
 
 
 def _zoom(
-    ev: Evaluator, w, d, f0: float, s0: float, lo: Trial, hi: Trial, c1: float, c2: float, max_zoom: int,
-    with_hess: bool = False,
+    ev: Evaluator, w, d, s0: float, lo: Trial, hi: Trial, c1: float, c2: float, max_zoom: int,
+    with_hess: bool = False, batched: bool = True,
 ) -> Trial:
-    noise = loss_noise(f0, ev.n)
-    for _ in range(max_zoom):
-        left, right = min(lo.alpha, hi.alpha), max(lo.alpha, hi.alpha)
-        width = right - left
-        if not width > 1e-15 * max(1.0, right):
+    """Narrow the bracket [lo, hi] round by round; at most ``max_zoom`` trials."""
+    tried = 0
+    while tried < max_zoom:
+        if not abs(hi.alpha - lo.alpha) > 1e-15 * max(1.0, lo.alpha, hi.alpha):
             break  # bracket collapsed: nothing left to resolve
-        if abs(hi.loss - lo.loss) <= noise and _finite(hi.slope, lo.slope):
-            a = _secant(lo.alpha, hi.alpha, lo.slope, hi.slope)  # losses indistinguishable: use slopes
-        else:
-            a = _quad_min(lo.alpha, hi.alpha, lo.loss, hi.loss, lo.slope)
-        if not _finite(a) or a < left + ZOOM_TRIM * width or a > right - ZOOM_TRIM * width:
-            a = 0.5 * (lo.alpha + hi.alpha)
-        t = ev.probe(w, d, [a], grad_for=1, kind="zoom", hess_for=[with_hess])[0]
-        if not _finite(t.loss, t.slope) or t.loss > f0 + c1 * a * s0 + noise or t.loss > lo.loss + noise:
-            hi = t
-        else:
-            if abs(t.slope) <= -c2 * s0:
+        points = _inside(lo, hi)
+        if batched:
+            mask = [k < GRADIENT_TRIALS for k in range(len(points))]
+            trials = iter(ev.probe(w, d, points, grad_for=mask, kind="zoom", hess_for=mask if with_hess else None))
+            tried += len(points)
+        else:  # one pass each, until one is taken
+            trials = (ev.probe(w, d, [a], grad_for=1, kind="zoom", hess_for=[with_hess])[0] for a in points)
+        seen = [lo, hi]
+        for t in trials:
+            tried += not batched
+            if _finite(t.change, t.slope) and t.change <= c1 * t.alpha * s0 and abs(t.slope) <= -c2 * s0:
                 return t
-            if t.slope * (hi.alpha - lo.alpha) >= 0:
-                hi = lo
-            lo = t
+            seen.append(t)
+        # the lowest point of sufficient decrease, and its neighbour in the direction of descent
+        low = [t for t in seen if t is lo or (_finite(t.change, t.slope) and t.change <= c1 * t.alpha * s0)]
+        best = min(low, key=lambda t: t.change)
+        seen.sort(key=lambda t: t.alpha)
+        at = next(k for k, t in enumerate(seen) if t is best)
+        other = at - 1 if best.slope > 0 else at + 1
+        if not 0 <= other < len(seen):
+            other = at + 1 if other < 0 else at - 1
+        lo, hi = best, seen[other]
     return lo  # best point satisfying the sufficient-decrease test (alpha 0 if none)
 
 
+def _quadratic_step(trials: list[Trial], s0: float) -> Trial | None:
+    """The minimizer along d of a quadratic objective, from two trials with gradients: slopes and gradients are linear in the step."""
+    if len(trials) < 2 or any(t.grad is None or not _finite(t.slope) for t in trials[:2]):
+        return None
+    a, b = trials[:2]
+    bend = (b.slope - a.slope) / (b.alpha - a.alpha)
+    if not bend > 0:
+        return None
+    step = -s0 / bend
+    share = (step - a.alpha) / (b.alpha - a.alpha)
+    change = step * s0 + 0.5 * step * step * bend
+    return Trial(step, a.loss - a.change + change, 0.0, a.grad + share * (b.grad - a.grad), a.hess, change)
+
+
 def strong_wolfe(
     ev: Evaluator,
     w: np.ndarray,
@@ -127,6 +172,7 @@ def strong_wolfe(
     newton: float | None = None,
     with_hess: bool = False,
     batched: bool = True,
+    last_change: float | None = None,
 ) -> Trial:
     """Step length along descent direction ``d`` (``s0 = phi'(0) < 0``) meeting strong Wolfe.
 
@@ -138,16 +184,16 @@ def strong_wolfe(
     are taken on the driver, and a zoom is skipped when an already evaluated
     Newton candidate inside its bracket meets the conditions.
 
-    Loss comparisons allow :func:`loss_noise`; when losses are indistinguishable
-    the slope alone decides (approximate Wolfe), so a search started next to the
-    optimum ends in a few passes instead of bisecting on rounding noise.
+    The first trial step follows from how much the last accepted step changed the objective
+    (``last_change``, or ``f0 - f_prev`` where that is not known).
     """
+    if last_change is None and f_prev is not None:
+        last_change = f0 - f_prev
     a1 = 1.0
-    if f_prev is not None and s0 != 0:
-        a1 = min(1.0, INITIAL_STEP_FACTOR * (f0 - f_prev) / s0)
+    if last_change is not None and s0 != 0:
+        a1 = min(1.0, INITIAL_STEP_FACTOR * last_change / s0)
         if not (_finite(a1) and a1 > 0):
             a1 = 1.0
-    noise = loss_noise(f0, ev.n)
 
     def evaluate(alphas: list[float], kind: str) -> list[Trial]:
         """One pass over trial steps; the first ones carry gradients (and Hessians)."""
@@ -157,8 +203,8 @@ def strong_wolfe(
     def wolfe_ok(t: Trial) -> bool:
         return (
             t.grad is not None
-            and _finite(t.loss, t.slope)
-            and t.loss <= f0 + c1 * t.alpha * s0 + noise
+            and _finite(t.change, t.slope)
+            and t.change <= c1 * t.alpha * s0
             and abs(t.slope) <= -c2 * s0
         )
 
@@ -167,28 +213,31 @@ def strong_wolfe(
         extra = evaluate([newton * r for r in NEWTON_RATIOS], "newton")
         ok = [t for t in extra if wolfe_ok(t)]
         if ok:
-            return min(ok, key=lambda t: t.loss)
+            return min(ok, key=lambda t: t.change)
 
     def zoom(lo: Trial, hi: Trial) -> Trial:
         left, right = min(lo.alpha, hi.alpha), max(lo.alpha, hi.alpha)
         inside = [t for t in extra if left < t.alpha < right]
         ok = [t for t in inside if wolfe_ok(t)]
         if ok:
-            return min(ok, key=lambda t: t.loss)
-        return _zoom(ev, w, d, f0, s0, lo, hi, c1, c2, max_zoom, with_hess)
+            return min(ok, key=lambda t: t.change)
+        return _zoom(ev, w, d, s0, lo, hi, c1, c2, max_zoom, with_hess, batched)
 
     sequence = [a1 * 2.0**k for k in range(max_bracket)]
     if batched:
         bracket = evaluate(sequence, "bracket")
+        exact = _quadratic_step(bracket, s0) if getattr(ev.loss, "quadratic", False) else None
+        if exact is not None and wolfe_ok(exact):
+            return exact
     else:  # one trial step per pass, as a sequential search does (for comparison)
         bracket = (evaluate([a], "bracket")[0] for a in sequence)
     prev = Trial(0.0, f0, s0, None)
     t = prev
     for i, t in enumerate(bracket, 1):
         if (
-            not _finite(t.loss, t.slope)
-            or t.loss > f0 + c1 * t.alpha * s0 + noise
-            or (i > 1 and t.loss > prev.loss + noise)
+            not _finite(t.change, t.slope)
+            or t.change > c1 * t.alpha * s0
+            or (i > 1 and t.change > prev.change)
         ):
             return zoom(prev, t)
         if abs(t.slope) <= -c2 * s0:
@@ -218,15 +267,26 @@ def fit_cg(
     storage: str = "memory_and_disk",
     method: str = "cg",
     form: str | None = None,
+    updater=None,
 ) -> FitResult:
     """Fit by nonlinear CG.
 
+    ``updater``: None, ``ridge(v)`` (added to ``reg_param``), or one that is not smooth (``l1(v)``,
+    ``bounds(lo, hi)``): conjugate directions do not survive its kinks, so such a fit runs the
+    orthant-wise or projected steps of :func:`ridgeline.plans.lbfgs.fit_lbfgs`.
+
     No default depends on the number of features.  ``newton_steps=True`` carries Hessians
     (d(d+1)/2 sums per trial, for column designs of few features) and tries the Newton step
     along the direction first; ``batched=False`` evaluates the bracketing steps one pass
     each.  ``solver="gram"`` (squared loss) reads the table three times, once for the means,
     once for the moments and once for the final loss, and iterates on the driver.
     """
+    if isinstance(updater, Ridge):
+        reg_param, updater = reg_param + updater.value, None
+    if updater is not None:
+        from ridgeline.plans.lbfgs import fit_lbfgs
+
+        return fit_lbfgs(design, loss, reg_param, updater, max_iter, init, step_tol=step_tol, grad_tol=grad_tol, storage=storage, method=method, form=form)
     t0 = time.perf_counter()
     w = np.zeros(design.dim) if init is None else np.array(init, dtype=float)  # copy: input untouched
     lossf = get_loss(loss)
@@ -266,7 +326,7 @@ def _run_wolfe(
         (f, g), hess = ev.value_and_gradient(w), None
     g0 = float(np.linalg.norm(g))
     d = -g
-    f_prev = None
+    last_change = None
     res.final_loss, res.grad_norm = f, g0
     res.stop_reason = "max_iter"
     for it in range(1, max_iter + 1):
@@ -287,7 +347,7 @@ def _run_wolfe(
             dhd = float(d @ hess @ d)
             newton = -s0 / dhd if dhd > 0 else None
         t = strong_wolfe(
-            ev, w, d, f, s0, f_prev, c1, c2, max_bracket, max_zoom, newton, with_hess, batched
+            ev, w, d, f, s0, None, c1, c2, max_bracket, max_zoom, newton, with_hess, batched, last_change
         )
         if not (_finite(t.alpha, t.loss) and t.alpha > 0):
             res.stop_reason = "line_search"
@@ -296,7 +356,7 @@ def _run_wolfe(
         res.history.append((it, f, t.alpha, w_new.copy()))
         res.iterations = it
         step = float(np.linalg.norm(w - w_new))
-        w, f_prev, f = w_new, f, t.loss
+        w, last_change, f = w_new, t.change, t.loss
         res.weights, res.final_loss = w, f
         if step < step_tol * max(float(np.linalg.norm(w)), 1.0):
             res.stop_reason = "step"

@@ -53,3 +53,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared folder (never reused between runs)."""
     base = shared_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def stored(df, name: str):
+    """``df`` written once below the shared folder and read again: later jobs start there, whatever is lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

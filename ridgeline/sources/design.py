@@ -24,10 +24,13 @@ from dataclasses import dataclass, replace
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 LABEL = "label"
 FEATURES = "features"
 BIAS = "bias"
+#: Sparse designs: up to so many weights are a literal in the plan, up to so many go to the tasks as an array.
+LITERAL_WEIGHTS, SENT_WEIGHTS = 1 << 16, 1 << 24
 
 
 def _col(c: Column | str) -> Column:
@@ -81,6 +84,8 @@ class Design:
     def x(self, j: int) -> Column:
         if self.bias and j == self.dim - 1:
             return F.lit(1.0)
+        if self.sparse:
+            return F.expr(self.x_sql(j))
         if self.array_col is not None:
             return F.col(self.array_col).getItem(j)
         return F.col(self.features[j])
@@ -88,6 +93,9 @@ class Design:
     def x_sql(self, j: int) -> str:
         if self.bias and j == self.dim - 1:
             return "1.0D"
+        if self.sparse:
+            col = sql_name(self.array_col)
+            return f"aggregate(zip_with({col}.indices, {col}.values, (i, v) -> IF(i = {j}, v, 0.0D)), 0.0D, (a, t) -> a + t)"
         if self.array_col is not None:
             return f"{sql_name(self.array_col)}[{j}]"
         return sql_name(self.features[j])
@@ -101,6 +109,13 @@ class Design:
             raise ValueError(f"vector of length {len(v)} for a design of dimension {self.dim}")
         if not len(v):
             return "0.0D"
+        if self.sparse:
+            if len(v) > LITERAL_WEIGHTS:
+                raise ValueError(f"{len(v)} weights are too many for an expression (at most {LITERAL_WEIGHTS}); use Design.margins")
+            # one literal, folded when the plan is made; each row looks up the weights of its non-zeros
+            col, weights = sql_name(self.array_col), ",".join(repr(float(t)) for t in v)
+            bias = f" + {sql_double(v[-1])}" if self.bias else ""
+            return f"(aggregate(zip_with({col}.indices, {col}.values, (i, x) -> x * CAST(split('{weights}', ',') AS ARRAY<DOUBLE>)[i]), 0.0D, (a, t) -> a + t){bias})"
         return "(" + " + ".join(f"{sql_double(vj)} * {self.x_sql(j)}" for j, vj in enumerate(v)) + ")"
 
     def dot(self, v: Sequence[float]) -> Column:
@@ -111,10 +126,50 @@ class Design:
         """
         return F.expr(self.dot_sql(v))
 
+    def margins(self, columns: Sequence[str], **vectors: Sequence[float]) -> DataFrame:
+        """The columns (SQL) of every row and, by name, its margin under each vector of weights.
+
+        JVM-side expressions; for sparse designs of more than LITERAL_WEIGHTS features the weights
+        go to the tasks as arrays, and models beyond SENT_WEIGHTS are :mod:`ridgeline.plans.wide`'s.
+        """
+        if not self.sparse or self.dim <= LITERAL_WEIGHTS:
+            return self.df.selectExpr(*columns, *[f"{self.dot_sql(v)} AS {sql_name(n)}" for n, v in vectors.items()])
+        if self.dim > SENT_WEIGHTS:
+            raise ValueError(f"{self.dim} weights are too many for one array (at most {SENT_WEIGHTS}); use ridgeline.plans.wide")
+        import numpy as np
+
+        rows = self.df.selectExpr(*columns, f"{sql_name(self.array_col)} AS _features")
+        given = [f for f in rows.schema.fields if f.name != "_features"]
+        weights, bias = {n: np.asarray(v, dtype=float) for n, v in vectors.items()}, self.bias
+        schema = StructType([*given, *[StructField(n, DoubleType()) for n in weights]])
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                features, n = batch.column(batch.num_columns - 1), batch.num_rows
+                cells = features.field(0)
+                row = np.repeat(np.arange(n), np.diff(cells.offsets.to_numpy()))
+                index, value = cells.flatten().to_numpy(), features.field(1).flatten().to_numpy()
+                none = np.asarray(features.is_null().to_numpy(zero_copy_only=False), dtype=bool)
+                out = [pa.array(np.bincount(row, w[index] * value, n).astype(float) + (w[-1] if bias else 0.0), mask=none) for w in weights.values()]
+                yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(given))] + out, names=[f.name for f in given] + list(weights))
+
+        return rows.mapInArrow(run, schema)
+
+    def name_sql(self, index: str) -> Column:
+        """The feature name at a column of indices."""
+        own, i = self.features[: self.stored_dim], F.col(index)
+        if all(n == f"x{j}" for j, n in enumerate(own)):
+            name = F.concat(F.lit("x"), i.cast("string"))
+        else:
+            name = F.get(F.split(F.lit("\x01".join(own)), "\x01"), i)
+        return F.when(i < self.stored_dim, name).otherwise(F.lit(BIAS))
+
     # -------------------------------------------------------------- storage
-    def select_only(self) -> Design:
+    def select_only(self, also: Sequence[str] = ()) -> Design:
         """Drop every column the fit does not read (so caching keeps only those)."""
-        cols = [self.label] + ([self.array_col] if self.array_col else list(self.features[: self.stored_dim]))
+        cols = [self.label] + ([self.array_col] if self.array_col else list(self.features[: self.stored_dim])) + list(also)
         return replace(self, df=self.df.select(*cols), keep=())
 
 
@@ -169,7 +224,7 @@ def array_points(
     arr = _col(features).cast("array<double>")
     fits = F.when(F.size(arr) == dim, arr).when(arr.isNotNull(), F.raise_error(F.concat(F.lit(f"an array of {dim} features is expected, one has "), F.size(arr))))
     source = df.select(*keep, _col(label).cast("double").alias(LABEL), fits.alias(FEATURES))
-    return _array_design(source, FEATURES, dim, bias, names, drop_nulls, keep, sparse=False)
+    return _design(source, source.filter(_whole(F.col(FEATURES))) if drop_nulls else source, dim, bias, names, keep, sparse=False)
 
 
 def sparse_points(
@@ -177,19 +232,30 @@ def sparse_points(
     names: Sequence[str] | None = None, drop_nulls: bool = True, keep: Sequence[str] = (),
 ) -> Design:
     """Sparse design: ``features struct<indices, values>``, zero-based, of width ``dim``; zeros are not stored."""
-    both = F.struct(_col(indices).cast("array<int>").alias("indices"), _col(values).cast("array<double>").alias("values"))
-    i = F.col(f"{FEATURES}.indices")
+    source, out = sparse_rows(df, label, indices, values, dim, drop_nulls, keep)
+    return _design(source, out, dim, bias, names, keep, sparse=True)
+
+
+def sparse_rows(
+    df: DataFrame, label: Column | str, indices: Column | str, values: Column | str, dim: int, drop_nulls: bool = True,
+    keep: Sequence[str] = (), index_type: str = "int",
+) -> tuple[DataFrame, DataFrame]:
+    """The table behind a sparse design, before and after the row rule."""
+    both = F.struct(_col(indices).cast(f"array<{index_type}>").alias("indices"), _col(values).cast("array<double>").alias("values"))
+    i, v = F.col(f"{FEATURES}.indices"), F.col(f"{FEATURES}.values")
     source = df.select(*keep, _col(label).cast("double").alias(LABEL), both.alias(FEATURES))
-    ok = (F.size(i) == F.size(F.col(f"{FEATURES}.values"))) & F.forall(i, lambda x: (x >= 0) & (x < dim))
-    source = source.withColumn(FEATURES, F.when(F.coalesce(ok, F.lit(True)), F.col(FEATURES)).otherwise(F.raise_error(F.lit(f"a sparse row does not fit {dim} features"))))
-    return _array_design(source, f"{FEATURES}.values", dim, bias, names, drop_nulls, keep, sparse=True)
+    fits = (F.size(i) == F.size(v)) & F.forall(i, lambda x: F.coalesce((x >= 0) & (x < dim), F.lit(False)))
+    wrong = i.isNotNull() & v.isNotNull() & ~fits
+    source = source.withColumn(FEATURES, F.when(wrong, F.raise_error(F.lit(f"a sparse row does not fit {dim} features"))).otherwise(F.col(FEATURES)))
+    return source, source.filter(_whole(v) & i.isNotNull()) if drop_nulls else source
 
 
-def _array_design(source: DataFrame, values: str, dim: int, bias: bool, names, drop_nulls: bool, keep, sparse: bool) -> Design:
-    out = source
-    if drop_nulls:
-        whole = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x))
-        out = source.filter(F.col(LABEL).isNotNull() & ~F.isnan(LABEL) & F.coalesce(whole, F.lit(False)))
+def _whole(values: Column) -> Column:
+    ok = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x))
+    return F.col(LABEL).isNotNull() & ~F.isnan(LABEL) & F.coalesce(ok, F.lit(False))
+
+
+def _design(source: DataFrame, out: DataFrame, dim: int, bias: bool, names, keep, sparse: bool) -> Design:
     names = tuple(names) if names is not None else tuple(f"x{j}" for j in range(dim))
     if len(names) != dim:
         raise ValueError("names must have one entry per array element")
@@ -207,7 +273,7 @@ _LEVELS = {
 
 
 @contextmanager
-def materialized(design: Design, storage: str = "memory_and_disk") -> Iterator[Design]:
+def materialized(design: Design, storage: str = "memory_and_disk", also: Sequence[str] = ()) -> Iterator[Design]:
     """Keep the prepared table for the many passes of a fit.
 
     * ``memory_and_disk`` / ``memory`` / ``disk``: ``persist`` before the first
@@ -217,15 +283,15 @@ def materialized(design: Design, storage: str = "memory_and_disk") -> Iterator[D
       ``spark.checkpoint.dir`` (a shared folder on a cluster), cutting lineage.
     * ``none``: re-read the (column-pruned) source on every pass.
 
-    A table the caller already persisted is used as it is.
+    A table the caller already persisted is used as it is.  ``also`` names columns to keep beside label and features.
     """
     if design.df.storageLevel != StorageLevel.NONE:
         yield design
         return
     if storage == "none":
-        yield design.select_only()
+        yield design.select_only(also)
         return
-    d = design.select_only()
+    d = design.select_only(also)
     if storage == "checkpoint":
         from ridgeline.session import shared_dir
 

@@ -1,46 +1,110 @@
 """LibSVM text source and sink (S1): ``label idx:val ...`` lines, one-based ascending indexes.
 
-Read through Spark's built-in ``libsvm`` data source.  Always pass
-``num_features``: without it the source scans the files once more just to find
-the largest index.
+The lines are read and parsed by DataFrame expressions, so rows are sparse from the start and
+damaged lines can be told from good ones.  A line is good when its label and values are
+numbers and its indexes are ascending integers from 1 (up to ``num_features`` where that is
+given); blank lines and lines of a ``#`` comment are no rows, and a ``#`` ends a line.
+:func:`scan_libsvm` finds the dimension and the damage in one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.sources.design import Design, array_points, sparse_points
+from ridgeline.sources.design import Design, array_points, sparse_points, sql_name
+
+ON_DAMAGE = ("fail", "drop")
 
 
 def read_libsvm(spark: SparkSession, path: str, num_features: int) -> DataFrame:
-    """Raw LibSVM rows: ``label double, features vector``."""
+    """Raw LibSVM rows by Spark's own source: ``label double, features vector``."""
     return spark.read.format("libsvm").option("numFeatures", int(num_features)).load(path)
 
 
+def parse_libsvm(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``(line, label, indices, values, good)`` of every line that is a row; indices from 0, null where damaged."""
+    text = F.trim(F.regexp_replace(F.split_part("value", F.lit("#"), F.lit(1)), r"\s+", " "))
+    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(text.alias("line")).filter("line <> ''")
+    parts = lines.withColumn("_p", F.split("line", " "))
+    pairs = F.transform(F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))), lambda t: F.struct(
+        F.when(t.rlike(r"^[0-9]+:[^:]+$"), F.substring_index(t, ":", 1)).try_cast("int").alias("i"), F.substring_index(t, ":", -1).try_cast("double").alias("v")))
+    # each step is a one-row generator: filters on its result are not pushed below it, which would parse again for every use
+    label = F.get("_p", F.lit(0)).try_cast("double")
+    rows = parts.select("line", F.inline(F.array(F.struct(label.alias("label"), pairs.alias("_e")))))
+    ascending = F.forall(F.transform("_e", lambda e, k: (e["i"] >= 1) & e["v"].isNotNull() & ((k == 0) | (F.get("_e", k - 1)["i"] < e["i"]))), lambda ok: F.coalesce(ok, F.lit(False)))
+    good = F.col("label").isNotNull() & ascending
+    indices, values = F.transform("_e", lambda e: e["i"] - 1), F.transform("_e", lambda e: e["v"])
+    return rows.select("line", "label", F.inline(F.array(F.struct(indices.alias("indices"), values.alias("values"), good.alias("good")))))
+
+
+@dataclass(frozen=True)
+class LibsvmScan:
+    rows: int  # good ones
+    damaged: int
+    num_features: int  # largest index of a good line
+    entries: int
+
+
+def scan_libsvm(spark: SparkSession, path: str | Sequence[str]) -> LibsvmScan:
+    """Dimension and damage of LibSVM file(s), in one pass."""
+    good = F.col("good")
+    r = parse_libsvm(spark, path).agg(
+        F.count_if(good), F.count_if(~good), F.coalesce(F.max(F.when(good, F.array_max("indices"))) + 1, F.lit(0)), F.coalesce(F.sum(F.when(good, F.size("indices"))), F.lit(0)),
+    ).first()
+    return LibsvmScan(*map(int, r))
+
+
 def libsvm_design(
     spark: SparkSession,
-    path: str,
-    num_features: int,
+    path: str | Sequence[str],
+    num_features: int | None = None,
     bias: bool = False,
     names: Sequence[str] | None = None,
     sparse: bool = True,
+    damaged: str = "fail",
 ) -> Design:
-    """LibSVM file(s) as a sparse design (default) or with dense arrays; optional virtual bias."""
-    raw = read_libsvm(spark, path, num_features)
-    if sparse:
-        v = F.unwrap_udt("features")
-        pairs = raw.select("label", v.alias("v")).select("label", "v.indices", "v.values")
-        return sparse_points(pairs, "label", "indices", "values", num_features, bias=bias, names=names)
-    arr = raw.select(F.col("label"), vector_to_array(F.col("features"), "float64").alias("features"))
-    return array_points(arr, "label", "features", num_features, bias=bias, names=names)
+    """LibSVM file(s) as a sparse design (default) or with dense arrays; optional virtual bias.
+
+    Without ``num_features`` one pass over the files finds the largest index.  ``damaged``: a bad
+    line is an error when it is read (``"fail"``) or left out and counted as dropped (``"drop"``).
+    """
+    if damaged not in ON_DAMAGE:
+        raise ValueError(f"unknown rule for damaged lines {damaged!r}")
+    if num_features is None:
+        num_features = scan_libsvm(spark, path).num_features
+    rows = parse_libsvm(spark, path)
+    good = F.col("good") & F.forall("indices", lambda i: i < num_features)
+    if damaged == "fail":
+        bad = F.raise_error(F.concat(F.lit("damaged LibSVM line: "), F.substring("line", 1, 200)))
+        rows = rows.withColumn("label", F.when(good, F.col("label")).otherwise(bad))
+    else:  # a null label is left out by the row rule
+        rows = rows.withColumns({"label": F.when(good, F.col("label")), "indices": F.when(good, F.col("indices")), "values": F.when(good, F.col("values"))})
+    design = sparse_points(rows, "label", "indices", "values", num_features, bias=bias, names=names)
+    return design if sparse else densified(design)
+
+
+def densified(design: Design) -> Design:
+    """A sparse design as arrays of all its features."""
+    dim, col = design.stored_dim, sql_name(design.array_col)
+    found = f"get({col}.values, CAST(array_position({col}.indices, j) AS INT) - 1)"
+    dense = F.expr(f"transform(sequence(0, {dim - 1}), j -> coalesce({found}, 0.0D))") if dim else F.array().cast("array<double>")
+    rows = design.df.select(*design.keep, design.label, dense.alias(design.array_col))
+    names = design.features[: design.stored_dim]
+    return array_points(rows, design.label, design.array_col, dim, bias=design.bias, names=names, keep=design.keep)
 
 
 def write_libsvm(design: Design, path: str, mode: str = "error") -> None:
-    """Write the stored features of a design as LibSVM text (the virtual bias is not written)."""
-    xs = [design.x(j) for j in range(design.stored_dim)]
-    out = design.df.select(design.y().alias("label"), array_to_vector(F.array(*xs)).alias("features"))
-    out.write.mode(mode).format("libsvm").save(path)
+    """Write the stored features of a design as LibSVM text (the virtual bias is not written), zeros left out."""
+    if design.sparse:
+        col = sql_name(design.array_col)
+        pairs = F.array_sort(F.filter(F.arrays_zip(F.expr(f"{col}.indices").alias("i"), F.expr(f"{col}.values").alias("v")), lambda e: e["v"] != 0))
+        pairs = F.transform(pairs, lambda e: F.concat_ws(":", (e["i"] + 1).cast("string"), e["v"].cast("string")))
+    else:
+        values = F.col(design.array_col) if design.array_col else F.array(*[design.x(j) for j in range(design.stored_dim)])
+        pairs = F.transform(values, lambda v, i: F.when(v != 0, F.concat_ws(":", (i + 1).cast("string"), v.cast("string"))))
+    line = F.concat_ws(" ", design.y().cast("string"), F.array_compact(pairs))
+    design.df.select(line.alias("value")).write.mode(mode).text(path)

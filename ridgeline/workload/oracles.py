@@ -8,6 +8,7 @@ Newton steps in ``WITH RECURSIVE``.
 
 from __future__ import annotations
 
+from ridgeline.plans.gd import BATCH_MIX, BATCH_PRIME
 from ridgeline.workload import queries as Q
 from ridgeline.workload.fixtures import LIN3, LIN_NET, LIN_RAW, LOG2, LOG_SIG, SPLIT_KEY, SPLIT_PARTS, Fixture
 
@@ -232,10 +233,47 @@ def o_gradient_sparse() -> str:
         "WITH w AS (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS w FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL), "
         "c AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END AS y, CAST('0x' || substr(md5(w), 1, 5) AS BIGINT) AS i, count(*) AS v FROM w GROUP BY ALL), "
         f"s AS (SELECT doc_id, {logistic_slope(m)} AS s FROM (SELECT doc_id, y, sum(v * ((i % 7) - 3) / 1000.0) AS z FROM c GROUP BY doc_id, y)) "
-        f"SELECT i AS feature_index, {R('sum(s * v) / (SELECT count(*) FROM s)', 9)} AS gradient FROM c JOIN s USING (doc_id) GROUP BY i HAVING sum(s * v) <> 0"
+        f"SELECT i AS feature_index, {R('sum(s * v) / (SELECT count(*) FROM s)', 9)} AS gradient FROM c JOIN s USING (doc_id) GROUP BY i"
     )
 
 
+def _words(digits: int) -> str:
+    """``c(doc_id, y, i, v)``: the counts of hashed words."""
+    return (
+        "w AS (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS w FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL), "
+        f"c AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END AS y, CAST('0x' || substr(md5(w), 1, {digits}) AS BIGINT) AS i, count(*) AS v FROM w GROUP BY ALL)"
+    )
+
+
+def _wide_words() -> str:
+    return f"{_words(Q.WIDE_DIGITS)}, e AS (SELECT doc_id, y, i, v / sum(v) OVER (PARTITION BY doc_id) AS v FROM c), n AS (SELECT count(DISTINCT doc_id) AS n FROM e)"
+
+
+def o_wide_gradient() -> str:
+    return (
+        f"WITH {_wide_words()}, s AS (SELECT doc_id, {logistic_slope('z')} AS s FROM (SELECT doc_id, y, sum(v * ((i % 7) - 3) / 10.0) AS z FROM e GROUP BY doc_id, y)) "
+        f"SELECT i AS feature_index, {R('sum(s * v) / any_value(n)', 9)} AS gradient FROM e JOIN s USING (doc_id), n GROUP BY i"
+    )
+
+
+def _wide_gd(steps: list[float], ridge: float, digits: int) -> str:
+    """Gradient descent, a group by feature per step."""
+    ctes = [_wide_words(), "w0 AS (SELECT DISTINCT i, CAST(0.0 AS DOUBLE) AS w FROM e)"]
+    for k, step in enumerate(steps):
+        ctes.append(f"s{k} AS (SELECT doc_id, {logistic_slope('z')} AS s FROM (SELECT doc_id, y, sum(v * w) AS z FROM e JOIN w{k} USING (i) GROUP BY doc_id, y))")
+        ctes.append(f"w{k + 1} AS (SELECT i, any_value(w) - {lit(step)} * (sum(s * v) / any_value(n) + {lit(ridge)} * any_value(w)) AS w FROM e JOIN s{k} USING (doc_id) JOIN w{k} USING (i), n GROUP BY i)")
+    return f"WITH {', '.join(ctes)} SELECT i AS feature_index, {R('w', digits)} AS weight FROM w{len(steps)}"
+
+
+def o_wide_gd_fit() -> str:
+    return _wide_gd([Q.WIDE_STEP / (k + 1) ** 0.5 for k in range(Q.WIDE_STEPS)], 0.0, 9)
+
+
+def o_wide_cg_fit() -> str:
+    """Steps of 0.9: the curvature lies between the ridge term's 1 and 1.25."""
+    return _wide_gd([0.9] * 14, Q.WIDE_RIDGE, 6)
+
+
 def _alphas(values) -> str:
     return "(VALUES " + ", ".join(f"({lit(a)})" for a in values) + ") a(alpha)"
 
@@ -285,12 +323,12 @@ def o_accuracy() -> str:
 
 
 # --- F: fits ------------------------------------------------------------------
-def _gd_cte(fx: Fixture, step: float, tol: float, max_iter: int, check_from: int) -> str:
+def _gd_cte(fx: Fixture, step: float, tol: float, max_iter: int, check_from: int, slope: str = "({z} - p.y)", pts: str | None = None, drawn: str = "true") -> str:
     d = len(fx.names)
     ws = [f"w{j + 1}" for j in range(d)]
     margin = "(" + " + ".join(f"(g.w{j + 1} * p.x{j + 1})" for j in range(d)) + ")"
     new = ", ".join(
-        f"g.w{j + 1} - ({lit(step)} / sqrt(g.it + 1)) * avg(({margin} - p.y) * p.x{j + 1}) AS w{j + 1}"
+        f"g.w{j + 1} - ({lit(step)} / sqrt(g.it + 1)) * avg({slope.format(z=margin)} * p.x{j + 1}) AS w{j + 1}"
         for j in range(d)
     )
     olds = ", ".join(f"g.w{j + 1} AS o{j + 1}" for j in range(d))
@@ -298,19 +336,19 @@ def _gd_cte(fx: Fixture, step: float, tol: float, max_iter: int, check_from: int
     norm = " + ".join(f"w{j + 1} * w{j + 1}" for j in range(d))
     zeros = ", ".join("CAST(0.0 AS DOUBLE)" for _ in ws)
     return (
-        f"WITH RECURSIVE pts AS ({points(fx)}), "
+        f"WITH RECURSIVE pts AS ({pts or points(fx)}), "
         f"gd(it, {', '.join(ws)}, done) AS ("
         f"SELECT 0, {zeros}, false "
         f"UNION ALL "
         f"SELECT it, {', '.join(ws)}, "
         f"(it >= {check_from}) AND sqrt({diff}) < {lit(tol)} * greatest(sqrt({norm}), 1.0) "
         f"FROM (SELECT g.it + 1 AS it, {olds}, {new} FROM gd g, pts p "
-        f"WHERE NOT g.done AND g.it < {max_iter} GROUP BY g.it, {', '.join('g.' + w for w in ws)}) s)"
+        f"WHERE NOT g.done AND g.it < {max_iter} AND {drawn} GROUP BY g.it, {', '.join('g.' + w for w in ws)}) s)"
     )
 
 
-def _gd_weights(fx: Fixture, step, tol, max_iter, check_from) -> str:
-    cte = _gd_cte(fx, step, tol, max_iter, check_from)
+def _gd_weights(fx: Fixture, step, tol, max_iter, check_from, slope: str = "({z} - p.y)", pts: str | None = None, drawn: str = "true") -> str:
+    cte = _gd_cte(fx, step, tol, max_iter, check_from, slope, pts, drawn)
     last = "(SELECT * FROM gd WHERE it = (SELECT max(it) FROM gd))"
     body = rows([(j, n, R(f"w{j + 1}", 6)) for j, n in enumerate(fx.names)], last, "weight")
     return f"{cte} SELECT feature_index, feature, weight, CAST((SELECT max(it) FROM gd) AS BIGINT) AS iterations FROM ({body})"
@@ -457,6 +495,71 @@ def o_cg_array_fit() -> str:
     )
 
 
+def _descent(label: str, features: dict[str, str], slope: str, curve: float, step: str, rounds: int, digits: int) -> str:
+    """Coordinate descent, one weight per row of the recursion: ``step`` maps (w - g/h) in ``{v}`` with bound ``{h}`` on its curvature."""
+    names = [*features, "bias"]
+    d = len(names)
+    pts = f"SELECT CAST({label} AS DOUBLE) AS y, {', '.join(f'CAST({e} AS DOUBLE) AS x{j + 1}' for j, e in enumerate(features.values()))}, CAST(1.0 AS DOUBLE) AS x{d} FROM lineitem"
+    z = "(" + " + ".join(f"g.w{j + 1} * p.x{j + 1}" for j in range(d)) + ")"
+    ws = ", ".join(f"w{j + 1}" for j in range(d))
+    xj = "CASE g.it % " + str(d) + " " + " ".join(f"WHEN {j} THEN p.x{j + 1}" for j in range(d)) + " END"
+    sums = f"SELECT g.it, {', '.join(f'g.w{j + 1}' for j in range(d))}, avg({slope.format(z=z, y='p.y')} * {xj}) AS g, {curve!r} * avg(({xj}) * ({xj})) AS h FROM cd g, pts p WHERE g.it < {d * rounds} GROUP BY g.it, {', '.join(f'g.w{j + 1}' for j in range(d))}"
+    new = ", ".join(f"CASE WHEN it % {d} = {j} THEN {step.format(v=f'(w{j + 1} - g / h)', h='h')} ELSE w{j + 1} END" for j in range(d))
+    body = rows([(j, n, R(f"w{j + 1}", digits)) for j, n in enumerate(names)], f"(SELECT * FROM cd WHERE it = {d * rounds})", "weight")
+    zeros = ", ".join("CAST(0.0 AS DOUBLE)" for _ in names)
+    return f"WITH RECURSIVE pts AS ({pts}), cd(it, {ws}) AS (SELECT 0, {zeros} UNION ALL SELECT it + 1, {new} FROM ({sums}) s) {body}"
+
+
+def o_cg_logistic_l1_fit() -> str:
+    soft = f"sign({{v}}) * greatest(abs({{v}}) - {lit(Q.L1_WEIGHT)} / {{h}}, 0.0)"
+    return _descent(LOG_SIG.label, Q.LOG_SIG3, logistic_slope("{z}", "{y}"), 0.25, soft, 250, 4)
+
+
+def o_cg_logistic_bounds_fit() -> str:
+    return _descent(LOG_SIG.label, Q.LOG_SIG3, logistic_slope("{z}", "{y}"), 0.25, f"least({lit(Q.BOUND[1])}, greatest({lit(Q.BOUND[0])}, {{v}}))", 250, 4)
+
+
+def o_huber_cg_fit() -> str:
+    d = lit(Q.HUBER_DELTA)
+    return _descent(LIN_NET.label, dict(LIN_NET.features), f"greatest(-{d}, least({d}, {{z}} - {{y}}))", 1.0, "{v}", 500, 4)
+
+
+def o_hinge_gd_fit() -> str:
+    return _gd_weights(LOG_SIG, Q.HINGE_STEP, 0.0, Q.HINGE_STEPS, 1, "CASE WHEN (2.0 * p.y - 1.0) * {z} < 1.0 THEN 1.0 - 2.0 * p.y ELSE 0.0 END")
+
+
+def o_sgd_minibatch_fit() -> str:
+    p, (m1, m2) = BATCH_PRIME, BATCH_MIX
+    digest = f"md5('{Q.BATCH_SEED}:' || CAST(split_key AS VARCHAR))"
+    hashes = ", ".join(f"CAST('0x' || substr({digest}, {at}, 8) AS BIGINT) AS {c}" for c, at in (("a", 1), ("b", 9)))
+    pts = f"SELECT *, {hashes} FROM ({points(LIN3, keys=True)})"
+    drawn = f"(xor((xor(p.a, (g.it + 1) * 2654435769 % 4294967296) * {m1}) % {p}, p.b) * {m2}) % {p} < {int(Q.BATCH * p)}"
+    return _gd_weights(LIN3, Q.GD_STEP, 0.0, Q.BATCH_STEPS, 1, pts=pts, drawn=drawn)
+
+
+def o_lbfgs_own_fit() -> str:
+    return _newton_rows(LOG_SIG, 0.0)
+
+
+def o_lbfgs_sparse_fit() -> str:
+    return _newton_rows(LOG_SIG, 0.0)
+
+
+def o_libsvm_sparse_mse() -> str:
+    return o_linear_pipeline_mse()
+
+
+def o_sparse_logistic_accuracy() -> str:
+    return o_logistic_pipeline_accuracy()
+
+
+def o_libsvm_infer() -> str:
+    return (
+        f"WITH {_words(5)} SELECT count(DISTINCT doc_id) AS n, (SELECT count(*) FROM documents WHERE doc_id % 5 = 0 AND doc_id % 9 < 7) AS damaged, "
+        f"max(i) + 1 AS num_features, count(*) AS entries FROM c"
+    )
+
+
 def o_lbfgs_logistic_fit() -> str:
     return _newton_rows(LOG_SIG, 0.0)
 

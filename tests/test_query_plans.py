@@ -15,12 +15,12 @@ FITS = {n for n in QUERIES if n.endswith("_fit") and n not in ("lbfgs_logistic_f
 def test_plan_has_no_cross_join_or_row_cap(spark, name, monkeypatch):
     plans = []
 
-    def kept(base, sums, run=passes.two_level):
+    def kept(base, sums, run=passes.bucketed):
         out = run(base, sums)
         plans.append(out._jdf.queryExecution().executedPlan().toString())
         return out
 
-    monkeypatch.setattr(passes, "two_level", kept)
+    monkeypatch.setattr(passes, "bucketed", kept)
     df = QUERIES[name](spark, SF001)
     arrow = name == "cg_array_fit"
     assert arrow or name not in FITS or plans, "a fit ran without a recorded pass"
