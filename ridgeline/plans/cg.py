@@ -45,6 +45,7 @@ from ridgeline.functions.losses import get_loss
 from ridgeline.functions.updaters import Ridge
 from ridgeline.operators.passes import EmptyDesign, Evaluator, Trial, evaluator
 from ridgeline.plans.result import FitResult
+from ridgeline.plans.state import FitState
 from ridgeline.sources.design import Design, materialized
 
 # Defaults of the line search (fixed values of the method).
@@ -268,9 +269,14 @@ def fit_cg(
     method: str = "cg",
     form: str | None = None,
     updater=None,
+    resume: str | None = None,
 ) -> FitResult:
     """Fit by nonlinear CG.
 
+    ``resume``: a folder that all executors share; the loop's state goes there after every
+    iteration, a fit started again with the same folder (and the same arguments) goes on from
+    it, and a fit that ends removes it.
+
     ``updater``: None, ``ridge(v)`` (added to ``reg_param``), or one that is not smooth (``l1(v)``,
     ``bounds(lo, hi)``): conjugate directions do not survive its kinks, so such a fit runs the
     orthant-wise or projected steps of :func:`ridgeline.plans.lbfgs.fit_lbfgs`.
@@ -286,6 +292,8 @@ def fit_cg(
     if updater is not None:
         from ridgeline.plans.lbfgs import fit_lbfgs
 
+        if resume is not None:
+            raise ValueError("fits with an updater that is not smooth cannot be resumed")
         return fit_lbfgs(design, loss, reg_param, updater, max_iter, init, step_tol=step_tol, grad_tol=grad_tol, storage=storage, method=method, form=form)
     t0 = time.perf_counter()
     w = np.zeros(design.dim) if init is None else np.array(init, dtype=float)  # copy: input untouched
@@ -301,35 +309,60 @@ def fit_cg(
     res = FitResult(method, lossf.name, design.features, w, reg_param=reg_param, passes=passes)
     ev = None
     res.design = design
+    kept = FitState(design.df.sparkSession, resume) if resume is not None else None
     with materialized(design, storage) as ds:
         try:
             ev = evaluator(ds, lossf, reg_param, solver, passes, res.evaluations, form)
             if mode == "exact":
-                _run_exact(ev, res, w, max_iter, step_tol, grad_tol)
+                _run_exact(ev, res, w, max_iter, step_tol, grad_tol, kept)
             else:
-                _run_wolfe(ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, newton_steps, batched)
+                _run_wolfe(ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, newton_steps, batched, kept)
             if mode == "exact" or solver == "gram":
                 res.final_loss = ev.value(res.weights)  # of the fitted weights, not by the quadratic
         except EmptyDesign:
             res.stop_reason = "empty"
         res.n_rows = (ev.n if ev is not None else None) or 0
+    if kept is not None:
+        kept.clear()
     res.elapsed_ms = int((time.perf_counter() - t0) * 1000)
     return res
 
 
+def _saved(res, **own) -> dict:
+    """The loop's state with the counters and the history of its result."""
+    history = [[it, f, a, w.tolist()] for it, f, a, w in res.history]
+    return own | {"history": history, "restarts": res.restarts, "passes": dict(res.passes), "evaluations": dict(res.evaluations), "final_loss": res.final_loss}
+
+
+def _restored(res, state: dict) -> None:
+    res.history = [(it, f, a, np.array(w)) for it, f, a, w in state["history"]]
+    res.iterations, res.restarts, res.final_loss = len(res.history), state["restarts"], state["final_loss"]
+    res.passes.update(state["passes"])
+    res.evaluations.update(state["evaluations"])
+    res.weights = state["w"]
+
+
 def _run_wolfe(
-    ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, with_hess, batched
+    ev, res, w, max_iter, step_tol, grad_tol, c1, c2, max_bracket, max_zoom, with_hess, batched, kept=None
 ) -> None:
-    if with_hess:
-        f, g, hess = ev.value_gradient_hessian(w)
+    state = kept.load() if kept is not None else None
+    done = 0
+    if state is not None:
+        _restored(res, state)
+        ev.n, done = state["n"], state["it"]
+        w, d, g, f, g0, last_change, hess = (state[k] for k in ("w", "d", "g", "f", "g0", "last_change", "hess"))
     else:
-        (f, g), hess = ev.value_and_gradient(w), None
-    g0 = float(np.linalg.norm(g))
-    d = -g
-    last_change = None
-    res.final_loss, res.grad_norm = f, g0
+        if with_hess:
+            f, g, hess = ev.value_gradient_hessian(w)
+        else:
+            (f, g), hess = ev.value_and_gradient(w), None
+        g0 = float(np.linalg.norm(g))
+        d = -g
+        last_change = None
+        res.final_loss = f
+    res.grad_norm = float(np.linalg.norm(g))
     res.stop_reason = "max_iter"
-    for it in range(1, max_iter + 1):
+    for it in range(done + 1, max_iter + 1):
         gn = float(np.linalg.norm(g))
         if not _finite(f, gn):
             res.stop_reason = "non_finite"
@@ -378,17 +411,25 @@ def _run_wolfe(
             res.restarts += 1
         g = g_new
         res.grad_norm = float(np.linalg.norm(g))
+        if kept is not None:
+            kept.save(it, _saved(res, it=it, n=ev.n, w=w, d=d, g=g, f=f, g0=g0, last_change=last_change, hess=hess))
     res.weights = w
 
 
-def _run_exact(ev, res, w, max_iter, step_tol, grad_tol) -> None:
+def _run_exact(ev, res, w, max_iter, step_tol, grad_tol, kept=None) -> None:
     """Squared loss: one pass per iteration (exact f, g at w plus q = avg((d.x) x))."""
-    f, g = ev.value_and_gradient(w)
-    g0 = float(np.linalg.norm(g))
-    d = -g
-    res.final_loss, res.grad_norm = f, g0
+    state = kept.load() if kept is not None else None
+    done = 0
+    if state is not None:
+        _restored(res, state)
+        done, w, d, g0 = (state[k] for k in ("it", "w", "d", "g0"))
+    else:
+        f, g = ev.value_and_gradient(w)
+        g0 = float(np.linalg.norm(g))
+        d = -g
+        res.final_loss, res.grad_norm = f, g0
     res.stop_reason = "max_iter"
-    for it in range(1, max_iter + 1):
+    for it in range(done + 1, max_iter + 1):
         f, g_exact, q = ev.curvature(w, d, kind="exact")
         gn = float(np.linalg.norm(g_exact))
         res.final_loss, res.grad_norm = f, gn
@@ -428,4 +469,6 @@ def _run_exact(ev, res, w, max_iter, step_tol, grad_tol) -> None:
         else:
             d = -g_new
             res.restarts += 1
+        if kept is not None:
+            kept.save(it, _saved(res, it=it, w=w, d=d, g0=g0))
     res.weights = w

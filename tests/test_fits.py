@@ -242,3 +242,38 @@ def test_gram_fit_takes_two_passes(lin3):
     np.testing.assert_allclose(r.weights, LS_LIN3, atol=5e-8)
     g = rl.fit_gd(lin3, step_size=1.0, max_iter=1000, tol=1e-3, solver="gram")
     assert g.iterations == 61 and g.total_passes == 2
+
+
+@pytest.mark.parametrize("kind", ["wolfe", "newton", "exact"])
+def test_a_stopped_fit_goes_on(log_sig, lineitem01, tmp_path, monkeypatch, kind):
+    """A driver that dies after some iterations: the fit started again has the same history."""
+    from ridgeline.plans import state
+
+    ds, kw = log_sig, {"loss": "logistic", "newton_steps": kind == "newton"}
+    if kind == "exact":
+        ds, kw = LIN_NET.design(lineitem01), {"loss": "squared"}
+    whole = rl.fit_cg(ds, **kw)
+    assert whole.iterations >= 3
+    folder = str(tmp_path / "fit")
+    save = state.FitState.save
+
+    def dying(self, step, data):
+        save(self, step, data)
+        if step == 2:
+            raise KeyboardInterrupt
+
+    monkeypatch.setattr(state.FitState, "save", dying)
+    with pytest.raises(KeyboardInterrupt):
+        rl.fit_cg(ds, resume=folder, **kw)
+    monkeypatch.setattr(state.FitState, "save", save)
+    (tmp_path / "fit" / "step-9").mkdir()  # a step that was never completed
+    before = rl.Evaluator.value_and_gradient
+    monkeypatch.setattr(rl.Evaluator, "value_and_gradient", lambda *a, **k: pytest.fail("started from the beginning") if not np.any(a[1]) else before(*a, **k))
+    again = rl.fit_cg(ds, resume=folder, **kw)
+    assert again.iterations == whole.iterations and again.passes == whole.passes and again.stop_reason == whole.stop_reason
+    assert [h[0] for h in again.history] == [h[0] for h in whole.history]
+    np.testing.assert_allclose(again.weights, whole.weights, atol=1e-12)
+    np.testing.assert_allclose([h[2] for h in again.history], [h[2] for h in whole.history], rtol=1e-9)
+    assert not list((tmp_path / "fit").glob("step-*"))
+    with pytest.raises(ValueError, match="resumed"):
+        rl.fit_logistic(log_sig, updater=rl.l1(0.1), resume=folder)
