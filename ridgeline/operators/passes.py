@@ -198,7 +198,7 @@ class Evaluator:
         expressions in ``_z``, ``_p`` and ``_y`` for losses that only state SQL; margins: (w, d or None).
         """
         design = self.design
-        shape = replace(design, df=None, source=None)  # what the tasks need to know
+        shape = replace(design, df=None, source=None, rule=None, ruled=None, reads=None)  # what the tasks need to know
         dim, sparse = design.dim, design.sparse
         width = n_scalars + n_gradients * dim
         stored = [design.array_col] if design.array_col else list(design.features[: design.stored_dim])

@@ -322,6 +322,7 @@ def fit_cg(
         except EmptyDesign:
             res.stop_reason = "empty"
         res.n_rows = (ev.n if ev is not None else None) or 0
+        res.observed(ds)
     if kept is not None:
         kept.clear()
     res.elapsed_ms = int((time.perf_counter() - t0) * 1000)

@@ -109,6 +109,7 @@ def fit_gd(
         except EmptyDesign:
             res.stop_reason = "empty"
         res.n_rows = (ev.n if ev is not None else None) or 0
+        res.observed(ds)
     res.weights = w
     res.elapsed_ms = int((time.perf_counter() - t0) * 1000)
     return res

@@ -92,7 +92,8 @@ class FitResult:
     reg_param: float = 0.0
     passes: Counter = field(default_factory=Counter)
     evaluations: Counter = field(default_factory=Counter)  # losses and gradients by kind of pass
-    design: object = None  # to count the rows that the row rule left out
+    design: object = None  # to count the rows that the row rule left out, where no pass did
+    dropped: int | None = None
     restarts: int = 0
     elapsed_ms: int = 0
     history: list = field(default_factory=list)  # (iteration, loss at start, alpha, weights after)
@@ -139,11 +140,21 @@ class FitResult:
             int(p["gram"]),
             int(p["final"]),
             *[int(self.evaluations[f"{kind}_{what}"]) for kind in ("bracket", "zoom", "newton") for what in ("loss", "gradient")],
-            None if self.design is None else int(self.design.dropped_rows()),
+            self.dropped_rows(),
             int(self.restarts),
             int(self.elapsed_ms),
         )
 
-    # dropped_rows is counted when the report is asked for
+    def observed(self, design) -> None:
+        """Take the rows that the kept design's source had from its first pass (Spark reports none for empty plans)."""
+        if design.reads is not None and self.n_rows:
+            self.dropped = int(design.reads.get["rows"]) - int(self.n_rows)
+
+    def dropped_rows(self) -> int | None:
+        """Rows that the row rule left out; two counts where the fit kept no table of its own."""
+        if self.dropped is None and self.design is not None:
+            self.dropped = int(self.design.dropped_rows())
+        return self.dropped
+
     def report_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([self.report_row()], REPORT_SCHEMA)

@@ -55,7 +55,8 @@ def wide_design(df: DataFrame, label, indices, values, dim: int, bias: bool = Fa
 
     With ``bias`` feature ``dim`` is a constant 1.0.  Use as a context manager, or unpersist.
     """
-    _, rows = sparse_rows(df, label, indices, values, dim, index_type="bigint")
+    source, rule = sparse_rows(df, label, indices, values, dim, index_type="bigint")
+    rows = source.filter(rule)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = F.monotonically_increasing_id()
     part = F.shiftleft(F.shiftright(at, 33), 33) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / rows_a_part).cast("long")

@@ -22,7 +22,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -62,9 +62,12 @@ class Design:
     keep: tuple[str, ...] = ()  # pass-through columns (keys), never features
     sparse: bool = False
     source: DataFrame | None = None  # the rows before the row rule
+    rule: Column | None = None  # the row rule, and the table that it gave
+    ruled: DataFrame | None = None
+    reads: Observation | None = None  # rows of the source, counted by the first pass over the kept table
 
     def dropped_rows(self) -> int:
-        """Rows that the row rule left out; runs two counts."""
+        """Rows that the row rule left out; runs two counts (a fit counts them on its way)."""
         return 0 if self.source is None else self.source.count() - self.df.count()
 
     # ----------------------------------------------------------------- shape
@@ -172,6 +175,15 @@ class Design:
         cols = [self.label] + ([self.array_col] if self.array_col else list(self.features[: self.stored_dim])) + list(also)
         return replace(self, df=self.df.select(*cols), keep=())
 
+    def observed(self, also: Sequence[str] = ()) -> Design:
+        """:meth:`select_only`, with the rows before the row rule counted as they go by (``reads``)."""
+        if self.rule is None or self.df is not self.ruled or also:
+            return self.select_only(also)
+        stored = [self.array_col] if self.array_col else list(self.features[: self.stored_dim])
+        seen = Observation()
+        rows = self.source.select(self.label, *stored).observe(seen, F.count(F.lit(1)).alias("rows"))
+        return replace(self, df=rows.where(self.rule), keep=(), reads=seen)
+
 
 # ------------------------------------------------------------------ builders
 def labeled_points(
@@ -201,10 +213,11 @@ def labeled_points(
         _col(label).cast("double").alias(LABEL),
         *[e.cast("double").alias(n) for n, e in items],
     )
-    source = out
+    source, rule = out, None
     if drop_nulls:
+        rule = F.expr(" AND ".join(f"{sql_name(n)} IS NOT NULL AND NOT isnan({sql_name(n)})" for n in (LABEL, *names)))
         out = out.dropna(subset=[LABEL, *names])
-    return Design(df=out, features=names + ((BIAS,) if bias else ()), bias=bias, keep=tuple(keep), source=source)
+    return Design(df=out, features=names + ((BIAS,) if bias else ()), bias=bias, keep=tuple(keep), source=source, rule=rule, ruled=out)
 
 
 def array_points(
@@ -224,7 +237,7 @@ def array_points(
     arr = _col(features).cast("array<double>")
     fits = F.when(F.size(arr) == dim, arr).when(arr.isNotNull(), F.raise_error(F.concat(F.lit(f"an array of {dim} features is expected, one has "), F.size(arr))))
     source = df.select(*keep, _col(label).cast("double").alias(LABEL), fits.alias(FEATURES))
-    return _design(source, source.filter(_whole(F.col(FEATURES))) if drop_nulls else source, dim, bias, names, keep, sparse=False)
+    return _design(source, _whole(F.col(FEATURES)) if drop_nulls else None, dim, bias, names, keep, sparse=False)
 
 
 def sparse_points(
@@ -232,22 +245,21 @@ def sparse_points(
     names: Sequence[str] | None = None, drop_nulls: bool = True, keep: Sequence[str] = (),
 ) -> Design:
     """Sparse design: ``features struct<indices, values>``, zero-based, of width ``dim``; zeros are not stored."""
-    source, out = sparse_rows(df, label, indices, values, dim, drop_nulls, keep)
-    return _design(source, out, dim, bias, names, keep, sparse=True)
+    source, rule = sparse_rows(df, label, indices, values, dim, keep)
+    return _design(source, rule if drop_nulls else None, dim, bias, names, keep, sparse=True)
 
 
 def sparse_rows(
-    df: DataFrame, label: Column | str, indices: Column | str, values: Column | str, dim: int, drop_nulls: bool = True,
-    keep: Sequence[str] = (), index_type: str = "int",
-) -> tuple[DataFrame, DataFrame]:
-    """The table behind a sparse design, before and after the row rule."""
+    df: DataFrame, label: Column | str, indices: Column | str, values: Column | str, dim: int, keep: Sequence[str] = (), index_type: str = "int",
+) -> tuple[DataFrame, Column]:
+    """The table behind a sparse design before the row rule, and the rule."""
     both = F.struct(_col(indices).cast(f"array<{index_type}>").alias("indices"), _col(values).cast("array<double>").alias("values"))
     i, v = F.col(f"{FEATURES}.indices"), F.col(f"{FEATURES}.values")
     source = df.select(*keep, _col(label).cast("double").alias(LABEL), both.alias(FEATURES))
     fits = (F.size(i) == F.size(v)) & F.forall(i, lambda x: F.coalesce((x >= 0) & (x < dim), F.lit(False)))
     wrong = i.isNotNull() & v.isNotNull() & ~fits
     source = source.withColumn(FEATURES, F.when(wrong, F.raise_error(F.lit(f"a sparse row does not fit {dim} features"))).otherwise(F.col(FEATURES)))
-    return source, source.filter(_whole(v) & i.isNotNull()) if drop_nulls else source
+    return source, _whole(v) & i.isNotNull()
 
 
 def _whole(values: Column) -> Column:
@@ -255,13 +267,15 @@ def _whole(values: Column) -> Column:
     return F.col(LABEL).isNotNull() & ~F.isnan(LABEL) & F.coalesce(ok, F.lit(False))
 
 
-def _design(source: DataFrame, out: DataFrame, dim: int, bias: bool, names, keep, sparse: bool) -> Design:
+def _design(source: DataFrame, rule: Column | None, dim: int, bias: bool, names, keep, sparse: bool) -> Design:
     names = tuple(names) if names is not None else tuple(f"x{j}" for j in range(dim))
     if len(names) != dim:
         raise ValueError("names must have one entry per array element")
+    out = source if rule is None else source.filter(rule)
     return Design(
-        df=out, features=names + ((BIAS,) if bias else ()), array_col=FEATURES, bias=bias, keep=tuple(keep), sparse=sparse, source=source
-    )
+        df=out, features=names + ((BIAS,) if bias else ()), array_col=FEATURES, bias=bias, keep=tuple(keep), sparse=sparse,
+        source=source, rule=rule, ruled=out,
+    )
 
 
 # ------------------------------------------------------------------ caching
@@ -302,6 +316,7 @@ def materialized(design: Design, storage: str = "memory_and_disk", also: Sequenc
         level = _LEVELS[storage]
     except KeyError:
         raise ValueError(f"unknown storage {storage!r}") from None
+    d = design.observed(also)
     df = d.df.persist(level)
     try:
         yield replace(d, df=df)

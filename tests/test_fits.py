@@ -277,3 +277,24 @@ def test_a_stopped_fit_goes_on(log_sig, lineitem01, tmp_path, monkeypatch, kind)
     assert not list((tmp_path / "fit").glob("step-*"))
     with pytest.raises(ValueError, match="resumed"):
         rl.fit_logistic(log_sig, updater=rl.l1(0.1), resume=folder)
+
+
+@pytest.mark.parametrize("fit", [rl.fit_cg, rl.fit_gd, rl.fit_lbfgs])
+def test_a_report_starts_no_job(spark, fit):
+    """Rows read and dropped are counted by the first pass; columns, arrays and sparse rows."""
+    rows = [(float(k % 7), float(k % 5), None if k % 10 == 0 else float("nan") if k % 10 == 1 else float(k % 2)) for k in range(200)]
+    df = _small(spark, rows)
+    one = F.array(F.col("a"), F.col("b"))
+    designs = [rl.labeled_points(df, "y", ["a", "b"]), rl.array_points(df, "y", one, 2), rl.sparse_points(df, "y", F.array(F.lit(0), F.lit(1)), one, 2)]
+    sc = spark.sparkContext
+    for ds in designs:
+        res = fit(ds, "squared", max_iter=2)
+        sc.setJobGroup("report", "report")
+        try:
+            row = res.report_row()
+        finally:
+            sc._jsc.sc().clearJobGroup()
+        assert res.n_rows == 160 and res.dropped_rows() == 40 and 40 in row
+        assert not sc.statusTracker().getJobIdsForGroup("report")
+    assert fit(designs[0], "squared", max_iter=2, storage="none").dropped_rows() == 40
+    assert fit(rl.labeled_points(df.limit(0), "y", ["a", "b"]), "squared").dropped_rows() == 0
