@@ -52,7 +52,7 @@ def main() -> None:
         )
 
     fits = {
-        # least squares by Gram moments (3 passes over the source), logistic CG with Newton-step trials
+        # least squares by Gram moments (2 passes over the source), logistic CG with Newton-step trials
         "cg_linear": lambda: rl.fit_linear(lin(LIN_NET), solver="gram", storage="none"),
         "gd": lambda: rl.fit_gd(lin(LIN3), step_size=Q.GD_STEP, max_iter=Q.GD_MAX, tol=Q.GD_TOL, solver="gram", storage="none"),
         "gd_stock": lambda: rl.fit_gd_stock(lin(LIN_RAW), step_size=Q.STOCK_STEP, max_iter=Q.STOCK_MAX, tol=Q.STOCK_TOL, solver="gram", storage="none"),
@@ -69,6 +69,8 @@ def main() -> None:
         "cg_linear_wolfe": lambda: rl.fit_linear(lin(LIN_NET), solver="passes", line_search="wolfe"),
         "gd_passes": lambda: rl.fit_gd(lin(LIN3), step_size=Q.GD_STEP, max_iter=Q.GD_MAX, tol=Q.GD_TOL, solver="passes"),
         "cg_logistic_plain_search": lambda: rl.fit_logistic(lin(LOG_SIG)),
+        "lbfgs_own_logistic": lambda: rl.fit_lbfgs(lin(LOG_SIG)),
+        "cg_logistic_l1": lambda: rl.fit_logistic(Q.log_sig3(spark, sf_dir), updater=rl.l1(Q.L1_WEIGHT)),
         "cg_logistic_sequential_search": lambda: rl.fit_logistic(lin(LOG_SIG), batched=False),
         # form A (columns) vs form B (array) on the same 4 embedding entries + bias
         "cg_emb4_columns": lambda: rl.fit_logistic(emb4_columns(), reg_param=Q.RIDGE),
