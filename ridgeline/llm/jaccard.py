@@ -11,8 +11,10 @@ copies never meet each other in a join.
 - Larger sets scan inverted lists, of the shingles that every link has in common: in one
   order of all shingles, the first n - ceil(percent * n / 100) + 1 of each set.  The
   order puts shingles that tasks have seen often last (it matters for speed only; any
-  order is exact).  Lists up to ``SHORT_LIST`` give pairs; longer ones are cut into
-  blocks, and a task compares two blocks and returns a forest of its links.
+  order is exact).  A list first checks its members against one of them, its leader, so a
+  group of near copies costs its size and not its square; lists of the same members count
+  once.  Only members of one list that then lie in different components are compared, by
+  blocks of ``BLOCK`` members, two of which a task compares by their sketches.
 - The boundary is the size with the least cost: subsets enumerated against list entries
   and their expected checks, from the sizes of all sets.
 
@@ -43,12 +45,14 @@ WIDTH, PERCENT = 4, 85
 #: Largest size that may enumerate subsets.
 MOST_SMALL = 20
 SHORT_LIST, BLOCK = 256, 256
+#: What is left of lists up to this size is paired by a join.
+TINY = 16
 #: A shingle counts as frequent when tasks saw it LOCAL times each and OFTEN times together;
 #: the most frequent ones go to all tasks, and those of HOT and more are cut into blocks at once.
 LOCAL, OFTEN, MOST_FREQUENT, HOT = 3, 8, 1_000_000, 4_096
 SKETCH_BITS = 2_048
-#: Candidates are found again among the documents by a bitmap of this size.
-BITMAP_BITS = 1 << 23
+#: Candidates are found again among the documents by a bitmap of so many bits each, at least and at most these in all.
+CANDIDATE_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 31
 COUNTED_TOKENS = 2_000_000
 
 
@@ -225,9 +229,9 @@ def _entries(shared, boundary: int, width: int, percent: int):
     return run
 
 
-MEETINGS = "kind int, a long, b long, key long, block int, n int, m int"
-#: Pairs of short lists, and members of longer ones with their blocks.
-PAIR, MEMBER = 3, 4
+MEETINGS = "kind int, a long, b long, key long, n int, m int"
+#: A leader (a) with another member (b) of a short list; members (a) of short lists by what they hold; members of long lists.
+PAIR, MEMBER, LONG = 3, 4, 5
 
 
 class _Lists:
@@ -235,21 +239,15 @@ class _Lists:
 
     def __init__(self, boundary: int, percent: int):
         self.boundary, self.percent = boundary, percent
-        self.going, self.placed, self.last = None, 0, None
-        self.held: list = []
-        self.n_held = 0
+        self.going = None
+        self.pairs_held: list = []
+        self.members_held: list = []
+        self.held = 0
+        self.known: set[int] = set()
 
-    def members(self, key: int, node) -> pa.RecordBatch:
-        import numpy as np
-
-        if self.going is None:
-            self.going, self.placed = key, 0
-        elif node[0] == self.last:
-            node = node[1:]
-        place = self.placed + np.arange(len(node))
-        self.placed += len(node)
-        self.last = node[-1] if len(node) else self.last
-        return _meeting(MEMBER, a=node, key=key, block=place // BLOCK)
+    def long(self, key: int, node, n) -> pa.RecordBatch:
+        self.going = key
+        return _meeting(LONG, a=node, key=key, n=n)
 
     def whole(self, key, node, n) -> Iterator[pa.RecordBatch]:
         """Lists that end here; the first may be the one that is going."""
@@ -259,36 +257,51 @@ class _Lists:
         key, node, n = key[first], node[first], n[first]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(starts[1:], len(key))
-        if self.going is not None:
-            if key[0] == self.going:
-                yield self.members(self.going, node[: ends[0]])
-                starts, ends = starts[1:], ends[1:]
-            self.going = None
+        if self.going is not None and key[0] == self.going:
+            yield self.long(self.going, node[: ends[0]], n[: ends[0]])
+            starts, ends = starts[1:], ends[1:]
+        self.going = None
         more = ends - starts > 1
         for a, b in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
             if b - a > SHORT_LIST:
-                yield self.members(key[a], node[a:b])
+                yield self.long(key[a], node[a:b], n[a:b])
                 self.going = None
                 continue
-            i, j = np.triu_indices(b - a, 1)
-            i, j = i + a, j + a
-            ok = (100 * n[i] >= self.percent * n[j]) & (n[j] > self.boundary)
-            i, j = node[i[ok]], node[j[ok]]
-            if len(i):
-                self.held.append((np.minimum(i, j), np.maximum(i, j)))
-                self.n_held += len(i)
-            if self.n_held >= 500_000:
-                yield from self.pairs()
-
-    def pairs(self) -> Iterator[pa.RecordBatch]:
+            order = np.argsort(node[a:b])
+            own, size = node[a:b][order], n[a:b][order]
+            holds = hash(own.tobytes())
+            if holds in self.known:
+                continue
+            if len(self.known) >= 200_000:
+                self.known.clear()
+            self.known.add(holds)
+            self.pairs_held.append((np.full(b - a - 1, own[0]), own[1:], np.full(b - a - 1, size[0]), size[1:]))
+            self.held += b - a
+            if b - a > 2:  # equal lists have one key, in any task
+                self.members_held.append((np.full(b - a, node_of(own)), own, size))
+            if self.held >= 200_000:
+                yield from self.flush()
+        return
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        if self.held:
-            both = np.unique(np.stack([np.concatenate([x[0] for x in self.held]), np.concatenate([x[1] for x in self.held])]), axis=1)
-            self.held, self.n_held, k = [], 0, both.shape[1]
-            for a in range(0, k, 100_000):
-                part = both[:, a : a + 100_000]
-                yield _meeting(PAIR, a=part[0], b=part[1])
+        if self.pairs_held:
+            a, b, n, m = (np.concatenate(c) for c in zip(*self.pairs_held, strict=True))
+            ok = may_link(n, m, self.boundary, self.percent)
+            both = np.unique(np.stack([a[ok], b[ok]]), axis=1)
+            yield _meeting(PAIR, a=both[0], b=both[1])
+        if self.members_held:
+            key, node, n = (np.concatenate(c) for c in zip(*self.members_held, strict=True))
+            yield _meeting(MEMBER, a=node, key=key, n=n)
+        self.pairs_held, self.members_held, self.held = [], [], 0
+
+
+def may_link(n, m, boundary: int, percent: int):
+    """Sizes that allow a link, one of them beyond those that subsets settle."""
+    import numpy as np
+
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.maximum(n, m) > boundary)
 
 
 def _meeting(kind: int, **columns) -> pa.RecordBatch:
@@ -298,12 +311,12 @@ def _meeting(kind: int, **columns) -> pa.RecordBatch:
     k = len(columns["a"])
     names = [c.split()[0] for c in MEETINGS.split(", ")]
     full = {"kind": kind} | columns
-    return _rows(MEETINGS, [np.broadcast_to(np.asarray(full[c], np.int32 if c in ("kind", "block", "n", "m") else np.int64), k).copy() if c in full else k for c in names])
+    return _rows(MEETINGS, [np.broadcast_to(np.asarray(full[c], np.int32 if c in ("kind", "n", "m") else np.int64), k).copy() if c in full else k for c in names])
 
 
 def _meetings(boundary: int, percent: int):
-    """From entries in order of (kind, key, n, node): subset keys that two sets share, pairs of short
-    lists, members of longer ones; entries of hot lists are members already."""
+    """From entries in order of (kind, key, n, node): subset keys that two sets share, leaders' pairs and
+    members of short lists, members of long ones; entries of hot lists are members already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -325,7 +338,7 @@ def _meetings(boundary: int, percent: int):
             kind, key, node, n, m = (np.concatenate([x, batch.column(i).to_numpy().astype(np.int64)]) for i, x in enumerate(left))
             hot = kind == HOT_LIST
             if hot.any():
-                yield _meeting(MEMBER, a=node[hot], key=key[hot], block=m[hot])
+                yield _meeting(LONG, a=node[hot], key=key[hot], n=n[hot])
                 kind, key, node, n, m = (x[~hot] for x in (kind, key, node, n, m))
             if not len(key):
                 left = (none,) * 5
@@ -352,16 +365,15 @@ def _meetings(boundary: int, percent: int):
                     yield from subsets(*left[1:], more=True)
                     long_subset = left[1][0]
                 else:
-                    if lists.going != key[-1]:
-                        lists.going = None
-                    yield lists.members(key[-1], left[2][np.concatenate([[True], left[2][1:] != left[2][:-1]])])
+                    fresh = np.concatenate([[True], left[2][1:] != left[2][:-1]])
+                    yield lists.long(key[-1], left[2][fresh], left[3][fresh])
                 left = (none,) * 5
         kind, key, node, n, m = left
         if len(key) and kind[0] == SUBSET:
             yield from subsets(key, node, n, m, more=key[0] == long_subset)
         elif len(key):
             yield from lists.whole(key, node, n)
-        yield from lists.pairs()
+        yield from lists.flush()
 
     return run
 
@@ -386,11 +398,12 @@ def _candidates(shared, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("words", forget_words)
         bitmap, seen, out = shared.value, set(), []
+        cells = 8 * len(bitmap) - 1
         for batch in batches:
             for text in texts_of(batch.column(0)):
                 s = shingles(text, width)
                 node = node_of(s)
-                cell = node & (BITMAP_BITS - 1)
+                cell = node & cells
                 if not len(s) or node in seen or not bitmap[cell >> 3] >> (cell & 7) & 1:
                     continue
                 if len(seen) >= 200_000:
@@ -407,27 +420,39 @@ def _candidates(shared, width: int):
 
 
 def _bitmap(nodes: DataFrame):
-    """Broadcast bitmap of the nodes' low bits: of fixed size, so it may let others through, but loses none."""
+    """Broadcast bitmap of the nodes' low bits, sized by their number; it may let others through, but loses none."""
     import numpy as np
 
-    cells = nodes.select(F.col("node").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("cell")).distinct().toArrow()
-    bits = np.zeros(BITMAP_BITS, np.uint8)
-    bits[cells.column(0).to_numpy()] = 1
-    return nodes.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
-
-
-def _marked(shared):
-    """Keeps the rows whose node is in the bitmap."""
+    count = nodes.agg(F.approx_count_distinct("node")).first()[0]
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, CANDIDATE_BITS * count):
+        bits *= 2
+    piece = 1 << 16
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        bitmap = np.frombuffer(shared.value, np.uint8)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            cell = batch.column(0).to_numpy() & (BITMAP_BITS - 1)
-            yield batch.filter(pa.array((bitmap[cell >> 3] >> (cell & 7) & 1).astype(bool)))
+            cell = np.unique(batch.column(0).to_numpy())
+            for at, own in zip(*_runs(cell >> 16, cell & (piece - 1)), strict=True):
+                held.setdefault(at, np.zeros(piece, np.uint8))[own] = 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in held.values()], pa.binary())], names=["at", "bits"])
+
+    cells = nodes.select(F.col("node").bitwiseAND(F.lit(bits - 1)).alias("cell"))
+    out = np.zeros(bits // 8, np.uint8)
+    # the pieces meet in their task, so the driver gets each once: the bitmap's own size
+    found = cells.withColumn("at", F.shiftright("cell", 16)).repartition("at").select("cell").mapInArrow(pieces, "at long, bits binary")
+    for row in found.toLocalIterator():
+        at = row["at"] * (piece // 8)
+        out[at : at + piece // 8] |= np.frombuffer(row["bits"], np.uint8)
+    return nodes.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def _runs(key, value):
+    """Distinct values of a sorted key, and the values of each."""
+    import numpy as np
 
-    return run
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[cuts].tolist(), np.split(value, cuts[1:]) if len(key) else []
 
 
 def linked(a, b, percent: int) -> bool:
@@ -471,34 +496,22 @@ def _checked(percent: int):
 
 
 def _compare_blocks(percent: int, boundary: int):
-    """A forest of the links between (or within) the two blocks of a group."""
+    """Pairs between (or within) the two blocks of a group that are apart and that sizes and sketches allow."""
 
     def run(key, pdf):
         import numpy as np
         import pandas as pd
 
         pdf = pdf.drop_duplicates("node")
-        node, n, block = pdf["node"].to_numpy(), pdf["n"].to_numpy().astype(np.int64), pdf["block"].to_numpy()
+        node, n, block, root = (pdf[c].to_numpy() for c in ("node", "n", "block", "root"))
+        n = n.astype(np.int64)
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
-        sets = [np.frombuffer(s, "<i8") for s in pdf["elements"]]
-        root = list(range(len(pdf)))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
         out = []
         for i in range(len(pdf)):
-            far = np.bitwise_count(sketch[i] ^ sketch[i + 1 :]).sum(axis=1) > most_difference(n[i], n[i + 1 :], percent)
-            same = (block[i] == block[i + 1 :]) & (key[1] != key[2])
-            small = (n[i] <= boundary) & (n[i + 1 :] <= boundary)
-            for j in (np.flatnonzero(~(far | same | small)) + i + 1).tolist():
-                if find(i) != find(j) and linked(sets[i], sets[j], percent):
-                    root[find(i)] = find(j)
-                    out.append((min(node[i], node[j]), max(node[i], node[j])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            j = np.flatnonzero(may_link(n[i], n[i + 1 :], boundary, percent) & (root[i] != root[i + 1 :]) & ((block[i] != block[i + 1 :]) | (key[1] == key[2]))) + i + 1
+            j = j[np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= most_difference(n[i], n[j], percent)]
+            out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"]).astype("int64")
 
     return run
 
@@ -547,27 +560,47 @@ def _links(texts: DataFrame, sets: DataFrame, width: int, percent: int) -> DataF
     ends = ends.filter("first IS NOT NULL AND last IS NOT NULL")
     stars = keyed.join(ends, ["key", "lo", "hi"]).select(F.col("node").alias("a"), F.expr("CASE WHEN n = lo THEN last ELSE first END").alias("b")).filter("a <> b").distinct()
 
-    pairs = met.filter(F.col("kind") == PAIR).select("a", "b").distinct()
-    members = met.filter(F.col("kind") == MEMBER).select("key", F.col("a").alias("node"), "block").distinct()
-    totals = members.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
+    long = met.filter(F.col("kind") == LONG).select("key", F.col("a").alias("node"), "n").distinct()
+    leaders = long.groupBy("key").agg(F.min(F.struct("node", "n")).alias("x")).select("key", F.col("x.node").alias("a"), F.col("x.n").alias("m"))
+    size_ok = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.greatest("n", "m") > boundary)
+    led = long.join(leaders, "key").filter(F.col("a") != F.col("node")).filter(size_ok).select("a", F.col("node").alias("b"))
+    pairs = met.filter(F.col("kind") == PAIR).select("a", "b").unionByName(led).distinct()
+    members = met.filter(F.col("kind") == MEMBER).select("key", F.col("a").alias("node"), "n").distinct().withColumn("long", F.lit(False))
+    members = members.unionByName(long.withColumn("long", F.lit(True)))
 
     bitmap = _bitmap(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")))
     own = materialize(texts.mapInArrow(_candidates(bitmap, width), CANDIDATES), "candidate-sets")
-
     brief = own.select("node", "n", "sketch").dropDuplicates(["node"])
-    left, right = (brief.toDF(x, f"{x}_n", f"{x}_sketch") for x in "ab")
-    near = pairs.join(left, "a").join(right, "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(_near_sketches(percent), "a long, b long")
-    near = materialize(near, "near-pairs")
-    # of the candidates' sets, only those still in question move; a set comes from several tasks if it has copies
-    bitmap = _bitmap(near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")))
-    own = own.mapInArrow(_marked(bitmap), CANDIDATES).dropDuplicates(["node"])
-    left, right = (own.select(F.col("node").alias(x), F.col("elements").alias(f"{x}_set")) for x in "ab")
-    exact = near.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(_checked(percent), "a long, b long")
-
-    spread = members.join(totals, "key").join(own, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "n", "sketch", "elements")
-    across = spread.groupBy("key", "p", "q").applyInPandas(_compare_blocks(percent, boundary), "a long, b long")
-    return stars.unionByName(exact).unionByName(across)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """The linked ones of distinct pairs (a, b)."""
+        left, right = (brief.toDF(x, f"{x}_n", f"{x}_sketch") for x in "ab")
+        near = pairs.join(left, "a").join(right, "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(_near_sketches(percent), "a long, b long")
+        return exact(materialize(near, "near-pairs"))
+
+    def exact(near: DataFrame) -> DataFrame:
+        # of the candidates' sets, only those still in question move; a set comes from several tasks if it has copies
+        asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = own.select("node", "elements").join(asked, "node", "left_semi").dropDuplicates(["node"])
+        left, right = (sets.select(F.col("node").alias(x), F.col("elements").alias(f"{x}_set")) for x in "ab")
+        return materialize(near.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(_checked(percent), "a long, b long"), "checked-links")
+
+    def apart(links: DataFrame) -> DataFrame:
+        """Members of the lists that hold more than one component, with their roots."""
+        rooted = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size")
+        return materialize(rooted.join(split, "key"), "split-lists")
+
+    links = stars.unionByName(checked(pairs))
+    rest = apart(links)
+    short = rest.filter(F.col("size") <= TINY)
+    left, right = short.select("key", F.col("node").alias("a"), "n", F.col("root").alias("a_root")), short.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("b_root"))
+    last = left.join(right, "key").filter("a < b AND a_root <> b_root").filter(size_ok).select("a", "b").distinct()
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    spread = rest.filter(F.col("size") > TINY).withColumn("block", F.pmod("node", blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = spread.join(brief.select("node", "sketch"), "node").select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "n", "root", "sketch")
+    across = materialize(spread.groupBy("key", "p", "q").applyInPandas(_compare_blocks(percent, boundary), "a long, b long").distinct(), "near-pairs")
+    return links.unionByName(checked(last)).unionByName(exact(across))
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

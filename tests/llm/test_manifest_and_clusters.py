@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm import centroids, decontaminate, merkle, queries
 
 SF001 = "/root/testdata/sf0.001"
-NAMES = ("op11_decontaminate", "op12_merkle_manifest", "op13_centroid_clusters")
+NAMES = ("op3_jaccard_join", "op11_decontaminate", "op12_merkle_manifest", "op13_centroid_clusters")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
