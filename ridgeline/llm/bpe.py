@@ -10,13 +10,14 @@ with the same result and fewer rounds: it contracts every disjoint occurrence of
 the minimum-rank pair at once, up to the first one whose contraction would bring
 forth a pair of lower rank (until there, leftmost-first takes just these).
 
-Decoding splits the ids before tokens that begin with a space, and an ordered
-aggregation over (sequence, position) rows joined to the vocabulary decodes the
-distinct pieces.
+Decoding splits the ids before tokens that begin with white space or another ASCII
+character that is neither letter nor digit, and an ordered aggregation over (sequence,
+position) rows joined to the vocabulary decodes the distinct pieces.
 
 Null texts and null ids count as empty (0 tokens, empty bytes); repeated rows are
 worked row by row; an empty table gives an empty table.  Texts are never cut.
-Batches hold a bounded number of bytes and both word tables are bounded caches.
+Batches hold a bounded number of bytes and both word tables are bounded caches in two
+generations: a word that is met again stays, the others go with their generation.
 Output columns that clash with input columns replace them.
 """
 
@@ -40,20 +41,19 @@ WORDS_A_QUERY = 30_000
 CACHE_WORDS = 400_000
 
 ENCODE = """
-WITH RECURSIVE bpe(n, w, i, tok) AS (
-    SELECT 0, w, i, tok FROM start
+WITH RECURSIVE bpe(place, tok, live) AS (
+    SELECT (w << 32) | i, tok, true FROM start
   UNION ALL
     (WITH best AS (
-        SELECT a.w AS w, min(p.rank * 16777216 + a.i) AS x
-        FROM bpe a
-        JOIN bpe b ON b.w * 16777216 + b.i = a.w * 16777216 + a.i + 1
-        JOIN pairs p ON p.pair = a.tok * 65536 + b.tok
-        GROUP BY a.w)
-     SELECT s.n + 1, s.w, s.i - (s.i > x % 16777216)::BIGINT,
-            CASE WHEN s.i = x % 16777216 THEN x // 16777216 ELSE s.tok END
-     FROM bpe s JOIN best USING (w) WHERE s.i <> x % 16777216 + 1)
+        SELECT a.place >> 32 AS w, min((p.rank << 32) | (a.place & 4294967295)) AS x
+        FROM bpe a JOIN bpe b ON b.place = a.place + 1 JOIN pairs p ON p.pair = (a.tok << 16) | b.tok
+        WHERE a.live AND b.live GROUP BY 1)
+     SELECT s.place - coalesce((s.place & 4294967295) > (x & 4294967295), false)::BIGINT,
+            CASE WHEN (s.place & 4294967295) = (x & 4294967295) THEN x >> 32 ELSE s.tok END, x IS NOT NULL
+     FROM bpe s LEFT JOIN best ON best.w = s.place >> 32
+     WHERE s.live AND (x IS NULL OR (s.place & 4294967295) <> (x & 4294967295) + 1))
 )
-SELECT w * 16777216 + i AS place, tok FROM bpe JOIN (SELECT w, max(n) AS n FROM bpe GROUP BY w) USING (w, n)
+SELECT place, tok FROM bpe WHERE NOT live
 """
 
 ENCODE_LONG = """
@@ -83,7 +83,7 @@ WITH RECURSIVE bpe(w, i, tok, live) AS (
      LEFT JOIN taken g ON g.w = s.w AND g.k = s.k - 1
      WHERE g.k IS NULL)
 )
-SELECT w * 16777216 + i AS place, tok FROM bpe WHERE NOT live
+SELECT (w << 32) | i AS place, tok FROM bpe WHERE NOT live
 """
 
 DECODE = """
@@ -92,6 +92,22 @@ FROM start JOIN vocabulary v ON v.id = start.tok GROUP BY w
 """
 
 
+class Remembered:
+    """A bounded table of two generations; what is asked for again moves to the young one."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that are not known; all others are in ``young`` afterwards."""
+        if len(self.young) + len(keys) > self.limit // 2:
+            self.old, self.young = self.young, {}
+        new = keys.difference(self.young)
+        known = new & self.old.keys()
+        self.young.update((k, self.old[k]) for k in known)
+        return list(new - known)
+
+
 class Codec:
     """Vocabulary tables in DuckDB and the bounded caches of one Python worker."""
 
@@ -104,11 +120,10 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.find = regex.compile(pattern).findall
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.words, self.pieces = Remembered(CACHE_WORDS), Remembered(CACHE_WORDS)
         tokens = {i: t for t, i in self.ranks.items()}
-        self.spaced = np.zeros(max(tokens) + 1, bool)
-        self.spaced[[i for i, t in tokens.items() if t[:1] == b" "]] = True
+        self.starts = np.zeros(max(tokens) + 1, bool)
+        self.starts[[i for i, t in tokens.items() if t[0] < 128 and not t[:1].isalnum()]] = True
         rows = [
             (a * 65536 + b, i, i < max(a, b))
             for t, i in self.ranks.items()
@@ -150,7 +165,7 @@ class Codec:
         for word in words:
             raw = word.encode()
             if (rank := self.ranks.get(raw)) is not None:
-                self.words[word] = rank.to_bytes(4, "little")
+                self.words.young[word] = rank.to_bytes(4, "little")
             else:
                 rest.append((word, raw))
         rest.sort(key=lambda x: len(x[1]))
@@ -163,20 +178,16 @@ class Codec:
             part = rest[at:end]
             place, tok = self._ask(ENCODE_LONG if long else ENCODE, [self.single[np.frombuffer(raw, np.uint8)] for _, raw in part])
             order = np.argsort(place)
-            cuts = (4 * np.searchsorted(place[order] >> 24, np.arange(len(part) + 1))).tolist()
+            cuts = (4 * np.searchsorted(place[order] >> 32, np.arange(len(part) + 1))).tolist()
             ids = tok[order].astype("<u4").tobytes()
-            self.words.update((word, ids[a:b]) for (word, _), a, b in zip(part, cuts, cuts[1:], strict=False))
+            self.words.young.update((word, ids[a:b]) for (word, _), a, b in zip(part, cuts, cuts[1:], strict=False))
             at = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.find(t) if t else [] for t in texts]
-        new = set().union(*split).difference(self.words)
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = set().union(*split)
-        self._learn(list(new))
-        get = self.words.__getitem__
+        self._learn(self.words.missing(set().union(*split)))
+        get = self.words.young.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
     def decode(self, coded: list[bytes | None]) -> list[bytes]:
@@ -186,18 +197,14 @@ class Codec:
         split = []
         for raw in coded:
             raw = raw or b""
-            cuts = [0, *(4 * (np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")[1:]]) + 1)).tolist(), len(raw)]
+            cuts = [0, *(4 * (np.flatnonzero(self.starts[np.frombuffer(raw, "<u4")[1:]]) + 1)).tolist(), len(raw)]
             split.append([raw[a:b] for a, b in zip(cuts, cuts[1:])] if raw else [])
-        new = set().union(*split).difference(self.pieces)
-        if len(self.pieces) + len(new) > CACHE_WORDS:
-            self.pieces.clear()
-            new = set().union(*split)
-        new = list(new)
+        new = self.pieces.missing(set().union(*split))
         for at in range(0, len(new), WORDS_A_QUERY):
             part = new[at : at + WORDS_A_QUERY]
             for k, text in zip(*self._ask(DECODE, [np.frombuffer(raw, "<u4") for raw in part]), strict=True):
-                self.pieces[part[k]] = text.encode("latin-1")
-        get = self.pieces.__getitem__
+                self.pieces.young[part[k]] = text.encode("latin-1")
+        get = self.pieces.young.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
 
