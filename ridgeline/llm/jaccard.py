@@ -31,7 +31,10 @@ of about 3 %.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import cache
+from hashlib import blake2b
 from itertools import combinations
 from math import comb
 
@@ -39,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import WORD, claim, forget_words, materialize, texts_of, word_hashes
+from ridgeline.llm.common import WORD, claim, materialize
 
 WIDTH, PERCENT = 4, 85
 #: Largest size that may enumerate subsets.
@@ -54,33 +57,105 @@ SKETCH_BITS = 2_048
 #: Candidates are found again among the documents by a bitmap of so many bits each, at least and at most these in all.
 CANDIDATE_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 31
 COUNTED_TOKENS = 2_000_000
+#: Bytes of texts hashed at a time (a longer text is one piece of its own), and the longest word hashed with others.
+PIECE, LONG_WORD = 1 << 20, 4_096
 
 
 def text_key():
     return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
-def shingles(text: bytes | None, width: int = WIDTH):
-    """Sorted distinct hashes of the shingles, as int64."""
+def _mixed(h):
+    """64-bit values with every bit spread over all bits (arrays of uint64, wrapping)."""
     import numpy as np
 
-    words = word_hashes(text).astype(np.uint64)
-    if not len(words):
-        return np.zeros(0, np.int64)
-    take = min(width, len(words))
-    with np.errstate(over="ignore"):
-        h = np.full(len(words) - take + 1, take, np.uint64)
-        for k in range(take):
-            h = (h ^ words[k : len(words) - take + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return np.unique(h.astype(np.int64))
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
 
 
-def node_of(s) -> int:
-    from hashlib import blake2b
+@cache
+def _weights():
+    """A value per byte (none for white space, the same for A and a) and a weight per place in a word."""
+    import numpy as np
+
+    value = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    value[65:91] = value[97:123]
+    space = np.zeros(256, bool)
+    space[[32, *range(9, 14)]] = True
+    value[space] = 0
+    return space, value, _mixed(np.arange(1_000, 1_000 + LONG_WORD, dtype=np.uint64)) | np.uint64(1)
+
+
+def hashed_words(data, offsets):
+    """Hashes of the words of texts that lie end to end in data (uint8), and each text's first word (and the end).
+
+    A word's hash is the sum of its bytes' values times their places' weights, so all words of
+    many texts are hashed by a few array operations.
+    """
+    import numpy as np
+
+    space, value, weight = _weights()
+    inside = ~space[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    at = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
+    begins[at], ends[at - 1] = inside[at], inside[at - 1]
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    out = np.zeros(len(begins), np.uint64)
+    first = 0
+    while first < len(begins):
+        last = max(first + 1, int(np.searchsorted(ends, begins[first] + PIECE)))
+        start, own = begins[first], begins[first:last] - begins[first]
+        if last == first + 1 and ends[first] - start > LONG_WORD:
+            word = data[start : ends[first]].tobytes().lower()
+            out[first] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        else:
+            size = int(ends[last - 1] - start)
+            place = np.arange(size) - np.repeat(own, np.diff(np.append(own, size)))
+            out[first:last] = np.add.reduceat(value[data[start : start + size]] * weight[np.minimum(place, LONG_WORD - 1)], own)
+            for k in (np.flatnonzero(ends[first:last] - begins[first:last] > LONG_WORD) + first).tolist():
+                out[k] = int.from_bytes(blake2b(data[begins[k] : ends[k]].tobytes().lower(), digest_size=8).digest(), "little")
+        first = last
+    return _mixed(out), np.searchsorted(begins, offsets)
+
+
+def _shingled(words, width: int):
+    """Hash of every run of width words."""
+    import numpy as np
+
+    n = len(words) - width + 1
+    h = np.full(n, width, np.uint64)
+    for k in range(width):
+        h = (h ^ words[k : n + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))).astype(np.int64)
+
+
+def shingle_sets(column: pa.Array, width: int = WIDTH):
+    """Each text's sorted distinct hashes of its shingles, as int64; about PIECE bytes of texts at a time."""
+    import numpy as np
+
+    column = column.cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    if not len(column):
+        return
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    row = 0
+    while row < len(column):
+        stop = min(len(column), max(row + 1, int(np.searchsorted(ends, ends[row] + PIECE, "right")) - 1))
+        words, cuts = hashed_words(data[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row])
+        every = _shingled(words, width) if len(words) >= width else words[:0].astype(np.int64)
+        for a, b in itertools.pairwise(cuts.tolist()):
+            own = np.sort(every[a : b - width + 1] if b - a >= width else _shingled(words[a:b], b - a)) if b > a else every[:0]
+            yield own if len(own) < 2 else own[np.concatenate([[True], own[1:] != own[:-1]])]
+        row = stop
+
 
+def node_of(s) -> int:
     return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
@@ -140,7 +215,7 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        claim("words", forget_words)
+        claim("shingles")
         held, size, seen = [], 0, set()
 
         def frequent():
@@ -151,8 +226,7 @@ def _sets(width: int):
 
         for batch in batches:
             nodes, counts = [], []
-            for text in texts_of(batch.column(2)):
-                s = shingles(text, width)
+            for s in shingle_sets(batch.column(2), width):
                 nodes.append(node := node_of(s))
                 counts.append(len(s))
                 if node not in seen and len(s):
@@ -179,7 +253,7 @@ def _entries(shared, boundary: int, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        claim("words", forget_words)
+        claim("shingles")
         often, counts = shared.value
         seen: set[int] = set()
         out, size = [], 0
@@ -190,8 +264,7 @@ def _entries(shared, boundary: int, width: int, percent: int):
             return _rows(ENTRIES, [kind.astype(np.int32), np.concatenate([x[1] for x in out]), node, n.astype(np.int32), np.concatenate([x[4] for x in out]).astype(np.int32)])
 
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                s = shingles(text, width)
+            for s in shingle_sets(batch.column(0), width):
                 n, node = len(s), node_of(s)
                 if not n or node in seen:
                     continue
@@ -396,12 +469,11 @@ def most_difference(n, m, percent: int):
 
 def _candidates(shared, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("words", forget_words)
+        claim("shingles")
         bitmap, seen, out = shared.value, set(), []
         cells = 8 * len(bitmap) - 1
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                s = shingles(text, width)
+            for s in shingle_sets(batch.column(0), width):
                 node = node_of(s)
                 cell = node & cells
                 if not len(s) or node in seen or not bitmap[cell >> 3] >> (cell & 7) & 1:
@@ -495,6 +567,30 @@ def _checked(percent: int):
     return run
 
 
+def _join_blocks(percent: int, boundary: int):
+    """Of the pairs of a block that are apart and that sizes and sketches allow, those that a tree of them needs."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.drop_duplicates("node")
+        node, n = pdf["node"].to_numpy(), pdf["n"].to_numpy().astype(np.int64)
+        tree = np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
+        out = [np.zeros((0, 2), np.int64)]
+        for i in range(len(pdf) - 1):
+            j = np.flatnonzero(may_link(n[i], n[i + 1 :], boundary, percent) & (tree[i] != tree[i + 1 :])) + i + 1
+            j = j[np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= most_difference(n[i], n[j], percent)]
+            if len(j):
+                met, first = np.unique(tree[j], return_index=True)
+                out.append(np.stack([np.minimum(node[i], node[j[first]]), np.maximum(node[i], node[j[first]])], axis=1))
+                tree[np.isin(tree, met)] = tree[i]
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 def _compare_blocks(percent: int, boundary: int):
     """Pairs between (or within) the two blocks of a group that are apart and that sizes and sketches allow."""
 
@@ -591,14 +687,23 @@ def _links(texts: DataFrame, sets: DataFrame, width: int, percent: int) -> DataF
         split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("key", "size")
         return materialize(rooted.join(split, "key"), "split-lists")
 
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+
+    def blocked(rest: DataFrame) -> DataFrame:
+        long = rest.filter(F.col("size") > TINY).withColumn("blocks", blocks).withColumn("block", F.pmod("node", "blocks").cast("int"))
+        return long.join(brief.select("node", "sketch"), "node")
+
     links = stars.unionByName(checked(pairs))
+    # a tree in every block first: a group of near copies then is one component before any two blocks meet
+    tree = blocked(apart(links)).select("key", "block", "node", "n", "root", "sketch")
+    tree = materialize(tree.groupBy("key", "block").applyInPandas(_join_blocks(percent, boundary), "a long, b long").distinct(), "near-pairs")
+    links = links.unionByName(exact(tree))
     rest = apart(links)
     short = rest.filter(F.col("size") <= TINY)
     left, right = short.select("key", F.col("node").alias("a"), "n", F.col("root").alias("a_root")), short.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("b_root"))
     last = left.join(right, "key").filter("a < b AND a_root <> b_root").filter(size_ok).select("a", "b").distinct()
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    spread = rest.filter(F.col("size") > TINY).withColumn("block", F.pmod("node", blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.join(brief.select("node", "sketch"), "node").select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "n", "root", "sketch")
+    spread = blocked(rest).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "n", "root", "sketch")
     across = materialize(spread.groupBy("key", "p", "q").applyInPandas(_compare_blocks(percent, boundary), "a long, b long").distinct(), "near-pairs")
     return links.unionByName(checked(last)).unionByName(exact(across))
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+from itertools import combinations
 import math
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +148,21 @@ def test_jaccard_groups_blocks_and_small_sets(spark, monkeypatch, limits):
     assert len({c for _, _, c in want}) < len(texts) - 50
 
 
+@pytest.mark.parametrize("before", [0, 1])
+def test_shingles_equal_plain_sets(monkeypatch, before):
+    """Equal sets of word runs give equal hashes and others do not: odd white space, long words, cuts at any text, sliced columns."""
+    monkeypatch.setattr(jaccard, "PIECE", 64)
+    plain = [b"", b" ", b"a", b"A b", b"a B  ", b"a b c d", b"\ta b c D\x0b e", b"x" * 5000 + b" y", b"y " + b"X" * 5000, b"", b"x" * 4097, b"\xc2\xa0 a", b"w " * 300, b"w w w w", b"end"]
+    found = list(jaccard.shingle_sets(pa.array([b"zz"] * before + plain, pa.binary()).slice(before), 4))
+    want = []
+    for text in plain:
+        words = text.lower().split()
+        want.append({tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else set())
+    assert [len(s) for s in found] == [len(s) for s in want]
+    for i, j in combinations(range(len(plain)), 2):
+        assert (found[i].tolist() == found[j].tolist()) == (want[i] == want[j]), (plain[i][:20], plain[j][:20])
+
+
 def test_subset_boundary_is_chosen_by_cost():
     assert jaccard.boundary_by_cost({}, 85) == 0
     assert jaccard.boundary_by_cost({7: 1000, 10: 1000}, 85) >= 10
