@@ -53,12 +53,19 @@ TINY = 16
 #: A shingle counts as frequent when tasks saw it LOCAL times each and OFTEN times together;
 #: the most frequent ones go to all tasks, and those of HOT and more are cut into blocks at once.
 LOCAL, OFTEN, MOST_FREQUENT, HOT = 3, 8, 1_000_000, 4_096
-SKETCH_BITS = 2_048
+#: A sketch has the power of two from the size of its set on for bits, between these.
+LEAST_SKETCH, MOST_SKETCH = 128, 16_384
 #: Candidates are found again among the documents by a bitmap of so many bits each, at least and at most these in all.
 CANDIDATE_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 31
 COUNTED_TOKENS = 2_000_000
 #: Bytes of texts hashed at a time (a longer text is one piece of its own), and the longest word hashed with others.
-PIECE, LONG_WORD = 1 << 20, 4_096
+PIECE, LONG_WORD = 1 << 18, 4_096
+
+
+def _phase(name: str) -> None:
+    """At the start of a task: the worker gives back the memory that it held for other phases."""
+    claim(f"jaccard {name}")
+    pa.default_memory_pool().release_unused()
 
 
 def text_key():
@@ -215,7 +222,7 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        claim("shingles")
+        _phase("sets")
         held, size, seen = [], 0, set()
 
         def frequent():
@@ -253,7 +260,7 @@ def _entries(shared, boundary: int, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        claim("shingles")
+        _phase("entries")
         often, counts = shared.value
         seen: set[int] = set()
         out, size = [], 0
@@ -394,6 +401,7 @@ def _meetings(boundary: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        _phase("meetings")
         lists = _Lists(boundary, percent)
 
         def subsets(key, node, n, m, more=False):
@@ -454,12 +462,53 @@ def _meetings(boundary: int, percent: int):
 CANDIDATES = "node long, n int, sketch binary, elements binary"
 
 
+def sketch_bits(n: int) -> int:
+    return max(LEAST_SKETCH, min(MOST_SKETCH, 1 << max(0, (n - 1).bit_length())))
+
+
 def sketch_of(s):
-    """Parity of the set's elements in SKETCH_BITS cells."""
+    """Parity of the set's elements in sketch_bits cells; a wide sketch folds into a narrower one."""
     import numpy as np
 
-    cell = (s.astype(np.uint64) >> np.uint64(17)).astype(np.int64) % SKETCH_BITS
-    return np.packbits((np.bincount(cell, minlength=SKETCH_BITS) & 1).astype(np.uint8))
+    bits = sketch_bits(len(s))
+    cell = (s.astype(np.uint64) >> np.uint64(17)).astype(np.int64) % bits
+    return np.packbits((np.bincount(cell, minlength=bits) & 1).astype(np.uint8))
+
+
+def folded(sketches, width: int):
+    """Sketches (rows of uint64) of width words each."""
+    while sketches.shape[1] > width:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+class _Sketches:
+    """Sketches of many sets, each as wide as its set asks for."""
+
+    def __init__(self, sketches: list[bytes]):
+        import numpy as np
+
+        words = np.array([len(x) // 8 for x in sketches], np.int64)
+        self.words, self.place, self.by = words, np.zeros(len(words), np.int64), {}
+        for width in np.unique(words).tolist():
+            at = np.flatnonzero(words == width)
+            self.place[at] = np.arange(len(at))
+            self.by[width] = np.frombuffer(b"".join([sketches[k] for k in at.tolist()]), np.uint64).reshape(len(at), width)
+
+    def differences(self, i, other: "_Sketches", j):
+        """Differing bits of sketches i here and j there (arrays of the same length), in the narrower one's width."""
+        import numpy as np
+
+        out = np.zeros(len(j), np.int64)
+        pairs = self.words[i] * (1 << 32) + other.words[j]
+        for both in np.unique(pairs).tolist():
+            at = np.flatnonzero(pairs == both)
+            wide, narrow = both >> 32, both & 0xFFFFFFFF
+            width = min(wide, narrow)
+            x, y = self.by[wide][self.place[i[at]]], other.by[narrow][other.place[j[at]]]
+            out[at] = np.bitwise_count(folded(x, width) ^ folded(y, width)).sum(axis=1)
+        return out
 
 
 def most_difference(n, m, percent: int):
@@ -469,7 +518,7 @@ def most_difference(n, m, percent: int):
 
 def _candidates(shared, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("shingles")
+        _phase("candidates")
         bitmap, seen, out = shared.value, set(), []
         cells = 8 * len(bitmap) - 1
         for batch in batches:
@@ -540,12 +589,14 @@ def _near_sketches(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        _phase("sketches")
         for batch in batches:
             if not batch.num_rows:
                 continue
             n, m = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
-            ok = np.bitwise_count(x ^ y).sum(axis=1) <= most_difference(n, m, percent)
+            x, y = (_Sketches(batch.column(k).to_pylist()) for k in (4, 5))
+            every = np.arange(batch.num_rows)
+            ok = x.differences(every, y, every) <= most_difference(n, m, percent)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in (0, 1)], names=["a", "b"])
 
     return run
@@ -557,6 +608,7 @@ def _checked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        _phase("checks")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -577,11 +629,11 @@ def _join_blocks(percent: int, boundary: int):
         pdf = pdf.drop_duplicates("node")
         node, n = pdf["node"].to_numpy(), pdf["n"].to_numpy().astype(np.int64)
         tree = np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
+        sketch = _Sketches(pdf["sketch"].tolist())
         out = [np.zeros((0, 2), np.int64)]
         for i in range(len(pdf) - 1):
             j = np.flatnonzero(may_link(n[i], n[i + 1 :], boundary, percent) & (tree[i] != tree[i + 1 :])) + i + 1
-            j = j[np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= most_difference(n[i], n[j], percent)]
+            j = j[sketch.differences(np.full(len(j), i), sketch, j) <= most_difference(n[i], n[j], percent)]
             if len(j):
                 met, first = np.unique(tree[j], return_index=True)
                 out.append(np.stack([np.minimum(node[i], node[j[first]]), np.maximum(node[i], node[j[first]])], axis=1))
@@ -601,11 +653,11 @@ def _compare_blocks(percent: int, boundary: int):
         pdf = pdf.drop_duplicates("node")
         node, n, block, root = (pdf[c].to_numpy() for c in ("node", "n", "block", "root"))
         n = n.astype(np.int64)
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
+        sketch = _Sketches(pdf["sketch"].tolist())
         out = []
         for i in range(len(pdf)):
             j = np.flatnonzero(may_link(n[i], n[i + 1 :], boundary, percent) & (root[i] != root[i + 1 :]) & ((block[i] != block[i + 1 :]) | (key[1] == key[2]))) + i + 1
-            j = j[np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= most_difference(n[i], n[j], percent)]
+            j = j[sketch.differences(np.full(len(j), i), sketch, j) <= most_difference(n[i], n[j], percent)]
             out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
         return pd.DataFrame(np.concatenate(out), columns=["a", "b"]).astype("int64")
 

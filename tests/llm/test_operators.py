@@ -2,11 +2,11 @@
 
 import base64
 import hashlib
-from itertools import combinations
 import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers as P
@@ -163,6 +163,18 @@ def test_shingles_equal_plain_sets(monkeypatch, before):
         assert (found[i].tolist() == found[j].tolist()) == (want[i] == want[j]), (plain[i][:20], plain[j][:20])
 
 
+def test_sketches_of_any_width_bound_the_difference():
+    rnd = np.random.default_rng(5)
+    sets = [np.unique(rnd.integers(-(2**62), 2**62, n)) for n in (1, 100, 128, 129, 300, 700, 20_000)]
+    sets += [np.sort(s[: max(1, len(s) * 9 // 10)]) for s in sets]
+    held = jaccard._Sketches([jaccard.sketch_of(s).tobytes() for s in sets])
+    i, j = (np.array(x) for x in zip(*combinations(range(len(sets)), 2)))
+    found = held.differences(i, held, j)
+    for a, b, bits in zip(i.tolist(), j.tolist(), found.tolist()):
+        assert bits <= len(np.setxor1d(sets[a], sets[b]))
+    assert found[(i == 4) & (j == 5)] > 60
+
+
 def test_subset_boundary_is_chosen_by_cost():
     assert jaccard.boundary_by_cost({}, 85) == 0
     assert jaccard.boundary_by_cost({7: 1000, 10: 1000}, 85) >= 10
