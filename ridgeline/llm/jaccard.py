@@ -223,11 +223,13 @@ def _sets(width: int):
         import numpy as np
 
         _phase("sets")
-        held, size, seen = [], 0, set()
+        held, size, seen = np.empty(COUNTED_TOKENS, np.int64), 0, set()
 
-        def frequent():
-            token, c = np.unique(np.concatenate(held), return_counts=True)
-            token, c = token[c >= LOCAL], c[c >= LOCAL]
+        def frequent(own):
+            own.sort()  # in place: the buffer is all that a task holds
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            c = np.diff(np.append(starts, len(own)))
+            token, c = own[starts[c >= LOCAL]], c[c >= LOCAL]
             k = len(token)
             return _rows(SETS, [k, k, k, k, token, c])
 
@@ -237,15 +239,17 @@ def _sets(width: int):
                 nodes.append(node := node_of(s))
                 counts.append(len(s))
                 if node not in seen and len(s):
+                    if size and size + len(s) > COUNTED_TOKENS:
+                        yield frequent(held[:size])
+                        size, seen = 0, set()
                     seen.add(node)
-                    held.append(s)
+                    if len(s) > len(held):
+                        held = np.empty(len(s), np.int64)
+                    held[size : size + len(s)] = s
                     size += len(s)
-                    if size >= COUNTED_TOKENS:
-                        yield frequent()
-                        held, size, seen = [], 0, set()
             yield _rows(SETS, [batch.column(0), batch.column(1), nodes, counts, len(nodes), len(nodes)])
-        if held:
-            yield frequent()
+        if size:
+            yield frequent(held[:size])
 
     return run
 
@@ -352,14 +356,14 @@ class _Lists:
             holds = hash(own.tobytes())
             if holds in self.known:
                 continue
-            if len(self.known) >= 200_000:
+            if len(self.known) >= 100_000:
                 self.known.clear()
             self.known.add(holds)
             self.pairs_held.append((np.full(b - a - 1, own[0]), own[1:], np.full(b - a - 1, size[0]), size[1:]))
             self.held += b - a
             if b - a > 2:  # equal lists have one key, in any task
                 self.members_held.append((np.full(b - a, node_of(own)), own, size))
-            if self.held >= 200_000:
+            if self.held >= 50_000:
                 yield from self.flush()
         return
 
