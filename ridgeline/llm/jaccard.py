@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import WORD, claim, materialize
+from ridgeline.llm.common import WORD, arrow_rows, claim, materialize
 
 WIDTH, PERCENT = 4, 85
 #: Largest size that may enumerate subsets.
@@ -58,6 +58,8 @@ LEAST_SKETCH, MOST_SKETCH = 128, 16_384
 #: Candidates are found again among the documents by a bitmap of so many bits each, at least and at most these in all.
 CANDIDATE_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 31
 COUNTED_TOKENS = 2_000_000
+#: Rows of an Arrow batch, which hold whole texts or sets.
+ARROW_ROWS = 1_000
 #: Bytes of texts hashed at a time (a longer text is one piece of its own), and the longest word hashed with others.
 PIECE, LONG_WORD = 1 << 18, 4_096
 
@@ -770,9 +772,10 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     Documents of one component share ``root``; without shingles it is null.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    sets = materialize(texts.mapInArrow(_sets(width), SETS), "shingle-sets")
-    rows = sets.filter("node IS NOT NULL")
-    roots = components(_links(texts.select("text"), rows.unionByName(sets.filter("token IS NOT NULL")), width, percent))
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        sets = materialize(texts.mapInArrow(_sets(width), SETS), "shingle-sets")
+        rows = sets.filter("node IS NOT NULL")
+        roots = components(_links(texts.select("text"), sets, width, percent))
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left")
     nodes = nodes.withColumn("root", F.coalesce("root", "node"))
     smallest = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
