@@ -378,6 +378,29 @@ def test_language_model_odd(empty, clashing):
     assert language_model.scored(clashing.drop("score")).count() == clashing.count()
 
 
+def test_language_model_every_context(spark):
+    """Words far beyond the shared contexts and symbols keep what follows them, seen pairs in the broadcast or not."""
+    rows = [(i, f"p{i % 600} q{i % 600}") for i in range(3000)]
+    odd = [(10_000 + 40 * side + i, f"p{i % 600} q{(i + side) % 600}") for side in (0, 1) for i in range(40)]
+    df, text_of = spark.createDataFrame(rows + odd, "doc_id long, text string"), dict(rows + odd)
+    for pairs in (language_model.PAIRS, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(language_model, "PAIRS", pairs)
+            got = {(text_of[r["doc_id"]], r["held_out"]): r["score"] for r in language_model.scored(df, 1, 100, 150).collect()}
+        seen = {t: v for (t, _), v in got.items()}
+        other = {t: v for (t, held), v in got.items() if held and t.split()[0][1:] != t.split()[1][1:]}
+        assert other and all(seen[f"{t.split()[0]} q{t.split()[0][1:]}"] > v + 0.5 for t, v in other.items())
+        kept = got if pairs else {k: (v, kept[k]) for k, v in got.items()}
+    assert all(abs(a - b) < 1e-4 for a, b in kept.values())
+
+
+def test_language_model_tables_by_key():
+    n, p = np.repeat([5.0, 400.0], 20_000), np.repeat([0.3, 0.2], 20_000)
+    t = language_model._new_tables(n, p, np.arange(40_000) * 7, 3)
+    assert (t >= 0).all() and (t <= n).all()
+    assert abs(t[:20_000].mean() - 1.5) < 0.05 and abs(t[20_000:].mean() - 80) < 0.5 and abs(t[20_000:].std() - 8) < 0.3
+
+
 # --- 8: nearest neighbours ------------------------------------------------------
 def test_nearest_recall_and_scores(spark, monkeypatch):
     monkeypatch.setattr(ann, "QUERY_BLOCK", 10)
