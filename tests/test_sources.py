@@ -1,5 +1,8 @@
 """Sources and preparation: LibSVM round trip, label remap, bias, splits."""
 
+import hashlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +67,20 @@ def test_wide_libsvm_round_trip_stays_sparse(spark):
     f2, g2 = rl.Evaluator(wide, "logistic").value_and_gradient(w)
     assert f1 == pytest.approx(f2, rel=1e-6)  # the float embedding is written and re-read as text
     np.testing.assert_allclose(g1, g2, rtol=1e-5, atol=1e-9)
+
+
+def test_hashed_words_of_odd_documents(spark, tmp_path):
+    """Rows of one document meet, null texts are no rows, and no row per word is shuffled."""
+    from ridgeline.workload.queries import hashed_words
+
+    rows = [(1, "a b a", "en"), (1, "b  c", "en"), (1, "a", "de"), (2, "", "en"), (3, None, "en"), (None, "a é", None), (None, "a", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    cells = hashed_words(spark, str(tmp_path), 5)
+    at = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:5], 16)
+    want = {}
+    for doc, text, lang in rows:
+        if text is not None:
+            want.setdefault((doc, None if lang is None else float(lang == "en")), Counter()).update(map(at, text.split(" ")))
+    got = {(r["doc_id"], r["label"]): (list(zip(r["x"]["i"], r["x"]["v"], strict=True)), r["total"]) for r in cells.collect()}
+    assert got == {k: (sorted(c.items()), float(sum(c.values()))) for k, c in want.items()}
+    assert "Generate" not in cells._jdf.queryExecution().optimizedPlan().toString()
