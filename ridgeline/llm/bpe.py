@@ -10,13 +10,12 @@ with the same result and fewer rounds: it contracts every disjoint occurrence of
 the minimum-rank pair at once, up to the first one whose contraction would bring
 forth a pair of lower rank (until there, leftmost-first takes just these).
 
-Decoding splits the ids before tokens that begin with white space or another ASCII
-character that is neither letter nor digit, and an ordered aggregation over (sequence,
-position) rows joined to the vocabulary decodes the distinct pieces.
+Decoding is an ordered aggregation over (run, position) rows joined to the vocabulary; a
+run holds a bounded number of a text's ids, and nothing is kept between the queries.
 
 Null texts and null ids count as empty (0 tokens, empty bytes); repeated rows are
 worked row by row; an empty table gives an empty table.  Texts are never cut.
-Batches hold a bounded number of bytes and both word tables are bounded caches in two
+Batches hold a bounded number of bytes and the words' ids are a bounded cache in two
 generations: a word that is met again stays, the others go with their generation.
 Output columns that clash with input columns replace them.
 """
@@ -24,8 +23,10 @@ Output columns that clash with input columns replace them.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,9 +37,14 @@ from pyspark.sql import types as T
 from ridgeline.llm.common import claim
 
 LONG = 64
-BATCH_BYTES = 4_000_000
-WORDS_A_QUERY = 30_000
+BATCH_BYTES = 2_000_000
+WORDS_A_QUERY = 10_000
 CACHE_WORDS = 400_000
+#: Ids go to the decoding query in runs of so many, so many in all.
+RUN_TOKENS, TOKENS_A_QUERY = 1_024, 200_000
+
+#: ASCII members of the classes that patterns name.
+ASCII_CLASSES = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r"\t-\r "}
 
 ENCODE = """
 WITH RECURSIVE bpe(place, tok, live) AS (
@@ -88,10 +94,33 @@ SELECT (w << 32) | i AS place, tok FROM bpe WHERE NOT live
 
 DECODE = """
 SELECT w, string_agg(v.bytes, '' ORDER BY i) AS bytes
-FROM start JOIN vocabulary v ON v.id = start.tok GROUP BY w
+FROM start JOIN vocabulary v ON v.id = start.tok GROUP BY w ORDER BY w
 """
 
 
+def ascii_pattern(pattern: str) -> re.Pattern | None:
+    """What splits ASCII texts as the pattern does, for Python's quicker ``re``; None where the pattern has escapes or groups unknown here."""
+    out, at, inside = [], 0, False
+    while at < len(pattern):
+        for mark, chars in ASCII_CLASSES.items():
+            if pattern.startswith(mark, at):
+                out.append(chars if inside else f"[{chars}]")
+                at += len(mark)
+                break
+        else:
+            here = pattern[at]
+            if not inside and pattern.startswith(r"\S", at):
+                out.append(rf"[^{ASCII_CLASSES[chr(92) + 's']}]")
+                at += 2
+                continue
+            if here == "\\" or not here.isascii() or (here == "(" and not inside and not pattern.startswith(("(?!", "(?="), at)) or (here == "[" and inside):
+                return None
+            inside = here == "[" or (inside and here != "]")
+            out.append(here)
+            at += 1
+    return re.compile("".join(out))
+
+
 class Remembered:
     """A bounded table of two generations; what is asked for again moves to the young one."""
 
@@ -118,12 +147,12 @@ class Codec:
 
         with open(rank_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.find = regex.compile(pattern).findall
+        self.find = find = regex.compile(pattern).findall
+        plain = ascii_pattern(pattern)
+        self.find_ascii = plain.findall if plain else find
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.words, self.pieces = Remembered(CACHE_WORDS), Remembered(CACHE_WORDS)
+        self.words = Remembered(CACHE_WORDS)
         tokens = {i: t for t, i in self.ranks.items()}
-        self.starts = np.zeros(max(tokens) + 1, bool)
-        self.starts[[i for i, t in tokens.items() if t[0] < 128 and not t[:1].isalnum()]] = True
         rows = [
             (a * 65536 + b, i, i < max(a, b))
             for t, i in self.ranks.items()
@@ -142,16 +171,16 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM rows")
         self.db.unregister("rows")
 
-    def _ask(self, sql: str, sequences: list) -> list:
-        """The query's two columns over the token-position rows of the sequences."""
+    def _ask(self, sql: str, lengths: list[int], tokens) -> list:
+        """The query's two columns over the token-position rows of sequences, given by their lengths and joined tokens."""
         import numpy as np
 
-        lengths = np.array([len(s) for s in sequences], np.int64)
+        lengths = np.array(lengths, np.int64)
         starts = np.cumsum(lengths) - lengths
         rows = {
-            "w": np.repeat(np.arange(len(sequences), dtype=np.int64), lengths),
-            "i": np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(starts, lengths),
-            "tok": np.concatenate(sequences).astype(np.int64),
+            "w": np.repeat(np.arange(len(lengths), dtype=np.int64), lengths),
+            "i": np.arange(len(tokens), dtype=np.int64) - np.repeat(starts, lengths),
+            "tok": tokens.astype(np.int64, copy=False),
         }
         self.db.register("start", pa.table(rows))
         out = list(self.db.execute(sql).fetchnumpy().values())
@@ -161,31 +190,32 @@ class Codec:
     def _learn(self, words: list[str]) -> None:
         import numpy as np
 
+        young, rank_of = self.words.young, self.ranks.get
         rest = []
         for word in words:
             raw = word.encode()
-            if (rank := self.ranks.get(raw)) is not None:
-                self.words.young[word] = rank.to_bytes(4, "little")
+            if (rank := rank_of(raw)) is not None:
+                young[word] = rank.to_bytes(4, "little")
             else:
-                rest.append((word, raw))
-        rest.sort(key=lambda x: len(x[1]))
+                rest.append((len(raw), word, raw))
+        rest.sort(key=itemgetter(0))
         at = 0
         while at < len(rest):
-            long, end, size = len(rest[at][1]) > LONG, at, 0
-            while end < len(rest) and (len(rest[end][1]) > LONG) == long and end - at < WORDS_A_QUERY and (end == at or size < 1_000_000):
-                size += len(rest[end][1])
+            long, end, size = rest[at][0] > LONG, at, 0
+            while end < len(rest) and (rest[end][0] > LONG) == long and end - at < WORDS_A_QUERY and (end == at or size < 1_000_000):
+                size += rest[end][0]
                 end += 1
-            part = rest[at:end]
-            place, tok = self._ask(ENCODE_LONG if long else ENCODE, [self.single[np.frombuffer(raw, np.uint8)] for _, raw in part])
+            lengths, part, raws = zip(*rest[at:end], strict=True)
+            place, tok = self._ask(ENCODE_LONG if long else ENCODE, lengths, self.single[np.frombuffer(b"".join(raws), np.uint8)])
             order = np.argsort(place)
             cuts = (4 * np.searchsorted(place[order] >> 32, np.arange(len(part) + 1))).tolist()
             ids = tok[order].astype("<u4").tobytes()
-            self.words.young.update((word, ids[a:b]) for (word, _), a, b in zip(part, cuts, cuts[1:], strict=False))
+            young.update(zip(part, map(ids.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
             at = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.find(t) if t else [] for t in texts]
+        split = [(self.find_ascii if t.isascii() else self.find)(t) if t else [] for t in texts]
         self._learn(self.words.missing(set().union(*split)))
         get = self.words.young.__getitem__
         return [b"".join(map(get, words)) for words in split]
@@ -194,18 +224,24 @@ class Codec:
         """The bytes that each sequence of ids stands for."""
         import numpy as np
 
-        split = []
-        for raw in coded:
-            raw = raw or b""
-            cuts = [0, *(4 * (np.flatnonzero(self.starts[np.frombuffer(raw, "<u4")[1:]]) + 1)).tolist(), len(raw)]
-            split.append([raw[a:b] for a, b in zip(cuts, cuts[1:])] if raw else [])
-        new = self.pieces.missing(set().union(*split))
-        for at in range(0, len(new), WORDS_A_QUERY):
-            part = new[at : at + WORDS_A_QUERY]
-            for k, text in zip(*self._ask(DECODE, [np.frombuffer(raw, "<u4") for raw in part]), strict=True):
-                self.pieces.young[part[k]] = text.encode("latin-1")
-        get = self.pieces.young.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        runs, owner = [], []
+        for k, raw in enumerate(coded):
+            ids = np.frombuffer(raw or b"", "<u4")
+            cuts = range(0, len(ids), RUN_TOKENS)
+            runs += [ids[c : c + RUN_TOKENS] for c in cuts]
+            owner += [k] * len(cuts)
+        out: list[list[bytes]] = [[] for _ in coded]
+        at = 0
+        while at < len(runs):
+            end, size = at, 0
+            while end < len(runs) and (end == at or size + len(runs[end]) <= TOKENS_A_QUERY):
+                size += len(runs[end])
+                end += 1
+            part = runs[at:end]
+            for w, text in zip(*(c.tolist() for c in self._ask(DECODE, [len(r) for r in part], np.concatenate(part))), strict=True):
+                out[owner[at + w]].append(text.encode("latin-1"))
+            at = end
+        return [b"".join(parts) for parts in out]
 
 
 @lru_cache(maxsize=2)

@@ -51,6 +51,27 @@ def test_bpe_long_words_and_unicode(spark, tik):
     assert bpe_wrong(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), tik) == 0
 
 
+def test_bpe_splits_ascii_as_the_pattern():
+    import regex
+
+    rnd = np.random.default_rng(2)
+    texts = ["".join(map(chr, rnd.choice([9, 10, 28, 31, 32, 32, 39, 45, 48, 65, 97, 115, 116, 127], 300))) for _ in range(50)] + ["".join(map(chr, range(128))), "it's we'll  x\n\n y "]
+    assert [bpe.ascii_pattern(P.PATTERN).findall(t) for t in texts] == [regex.findall(P.PATTERN, t) for t in texts]
+    assert bpe.ascii_pattern(r"\w+") is None and bpe.ascii_pattern("(?i:a)") is None
+
+
+def test_bpe_decodes_in_bounded_runs(monkeypatch):
+    """Decoding keeps no pieces, and no query or run holds more ids than it may."""
+    own, asked = bpe.Codec(RANKS, P.PATTERN), []
+    ask = own._ask
+    monkeypatch.setattr(bpe, "RUN_TOKENS", 7)
+    monkeypatch.setattr(bpe, "TOKENS_A_QUERY", 20)
+    monkeypatch.setattr(own, "_ask", lambda sql, lengths, tokens: asked.append((sql, max(lengths), len(tokens))) or ask(sql, lengths, tokens))
+    texts = ["ein Satz, é und 日本 " * 9, "", "a", "x y z " * 30]
+    assert own.decode(own.encode(texts)) == [t.encode() for t in texts] and own.decode([None]) == [b""]
+    assert all(longest <= 7 and n <= 20 for sql, longest, n in asked if sql == bpe.DECODE)
+
+
 def test_bpe_parts_and_odd_rows(clashing, empty):
     whole = bpe.round_trip(clashing, RANKS, P.PATTERN)
     parts = bpe.decode(bpe.encode(clashing, RANKS, P.PATTERN), RANKS, P.PATTERN)
