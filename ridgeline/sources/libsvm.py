@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from ridgeline.sources.design import Design, array_points, sparse_points, sql_name
 
 ON_DAMAGE = ("fail", "drop")
+#: Lines that arrays of numbers are made of at once: numbers without suffix, special value or large exponent, indexes of up to nine digits.
+_NUMBER = r"[0-9]{1,17}(\.[0-9]{1,20})?([eE]-?[0-9]{1,2})?"
+PLAIN = rf"^[+-]?{_NUMBER}( [1-9][0-9]{{0,8}}:-?{_NUMBER})*$"
+PLAIN_ROWS = "line string, label double, indices array<int>, values array<double>, plain boolean"
 
 
 def read_libsvm(spark: SparkSession, path: str, num_features: int) -> DataFrame:
@@ -25,20 +29,55 @@ def read_libsvm(spark: SparkSession, path: str, num_features: int) -> DataFrame:
     return spark.read.format("libsvm").option("numFeatures", int(num_features)).load(path)
 
 
+def _plain_lines(batches):
+    """Rows of :data:`PLAIN_ROWS`: lines of plain numbers and ascending indexes parsed by the batch, all others left to expressions."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        line = pc.ascii_rtrim(batch.column(0), " ")
+        plain = pc.match_substring_regex(line, PLAIN)
+        numbers = pc.replace_substring(pc.ascii_ltrim(pc.if_else(plain, line, "0"), "+"), ":", " ")
+        cells = pc.split_pattern(numbers, " ")
+        first = cells.offsets.to_numpy().astype(np.int64)
+        number = cells.flatten().cast(pa.float64()).to_numpy()
+        of_row = np.ones(len(number), dtype=bool)
+        of_row[first[:-1]] = False
+        index, value = number[of_row].reshape(-1, 2).T
+        at = (first - np.arange(len(first))) // 2  # where a row's entries begin
+        falls = np.zeros(len(index) + 1, dtype=np.int64)
+        falls[1:-1] = np.diff(index) <= 0
+        falls[at] = 0
+        falls = np.concatenate([[0], np.cumsum(falls)])
+        ok = plain.to_numpy(zero_copy_only=False) & (falls[at[1:]] == falls[at[:-1]])
+        offsets = pa.array(at, pa.int32())
+        entries = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in ((index - 1).astype(np.int32), value)]
+        yield pa.RecordBatch.from_arrays([line, pa.array(number[first[:-1]]), *entries, pa.array(ok)], names=["line", "label", "indices", "values", "plain"])
+
+
 def parse_libsvm(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """``(line, label, indices, values, good)`` of every line that is a row; indices from 0, null where damaged."""
-    text = F.trim(F.regexp_replace(F.split_part("value", F.lit("#"), F.lit(1)), r"\s+", " "))
-    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(text.alias("line")).filter("line <> ''")
-    parts = lines.withColumn("_p", F.split("line", " "))
-    pairs = F.transform(F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))), lambda t: F.struct(
+    """``(line, label, indices, values, good)`` of every line that is a row; indices from 0, null where damaged.
+
+    Expressions state what a line means; they parse the lines that :func:`_plain_lines` leaves.
+    """
+    lines = spark.read.text(path if isinstance(path, str) else list(path)).select("value").mapInArrow(_plain_lines, PLAIN_ROWS)
+    plain = F.col("plain")
+    text = F.trim(F.regexp_replace(F.split_part("line", F.lit("#"), F.lit(1)), r"\s+", " "))
+    lines = lines.withColumn("line", F.when(plain, F.col("line")).otherwise(text)).filter("line <> ''")
+    parts = F.split("line", " ")
+    pairs = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda t: F.struct(
         F.when(t.rlike(r"^[0-9]+:[^:]+$"), F.substring_index(t, ":", 1)).try_cast("int").alias("i"), F.substring_index(t, ":", -1).try_cast("double").alias("v")))
-    # each step is a one-row generator: filters on its result are not pushed below it, which would parse again for every use
-    label = F.get("_p", F.lit(0)).try_cast("double")
-    rows = parts.select("line", F.inline(F.array(F.struct(label.alias("label"), pairs.alias("_e")))))
-    ascending = F.forall(F.transform("_e", lambda e, k: (e["i"] >= 1) & e["v"].isNotNull() & ((k == 0) | (F.get("_e", k - 1)["i"] < e["i"]))), lambda ok: F.coalesce(ok, F.lit(False)))
-    good = F.col("label").isNotNull() & ascending
-    indices, values = F.transform("_e", lambda e: e["i"] - 1), F.transform("_e", lambda e: e["v"])
-    return rows.select("line", "label", F.inline(F.array(F.struct(indices.alias("indices"), values.alias("values"), good.alias("good")))))
+    label = F.get(parts, F.lit(0)).try_cast("double")
+
+    def row(entries):
+        ascending = F.forall(F.transform(entries, lambda e, k: (e["i"] >= 1) & e["v"].isNotNull() & ((k == 0) | (F.get(entries, k - 1)["i"] < e["i"]))), lambda ok: F.coalesce(ok, F.lit(False)))
+        indices, values = F.transform(entries, lambda e: e["i"] - 1), F.transform(entries, lambda e: e["v"])
+        return F.struct(label.alias("label"), indices.alias("indices"), values.alias("values"), (label.isNotNull() & ascending).alias("good"))
+
+    own = F.array(F.struct("label", "indices", "values", F.lit(True).alias("good")))
+    # a one-row generator: filters on its result are not pushed below it, which would parse again for every use
+    return lines.select("line", F.inline(F.when(plain, own).otherwise(F.transform(F.array(pairs), row))))
 
 
 @dataclass(frozen=True)

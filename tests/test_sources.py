@@ -84,3 +84,22 @@ def test_hashed_words_of_odd_documents(spark, tmp_path):
     got = {(r["doc_id"], r["label"]): (list(zip(r["x"]["i"], r["x"]["v"], strict=True)), r["total"]) for r in cells.collect()}
     assert got == {k: (sorted(c.items()), float(sum(c.values()))) for k, c in want.items()}
     assert "Generate" not in cells._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_libsvm_plain_lines_are_parsed_by_the_batch_and_all_others_by_expressions(spark):
+    import pyarrow as pa
+
+    from ridgeline.sources.libsvm import _plain_lines, parse_libsvm
+
+    plain = ["1", "0 1:2", "+1 1:2.5 7:-3 ", "-1.5E-4 3:1E5", "1 999999999:0.25"]
+    other = {"1 1:2\t2:3": (1.0, [0, 1], [2.0, 3.0], True), " 1 1:2": (1.0, [0], [2.0], True), "1 1:1e400": (1.0, [0], [float("inf")], True), "1 1:2 # c": (1.0, [0], [2.0], True)}
+    other |= {"1 2:1 2:1": (1.0, [1, 1], [1.0, 1.0], False), "1 3:1 2:1": (1.0, [2, 1], [1.0, 1.0], False), "x 1:2": (None, [0], [2.0], False), "1 0:2": (1.0, [-1], [2.0], False)}
+    lines = plain + list(other) + ["", "  ", "# no row"]
+    batch = pa.RecordBatch.from_arrays([pa.array(lines)], names=["value"])
+    assert next(_plain_lines([batch])).column(4).to_pylist() == [line in plain for line in lines]
+    path = scratch_path(spark, "libsvm-lines")
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
+    got = {r.line: tuple(r)[1:] for r in parse_libsvm(spark, path).collect()}
+    want = {"1": (1.0, [], [], True), "0 1:2": (0.0, [0], [2.0], True), "+1 1:2.5 7:-3": (1.0, [0, 6], [2.5, -3.0], True)}
+    want |= {"-1.5E-4 3:1E5": (-1.5e-4, [2], [1e5], True), "1 999999999:0.25": (1.0, [999999998], [0.25], True)}
+    assert got == want | {" ".join(line.partition("#")[0].split()): row for line, row in other.items()}
