@@ -41,7 +41,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from ridgeline.functions.losses import get_loss
+from ridgeline.functions.losses import get_loss, takes_batches
 from ridgeline.functions.updaters import Ridge
 from ridgeline.operators.passes import EmptyDesign, Evaluator, Trial, evaluator
 from ridgeline.plans.result import FitResult
@@ -310,7 +310,7 @@ def fit_cg(
     ev = None
     res.design = design
     kept = FitState(design.df.sparkSession, resume) if resume is not None else None
-    with materialized(design, storage) as ds:
+    with materialized(design, storage, pack=takes_batches(lossf)) as ds:
         try:
             ev = evaluator(ds, lossf, reg_param, solver, passes, res.evaluations, form)
             if mode == "exact":

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from ridgeline.functions.losses import get_loss
+from ridgeline.functions.losses import get_loss, takes_batches
 from ridgeline.functions.updaters import Ridge
 from ridgeline.operators.passes import EmptyDesign, Evaluator, evaluator
 from ridgeline.plans.cg import C1, strong_wolfe
@@ -68,7 +68,7 @@ def fit_lbfgs(
     passes: Counter = Counter()
     res = FitResult(method, get_loss(loss).name, design.features, w, reg_param=reg_param, passes=passes)
     res.design, ev = design, None
-    with materialized(design, storage) as ds:
+    with materialized(design, storage, pack=takes_batches(get_loss(loss))) as ds:
         try:
             ev = evaluator(ds, loss, reg_param, "passes", passes, res.evaluations, form)
             _run(ev, res, w, updater, max_iter, memory, step_tol, grad_tol)

@@ -229,3 +229,51 @@ def test_wide_pass_moves_only_what_parts_need(wide):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     side = plan[plan.index("FlatMapCoGroups") : plan.index("InMemoryTableScan")]
     assert "Exchange" not in side  # between the cogroup and the persisted rows
+
+
+def test_packed_blocks_end_by_their_entries(monkeypatch):
+    import pyarrow as pa
+
+    from ridgeline.operators.passes import Block
+
+    monkeypatch.setattr(design_module, "PACKED_ENTRIES", 4)
+    rows = [[(0, 1.0), (2, 2.0)], [], [(1, 3.0), (2, 4.0), (3, 5.0)], [(0, 6.0)], []]
+    features = pa.array([{"indices": [i for i, _ in r], "values": [v for _, v in r]} for r in rows], pa.struct([("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))]))
+    [blocks] = design_module._packed([pa.RecordBatch.from_arrays([pa.array([1.0, 0.0, 1.0, 0.0, 1.0]), features], names=["label", "features"])])
+    assert blocks.column(0).to_pylist() == [3, 2]
+    shape = design_module.Design(df=None, features=("a", "b", "c", "d"), array_col="features", sparse=True, packed=True)
+    got = [(b.dot(np.array([1.0, 10.0, 100.0, 1000.0])).tolist(), y.tolist()) for b, y in Block.unpacked(shape, blocks)]
+    assert got == [([201.0, 0.0, 5430.0], [1.0, 0.0, 1.0]), ([6.0, 0.0], [0.0, 1.0])]
+
+
+def test_sparse_rows_are_kept_as_blocks_and_give_the_sums_of_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(700):
+        at = sorted(rng.choice(40, int(rng.integers(0, 9)), replace=False).tolist())
+        rows.append((float(k % 3 % 2), at, rng.normal(size=len(at)).tolist()))
+    rows += [(None, [0], [1.0]), (1.0, [1], [float("nan")])]
+    df = spark.createDataFrame(rows, "label double, i array<int>, v array<double>").repartition(3)
+    ds = rl.sparse_points(df, "label", "i", "v", 40, bias=True)
+    w, d = rng.normal(size=41), rng.normal(size=41)
+    by_row = rl.Evaluator(ds, "logistic")
+    with rl.materialized(ds, pack=True) as kept:
+        assert kept.packed and kept.df.agg(F.sum("n")).first()[0] == 700
+        by_block = rl.Evaluator(kept, "logistic")
+        for got, want in zip(by_block.value_and_gradient(w), by_row.value_and_gradient(w), strict=True):
+            np.testing.assert_allclose(got, want, rtol=1e-12, atol=1e-15)
+        assert by_block.n == by_row.n == 700
+        for a, b in zip(by_block.probe(w, d, [0.1, 3.0], 1), by_row.probe(w, d, [0.1, 3.0], 1), strict=True):
+            np.testing.assert_allclose([a.loss, a.slope, a.change], [b.loss, b.slope, b.change], rtol=1e-12)
+    assert rl.fit_logistic(ds, max_iter=3).dropped_rows() == 2
+
+
+def test_logistic_batches_agree_with_the_plain_formulas():
+    from ridgeline.functions.losses import LogisticLoss
+
+    rng = np.random.default_rng(2)
+    m, q = rng.normal(size=900) * 4, rng.normal(size=900)
+    loss = LogisticLoss()
+    for y in (rng.integers(0, 2, 900).astype(float), rng.random(900)):
+        np.testing.assert_array_equal(loss.slope_of_batch(m, y), loss.of_batch(m, y)[1])
+        np.testing.assert_allclose(loss.change_of_batch(m, q, y), loss.of_batch(m + q, y)[0] - loss.of_batch(m, y)[0], rtol=1e-9, atol=1e-13)
