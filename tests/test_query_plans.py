@@ -36,6 +36,14 @@ def test_partial_sums_meet_in_two_steps(spark, lineitem01):
     assert plan.index("SinglePartition") < plan.index("hashpartitioning(_bucket")
 
 
+def test_a_pass_of_a_fit_adds_up_without_a_key(spark):
+    base = spark.createDataFrame([(k, float(k)) for k in range(100)], "k long, v double").repartition(7)
+    out = passes.bucketed(base, {"n": "count(v)", "s": "sum(v)"})
+    assert [tuple(r) for r in out.collect()] == [(100, 4950.0)]
+    assert "HashAggregate(keys=[]" in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in passes.bucketed(base.filter("k < 0"), {"n": "count(v)", "s": "sum(v)"}).collect()] == [(0, None)]
+
+
 def test_a_fit_starts_no_job_before_its_first_pass(spark, lineitem01, monkeypatch):
     import ridgeline as rl
     from ridgeline.workload.fixtures import LIN3
