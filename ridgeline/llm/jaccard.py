@@ -14,7 +14,8 @@ copies never meet each other in a join.
   order is exact).  A list first checks its members against one of them, its leader, so a
   group of near copies costs its size and not its square; lists of the same members count
   once.  Only members of one list that then lie in different components are compared, by
-  blocks of ``BLOCK`` members, two of which a task compares by their sketches.
+  blocks of ``BLOCK`` members, two of which a task compares by their sketches.  Where these
+  leave more pairs than members, a task gets the members' sets and links them by a tree.
 - The boundary is the size with the least cost: subsets enumerated against list entries
   and their expected checks, from the sizes of all sets.
 
@@ -58,6 +59,8 @@ LEAST_SKETCH, MOST_SKETCH = 128, 16_384
 #: Candidates are found again among the documents by a bitmap of so many bits each, at least and at most these in all.
 CANDIDATE_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 31
 COUNTED_TOKENS = 2_000_000
+#: Shingles of the sets that a task intersects with each other or with as many others (a larger set is alone).
+LOT = 1_000_000
 #: Rows of an Arrow batch, which hold whole texts or sets.
 ARROW_ROWS = 1_000
 #: Bytes of texts hashed at a time (a longer text is one piece of its own), and the longest word hashed with others.
@@ -649,8 +652,15 @@ def _join_blocks(percent: int, boundary: int):
     return run
 
 
+NEAR = "key long, p int, q int, lots long, block int, node long, n int, root long, other long"
+
+
 def _compare_blocks(percent: int, boundary: int):
-    """Pairs between (or within) the two blocks of a group that are apart and that sizes and sketches allow."""
+    """What is left between (or within) the two blocks of a group of pairs that are apart and that sizes and sketches allow.
+
+    A row per pair (node, other) where these are no more than their members, else a row per member
+    and pair of lots in which it has to be intersected: a group never gives the square of its size.
+    """
 
     def run(key, pdf):
         import numpy as np
@@ -660,12 +670,48 @@ def _compare_blocks(percent: int, boundary: int):
         node, n, block, root = (pdf[c].to_numpy() for c in ("node", "n", "block", "root"))
         n = n.astype(np.int64)
         sketch = _Sketches(pdf["sketch"].tolist())
-        out = []
+        left, right = [], []
         for i in range(len(pdf)):
             j = np.flatnonzero(may_link(n[i], n[i + 1 :], boundary, percent) & (root[i] != root[i + 1 :]) & ((block[i] != block[i + 1 :]) | (key[1] == key[2]))) + i + 1
+            right.append(j[sketch.differences(np.full(len(j), i), sketch, j) <= most_difference(n[i], n[j], percent)])
+            left.append(np.full(len(right[-1]), i))
+        left, right = np.concatenate(left), np.concatenate(right)
+        met = np.unique(np.concatenate([left, right]))
+        if len(left) <= len(met):
+            member, lots, other = left, np.zeros(len(left), np.int64), pd.array(node[right], "Int64")
+        else:
+            lot = np.zeros(len(pdf), np.int64)
+            lot[met] = np.cumsum(n[met]) // LOT
+            both = np.minimum(lot[left], lot[right]) << 32 | np.maximum(lot[left], lot[right])
+            lots, member = np.unique(np.stack([np.tile(both, 2), np.concatenate([left, right])]), axis=1)
+            other = pd.array([None] * len(member), "Int64")
+        own = {c: np.full(len(member), v, np.int64) for c, v in zip(("key", "p", "q"), key, strict=True)}
+        return pd.DataFrame(own | {"lots": lots, "block": block[member], "node": node[member], "n": n[member], "root": root[member], "other": other})
+
+    return run
+
+
+def _link_blocks(percent: int, boundary: int):
+    """Links of the members of two lots that are apart, checked by their sets: those that a tree of them needs."""
+
+    def run(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        node, n, block = (pdf[c].to_numpy() for c in ("node", "n", "block"))
+        n = n.astype(np.int64)
+        tree = np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
+        sets = [np.frombuffer(x, "<i8") for x in pdf["elements"]]
+        sketch = _Sketches([sketch_of(x).tobytes() for x in sets])
+        out = []
+        for i in range(len(pdf) - 1):
+            j = np.flatnonzero(may_link(n[i], n[i + 1 :], boundary, percent) & (tree[i] != tree[i + 1 :]) & ((block[i] != block[i + 1 :]) | (key[1] == key[2]))) + i + 1
             j = j[sketch.differences(np.full(len(j), i), sketch, j) <= most_difference(n[i], n[j], percent)]
-            out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"]).astype("int64")
+            for k in j.tolist():
+                if tree[k] != tree[i] and linked(sets[i], sets[k], percent):
+                    out.append((min(node[i], node[k]), max(node[i], node[k])))
+                    tree[tree == tree[k]] = tree[i]
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return run
 
@@ -702,9 +748,12 @@ def _links(texts: DataFrame, sets: DataFrame, width: int, percent: int) -> DataF
     boundary = boundary_by_cost(sizes, percent)
 
     entries = texts.mapInArrow(_entries(often, boundary, width, percent), ENTRIES)
+    # kind, m and n travel as one number: there are more of these rows than of any others
+    packed = F.shiftleft(F.col("kind").cast("long"), 61).bitwiseOR(F.shiftleft(F.col("m").cast("long"), 31)).bitwiseOR(F.col("n").cast("long"))
+    kind, m, n = F.shiftright("size", 61), F.shiftright("size", 31).bitwiseAND(F.lit((1 << 30) - 1)), F.col("size").bitwiseAND(F.lit((1 << 31) - 1))
     # the lists of one key meet in a task; hot ones are dealt by their blocks, as they need not meet
-    deal = F.xxhash64("key", F.when(F.col("kind") == HOT_LIST, F.col("m")).otherwise(0))
-    dealt = entries.withColumn("deal", deal).repartition("deal").drop("deal").sortWithinPartitions("kind", "key", "n", "node")
+    dealt = entries.select("key", "node", packed.alias("size")).repartition("key", F.when(kind == HOT_LIST, m).otherwise(0))
+    dealt = dealt.select(*[x.cast("int").alias(c) for c, x in (("kind", kind), ("n", n), ("m", m))], "key", "node").sortWithinPartitions("kind", "key", "n", "node")
     met = materialize(dealt.select("kind", "key", "node", "n", "m").mapInArrow(_meetings(boundary, percent), MEETINGS), "shingle-meetings")
 
     # small sets: the sets of one size under a key all link to those of the other size
@@ -762,8 +811,12 @@ def _links(texts: DataFrame, sets: DataFrame, width: int, percent: int) -> DataF
     last = left.join(right, "key").filter("a < b AND a_root <> b_root").filter(size_ok).select("a", "b").distinct()
     spread = blocked(rest).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "n", "root", "sketch")
-    across = materialize(spread.groupBy("key", "p", "q").applyInPandas(_compare_blocks(percent, boundary), "a long, b long").distinct(), "near-pairs")
-    return links.unionByName(checked(last)).unionByName(exact(across))
+    near = materialize(spread.groupBy("key", "p", "q").applyInPandas(_compare_blocks(percent, boundary), NEAR), "near-members")
+    few = materialize(near.filter("other IS NOT NULL").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "near-pairs")
+    many = near.filter("other IS NULL").drop("other")
+    asked = own.select("node", "elements").join(many.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    across = many.join(asked, "node").groupBy("key", "p", "q", "lots").applyInPandas(_link_blocks(percent, boundary), "a long, b long")
+    return links.unionByName(checked(last)).unionByName(exact(few)).unionByName(materialize(across.distinct(), "checked-links"))
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -169,6 +169,41 @@ def test_jaccard_groups_blocks_and_small_sets(spark, monkeypatch, limits):
     assert len({c for _, _, c in want}) < len(texts) - 50
 
 
+def test_jaccard_blocks_of_near_misses_give_no_square(spark, monkeypatch):
+    import pandas as pd
+
+    rnd = np.random.default_rng(8)
+    core = rnd.integers(-(2**62), 2**62, 91)
+    sets = [np.sort(np.concatenate([core, rnd.integers(-(2**62), 2**62, 9)])) for _ in range(60)]  # 91 of 109 in common: below 85 %
+    sets += [np.append(sets[0][:-1], 2**62 + 1)]  # linked with the first one
+    rows = {"node": np.arange(61), "n": np.full(61, 100, np.int32), "block": np.zeros(61, np.int32), "root": np.arange(61)}
+    pdf = pd.DataFrame(rows | {"sketch": [jaccard.sketch_of(x).tobytes() for x in sets]})
+    for lot, most in ((1_000_000, 61), (1_500, 61 * 5)):
+        monkeypatch.setattr(jaccard, "LOT", lot)
+        near = jaccard._compare_blocks(85, 20)((5, 0, 0), pdf)
+        assert 0 < len(near) <= most and near["other"].isna().all()
+        links = set()
+        for lots, part in near.groupby("lots"):
+            part = part.assign(elements=[sets[k].astype("<i8").tobytes() for k in part["node"]])
+            links |= set(map(tuple, jaccard._link_blocks(85, 20)((5, 0, 0, lots), part).to_numpy().tolist()))
+        assert links == {(0, 60)}
+    few = jaccard._compare_blocks(85, 20)((5, 0, 0), pdf.iloc[[0, 60]])
+    assert few[["node", "other"]].to_numpy().tolist() == [[0, 60]]
+    assert not len(jaccard._compare_blocks(85, 20)((5, 0, 0), pdf.iloc[:1]))
+
+    for k, v in {"SHORT_LIST": 8, "BLOCK": 16, "LOT": 400}.items():
+        monkeypatch.setattr(jaccard, k, v)
+    base, texts = [f"w{k}" for k in range(120)], []
+    for i in range(57):  # edits of one place link, of different places nearly
+        text, at = list(base), 6 * (i % 19)
+        text[at : at + 2] = f"x{i}", f"y{i}"
+        texts.append(" ".join(text))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = brute_components(list(enumerate(texts)))
+    assert joined(df) == want
+    assert len({c for _, _, c in want}) == 19
+
+
 @pytest.mark.parametrize("before", [0, 1])
 def test_shingles_equal_plain_sets(monkeypatch, before):
     """Equal sets of word runs give equal hashes and others do not: odd white space, long words, cuts at any text, sliced columns."""
