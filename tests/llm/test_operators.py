@@ -195,7 +195,7 @@ def test_jaccard_blocks_of_near_misses_give_no_square(spark, monkeypatch):
         monkeypatch.setattr(jaccard, k, v)
     base, texts = [f"w{k}" for k in range(120)], []
     for i in range(57):  # edits of one place link, of different places nearly
-        text, at = list(base), 6 * (i % 19)
+        text, at = list(base), 6 * (i % 19) + 5
         text[at : at + 2] = f"x{i}", f"y{i}"
         texts.append(" ".join(text))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
